@@ -137,3 +137,62 @@ def gold_relevant(output: Column) -> Column:
     w = wrap_parse(output)
     v = field(w, "$.relevant")
     return F.when(vtype(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+
+
+# ---- staged forms: each step is its own projection over named columns ---------------------
+# Nesting the helpers above repeats subtrees (a parsed value is tested, typed and read);
+# staging keeps the plan small and lets each intermediate be computed once.
+
+def _stage(df, steps, drop):
+    for name, expr in steps:
+        df = df.withColumn(name, expr)
+    return df.drop(*drop)
+
+
+def with_lenient_flag(df, answer: str = "answer", out: str = "flag"):
+    """Stage-1 flag (H9-H12) as a new column."""
+    a = F.col("_l_a")
+    b = F.col("_l_b")
+    c = F.col("_l_c")
+    w = F.col("_l_w")
+    steps = [
+        ("_l_a", py_strip(F.col(answer))),
+        ("_l_b", F.when(a.startswith("```json"), F.substring(a, F.lit(8), F.length(a))).otherwise(a)),
+        ("_l_c", F.when(b.endswith("```"), F.substring(b, F.lit(1), F.length(b) - 3)).otherwise(b)),
+        ("_l_w", wrap_parse(brace_slice(c))),
+        ("_l_r", field(w, "$.relevant")),
+        (out, F.when(is_valid(w), truthy(F.col("_l_r"))).otherwise(regex_flag(c))),
+    ]
+    return _stage(df, steps, ["_l_a", "_l_b", "_l_c", "_l_w", "_l_r"])
+
+
+def with_judge_flag(df, answer: str = "answer", out: str = "flag"):
+    """Retrieval-judge flag (H14) as a new column."""
+    w = F.col("_j_w")
+    steps = [
+        ("_j_w", wrap_parse(F.col(answer))),
+        ("_j_r", field(w, "$.relevant")),
+        (out, F.coalesce(F.when(is_object(field(w, "$")), truthy(F.col("_j_r"))), F.lit(False))),
+    ]
+    return _stage(df, steps, ["_j_w", "_j_r"])
+
+
+def with_strict_columns(df, answer: str = "answer", gold: str = "relevant"):
+    """Stage-2 indicators (H13, H15, H15b): json_valid, relevance_match, reason_complete, gen_*."""
+    w = F.col("_s_w")
+    reason = F.col("_s_reason")
+    complete = F.col("reason_complete")
+    steps = [
+        ("_s_t", py_strip(F.col(answer))),
+        ("_s_w", wrap_parse(F.col("_s_t"))),
+        ("_s_obj", is_valid(w) & is_object(field(w, "$"))),
+        ("_s_rel", field(w, "$.relevant")),
+        ("_s_reason", field(w, "$.reason")),
+        ("json_valid", F.coalesce(is_valid(w), F.lit(False))),
+        ("relevance_match", F.coalesce(F.col("_s_obj") & equals_bool(F.col("_s_rel"), F.col(gold)), F.lit(False))),
+        ("reason_complete", F.coalesce(F.col("_s_obj") & has_keys(reason), F.lit(False))),
+        ("gen_query_topic", F.when(complete, string_value(F.try_variant_get(reason, "$.query_topic", "variant")))),
+        ("gen_document_topic", F.when(complete, string_value(F.try_variant_get(reason, "$.document_topic", "variant")))),
+        ("gen_summary", F.when(complete, string_value(F.try_variant_get(reason, "$.summary", "variant")))),
+    ]
+    return _stage(df, steps, ["_s_t", "_s_w", "_s_obj", "_s_rel", "_s_reason"])

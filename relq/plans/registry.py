@@ -113,7 +113,7 @@ def model_answers(spark, sf_dir):
 def flag_lenient(spark, sf_dir):
     """Stage-1 lenient flag of every answer (nullable)."""
     a = answers(spark, sf_dir)
-    return a.select("sample_id", "answer_class", J.flag_lenient(F.col("answer")).alias("flag"))
+    return J.with_lenient_flag(a, "answer", "flag").select("sample_id", "answer_class", "flag")
 
 
 @register("flag_strict", S.with_ctes(S.eval_ctes() + [("strict", S.STRICT)],
@@ -131,7 +131,7 @@ def flag_strict(spark, sf_dir):
 def flag_judge(spark, sf_dir):
     """Retrieval-judge flag of every answer (strict, failure = false)."""
     a = answers(spark, sf_dir)
-    return a.select("sample_id", "answer_class", J.flag_judge(F.col("answer")).alias("flag"))
+    return J.with_judge_flag(a, "answer", "flag").select("sample_id", "answer_class", "flag")
 
 
 # ---- metrics (C4, D1-D8, D15) -------------------------------------------------------------
@@ -176,3 +176,60 @@ def summary_similarity(spark, sf_dir):
     s = samples(spark, sf_dir)
     g = gold_rows(s)
     return ev.mean_summary_similarity(g, derive_answers(g))
+
+
+# ---- retrieval (H26, H27, C5-C7, E4, F1, F3, D9, D10) --------------------------------------
+
+from relq.functions.vectors import fixed_point, l2_normalize, norm  # noqa: E402
+from relq.operators import retrieval as rt  # noqa: E402
+from relq.sources.tables import read_embeddings  # noqa: E402
+
+
+def retrieval_sets(spark, sf_dir):
+    """Queries = the first MAX_QUERIES vectors (the evaluator's query limit); index = all the others."""
+    emb = read_embeddings(spark, sf_dir)
+    q = emb.orderBy("doc_id").limit(S.MAX_QUERIES).withColumnRenamed("doc_id", "query_id")
+    index = emb.join(F.broadcast(q.select(F.col("query_id").alias("doc_id"))), "doc_id", "left_anti")
+    return emb, q, index
+
+
+def hits(spark, sf_dir):
+    emb, q, index = retrieval_sets(spark, sf_dir)
+    return rt.knn_topk(index, q, k=S.TOP_K), emb, q, index
+
+
+@register("normalize", S.with_ctes([("unit", S.UNIT)], """SELECT doc_id, dim, round(nrm, 6) AS norm,
+  array_to_string(list_transform(u, lambda x: CAST(round(x * 1000000) AS BIGINT)), ',') AS unit FROM unit"""))
+def normalize(spark, sf_dir):
+    """L2-normalised vectors (as fixed-point text) and their original norms."""
+    e = read_embeddings(spark, sf_dir)
+    return e.select("doc_id", F.size("embedding").alias("dim"), F.round(norm(F.col("embedding")), 6).alias("norm"),
+                    fixed_point(l2_normalize(F.col("embedding"))).alias("unit"))
+
+
+@register("knn_topk", S.with_ctes(S.retrieval_ctes(), "SELECT query_id, rank, doc_id, round(score, 6) AS score FROM hits"))
+def knn_topk(spark, sf_dir):
+    """Exact top-5 by cosine for each query over the whole index."""
+    h, _, _, _ = hits(spark, sf_dir)
+    return h.withColumn("score", F.round("score", 6))
+
+
+@register("precision_at_k", S.with_ctes(S.retrieval_ctes(), "SELECT * FROM pak"))
+def precision_at_k(spark, sf_dir):
+    """C5, C7, D9, J4 (label judge): P@5 per query."""
+    h, emb, q, index = hits(spark, sf_dir)
+    return rt.precision_at_k(rt.label_judge(h, q, index), k=S.TOP_K)
+
+
+@register("mean_precision_at_k", S.with_ctes(S.retrieval_ctes(),
+          "SELECT count(*) AS queries, round(avg(p_at_k), 6) AS mean_p_at_k FROM pak"))
+def mean_precision_at_k(spark, sf_dir):
+    """Mean P@5 over the queries."""
+    h, emb, q, index = hits(spark, sf_dir)
+    return rt.mean_precision_at_k(rt.precision_at_k(rt.label_judge(h, q, index), k=S.TOP_K))
+
+
+@register("first_queries", S.with_ctes(S.samples_ctes(2), S.FIRST_QUERIES))
+def first_queries(spark, sf_dir):
+    """The first 10 distinct queries of the samples, in first-seen order."""
+    return rt.first_queries(samples(spark, sf_dir), n=S.MAX_QUERIES)

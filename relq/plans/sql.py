@@ -194,3 +194,35 @@ def with_ctes(ctes: list[tuple[str, str]], select: str) -> str:
 
 def eval_ctes() -> list[tuple[str, str]]:
     return samples_ctes(2) + [("gold", GOLD), ("answers", ANSWERS)]
+
+
+# ---- retrieval -------------------------------------------------------------------------
+
+MAX_QUERIES = 10
+TOP_K = 5
+
+UNIT = """SELECT doc_id, label, len(v) AS dim, nrm,
+    CASE WHEN nrm = 0 THEN list_transform(v, lambda x: 0.0) ELSE list_transform(v, lambda x: x / nrm) END AS u
+  FROM (SELECT *, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b)) AS nrm
+        FROM (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v, label FROM embeddings))"""
+
+QVECS = f"SELECT * FROM unit ORDER BY doc_id LIMIT {MAX_QUERIES}"
+IVECS = "SELECT * FROM unit WHERE doc_id NOT IN (SELECT doc_id FROM qvecs)"
+HITS = f"""SELECT query_id, rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+      SELECT q.doc_id AS query_id, i.doc_id, list_inner_product(q.u, i.u) AS score FROM qvecs q CROSS JOIN ivecs i))
+  WHERE rank <= {TOP_K}"""
+JUDGED = """SELECT h.query_id, h.doc_id, coalesce(i.label = q.label, false) AS relevant
+  FROM hits h LEFT JOIN unit i ON h.doc_id = i.doc_id LEFT JOIN unit q ON h.query_id = q.doc_id"""
+PAK = f"SELECT query_id, round(count_if(relevant) / {float(TOP_K)}, 6) AS p_at_k FROM judged GROUP BY query_id"
+
+
+def retrieval_ctes() -> list[tuple[str, str]]:
+    return [("unit", UNIT), ("qvecs", QVECS), ("ivecs", IVECS), ("hits", HITS), ("judged", JUDGED), ("pak", PAK)]
+
+
+FIRST_QUERIES = f"""SELECT query, first_seen, row_number() OVER (ORDER BY first_seen)::BIGINT AS query_rank FROM (
+  SELECT query, min(sample_id) AS first_seen FROM (
+    SELECT sample_id, {py_strip("replace(substr(input, 1, cut - 1), 'Query:', '')")} AS query
+    FROM (SELECT *, strpos(input, {NL} || 'Document:') AS cut FROM samples) WHERE cut > 0)
+  GROUP BY query ORDER BY first_seen LIMIT {MAX_QUERIES})"""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -26,13 +27,35 @@ RUNTIME_CONF = {
 }
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``relq`` importable in Python workers (pandas UDFs, mapInPandas) on every executor."""
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    fd, path = tempfile.mkstemp(prefix="relq-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(id(sc))
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime options; safe to call repeatedly."""
+    """Apply the runtime options and ship the package; safe to call repeatedly."""
     for key, value in RUNTIME_CONF.items():
         try:
             spark.conf.set(key, value)
         except Exception:  # a locked/static conf on some deployments; the default then applies
             pass
+    ship_package(spark)
     return spark
 
 
