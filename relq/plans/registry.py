@@ -233,3 +233,131 @@ def mean_precision_at_k(spark, sf_dir):
 def first_queries(spark, sf_dir):
     """The first 10 distinct queries of the samples, in first-seen order."""
     return rt.first_queries(samples(spark, sf_dir), n=S.MAX_QUERIES)
+
+
+# ---- chat, tokens, masks, batches, loss (H6, H17-H25, E2, E3, D11, D13, D14) -------------
+
+from pyspark import StorageLevel  # noqa: E402
+
+from relq.functions import masks as M  # noqa: E402
+from relq.operators import batches as B  # noqa: E402
+from relq.operators.chat import render_chat, with_answer_key  # noqa: E402
+from relq.operators.loss import weighted_loss as _weighted_loss  # noqa: E402
+from relq.operators.tokens import build_vocab, tokenize  # noqa: E402
+from relq.functions.hashing import hash_u32  # noqa: E402
+from relq.templates import CHATML, MAX_TOKENS  # noqa: E402
+
+
+def chat(spark, sf_dir, version=2, variant="train_s1"):
+    s = samples(spark, sf_dir, version).select("sample_id", "instruction", "input", "output")
+    return with_answer_key(render_chat(s, variant))
+
+
+def token_rows(spark, sf_dir, version=2, variant="train_s1"):
+    """Tokens + masks + both weightings per sample, and the vocabulary."""
+    c = chat(spark, sf_dir, version, variant).select("sample_id", "prompt_text", "full_text", "relevant_idx")
+    c = c.persist(StorageLevel.MEMORY_AND_DISK)  # read by the vocabulary and the tokenizer
+    vocab = build_vocab(c)
+    tok = tokenize(c, vocab, offsets=True)
+    meta = c.select("sample_id", "relevant_idx", F.length("prompt_text").alias("prompt_chars"))
+    # the pad/EOS id: one scalar looked up in the vocabulary
+    eos = vocab.where(F.col("piece") == CHATML["eos"]).select("id").first()
+    rows = B.with_masks(tok.join(meta, "sample_id"), S.N_KEEP).withColumn(
+        "eos_id", F.lit(None if eos is None else int(eos["id"])).cast("int"))
+    args = (F.col("input_ids"), F.col("n_prompt"), F.col("offsets"), F.col("relevant_idx"), F.col("prompt_chars"))
+    rows = (rows.withColumn("weights_reference", M.loss_weights(*args, anchor="reference"))
+                .withColumn("weights_answer", M.loss_weights(*args, anchor="answer")))
+    return rows, vocab
+
+
+@register("chat_render", S.with_ctes(S.samples_ctes(2) + [("chat", S.chat_sql("train_s1"))], """SELECT sample_id,
+  length(prompt_text) AS prompt_chars, length(full_text) AS full_chars, md5(prompt_text) AS prompt_md5,
+  md5(full_text) AS full_md5, relevant_idx, starts_with(full_text, prompt_text) AS prefix_ok FROM chat"""))
+def chat_render(spark, sf_dir):
+    """Stage-1 training chat text per sample and the answer-key position."""
+    c = chat(spark, sf_dir)
+    return c.select("sample_id", F.length("prompt_text").cast("long").alias("prompt_chars"),
+                    F.length("full_text").cast("long").alias("full_chars"), F.md5("prompt_text").alias("prompt_md5"),
+                    F.md5("full_text").alias("full_md5"), F.col("relevant_idx").cast("long").alias("relevant_idx"),
+                    "prefix_ok")
+
+
+@register("vocab", S.with_ctes(S.token_ctes(2, "train_s1"), "SELECT piece, count, id FROM vocab"))
+def vocab_q(spark, sf_dir):
+    """Vocabulary of the built-in tokenizer over the whole rendered texts."""
+    return token_rows(spark, sf_dir)[1].select("piece", "count", "id")
+
+
+@register("tokens", S.with_ctes(S.token_ctes(2, "train_s1"), f"""SELECT sample_id, n_prompt, n_full,
+  n_full_untruncated, {S.txt('input_ids')} AS input_ids, {S.txt('offsets')} AS offsets FROM masks"""))
+def tokens_q(spark, sf_dir):
+    """Token ids (truncated to 192), prompt length, offsets per sample."""
+    rows, _ = token_rows(spark, sf_dir)
+    return rows.select("sample_id", F.col("n_prompt").cast("long").alias("n_prompt"),
+                       F.col("n_full").cast("long").alias("n_full"),
+                       F.col("n_full_untruncated").cast("long").alias("n_full_untruncated"),
+                       M.as_text(F.col("input_ids")).alias("input_ids"), M.as_text(F.col("offsets")).alias("offsets"))
+
+
+@register("label_masks", S.with_ctes(S.token_ctes(2, "train_s1"), f"""SELECT sample_id,
+  {S.txt('labels_s1')} AS labels_s1, {S.txt('labels_s2')} AS labels_s2, {S.txt('labels_answer')} AS labels_answer
+  FROM masks"""))
+def label_masks(spark, sf_dir):
+    """Stage-1, stage-2 and answer-only label masks."""
+    rows, _ = token_rows(spark, sf_dir)
+    return rows.select("sample_id", M.as_text(F.col("labels_s1")).alias("labels_s1"),
+                       M.as_text(F.col("labels_s2")).alias("labels_s2"),
+                       M.as_text(F.col("labels_answer")).alias("labels_answer"))
+
+
+@register("loss_weights", S.with_ctes(S.token_ctes(1, "train_v1"), f"""SELECT sample_id,
+  {S.txt('weights_reference')} AS weights_reference, {S.txt('weights_answer')} AS weights_answer FROM masks"""))
+def loss_weights_q(spark, sf_dir):
+    """v1 token weights with both anchors ('reference' reproduces the original offsets)."""
+    rows, _ = token_rows(spark, sf_dir, 1, "train_v1")
+    return rows.select("sample_id", M.as_text(F.col("weights_reference")).alias("weights_reference"),
+                       M.as_text(F.col("weights_answer")).alias("weights_answer"))
+
+
+@register("padded_batches", S.with_ctes(S.token_ctes(2, "train_s1") + [("batched", S.BATCHED)], f"""SELECT sample_id,
+  batch_id, max_len,
+  {S.txt("list_concat(input_ids, list_transform(range(max_len - n_full), lambda z: eos_id))")} AS input_ids,
+  {S.txt("list_concat(list_transform(range(n_full), lambda z: 1), list_transform(range(max_len - n_full), lambda z: 0))")} AS attention_mask,
+  {S.txt("list_concat(labels_s1, list_transform(range(max_len - n_full), lambda z: -100))")} AS labels
+  FROM batched CROSS JOIN eos"""))
+def padded_batches_q(spark, sf_dir):
+    """Batches of 4 consecutive samples padded to the batch maximum."""
+    rows, _ = token_rows(spark, sf_dir)
+    b = B.padded_batches(rows.select("sample_id", "input_ids", "labels_s1", "eos_id"), S.BATCH, labels="labels_s1")
+    return b.select("sample_id", "batch_id", F.col("max_len").cast("long").alias("max_len"),
+                    M.as_text(F.col("input_ids")).alias("input_ids"),
+                    M.as_text(F.col("attention_mask")).alias("attention_mask"), M.as_text(F.col("labels")).alias("labels"))
+
+
+@register("masked_out_report", S.with_ctes(S.token_ctes(2, "train_s1"), f"""SELECT count(*) AS samples,
+  count_if(n_full_untruncated > {MAX_TOKENS}) AS truncated, count_if(n_prompt >= {MAX_TOKENS}) AS prompt_fills_window,
+  count_if(list_bool_and(list_transform(labels_s1, lambda x: x = -100)) OR len(labels_s1) = 0) AS no_target_s1,
+  count_if(list_bool_and(list_transform(labels_s2, lambda x: x = -100)) OR len(labels_s2) = 0) AS no_target_s2,
+  sum(len(list_filter(labels_s1, lambda x: x <> -100)))::BIGINT AS target_tokens_s1,
+  sum(len(list_filter(labels_s2, lambda x: x <> -100)))::BIGINT AS target_tokens_s2 FROM masks"""))
+def masked_out_report_q(spark, sf_dir):
+    """Samples with no target token after truncation, truncated samples, target counts."""
+    rows, _ = token_rows(spark, sf_dir)
+    return B.masked_out_report(rows, MAX_TOKENS)
+
+
+@register("weighted_loss", S.with_ctes(S.token_ctes(1, "train_v1") + [("batched", S.BATCHED), ("rl", S.ROW_LOSS)],
+          """SELECT batch_id, round(sum(den), 6) AS weight_sum, round(sum(num) / (sum(den) + 1e-8), 6) AS loss
+  FROM rl GROUP BY batch_id"""))
+def weighted_loss_q(spark, sf_dir):
+    """v1 weighted loss per batch of 4 over a hash-derived token loss."""
+    rows, _ = token_rows(spark, sf_dir, 1, "train_v1")
+    b = B.padded_batches(rows.select("sample_id", "input_ids", "labels_answer", "weights_reference", "eos_id"),
+                         S.BATCH, labels="labels_answer", weights="weights_reference")
+    b = b.withColumn("sample_id", F.col("sample_id"))
+
+    def nll(i):
+        return (hash_u32(S.SEED, F.col("sample_id"), i, "nll") % 10000) / 1000.0
+
+    out = _weighted_loss(b, nll)
+    return out.select("batch_id", F.round("weight_sum", 6).alias("weight_sum"), F.round("loss", 6).alias("loss"))

@@ -226,3 +226,92 @@ FIRST_QUERIES = f"""SELECT query, first_seen, row_number() OVER (ORDER BY first_
     SELECT sample_id, {py_strip("replace(substr(input, 1, cut - 1), 'Query:', '')")} AS query
     FROM (SELECT *, strpos(input, {NL} || 'Document:') AS cut FROM samples) WHERE cut > 0)
   GROUP BY query ORDER BY first_seen LIMIT {MAX_QUERIES})"""
+
+
+# ---- chat, tokens, masks, batches, loss -------------------------------------------------
+
+from relq.templates import CHATML, MAX_TOKENS, PROMPT_VARIANTS  # noqa: E402
+from relq.operators.tokens import PIECE_RE  # noqa: E402
+
+BATCH = 4
+N_KEEP = 5
+
+
+def chat_sql(variant: str) -> str:
+    system, layout = PROMPT_VARIANTS[variant]
+    assert layout == "instruction_input"
+    st, en, eos = (lit(CHATML[k]) for k in ("start", "end", "eos"))
+    head = (f"{st} || 'system' || {NL} || {lit(system)} || {en} || {NL} || {st} || 'user' || {NL} "
+            f"|| instruction || {NL} || input || {en} || {NL}")
+    return f"""SELECT sample_id, prompt_text, full_text,
+    strpos(substr(full_text, length(prompt_text) + 1), '"relevant"') - 1 AS relevant_idx
+  FROM (SELECT sample_id, {head} || {st} || 'assistant' || {NL} AS prompt_text,
+               {head} || {st} || 'assistant' || {NL} || output || {eos} || {en} || {NL} AS full_text FROM samples)"""
+
+
+PIECES = f"""SELECT sample_id, relevant_idx, length(prompt_text) AS prompt_chars,
+    regexp_extract_all(prompt_text, {lit(PIECE_RE)}) AS pp, regexp_extract_all(full_text, {lit(PIECE_RE)}) AS fp FROM chat"""
+VOCAB = """SELECT piece, cnt AS count, row_number() OVER (ORDER BY cnt DESC, piece) - 1 AS id FROM (
+  SELECT piece, count(*) AS cnt FROM (SELECT unnest(fp) AS piece FROM pieces) GROUP BY piece)"""
+TOK = f"""SELECT sample_id, relevant_idx, prompt_chars, least(len(pp), {MAX_TOKENS})::BIGINT AS n_prompt,
+    len(fp)::BIGINT AS n_full_untruncated, fp[1:{MAX_TOKENS}] AS fpt FROM pieces"""
+IDS = """SELECT t.sample_id, list(v.id ORDER BY t.pos) AS input_ids FROM (
+    SELECT sample_id, unnest(fpt) AS piece, unnest(range(len(fpt))) AS pos FROM tok) t
+  JOIN vocab v USING (piece) GROUP BY t.sample_id"""
+TOKS = """SELECT tok.sample_id, tok.relevant_idx, tok.prompt_chars, tok.n_prompt, tok.n_full_untruncated,
+    len(tok.fpt)::BIGINT AS n_full, coalesce(ids.input_ids, []) AS input_ids,
+    list_transform(tok.fpt, lambda x, i: coalesce(list_sum(list_transform(tok.fpt[1:i - 1], lambda y: length(y))), 0)) AS offsets
+  FROM tok LEFT JOIN ids USING (sample_id)"""
+EOS_ID = f"SELECT id AS eos_id FROM vocab WHERE piece = {lit(CHATML['eos'])}"
+
+
+def s1_label(x="x", i="i"):
+    return f"CASE WHEN relevant_idx >= 0 AND {i} - 1 >= n_prompt AND {i} - 1 < n_prompt + {N_KEEP} THEN {x} ELSE -100 END"
+
+
+def s2_label(x="x", i="i"):
+    return f"CASE WHEN relevant_idx >= 0 AND {i} - 1 >= n_prompt + {N_KEEP} THEN {x} ELSE -100 END"
+
+
+def answer_label(x="x", i="i"):
+    return f"CASE WHEN {i} - 1 >= n_prompt THEN {x} ELSE -100 END"
+
+
+def weight(anchor: str, i="i"):
+    r = "relevant_idx" if anchor == "reference" else "(relevant_idx + prompt_chars)"
+    return (f"CASE WHEN relevant_idx >= 0 AND offsets[{i}] >= {r} AND offsets[{i}] <= {r} + 30 THEN 5.0::DOUBLE "
+            f"WHEN {i} - 1 >= n_prompt THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")
+
+
+MASKS = f"""SELECT *,
+    list_transform(input_ids, lambda x, i: {s1_label()}) AS labels_s1,
+    list_transform(input_ids, lambda x, i: {s2_label()}) AS labels_s2,
+    list_transform(input_ids, lambda x, i: {answer_label()}) AS labels_answer,
+    list_transform(input_ids, lambda x, i: {weight('reference')}) AS weights_reference,
+    list_transform(input_ids, lambda x, i: {weight('answer')}) AS weights_answer
+  FROM toks"""
+
+
+def token_ctes(version: int, variant: str) -> list[tuple[str, str]]:
+    return samples_ctes(version) + [("chat", chat_sql(variant)), ("pieces", PIECES), ("vocab", VOCAB),
+                                    ("tok", TOK), ("ids", IDS), ("toks", TOKS), ("masks", MASKS),
+                                    ("eos", EOS_ID)]
+
+
+def txt(x: str) -> str:
+    return f"array_to_string(list_transform({x}, lambda v: CAST(v AS VARCHAR)), ',')"
+
+
+BATCHED = f"""SELECT *, pos // {BATCH} AS batch_id, max(n_full) OVER (PARTITION BY pos // {BATCH}) AS max_len FROM (
+  SELECT *, row_number() OVER (ORDER BY sample_id) - 1 AS pos FROM masks)"""
+
+
+def nll(i: str) -> str:
+    return f"((('0x' || substr(md5(concat_ws('|', '{SEED}', sample_id, {i}, 'nll')), 1, 8))::BIGINT % 10000)::DOUBLE / 1000.0::DOUBLE)"
+
+
+ROW_LOSS = f"""SELECT batch_id,
+    coalesce(list_sum(list_transform(range(1, len(input_ids)), lambda t:
+      CASE WHEN labels_answer[t + 1] = -100 THEN 0.0 ELSE {nll('t')} END * weights_reference[t + 1])), 0.0) AS num,
+    coalesce(list_sum(list_transform(range(1, len(input_ids)), lambda t: weights_reference[t + 1])), 0.0) AS den
+  FROM batched"""
