@@ -13,7 +13,7 @@ splits when a piece is skewed; rows are regrouped per sample (at most
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relq.operators.positions import with_position
@@ -32,13 +32,6 @@ def pieces(text: Column, pattern: str = PIECE_RE) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), 0)
 
 
-def start_offsets(ps: Column) -> Column:
-    """Character start of each piece (running sum of lengths; pieces tile the text)."""
-    acc = F.aggregate(ps, F.struct(F.array().cast("array<int>").alias("o"), F.lit(0).alias("p")),
-                      lambda a, x: F.struct(F.concat(a["o"], F.array(a["p"])).alias("o"), (a["p"] + F.length(x)).alias("p")))
-    return acc["o"]
-
-
 def build_vocab(texts: DataFrame, text_col: str = "full_text", pattern: str = PIECE_RE) -> DataFrame:
     """Vocabulary ``(piece, count, id)`` over whole texts; ids by (count desc, piece)."""
     counts = (texts.select(F.explode(pieces(F.col(text_col), pattern)).alias("piece"))
@@ -48,16 +41,30 @@ def build_vocab(texts: DataFrame, text_col: str = "full_text", pattern: str = PI
 
 def tokenize(df: DataFrame, vocab: DataFrame, key: str = "sample_id", max_len: int = MAX_TOKENS,
              pattern: str = PIECE_RE, offsets: bool = False) -> DataFrame:
-    """``(key, input_ids, n_prompt, n_full, n_full_untruncated[, offsets])`` from prompt/full text."""
+    """``(key, input_ids, n_prompt, n_full, n_full_untruncated[, offsets])`` from prompt/full text.
+
+    The text is split into pieces once; the (at most ``max_len``) kept pieces are
+    exploded, given their ids, and regrouped per sample.  Character offsets are a
+    running sum of piece lengths over the sample's tokens (a window inside the
+    same per-sample partitioning the regrouping uses, so it adds a sort, not a shuffle).
+    """
     base = df.select(key, pieces(F.col("prompt_text"), pattern).alias("_pp"),
                      pieces(F.col("full_text"), pattern).alias("_fp"))
-    base = base.select(key, F.least(F.size("_pp"), F.lit(max_len)).alias("n_prompt"),
-                       F.size("_fp").alias("n_full_untruncated"), F.slice("_fp", 1, max_len).alias("_fp"))
-    toks = base.select(key, F.posexplode("_fp").alias("pos", "piece"))
+    toks = base.select(key, F.least(F.size("_pp"), F.lit(max_len)).alias("n_prompt"),
+                       F.size("_fp").alias("n_full_untruncated"),
+                       F.least(F.size("_fp"), F.lit(max_len)).alias("n_full"),
+                       F.posexplode_outer(F.slice("_fp", 1, max_len)).alias("pos", "piece"))
     ided = toks.join(vocab.select("piece", F.col("id").cast("int").alias("id")), "piece", "left")
-    grouped = ided.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_t"))
-    out = base.join(grouped, key, "left").select(
-        key, F.coalesce(F.transform("_t", lambda s: s["id"]), F.array().cast("array<int>")).alias("input_ids"),
-        "n_prompt", F.size("_fp").alias("n_full"), "n_full_untruncated",
-        *([start_offsets(F.col("_fp")).alias("offsets")] if offsets else []))
-    return out
+    fields = [F.col("pos"), F.col("id")]
+    if offsets:
+        w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ided = ided.withColumn("start", (F.sum(F.length("piece")).over(w) - F.length("piece")).cast("int"))
+        fields.append(F.col("start"))
+    grouped = ided.groupBy(key).agg(
+        F.first("n_prompt").alias("n_prompt"), F.first("n_full").alias("n_full"),
+        F.first("n_full_untruncated").alias("n_full_untruncated"),
+        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct(*fields)))).alias("_t"))
+    cols = [key, F.transform("_t", lambda s: s["id"]).alias("input_ids"), "n_prompt", "n_full", "n_full_untruncated"]
+    if offsets:
+        cols.append(F.transform("_t", lambda s: s["start"]).alias("offsets"))
+    return grouped.select(*cols)

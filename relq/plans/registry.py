@@ -253,20 +253,22 @@ def chat(spark, sf_dir, version=2, variant="train_s1"):
     return with_answer_key(render_chat(s, variant))
 
 
-def token_rows(spark, sf_dir, version=2, variant="train_s1"):
+def token_rows(spark, sf_dir, version=2, variant="train_s1", offsets=False):
     """Tokens + masks + both weightings per sample, and the vocabulary."""
     c = chat(spark, sf_dir, version, variant).select("sample_id", "prompt_text", "full_text", "relevant_idx")
     c = c.persist(StorageLevel.MEMORY_AND_DISK)  # read by the vocabulary and the tokenizer
     vocab = build_vocab(c)
-    tok = tokenize(c, vocab, offsets=True)
+    tok = tokenize(c, vocab, offsets=offsets)
     meta = c.select("sample_id", "relevant_idx", F.length("prompt_text").alias("prompt_chars"))
     # the pad/EOS id: one scalar looked up in the vocabulary
     eos = vocab.where(F.col("piece") == CHATML["eos"]).select("id").first()
     rows = B.with_masks(tok.join(meta, "sample_id"), S.N_KEEP).withColumn(
         "eos_id", F.lit(None if eos is None else int(eos["id"])).cast("int"))
-    args = (F.col("input_ids"), F.col("n_prompt"), F.col("offsets"), F.col("relevant_idx"), F.col("prompt_chars"))
-    rows = (rows.withColumn("weights_reference", M.loss_weights(*args, anchor="reference"))
-                .withColumn("weights_answer", M.loss_weights(*args, anchor="answer")))
+    args = (F.col("input_ids"), F.col("n_prompt"), F.col("offsets") if offsets else None, F.col("relevant_idx"),
+            F.col("prompt_chars"))
+    if offsets:
+        rows = (rows.withColumn("weights_reference", M.loss_weights(*args, anchor="reference"))
+                    .withColumn("weights_answer", M.loss_weights(*args, anchor="answer")))
     return rows, vocab
 
 
@@ -292,7 +294,7 @@ def vocab_q(spark, sf_dir):
   n_full_untruncated, {S.txt('input_ids')} AS input_ids, {S.txt('offsets')} AS offsets FROM masks"""))
 def tokens_q(spark, sf_dir):
     """Token ids (truncated to 192), prompt length, offsets per sample."""
-    rows, _ = token_rows(spark, sf_dir)
+    rows, _ = token_rows(spark, sf_dir, offsets=True)
     return rows.select("sample_id", F.col("n_prompt").cast("long").alias("n_prompt"),
                        F.col("n_full").cast("long").alias("n_full"),
                        F.col("n_full_untruncated").cast("long").alias("n_full_untruncated"),
@@ -314,7 +316,7 @@ def label_masks(spark, sf_dir):
   {S.txt('weights_reference')} AS weights_reference, {S.txt('weights_answer')} AS weights_answer FROM masks"""))
 def loss_weights_q(spark, sf_dir):
     """v1 token weights with both anchors ('reference' reproduces the original offsets)."""
-    rows, _ = token_rows(spark, sf_dir, 1, "train_v1")
+    rows, _ = token_rows(spark, sf_dir, 1, "train_v1", offsets=True)
     return rows.select("sample_id", M.as_text(F.col("weights_reference")).alias("weights_reference"),
                        M.as_text(F.col("weights_answer")).alias("weights_answer"))
 
@@ -351,7 +353,7 @@ def masked_out_report_q(spark, sf_dir):
   FROM rl GROUP BY batch_id"""))
 def weighted_loss_q(spark, sf_dir):
     """v1 weighted loss per batch of 4 over a hash-derived token loss."""
-    rows, _ = token_rows(spark, sf_dir, 1, "train_v1")
+    rows, _ = token_rows(spark, sf_dir, 1, "train_v1", offsets=True)
     b = B.padded_batches(rows.select("sample_id", "input_ids", "labels_answer", "weights_reference", "eos_id"),
                          S.BATCH, labels="labels_answer", weights="weights_reference")
     b = b.withColumn("sample_id", F.col("sample_id"))
