@@ -363,3 +363,132 @@ def weighted_loss_q(spark, sf_dir):
 
     out = _weighted_loss(b, nll)
     return out.select("batch_id", F.round("weight_sum", 6).alias("weight_sum"), F.round("loss", 6).alias("loss"))
+
+
+# ---- sinks and round trips, splits, counts (A3-A9, C8, D12) ------------------------------
+
+import os as _os  # noqa: E402
+import uuid as _uuid  # noqa: E402
+
+from relq.session import checkpoint_dir  # noqa: E402
+from relq.sources import jsonl as JL  # noqa: E402
+from relq.sources.index import read_index, write_index  # noqa: E402
+from relq.sources.report import to_long  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder (never a machine-local path on a cluster)."""
+    return _os.path.join(checkpoint_dir(spark).rstrip("/"), f"relq-{name}-{_uuid.uuid4().hex[:12]}")
+
+
+@register("jsonl_lines", S.with_ctes(S.samples_ctes(2), f"SELECT sample_id, {S.jsonl_line()} AS line FROM samples"))
+def jsonl_lines(spark, sf_dir):
+    """A5, H5: the JSONL line of every sample, byte for byte as Python writes it."""
+    s = samples(spark, sf_dir)
+    return s.select("sample_id", JL.sample_json().alias("line"))
+
+
+@register("jsonl_roundtrip", S.with_ctes(S.samples_ctes(2), """SELECT (row_number() OVER (ORDER BY sample_id) - 1)::BIGINT AS line,
+  md5(instruction) AS instruction_md5, md5(input) AS input_md5, md5(output) AS output_md5 FROM samples"""))
+def jsonl_roundtrip(spark, sf_dir):
+    """Write the samples as JSONL in sample order, read them back with line numbers."""
+    path = _scratch(spark, "samples-jsonl")
+    JL.write_samples(samples(spark, sf_dir), path)
+    back = JL.read_samples(spark, path)
+    return back.select("line", F.md5("instruction").alias("instruction_md5"), F.md5("input").alias("input_md5"),
+                       F.md5("output").alias("output_md5"))
+
+
+@register("eval_head", S.with_ctes(S.samples_ctes(2), f"""SELECT line, md5(output) AS output_md5 FROM (
+  SELECT (row_number() OVER (ORDER BY sample_id) - 1)::BIGINT AS line, output FROM samples) WHERE line < 100"""))
+def eval_head(spark, sf_dir):
+    """The evaluator's first 100 lines of the JSONL file (the limit counts lines read)."""
+    path = _scratch(spark, "eval-jsonl")
+    JL.write_samples(samples(spark, sf_dir), path)
+    return JL.read_samples(spark, path, limit=100).select("line", F.md5("output").alias("output_md5"))
+
+
+@register("index_roundtrip", S.with_ctes([("unit", S.UNIT)], """SELECT doc_id, label, dim,
+  array_to_string(list_transform(u, lambda x: CAST(round(x * 1000) AS BIGINT)), ',') AS unit FROM unit"""))
+def index_roundtrip(spark, sf_dir):
+    """Persist the normalised index as parquet and read it back (vectors at 1e-3 precision)."""
+    path = _scratch(spark, "index")
+    write_index(read_embeddings(spark, sf_dir), path)
+    idx = read_index(spark, path)
+    return idx.select("doc_id", "label", F.size("embedding").alias("dim"),
+                      fixed_point(F.transform("embedding", lambda x: x.cast("double")), 1e3).alias("unit"))
+
+
+@register("split_leakage", S.with_ctes([("corpus", S.CORPUS), ("positions", S.POSITIONS)], """SELECT
+  count_if(pos < n * 50 // 100) AS train_docs, count_if(pos >= n * 50 // 100) AS eval_docs,
+  count_if(pos >= n * 50 // 100 AND doc_id IN (SELECT doc_id FROM positions WHERE pos < n * 50 // 100)) AS id_overlap,
+  count_if(pos >= n * 50 // 100 AND sha256(text) IN (SELECT sha256(text) FROM positions WHERE pos < n * 50 // 100)) AS text_overlap
+  FROM positions"""))
+def split_leakage(spark, sf_dir):
+    """Eval slice [50%:] against train slice [:50%]: overlap by id and by text digest."""
+    corpus = read_corpus(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("h"))
+    pos = with_position(corpus, ["doc_id"])
+    half = pos.count() * 50 // 100
+    tagged = pos.withColumn("is_train", F.col("pos") < half)
+    train_ids = tagged.where("is_train").select("doc_id", F.lit(True).alias("_id_in_train"))
+    # a text repeated many times in train is one key after the distinct (pre-aggregated per task)
+    train_h = tagged.where("is_train").select("h").distinct().withColumn("_h_in_train", F.lit(True))
+    flagged = tagged.join(train_ids, "doc_id", "left").join(train_h, "h", "left")
+    ev_ = ~F.col("is_train")
+    return flagged.agg(
+        F.count_if(F.col("is_train")).alias("train_docs"), F.count_if(ev_).alias("eval_docs"),
+        F.count_if(ev_ & F.col("_id_in_train").isNotNull()).alias("id_overlap"),
+        F.count_if(ev_ & F.col("_h_in_train").isNotNull()).alias("text_overlap"))
+
+
+@register("counts", S.with_ctes(S.samples_ctes(2), f"""SELECT (SELECT count(*) FROM corpus) AS documents,
+  (SELECT count(*) FROM samples) AS samples, (SELECT count(*) FROM embeddings) AS vectors,
+  (SELECT least(count(*), {S.MAX_QUERIES}) FROM embeddings) AS queries"""))
+def counts(spark, sf_dir):
+    """Documents, samples, index vectors and queries (long-form union, one aggregation, no join)."""
+    corpus = read_corpus(spark, sf_dir)
+    emb = read_embeddings(spark, sf_dir)
+    parts = [corpus.select(F.lit("documents").alias("m")), samples(spark, sf_dir).select(F.lit("samples").alias("m")),
+             emb.select(F.lit("vectors").alias("m"))]
+    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    n = lambda m: F.count_if(F.col("m") == m)
+    return u.agg(n("documents").alias("documents"), n("samples").alias("samples"), n("vectors").alias("vectors"),
+                 F.least(n("vectors"), F.lit(S.MAX_QUERIES)).cast("long").alias("queries"))
+
+
+_S1_COLS = {"total": 0, "correct": 0, "failed": 0, "accuracy": 4}
+_S2_COLS = {"samples": 0, "json_valid_rate": 3, "relevance_agreement": 3, "reason_completeness": 3,
+            "query_topic_accuracy": 3, "document_topic_accuracy": 3}
+_PK_COLS = {"queries": 0, "mean_p_at_k": 3}
+
+
+def _long_sql(source: str, cte: str, cols: dict) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{source}' AS source, '{m}' AS metric, round({m}::DOUBLE, 6) AS value, printf('%.{d}f', {m}::DOUBLE) AS text FROM {cte}"
+        for m, d in cols.items())
+
+
+_REPORT_SQL = S.with_ctes(
+    S.eval_ctes() + [("flags", S.LENIENT), ("gold_flags", S.GOLD_FLAGS), ("strict", S.STRICT)] + S.retrieval_ctes() + [
+        ("s1", "SELECT count(*) AS total, count_if(pred = gold) AS correct, "
+         "count_if(pred IS NULL) AS failed, round(count_if(pred = gold) / greatest(count(*), 1), 6) AS accuracy FROM "
+         "(SELECT g.sample_id, g.gold, f.flag AS pred FROM gold_flags g LEFT JOIN flags f USING (sample_id))"),
+        ("s2", """SELECT count(*) AS samples, round(count_if(json_valid) / count(*), 6) AS json_valid_rate,
+  round(count_if(relevance_match) / count(*), 6) AS relevance_agreement,
+  round(count_if(reason_complete) / count(*), 6) AS reason_completeness,
+  round(count_if(reason_complete AND coalesce(gq = gold_query_topic, false)) / count(*), 6) AS query_topic_accuracy,
+  round(count_if(reason_complete AND coalesce(gd = gold_document_topic, false)) / count(*), 6) AS document_topic_accuracy
+  FROM strict"""),
+        ("pk", "SELECT count(*) AS queries, round(avg(p_at_k), 6) AS mean_p_at_k FROM pak")],
+    " UNION ALL ".join([_long_sql("stage1", "s1", _S1_COLS), _long_sql("stage2", "s2", _S2_COLS),
+                        _long_sql("retrieval", "pk", _PK_COLS)]))
+
+
+@register("metric_report", _REPORT_SQL)
+def metric_report(spark, sf_dir):
+    """Every evaluator's metrics in long form with its printed precision."""
+    s1 = s1_accuracy(spark, sf_dir)
+    s2 = s2_rates(spark, sf_dir)
+    pk = mean_precision_at_k(spark, sf_dir)
+    return (to_long(s1, _S1_COLS, "stage1").unionByName(to_long(s2, _S2_COLS, "stage2"))
+            .unionByName(to_long(pk, _PK_COLS, "retrieval")))

@@ -315,3 +315,16 @@ ROW_LOSS = f"""SELECT batch_id,
       CASE WHEN labels_answer[t + 1] = -100 THEN 0.0 ELSE {nll('t')} END * weights_reference[t + 1])), 0.0) AS num,
     coalesce(list_sum(list_transform(range(1, len(input_ids)), lambda t: weights_reference[t + 1])), 0.0) AS den
   FROM batched"""
+
+
+# ---- sinks, splits, counts -------------------------------------------------------------------
+
+def jsonl_line(fields=("instruction", "input", "output")) -> str:
+    parts = []
+    for i, f in enumerate(fields):
+        parts.append(lit(("" if i == 0 else ", ") + f'"{f}": '))
+        parts.append(f"CAST(to_json({f}) AS VARCHAR)")
+    return "'{' || " + " || ".join(parts) + " || '}'"
+
+
+POSITIONS = "SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM corpus"
