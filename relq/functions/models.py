@@ -1,0 +1,72 @@
+"""Pluggable model slots (J3 embedder, J4 judge, J5 generator) as iterator pandas UDFs.
+
+A model is given as a zero-argument factory; it is called once per Python
+worker (not per batch, not per row) and then fed Arrow batches.  The models of
+the original flow are not part of this package; the built-ins below are
+deterministic stand-ins that process whole texts.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StringType
+
+_WORD = re.compile(r"\w+", re.UNICODE)
+
+
+class HashingEncoder:
+    """Bag of words hashed into ``dim`` buckets (crc32, stable across processes), L2-normalised."""
+
+    def __init__(self, dim: int = 64):
+        self.dim = dim
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dim), dtype=np.float64)
+        for r, t in enumerate(texts):
+            if t is None:
+                continue
+            for w in _WORD.findall(t.lower()):
+                out[r, zlib.crc32(w.encode("utf-8")) % self.dim] += 1.0
+        n = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
+
+
+def embed_udf(factory: Callable[[], object] = HashingEncoder, batch_size: int = 64):
+    """``embed(text) -> array<float>``, unit norm, encoded ``batch_size`` texts at a time."""
+
+    @F.pandas_udf(ArrayType(FloatType()))
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = factory()
+        for s in batches:
+            texts = s.tolist()
+            vecs = []
+            for i in range(0, len(texts), batch_size):
+                vecs.extend(model.encode(texts[i:i + batch_size]).astype(np.float32))
+            yield pd.Series([v.tolist() for v in vecs], dtype=object)
+
+    return embed
+
+
+def generate_udf(factory: Callable[[], Callable[[list[str]], list[str]]]):
+    """``generate(prompt) -> text`` with a batch generator built once per worker."""
+
+    @F.pandas_udf(StringType())
+    def generate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        gen = factory()
+        for s in batches:
+            yield pd.Series(gen(s.tolist()), dtype=object)
+
+    return generate
+
+
+def judge(prompt: Column, factory) -> Column:
+    """Generate an answer for each rendered prompt and read it with the judge policy."""
+    from relq.functions.jsonparse import flag_judge
+    return flag_judge(generate_udf(factory)(prompt))

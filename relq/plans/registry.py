@@ -492,3 +492,49 @@ def metric_report(spark, sf_dir):
     pk = mean_precision_at_k(spark, sf_dir)
     return (to_long(s1, _S1_COLS, "stage1").unionByName(to_long(s2, _S2_COLS, "stage2"))
             .unionByName(to_long(pk, _PK_COLS, "retrieval")))
+
+
+# ---- text retrieval end to end (J3, F3, F1, C5, D9, D10) ------------------------------------
+
+from relq.functions.models import embed_udf  # noqa: E402
+
+
+def text_index(spark, sf_dir):
+    """Embed every corpus document (whole text) with the built-in encoder."""
+    corpus = read_corpus(spark, sf_dir)
+    return corpus.select("doc_id", "label", embed_udf()(F.col("text")).alias("embedding"))
+
+
+@register("rag_precision_at_k")
+def rag_precision_at_k(spark, sf_dir):
+    """The retrieval evaluation over texts: first 10 distinct sample queries, embedded like the
+    documents, top-5 over every document, judged by label (query label = the template's label).
+    No SQL oracle (the encoder is a UDF); tested against a numpy brute force."""
+    s = samples(spark, sf_dir)
+    fq = rt.first_queries(s, n=S.MAX_QUERIES)
+    qlab = fq.join(s.select(F.col("sample_id").alias("first_seen"), F.col("query_label").alias("label")),
+                   "first_seen", "left")
+    queries = qlab.select(F.col("query_rank").alias("query_id"), "query", "label",
+                          embed_udf()(F.col("query")).alias("embedding"))
+    index = text_index(spark, sf_dir)
+    h = rt.knn_topk(index, queries, k=S.TOP_K)
+    judged = rt.label_judge(h, queries, index)
+    per_q = rt.precision_at_k(judged, k=S.TOP_K)
+    return per_q.join(queries.select("query_id", "query"), "query_id").select("query_id", "query", "p_at_k")
+
+
+# ---- the stage-1 evaluation on a stream -------------------------------------------------
+
+from relq.streaming import scoring as ST  # noqa: E402
+
+
+@register("s1_accuracy_stream", _S1)
+def s1_accuracy_stream(spark, sf_dir):
+    """Stage-1 accuracy computed by a Structured Streaming job over the answers as JSONL files
+    (every answer present, so it equals the batch result and shares its oracle)."""
+    s = samples(spark, sf_dir)
+    ans_dir, out_dir = _scratch(spark, "answers-stream"), _scratch(spark, "s1-stream-out")
+    derive_answers(gold_rows(s)).select("sample_id", "answer").write.mode("overwrite").json(ans_dir)
+    stream = ST.read_answer_stream(spark, ans_dir, max_files_per_trigger=4)
+    ST.run_to_table(ST.s1_metrics(stream, gold_flag(s)), out_dir)
+    return spark.read.parquet(out_dir)
