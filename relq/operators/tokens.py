@@ -40,17 +40,18 @@ def build_vocab(texts: DataFrame, text_col: str = "full_text", pattern: str = PI
 
 
 def tokenize(df: DataFrame, vocab: DataFrame, key: str = "sample_id", max_len: int = MAX_TOKENS,
-             pattern: str = PIECE_RE, offsets: bool = False) -> DataFrame:
+             pattern: str = PIECE_RE, offsets: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(key, input_ids, n_prompt, n_full, n_full_untruncated[, offsets])`` from prompt/full text.
 
     The text is split into pieces once; the (at most ``max_len``) kept pieces are
     exploded, given their ids, and regrouped per sample.  Character offsets are a
     running sum of piece lengths over the sample's tokens (a window inside the
     same per-sample partitioning the regrouping uses, so it adds a sort, not a shuffle).
+    ``carry`` columns ride along per sample, so nothing has to be joined back.
     """
-    base = df.select(key, pieces(F.col("prompt_text"), pattern).alias("_pp"),
+    base = df.select(key, *carry, pieces(F.col("prompt_text"), pattern).alias("_pp"),
                      pieces(F.col("full_text"), pattern).alias("_fp"))
-    toks = base.select(key, F.least(F.size("_pp"), F.lit(max_len)).alias("n_prompt"),
+    toks = base.select(key, *carry, F.least(F.size("_pp"), F.lit(max_len)).alias("n_prompt"),
                        F.size("_fp").alias("n_full_untruncated"),
                        F.least(F.size("_fp"), F.lit(max_len)).alias("n_full"),
                        F.posexplode_outer(F.slice("_fp", 1, max_len)).alias("pos", "piece"))
@@ -61,10 +62,12 @@ def tokenize(df: DataFrame, vocab: DataFrame, key: str = "sample_id", max_len: i
         ided = ided.withColumn("start", (F.sum(F.length("piece")).over(w) - F.length("piece")).cast("int"))
         fields.append(F.col("start"))
     grouped = ided.groupBy(key).agg(
+        *[F.first(c).alias(c) for c in carry],
         F.first("n_prompt").alias("n_prompt"), F.first("n_full").alias("n_full"),
         F.first("n_full_untruncated").alias("n_full_untruncated"),
         F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct(*fields)))).alias("_t"))
-    cols = [key, F.transform("_t", lambda s: s["id"]).alias("input_ids"), "n_prompt", "n_full", "n_full_untruncated"]
+    cols = [key, *carry, F.transform("_t", lambda s: s["id"]).alias("input_ids"), "n_prompt", "n_full",
+            "n_full_untruncated"]
     if offsets:
         cols.append(F.transform("_t", lambda s: s["start"]).alias("offsets"))
     return grouped.select(*cols)

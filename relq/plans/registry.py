@@ -237,8 +237,6 @@ def first_queries(spark, sf_dir):
 
 # ---- chat, tokens, masks, batches, loss (H6, H17-H25, E2, E3, D11, D13, D14) -------------
 
-from pyspark import StorageLevel  # noqa: E402
-
 from relq.functions import masks as M  # noqa: E402
 from relq.operators import batches as B  # noqa: E402
 from relq.operators.chat import render_chat, with_answer_key  # noqa: E402
@@ -255,14 +253,15 @@ def chat(spark, sf_dir, version=2, variant="train_s1"):
 
 def token_rows(spark, sf_dir, version=2, variant="train_s1", offsets=False):
     """Tokens + masks + both weightings per sample, and the vocabulary."""
-    c = chat(spark, sf_dir, version, variant).select("sample_id", "prompt_text", "full_text", "relevant_idx")
-    c = c.persist(StorageLevel.MEMORY_AND_DISK)  # read by the vocabulary and the tokenizer
+    c = chat(spark, sf_dir, version, variant).select(
+        "sample_id", "prompt_text", "full_text", "relevant_idx", F.length("prompt_text").alias("prompt_chars"))
+    # Two passes tokenize the rendered text (the vocabulary over whole texts, then the ids of the
+    # kept tokens); caching the rendered texts instead would hold twice the corpus.
     vocab = build_vocab(c)
-    tok = tokenize(c, vocab, offsets=offsets)
-    meta = c.select("sample_id", "relevant_idx", F.length("prompt_text").alias("prompt_chars"))
+    tok = tokenize(c, vocab, offsets=offsets, carry=("relevant_idx", "prompt_chars"))
     # the pad/EOS id: one scalar looked up in the vocabulary
     eos = vocab.where(F.col("piece") == CHATML["eos"]).select("id").first()
-    rows = B.with_masks(tok.join(meta, "sample_id"), S.N_KEEP).withColumn(
+    rows = B.with_masks(tok, S.N_KEEP).withColumn(
         "eos_id", F.lit(None if eos is None else int(eos["id"])).cast("int"))
     args = (F.col("input_ids"), F.col("n_prompt"), F.col("offsets") if offsets else None, F.col("relevant_idx"),
             F.col("prompt_chars"))
