@@ -34,13 +34,27 @@ def pieces(text: Column, pattern: str = PIECE_RE) -> Column:
 
 def build_vocab(texts: DataFrame, text_col: str = "full_text", pattern: str = PIECE_RE) -> DataFrame:
     """Vocabulary ``(piece, count, id)`` over whole texts; ids by (count desc, piece)."""
-    counts = (texts.select(F.explode(pieces(F.col(text_col), pattern)).alias("piece"))
+    # inline over structs, not explode: under whole-stage codegen an explode of a computed
+    # array re-evaluated the regex for every element
+    counts = (texts.select(F.inline(F.transform(pieces(F.col(text_col), pattern), lambda x: F.struct(x.alias("piece")))))
               .groupBy("piece").agg(F.count(F.lit(1)).alias("count")))
     return with_position(counts, [F.col("count").desc(), F.col("piece")], name="id")
 
 
+def prompt_token_count(full_pieces: Column, prompt_chars: Column) -> Column:
+    """Tokens of the prompt among the kept pieces of the full text: those starting before the
+    prompt's end.  Exact when ``full_text`` starts with ``prompt_text`` (the chat render
+    guarantees it): pieces before the boundary are the same in both texts, and the piece that
+    crosses it is one piece in either.  Capped by the number of kept pieces, as truncation does."""
+    acc = F.aggregate(full_pieces, F.struct(F.lit(0).alias("pos"), F.lit(0).alias("n")),
+                      lambda a, p: F.struct((a["pos"] + F.length(p)).alias("pos"),
+                                            (a["n"] + F.when(a["pos"] < prompt_chars, 1).otherwise(0)).alias("n")))
+    return acc["n"]
+
+
 def tokenize(df: DataFrame, vocab: DataFrame, key: str = "sample_id", max_len: int = MAX_TOKENS,
-             pattern: str = PIECE_RE, offsets: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+             pattern: str = PIECE_RE, offsets: bool = False, carry: tuple[str, ...] = (),
+             prompt_is_prefix: bool = False) -> DataFrame:
     """``(key, input_ids, n_prompt, n_full, n_full_untruncated[, offsets])`` from prompt/full text.
 
     The text is split into pieces once; the (at most ``max_len``) kept pieces are
@@ -49,12 +63,21 @@ def tokenize(df: DataFrame, vocab: DataFrame, key: str = "sample_id", max_len: i
     same per-sample partitioning the regrouping uses, so it adds a sort, not a shuffle).
     ``carry`` columns ride along per sample, so nothing has to be joined back.
     """
-    base = df.select(key, *carry, pieces(F.col("prompt_text"), pattern).alias("_pp"),
-                     pieces(F.col("full_text"), pattern).alias("_fp"))
-    toks = base.select(key, *carry, F.least(F.size("_pp"), F.lit(max_len)).alias("n_prompt"),
-                       F.size("_fp").alias("n_full_untruncated"),
-                       F.least(F.size("_fp"), F.lit(max_len)).alias("n_full"),
-                       F.posexplode_outer(F.slice("_fp", 1, max_len)).alias("pos", "piece"))
+    if prompt_is_prefix:
+        # the prompt is the head of the full text: count its tokens on the kept full pieces
+        # instead of tokenizing the document a second time
+        base = df.select(key, *carry, F.length("prompt_text").alias("_pc"),
+                         pieces(F.col("full_text"), pattern).alias("_fp"))
+        n_prompt = prompt_token_count(F.slice("_fp", 1, max_len), F.col("_pc"))
+    else:
+        base = df.select(key, *carry, pieces(F.col("prompt_text"), pattern).alias("_pp"),
+                         pieces(F.col("full_text"), pattern).alias("_fp"))
+        n_prompt = F.least(F.size("_pp"), F.lit(max_len))
+    # per-sample values are computed before the explode, once per sample, not once per token
+    per_sample = base.select(key, *carry, n_prompt.alias("n_prompt"), F.size("_fp").alias("n_full_untruncated"),
+                             F.slice("_fp", 1, max_len).alias("_kept"))
+    toks = per_sample.select(key, *carry, "n_prompt", "n_full_untruncated", F.size("_kept").alias("n_full"),
+                             F.inline_outer(F.transform("_kept", lambda x, i: F.struct(i.alias("pos"), x.alias("piece")))))
     ided = toks.join(vocab.select("piece", F.col("id").cast("int").alias("id")), "piece", "left")
     fields = [F.col("pos"), F.col("id")]
     if offsets:

@@ -258,7 +258,7 @@ def token_rows(spark, sf_dir, version=2, variant="train_s1", offsets=False):
     # Two passes tokenize the rendered text (the vocabulary over whole texts, then the ids of the
     # kept tokens); caching the rendered texts instead would hold twice the corpus.
     vocab = build_vocab(c)
-    tok = tokenize(c, vocab, offsets=offsets, carry=("relevant_idx", "prompt_chars"))
+    tok = tokenize(c, vocab, offsets=offsets, carry=("relevant_idx", "prompt_chars"), prompt_is_prefix=True)
     # the pad/EOS id: one scalar looked up in the vocabulary
     eos = vocab.where(F.col("piece") == CHATML["eos"]).select("id").first()
     rows = B.with_masks(tok, S.N_KEEP).withColumn(
