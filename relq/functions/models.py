@@ -70,3 +70,24 @@ def judge(prompt: Column, factory) -> Column:
     """Generate an answer for each rendered prompt and read it with the judge policy."""
     from relq.functions.jsonparse import flag_judge
     return flag_judge(generate_udf(factory)(prompt))
+
+
+def tokenize_udf(factory: Callable[[], object], max_len: int = 192):
+    """H18 slot: a plugged-in tokenizer -> ``struct<input_ids: array<int>, offsets: array<int>>``.
+
+    ``factory()`` returns an object with ``encode_batch(texts) -> [(ids, starts), ...]``; it is
+    built once per worker.  Output is truncated to ``max_len`` tokens, as the original does.
+    """
+    from pyspark.sql.types import IntegerType, StructField, StructType
+    schema = StructType([StructField("input_ids", ArrayType(IntegerType())),
+                         StructField("offsets", ArrayType(IntegerType()))])
+
+    @F.pandas_udf(schema)
+    def tok(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = factory()
+        for s in batches:
+            enc = model.encode_batch(s.tolist())
+            yield pd.DataFrame({"input_ids": [list(map(int, e[0][:max_len])) for e in enc],
+                                "offsets": [list(map(int, e[1][:max_len])) for e in enc]})
+
+    return tok

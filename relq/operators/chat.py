@@ -53,3 +53,22 @@ def answer_key_index(prompt_text: Column, full_text: Column, key: str = ANSWER_K
 def with_answer_key(df: DataFrame) -> DataFrame:
     return (df.withColumn("relevant_idx", answer_key_index(F.col("prompt_text"), F.col("full_text")))
               .withColumn("prefix_ok", F.col("full_text").startswith(F.col("prompt_text"))))
+
+
+def render_turns(turns: DataFrame, markers=CHATML, conv: str = "conv_id", turn: str = "turn", role: str = "role",
+                 text: str = "text", chunk: int = 1024) -> DataFrame:
+    """H6 over multi-turn conversations, one row per turn.
+
+    Each turn becomes its chat segment (assistant content + EOS, as in training),
+    with its character start in the rendered conversation and whether it is a
+    training target.  The conversation text itself is never assembled in one row:
+    offsets come from a skew-safe grouped prefix sum, so a very long conversation
+    spreads over many tasks.
+    """
+    from relq.operators.positions import grouped_prefix_sum
+    content = F.when(F.col(role) == "assistant", F.concat(F.col(text), F.lit(markers["eos"]))).otherwise(F.col(text))
+    seg = F.concat(F.lit(markers["start"]), F.col(role), F.lit("\n"), content, F.lit(f"{markers['end']}\n"))
+    t = turns.select(conv, turn, role, seg.alias("segment")).withColumn("seg_len", F.length("segment").cast("long"))
+    t = grouped_prefix_sum(t, conv, turn, "seg_len", "_end", chunk=chunk)
+    return t.select(conv, turn, role, "segment", "seg_len", (F.col("_end") - F.col("seg_len")).alias("char_start"),
+                    (F.col(role) == "assistant").alias("is_target"))

@@ -78,3 +78,23 @@ def slice_rows(df: DataFrame, key: str, start=None, stop=None) -> DataFrame:
     if lo is None:
         return df.where(F.lit(False))
     return df.where((F.col(key) >= F.lit(lo)) & (F.col(key) <= F.lit(hi)))
+
+
+def grouped_prefix_sum(df: DataFrame, group: str, order: str, value: str, out: str,
+                       chunk: int = 1024) -> DataFrame:
+    """Inclusive running sum of ``value`` within ``group`` by a numeric ``order`` (unique in the group).
+
+    Skew-safe: one group may hold a large share of all rows, so rows are cut into
+    chunks of ``chunk`` consecutive order values.  Chunk totals (a partial
+    aggregation) get their offsets from a window over chunk totals only, and the
+    running sum inside a chunk is a window over at most ``chunk`` rows.  No window
+    partition ever holds a whole group.
+    """
+    d = df.withColumn("_chunk", F.floor(F.col(order) / chunk).cast("long"))
+    sums = d.groupBy(group, "_chunk").agg(F.sum(value).alias("_cs"))
+    before = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sums.select(group, "_chunk", F.coalesce(F.sum("_cs").over(before), F.lit(0)).alias("_co"))
+    inside = Window.partitionBy(group, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (d.join(offs, [group, "_chunk"], "inner")
+            .withColumn(out, F.col("_co") + F.sum(value).over(inside))
+            .drop("_chunk", "_co"))

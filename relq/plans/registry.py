@@ -537,3 +537,24 @@ def s1_accuracy_stream(spark, sf_dir):
     stream = ST.read_answer_stream(spark, ans_dir, max_files_per_trigger=4)
     ST.run_to_table(ST.s1_metrics(stream, gold_flag(s)), out_dir)
     return spark.read.parquet(out_dir)
+
+
+# ---- multi-turn chat over the conversations table (H6 per turn) --------------------------
+
+from relq.operators.chat import render_turns  # noqa: E402
+from relq.sources.tables import read_table  # noqa: E402
+
+_TURN_SEG = (f"{S.lit(CHATML['start'])} || role || chr(10) || CASE WHEN role = 'assistant' THEN text || "
+             f"{S.lit(CHATML['eos'])} ELSE text END || {S.lit(CHATML['end'])} || chr(10)")
+
+
+@register("conversation_turns", f"""SELECT conv_id, turn, role, md5(segment) AS segment_md5, seg_len,
+  (sum(seg_len) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - seg_len)::BIGINT AS char_start,
+  role = 'assistant' AS is_target
+  FROM (SELECT conv_id, turn, role, {_TURN_SEG} AS segment, length({_TURN_SEG})::BIGINT AS seg_len FROM conversations)""")
+def conversation_turns(spark, sf_dir):
+    """H6 over conversations: each turn's chat segment, its character start and target flag
+    (offsets by a skew-safe grouped prefix sum; the conversation is never one row)."""
+    r = render_turns(read_table(spark, sf_dir, "conversations"), chunk=64)
+    return r.select("conv_id", "turn", "role", F.md5("segment").alias("segment_md5"), "seg_len",
+                    F.col("char_start").cast("long").alias("char_start"), "is_target")
