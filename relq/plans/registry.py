@@ -137,7 +137,7 @@ def flag_judge(spark, sf_dir):
 # ---- metrics (C4, D1-D8, D15) -------------------------------------------------------------
 
 _S1 = S.with_ctes(S.eval_ctes() + [("flags", S.LENIENT), ("gold_flags", S.GOLD_FLAGS)], """SELECT
-  count(*) AS total, count_if(pred = gold) AS correct, count_if(pred IS NULL) AS failed,
+  count(*) AS total, CAST(count_if(pred = gold) AS BIGINT) AS correct, CAST(count_if(pred IS NULL) AS BIGINT) AS failed,
   round(count_if(pred = gold) / greatest(count(*), 1), 6) AS accuracy
   FROM (SELECT g.sample_id, g.gold, f.flag AS pred FROM gold_flags g LEFT JOIN flags f USING (sample_id))""")
 
@@ -203,7 +203,7 @@ def hits(spark, sf_dir):
 def normalize(spark, sf_dir):
     """L2-normalised vectors (as fixed-point text) and their original norms."""
     e = read_embeddings(spark, sf_dir)
-    return e.select("doc_id", F.size("embedding").alias("dim"), F.round(norm(F.col("embedding")), 6).alias("norm"),
+    return e.select("doc_id", F.size("embedding").cast("long").alias("dim"), F.round(norm(F.col("embedding")), 6).alias("norm"),
                     fixed_point(l2_normalize(F.col("embedding"))).alias("unit"))
 
 
@@ -336,9 +336,9 @@ def padded_batches_q(spark, sf_dir):
 
 
 @register("masked_out_report", S.with_ctes(S.token_ctes(2, "train_s1"), f"""SELECT count(*) AS samples,
-  count_if(n_full_untruncated > {MAX_TOKENS}) AS truncated, count_if(n_prompt >= {MAX_TOKENS}) AS prompt_fills_window,
-  count_if(list_bool_and(list_transform(labels_s1, lambda x: x = -100)) OR len(labels_s1) = 0) AS no_target_s1,
-  count_if(list_bool_and(list_transform(labels_s2, lambda x: x = -100)) OR len(labels_s2) = 0) AS no_target_s2,
+  CAST(count_if(n_full_untruncated > {MAX_TOKENS}) AS BIGINT) AS truncated, CAST(count_if(n_prompt >= {MAX_TOKENS}) AS BIGINT) AS prompt_fills_window,
+  CAST(count_if(list_bool_and(list_transform(labels_s1, lambda x: x = -100)) OR len(labels_s1) = 0) AS BIGINT) AS no_target_s1,
+  CAST(count_if(list_bool_and(list_transform(labels_s2, lambda x: x = -100)) OR len(labels_s2) = 0) AS BIGINT) AS no_target_s2,
   sum(len(list_filter(labels_s1, lambda x: x <> -100)))::BIGINT AS target_tokens_s1,
   sum(len(list_filter(labels_s2, lambda x: x <> -100)))::BIGINT AS target_tokens_s2 FROM masks"""))
 def masked_out_report_q(spark, sf_dir):
@@ -414,14 +414,14 @@ def index_roundtrip(spark, sf_dir):
     path = _scratch(spark, "index")
     write_index(read_embeddings(spark, sf_dir), path)
     idx = read_index(spark, path)
-    return idx.select("doc_id", "label", F.size("embedding").alias("dim"),
+    return idx.select("doc_id", "label", F.size("embedding").cast("long").alias("dim"),
                       fixed_point(F.transform("embedding", lambda x: x.cast("double")), 1e3).alias("unit"))
 
 
 @register("split_leakage", S.with_ctes([("corpus", S.CORPUS), ("positions", S.POSITIONS)], """SELECT
-  count_if(pos < n * 50 // 100) AS train_docs, count_if(pos >= n * 50 // 100) AS eval_docs,
-  count_if(pos >= n * 50 // 100 AND doc_id IN (SELECT doc_id FROM positions WHERE pos < n * 50 // 100)) AS id_overlap,
-  count_if(pos >= n * 50 // 100 AND sha256(text) IN (SELECT sha256(text) FROM positions WHERE pos < n * 50 // 100)) AS text_overlap
+  CAST(count_if(pos < n * 50 // 100) AS BIGINT) AS train_docs, CAST(count_if(pos >= n * 50 // 100) AS BIGINT) AS eval_docs,
+  CAST(count_if(pos >= n * 50 // 100 AND doc_id IN (SELECT doc_id FROM positions WHERE pos < n * 50 // 100)) AS BIGINT) AS id_overlap,
+  CAST(count_if(pos >= n * 50 // 100 AND sha256(text) IN (SELECT sha256(text) FROM positions WHERE pos < n * 50 // 100)) AS BIGINT) AS text_overlap
   FROM positions"""))
 def split_leakage(spark, sf_dir):
     """Eval slice [50%:] against train slice [:50%]: overlap by id and by text digest."""
@@ -469,8 +469,8 @@ def _long_sql(source: str, cte: str, cols: dict) -> str:
 
 _REPORT_SQL = S.with_ctes(
     S.eval_ctes() + [("flags", S.LENIENT), ("gold_flags", S.GOLD_FLAGS), ("strict", S.STRICT)] + S.retrieval_ctes() + [
-        ("s1", "SELECT count(*) AS total, count_if(pred = gold) AS correct, "
-         "count_if(pred IS NULL) AS failed, round(count_if(pred = gold) / greatest(count(*), 1), 6) AS accuracy FROM "
+        ("s1", "SELECT count(*) AS total, CAST(count_if(pred = gold) AS BIGINT) AS correct, "
+         "CAST(count_if(pred IS NULL) AS BIGINT) AS failed, round(count_if(pred = gold) / greatest(count(*), 1), 6) AS accuracy FROM "
          "(SELECT g.sample_id, g.gold, f.flag AS pred FROM gold_flags g LEFT JOIN flags f USING (sample_id))"),
         ("s2", """SELECT count(*) AS samples, round(count_if(json_valid) / count(*), 6) AS json_valid_rate,
   round(count_if(relevance_match) / count(*), 6) AS relevance_agreement,

@@ -42,6 +42,22 @@ def table_digest(columns, rows):
     return cols, len(rows), h, normed
 
 
+_DUCK = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean",
+         "FLOAT": "float", "HUGEINT": "hugeint", "DECIMAL": "decimal"}
+
+
+def _type_diff(spark_types: dict, duck_types: dict) -> dict:
+    out = {}
+    for c, t in spark_types.items():
+        d = duck_types.get(c)
+        if d is None:
+            continue
+        dn = _DUCK.get(d.split("(")[0], d.lower())
+        if dn != t:
+            out[c] = (t, d)
+    return out
+
+
 def duck(sf_dir: str):
     con = duckdb.connect()
     for t in TABLES:
@@ -70,11 +86,15 @@ def check(spark, sf_dir, names=None, verbose=True):
             continue
         cur = con.execute(orc[name])
         ocols = [d[0] for d in cur.description]
+        otypes = {d[0]: str(d[1]) for d in cur.description}
         orows = cur.fetchall()
         o = table_digest(ocols, orows)
         ok = s[0] == o[0] and s[1] == o[1] and s[2] == o[2]
+        type_diff = _type_diff(dict(sdf.dtypes), otypes)
         results[name] = {"ok": ok, "cols": s[0] == o[0], "rows": (s[1], o[1]), "hash": s[2] == o[2],
-                         "spark_sec": round(t1 - t0, 2)}
+                         "spark_sec": round(t1 - t0, 2), "type_diff": type_diff}
+        if verbose and type_diff:
+            print(f"   types differ: {type_diff}")
         if verbose:
             print(f"{name:28s} {'OK ' if ok else 'BAD'} rows={s[1]}/{o[1]} cols={s[0] == o[0]} hash={s[2] == o[2]} "
                   f"{t1 - t0:.1f}s", flush=True)
