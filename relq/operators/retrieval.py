@@ -42,25 +42,47 @@ def _topk_rows(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return cand[order[:k]]
 
 
+def _merge_topk(best_sc: np.ndarray, best_id: np.ndarray, sc: np.ndarray, ids: np.ndarray, k: int):
+    """Per column (query): the k best of (running best + new batch) by (score desc, id asc).
+
+    Vectorised over queries: an argpartition keeps the k + slack best rows of each column,
+    a column-wise lexsort orders them.  Only a column whose ties reach past the slack is
+    redone exactly, one column at a time.
+    """
+    c_sc = np.vstack([best_sc, sc])
+    c_id = np.vstack([best_id, np.broadcast_to(ids[:, None], sc.shape)])
+    n = c_sc.shape[0]
+    m = min(n, k + 8)
+    if m < n:
+        part = np.argpartition(-c_sc, m - 1, axis=0)[:m]
+        p_sc, p_id = np.take_along_axis(c_sc, part, 0), np.take_along_axis(c_id, part, 0)
+    else:
+        p_sc, p_id = c_sc, c_id
+    order = np.lexsort((p_id, -p_sc), axis=0)[:k]
+    new_sc, new_id = np.take_along_axis(p_sc, order, 0), np.take_along_axis(p_id, order, 0)
+    if m < n and new_sc.shape[0] == k:
+        cut = np.nonzero(p_sc.min(axis=0) >= new_sc[-1])[0]  # ties may continue past the slack
+        for j in cut:
+            keep = _topk_rows(c_id[:, j], c_sc[:, j], k)
+            new_sc[:, j], new_id[:, j] = c_sc[keep, j], c_id[keep, j]
+    return new_sc, new_id
+
+
 def _scorer(bq, k: int, id_col: str, vec_col: str):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qids, qmat = bq.value
-        best_ids = [np.empty(0, dtype=np.int64) for _ in qids]
-        best_sc = [np.empty(0, dtype=np.float64) for _ in qids]
+        nq = len(qids)
+        best_sc = np.empty((0, nq), dtype=np.float64)
+        best_id = np.empty((0, nq), dtype=np.int64)
         for pdf in batches:
             if pdf.empty:
                 continue
             ids = pdf[id_col].to_numpy(dtype=np.int64)
             x = _unit_rows(np.stack(pdf[vec_col].to_numpy()).astype(np.float64))
-            s = x @ qmat.T  # (rows, queries)
-            for j in range(len(qids)):
-                cid = np.concatenate([best_ids[j], ids])
-                csc = np.concatenate([best_sc[j], s[:, j]])
-                keep = _topk_rows(cid, csc, k)
-                best_ids[j], best_sc[j] = cid[keep], csc[keep]
-        out = [pd.DataFrame({"query_id": np.full(len(best_ids[j]), qids[j], dtype=np.int64),
-                             "doc_id": best_ids[j], "score": best_sc[j]}) for j in range(len(qids))]
-        yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+            best_sc, best_id = _merge_topk(best_sc, best_id, x @ qmat.T, ids, k)  # (rows, queries) scores
+        r = best_sc.shape[0]
+        yield pd.DataFrame({"query_id": np.repeat(qids[None, :], r, axis=0).ravel(order="F"),
+                            "doc_id": best_id.ravel(order="F"), "score": best_sc.ravel(order="F")})
     return score
 
 

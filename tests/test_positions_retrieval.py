@@ -68,3 +68,26 @@ def test_recorded_mean_p_at_5(spark):
     vals = [1.0, 0.8, 1.0, 0.8, 0.8, 1.0, 1.0, 1.0, 1.0, 1.0]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "query_id long, p_at_k double")
     assert rt.mean_precision_at_k(df).first()["mean_p_at_k"] == 0.94
+
+
+def test_merge_topk_ties_and_slack():
+    rng = np.random.default_rng(0)
+    k = 5
+    for trial in range(50):
+        n, nq = int(rng.integers(1, 60)), int(rng.integers(1, 6))
+        sc = rng.integers(0, 4, size=(n, nq)).astype(np.float64)  # many ties
+        ids = rng.permutation(1000)[:n].astype(np.int64)
+        best_sc, best_id = np.empty((0, nq)), np.empty((0, nq), dtype=np.int64)
+        for lo in range(0, n, 7):
+            best_sc, best_id = rt._merge_topk(best_sc, best_id, sc[lo:lo + 7], ids[lo:lo + 7], k)
+        for j in range(nq):
+            exp = sorted(range(n), key=lambda i: (-sc[i, j], ids[i]))[:k]
+            assert list(best_id[:, j]) == [ids[i] for i in exp]
+
+
+def test_knn_ties_go_to_lower_id(spark):
+    rows = [(i, [1.0, 0.0], 0) for i in (7, 3, 9)] + [(1, [0.0, 1.0], 0)]
+    index = spark.createDataFrame(rows, "doc_id long, embedding array<float>, label int")
+    q = spark.createDataFrame([(100, [1.0, 0.0])], "query_id long, embedding array<float>")
+    got = [r["doc_id"] for r in rt.knn_topk(index, q, k=2).orderBy("rank").collect()]
+    assert got == [3, 7]
