@@ -34,9 +34,7 @@ def pieces(text: Column, pattern: str = PIECE_RE) -> Column:
 
 def build_vocab(texts: DataFrame, text_col: str = "full_text", pattern: str = PIECE_RE) -> DataFrame:
     """Vocabulary ``(piece, count, id)`` over whole texts; ids by (count desc, piece)."""
-    # inline over structs, not explode: under whole-stage codegen an explode of a computed
-    # array re-evaluated the regex for every element
-    counts = (texts.select(F.inline(F.transform(pieces(F.col(text_col), pattern), lambda x: F.struct(x.alias("piece")))))
+    counts = (texts.select(F.explode(pieces(F.col(text_col), pattern)).alias("piece"))
               .groupBy("piece").agg(F.count(F.lit(1)).alias("count")))
     return with_position(counts, [F.col("count").desc(), F.col("piece")], name="id")
 
@@ -77,7 +75,7 @@ def tokenize(df: DataFrame, vocab: DataFrame, key: str = "sample_id", max_len: i
     per_sample = base.select(key, *carry, n_prompt.alias("n_prompt"), F.size("_fp").alias("n_full_untruncated"),
                              F.slice("_fp", 1, max_len).alias("_kept"))
     toks = per_sample.select(key, *carry, "n_prompt", "n_full_untruncated", F.size("_kept").alias("n_full"),
-                             F.inline_outer(F.transform("_kept", lambda x, i: F.struct(i.alias("pos"), x.alias("piece")))))
+                             F.posexplode_outer("_kept").alias("pos", "piece"))
     ided = toks.join(vocab.select("piece", F.col("id").cast("int").alias("id")), "piece", "left")
     fields = [F.col("pos"), F.col("id")]
     if offsets:
