@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relq.templates import ANSWER_KEY, CHATML, PROMPT_VARIANTS
+from relq.templates import ANSWER_KEY, CHATML, INSTRUCTIONS, PROMPT_VARIANTS
 
 
 def turn(role: str, content: Column, m=CHATML) -> Column:
@@ -25,6 +25,8 @@ def user_text(layout: str, instruction: Column, inp: Column, query: Column | Non
         return F.concat(instruction, F.lit("\n\nQuery: "), query, F.lit("\nDocument: "), document)
     if layout == "qd":
         return F.concat(F.lit("Query: "), query, F.lit("\nDocument: "), document)
+    if layout == "smoke":
+        return F.concat(F.lit(INSTRUCTIONS[1] + "\nQuery: "), query, F.lit("\nDocument: "), document)
     raise ValueError(f"unknown layout {layout}")
 
 
@@ -37,7 +39,8 @@ def render_chat(df: DataFrame, variant: str = "train_s1", markers=CHATML, instru
     q = F.col(query) if query else None
     d = F.col(document) if document else None
     head = F.concat(turn("system", F.lit(system), markers),
-                    turn("user", user_text(layout, F.col(instruction), F.col(inp) if inp else None, q, d), markers))
+                    turn("user", user_text(layout, F.col(instruction) if instruction else None,
+                                           F.col(inp) if inp else None, q, d), markers))
     out = df.withColumn("prompt_text", F.concat(head, F.lit(f"{markers['start']}assistant\n")))
     if output:
         out = out.withColumn("full_text", F.concat(

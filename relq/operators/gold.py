@@ -18,7 +18,7 @@ def gold_flag(samples: DataFrame) -> DataFrame:
 GOLD_SCHEMA = "relevant boolean, reason struct<query_topic string, document_topic string, summary string>"
 
 
-def gold_rows(samples: DataFrame) -> DataFrame:
+def gold_rows(samples: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Split ``input`` into (query, document) and lift the gold fields of ``output``.
 
     Gold outputs are the generator's own JSON, so they are read with ``from_json`` and a
@@ -28,10 +28,10 @@ def gold_rows(samples: DataFrame) -> DataFrame:
     parts = split_input(F.col("input"))
     g = F.from_json(F.col("output"), GOLD_SCHEMA)
     return (samples
-            .select("sample_id", "instruction", parts.alias("_p"), g.alias("_g"))
+            .select("sample_id", "instruction", *keep, parts.alias("_p"), g.alias("_g"))
             .where(has_separator(F.col("_p")) & F.col("_g.relevant").isNotNull()
                    & F.col("_g.reason.summary").isNotNull())
-            .select("sample_id", "instruction",
+            .select("sample_id", "instruction", *keep,
                     query_part(F.col("_p")).alias("query"),
                     document_part(F.col("_p")).alias("document"),
                     F.col("_g.relevant").alias("relevant"),

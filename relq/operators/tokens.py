@@ -27,6 +27,9 @@ def piece_pattern(markers=CHATML) -> str:
 
 PIECE_RE = piece_pattern()
 
+# Broadcast the vocabulary to the token join only up to this many pieces (about 100 MB of (piece, id)).
+VOCAB_BROADCAST_ROWS = 2_000_000
+
 
 def pieces(text: Column, pattern: str = PIECE_RE) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), 0)
@@ -52,7 +55,7 @@ def prompt_token_count(full_pieces: Column, prompt_chars: Column) -> Column:
 
 def tokenize(df: DataFrame, vocab: DataFrame, key: str = "sample_id", max_len: int = MAX_TOKENS,
              pattern: str = PIECE_RE, offsets: bool = False, carry: tuple[str, ...] = (),
-             prompt_is_prefix: bool = False) -> DataFrame:
+             prompt_is_prefix: bool = False, vocab_broadcast_rows: int = VOCAB_BROADCAST_ROWS) -> DataFrame:
     """``(key, input_ids, n_prompt, n_full, n_full_untruncated[, offsets])`` from prompt/full text.
 
     The text is split into pieces once; the (at most ``max_len``) kept pieces are
@@ -76,7 +79,13 @@ def tokenize(df: DataFrame, vocab: DataFrame, key: str = "sample_id", max_len: i
                              F.slice("_fp", 1, max_len).alias("_kept"))
     toks = per_sample.select(key, *carry, "n_prompt", "n_full_untruncated", F.size("_kept").alias("n_full"),
                              F.posexplode_outer("_kept").alias("pos", "piece"))
-    ided = toks.join(vocab.select("piece", F.col("id").cast("int").alias("id")), "piece", "left")
+    ids = vocab.select("piece", F.col("id").cast("int").alias("id"))
+    if vocab_broadcast_rows and vocab.count() <= vocab_broadcast_rows:
+        # size checked: a bounded vocabulary is broadcast, so the token stream is not shuffled by piece
+        # (and a hot piece cannot skew a join partition); beyond the bound it is a shuffle join that
+        # AQE may still split when a piece is skewed
+        ids = F.broadcast(ids)
+    ided = toks.join(ids, "piece", "left")
     fields = [F.col("pos"), F.col("id")]
     if offsets:
         w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)

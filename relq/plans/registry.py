@@ -558,3 +558,31 @@ def conversation_turns(spark, sf_dir):
     r = render_turns(read_table(spark, sf_dir, "conversations"), chunk=64)
     return r.select("conv_id", "turn", "role", F.md5("segment").alias("segment_md5"), "seg_len",
                     F.col("char_start").cast("long").alias("char_start"), "is_target")
+
+
+# ---- evaluation prompts (H6 variants of section 2.11) ---------------------------------------
+
+from relq.templates import INSTRUCTIONS, PROMPT_VARIANTS  # noqa: E402
+
+_EVAL_PROMPTS_SQL = S.with_ctes(S.samples_ctes(2) + [("gold", S.GOLD)], f"""SELECT sample_id,
+  md5({S.prompt_sql(PROMPT_VARIANTS['eval_s1'][0], "instruction || chr(10) || input")}) AS eval_s1_md5,
+  md5({S.prompt_sql(PROMPT_VARIANTS['eval_s2'][0], "instruction || chr(10) || chr(10) || 'Query: ' || query || chr(10) || 'Document: ' || document")}) AS eval_s2_md5,
+  md5({S.prompt_sql(PROMPT_VARIANTS['rag'][0], "'Query: ' || query || chr(10) || 'Document: ' || document")}) AS rag_md5,
+  md5({S.prompt_sql(PROMPT_VARIANTS['smoke'][0], S.lit(INSTRUCTIONS[1]) + " || chr(10) || 'Query: ' || query || chr(10) || 'Document: ' || document")}) AS smoke_md5
+  FROM gold JOIN (SELECT sample_id, input FROM samples) USING (sample_id)""")
+
+
+@register("eval_prompts", _EVAL_PROMPTS_SQL)
+def eval_prompts(spark, sf_dir):
+    """H6 (section 2.11): the generation prompts of the stage-1, stage-2, retrieval and smoke evaluators
+    for every gold row (stage 1 takes the raw input; the others the stripped query and document;
+    stage 2 puts two newlines after the instruction)."""
+    g = gold_rows(samples(spark, sf_dir), keep=("input",))
+    out = g.select("sample_id")
+    for name, kwargs in [("eval_s1", dict(instruction="instruction", inp="input")),
+                         ("eval_s2", dict(instruction="instruction", inp=None, query="query", document="document")),
+                         ("rag", dict(instruction=None, inp=None, query="query", document="document")),
+                         ("smoke", dict(instruction=None, inp=None, query="query", document="document"))]:
+        r = render_chat(g, name, output=None, **kwargs).select("sample_id", F.md5("prompt_text").alias(f"{name}_md5"))
+        out = out.join(r, "sample_id")
+    return out

@@ -328,3 +328,9 @@ def jsonl_line(fields=("instruction", "input", "output")) -> str:
 
 
 POSITIONS = "SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM corpus"
+
+
+def prompt_sql(system: str, user: str) -> str:
+    st, en = lit(CHATML["start"]), lit(CHATML["end"])
+    return (f"{st} || 'system' || {NL} || {lit(system)} || {en} || {NL} || {st} || 'user' || {NL} || {user} "
+            f"|| {en} || {NL} || {st} || 'assistant' || {NL}")

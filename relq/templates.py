@@ -90,6 +90,7 @@ SYSTEM_RAG = "You evaluate relevance between a query and a document. Respond in
 #   "instruction_input": "{instruction}\n{input}"
 #   "instruction_qd":    "{instruction}\n\nQuery: {query}\nDocument: {document}"
 #   "qd":                "Query: {query}\nDocument: {document}"
+#   "smoke":             the second instruction, then "\nQuery: {query}\nDocument: {document}"
 PROMPT_VARIANTS = {
     "train_s1": (SYSTEM_STAGE1, "instruction_input"),
     "train_s2": (SYSTEM_STAGE2, "instruction_input"),
@@ -98,6 +99,7 @@ PROMPT_VARIANTS = {
     "eval_v1": (SYSTEM_JSON, "instruction_input"),
     "eval_s2": (SYSTEM_JSON, "instruction_qd"),
     "rag": (SYSTEM_RAG, "qd"),
+    "smoke": (SYSTEM_JSON, "smoke"),
 }
 
 # ChatML markers (configurable); EOS of the base model, also used as the pad token.
