@@ -30,17 +30,26 @@ def user_text(layout: str, instruction: Column, inp: Column, query: Column | Non
     raise ValueError(f"unknown layout {layout}")
 
 
-def render_chat(df: DataFrame, variant: str = "train_s1", markers=CHATML, instruction: str = "instruction",
-                inp: str = "input", output: str | None = "output", query: str | None = None,
+def chat_head(variant: str, markers=CHATML, instruction: str | None = "instruction", inp: str | None = "input",
+              query: str | None = None, document: str | None = None) -> Column:
+    """System and user turns of a prompt variant (section 2.11) as one column expression."""
+    system, layout = PROMPT_VARIANTS[variant]
+    user = user_text(layout, F.col(instruction) if instruction else None, F.col(inp) if inp else None,
+                     F.col(query) if query else None, F.col(document) if document else None)
+    return F.concat(turn("system", F.lit(system), markers), turn("user", user, markers))
+
+
+def prompt_column(variant: str, markers=CHATML, **cols) -> Column:
+    """H6 with the generation header: the prompt text of ``variant``."""
+    return F.concat(chat_head(variant, markers, **cols), F.lit(f"{markers['start']}assistant\n"))
+
+
+def render_chat(df: DataFrame, variant: str = "train_s1", markers=CHATML, instruction: str | None = "instruction",
+                inp: str | None = "input", output: str | None = "output", query: str | None = None,
                 document: str | None = None) -> DataFrame:
     """H6: add ``prompt_text`` (system + user + generation header) and, when ``output`` is given,
     ``full_text`` (+ assistant turn ``output + EOS``)."""
-    system, layout = PROMPT_VARIANTS[variant]
-    q = F.col(query) if query else None
-    d = F.col(document) if document else None
-    head = F.concat(turn("system", F.lit(system), markers),
-                    turn("user", user_text(layout, F.col(instruction) if instruction else None,
-                                           F.col(inp) if inp else None, q, d), markers))
+    head = chat_head(variant, markers, instruction=instruction, inp=inp, query=query, document=document)
     out = df.withColumn("prompt_text", F.concat(head, F.lit(f"{markers['start']}assistant\n")))
     if output:
         out = out.withColumn("full_text", F.concat(

@@ -40,11 +40,12 @@ def majority_baseline(gold_flags: DataFrame) -> DataFrame:
                           F.round(F.greatest(p, 1 - p), 6).alias("majority_rate"))
 
 
-def s2_scored(gold: DataFrame, answers: DataFrame) -> DataFrame:
-    """Per-row stage-2 indicators (C4, H13-H15b); missing answers count as invalid."""
-    joined = gold.join(answers.select("sample_id", "answer"), "sample_id", "left")
+def s2_scored(gold: DataFrame, answers: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per-row stage-2 indicators (C4, H13-H15b); missing answers count as invalid.
+    ``carry`` names answer columns to keep (e.g. an answer class)."""
+    joined = gold.join(answers.select("sample_id", "answer", *carry), "sample_id", "left")
     return J.with_strict_columns(joined, "answer", "relevant").select(
-        "sample_id", "relevant", "gold_query_topic", "gold_document_topic", "gold_summary",
+        "sample_id", *carry, "relevant", "gold_query_topic", "gold_document_topic", "gold_summary",
         "json_valid", "relevance_match", "reason_complete", "gen_query_topic", "gen_document_topic", "gen_summary")
 
 

@@ -122,8 +122,7 @@ def flag_strict(spark, sf_dir):
     """Stage-2 strict validity, agreement and completeness per answer."""
     g = gold(spark, sf_dir)
     a = answers(spark, sf_dir)
-    sc = ev.s2_scored(g, a)
-    return sc.join(a.select("sample_id", "answer_class"), "sample_id", "left").select(
+    return ev.s2_scored(g, a, carry=("answer_class",)).select(
         "sample_id", "answer_class", "json_valid", "relevance_match", "reason_complete")
 
 
@@ -239,7 +238,7 @@ def first_queries(spark, sf_dir):
 
 from relq.functions import masks as M  # noqa: E402
 from relq.operators import batches as B  # noqa: E402
-from relq.operators.chat import render_chat, with_answer_key  # noqa: E402
+from relq.operators.chat import prompt_column, render_chat, with_answer_key  # noqa: E402
 from relq.operators.loss import weighted_loss as _weighted_loss  # noqa: E402
 from relq.operators.tokens import build_vocab, tokenize  # noqa: E402
 from relq.functions.hashing import hash_u32  # noqa: E402
@@ -355,7 +354,6 @@ def weighted_loss_q(spark, sf_dir):
     rows, _ = token_rows(spark, sf_dir, 1, "train_v1", offsets=True)
     b = B.padded_batches(rows.select("sample_id", "input_ids", "labels_answer", "weights_reference", "eos_id"),
                          S.BATCH, labels="labels_answer", weights="weights_reference")
-    b = b.withColumn("sample_id", F.col("sample_id"))
 
     def nll(i):
         return (hash_u32(S.SEED, F.col("sample_id"), i, "nll") % 10000) / 1000.0
@@ -578,11 +576,12 @@ def eval_prompts(spark, sf_dir):
     for every gold row (stage 1 takes the raw input; the others the stripped query and document;
     stage 2 puts two newlines after the instruction)."""
     g = gold_rows(samples(spark, sf_dir), keep=("input",))
-    out = g.select("sample_id")
-    for name, kwargs in [("eval_s1", dict(instruction="instruction", inp="input")),
-                         ("eval_s2", dict(instruction="instruction", inp=None, query="query", document="document")),
-                         ("rag", dict(instruction=None, inp=None, query="query", document="document")),
-                         ("smoke", dict(instruction=None, inp=None, query="query", document="document"))]:
-        r = render_chat(g, name, output=None, **kwargs).select("sample_id", F.md5("prompt_text").alias(f"{name}_md5"))
-        out = out.join(r, "sample_id")
+    qd = dict(instruction=None, inp=None, query="query", document="document")
+    # one projection, four prompt columns: no self-joins
+    out = g.select("sample_id",
+                   F.md5(prompt_column("eval_s1", instruction="instruction", inp="input")).alias("eval_s1_md5"),
+                   F.md5(prompt_column("eval_s2", instruction="instruction", inp=None, query="query",
+                                       document="document")).alias("eval_s2_md5"),
+                   F.md5(prompt_column("rag", **qd)).alias("rag_md5"),
+                   F.md5(prompt_column("smoke", **qd)).alias("smoke_md5"))
     return out
