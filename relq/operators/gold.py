@@ -18,15 +18,25 @@ def gold_flag(samples: DataFrame) -> DataFrame:
 GOLD_SCHEMA = "relevant boolean, reason struct<query_topic string, document_topic string, summary string>"
 
 
-def gold_rows(samples: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def gold_rows(samples: DataFrame, keep: tuple[str, ...] = (), on_mismatch: str = "drop") -> DataFrame:
     """Split ``input`` into (query, document) and lift the gold fields of ``output``.
 
     Gold outputs are the generator's own JSON, so they are read with ``from_json`` and a
     fixed schema (one parse).  Rows whose input has no ``\\nDocument:`` separator are
     dropped (B7), as are rows whose output lacks the flag or the structured reason.
+    With ``on_mismatch="error"`` such an output (e.g. a v1 sample, whose reason is a
+    string) fails the job instead: the two sample versions share a file name, and the
+    stage-2 loader must not read a v1 file as if it were empty.
     """
+    if on_mismatch not in ("drop", "error"):
+        raise ValueError("on_mismatch must be 'drop' or 'error'")
     parts = split_input(F.col("input"))
     g = F.from_json(F.col("output"), GOLD_SCHEMA)
+    if on_mismatch == "error":
+        ok = g["relevant"].isNotNull() & g["reason"]["summary"].isNotNull()
+        g = F.when(ok, g).otherwise(F.raise_error(F.concat(
+            F.lit("sample output is not a v2 answer (structured reason expected): "), F.col("output"))).cast(
+            "struct<relevant:boolean,reason:struct<query_topic:string,document_topic:string,summary:string>>"))
     return (samples
             .select("sample_id", "instruction", *keep, parts.alias("_p"), g.alias("_g"))
             .where(has_separator(F.col("_p")) & F.col("_g.relevant").isNotNull()

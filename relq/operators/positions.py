@@ -98,3 +98,15 @@ def grouped_prefix_sum(df: DataFrame, group: str, order: str, value: str, out: s
     return (d.join(offs, [group, "_chunk"], "inner")
             .withColumn(out, F.col("_co") + F.sum(value).over(inside))
             .drop("_chunk", "_co"))
+
+
+def head_rows(df: DataFrame, key: str, n: int, require_full: bool = False) -> DataFrame:
+    """the first ``n`` rows by ``key`` (a top-n: sort-and-limit per task, then one merge of
+    n rows per task).  ``require_full`` fails when fewer than ``n`` rows exist, as selecting
+    ``range(n)`` from a shorter dataset does; the line reader instead returns what there is."""
+    head = df.orderBy(key).limit(n)
+    if require_full:
+        have = head.count()
+        if have < n:
+            raise ValueError(f"asked for the first {n} rows, the input has {have}")
+    return head

@@ -41,3 +41,24 @@ def test_k_too_large_rejected(spark):
     import pytest
     with pytest.raises(ValueError):
         make_samples(read_corpus(spark, SF_SMALL), num_negatives=4)
+
+
+def test_v1_outputs_refused_by_v2_loader(spark):
+    import pytest
+    from relq.operators.gold import gold_rows
+    v1 = make_samples(read_corpus(spark, SF_SMALL), version=1)
+    assert gold_rows(v1).count() == 0  # default: unreadable gold rows are dropped
+    with pytest.raises(Exception):
+        gold_rows(v1, on_mismatch="error").collect()
+    v2 = make_samples(read_corpus(spark, SF_SMALL), version=2)
+    assert gold_rows(v2, on_mismatch="error").count() == v2.count()
+
+
+def test_head_rows(spark):
+    import pytest
+    from relq.operators.positions import head_rows
+    corpus = read_corpus(spark, SF_SMALL)
+    ids = sorted(r[0] for r in corpus.select("doc_id").collect())
+    assert [r[0] for r in head_rows(corpus, "doc_id", 5).select("doc_id").collect()] == ids[:5]
+    with pytest.raises(ValueError):
+        head_rows(corpus, "doc_id", len(ids) + 1, require_full=True)
