@@ -26,8 +26,9 @@ def read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rows whose language is outside the four classes have no label and are not part of the corpus.
     """
     docs = read_table(spark, sf_dir, "documents")
-    return (docs.select("doc_id", "text", label_of_lang(F.col("lang")).alias("label"))
-            .where(F.col("label") >= 0))
+    # an IN list on the raw column is pushed to the parquet scan (row-group pruning)
+    return (docs.where(F.col("lang").isin(*LANG_LABELS))
+            .select("doc_id", "text", label_of_lang(F.col("lang")).alias("label")))
 
 
 def read_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
