@@ -25,7 +25,7 @@ def summarize(plan: str) -> list[str]:
             if "Scan parquet" in line or "FileScan" in line:
                 m = re.search(r"(.*?(?:FileScan|Scan) parquet\s*)(\[[^\]]*\])", line)
                 extra = []
-                mm = re.search(r"PushedFilters: (\[[^\]]*\])", line)
+                mm = re.search(r"PushedFilters: (\[(?:[^\[\]]|\[[^\]]*\])*\])", line)
                 if mm:
                     extra.append(f"PushedFilters: {mm.group(1)[:160]}")
                 mm = re.search(r"ReadSchema: (\S+)", line)
