@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relq.functions import masks as M
-from relq.operators.positions import with_position
+from relq.operators.positions import number_by_key, with_position
 
 
 def with_masks(tok: DataFrame, n_keep: int = 5) -> DataFrame:
@@ -18,14 +18,16 @@ def with_masks(tok: DataFrame, n_keep: int = 5) -> DataFrame:
 
 
 def padded_batches(rows: DataFrame, batch_size: int = 4, pad_id=None, key: str = "sample_id",
-                   labels: str = "labels_s1", weights: str | None = None) -> DataFrame:
+                   labels: str = "labels_s1", weights: str | None = None, keys: DataFrame | None = None) -> DataFrame:
     """E2 + D13 + H24 + H25: consecutive rows (by ``key``) in batches of ``batch_size``,
     each padded to its longest row.  ``pad_id`` defaults to each row's EOS id column ``eos_id``.
 
     Batch ids come from the distributed position (E1); the per-batch maximum is a
-    window over at most ``batch_size`` rows.
+    window over at most ``batch_size`` rows.  Pass ``keys`` (the same keys from before
+    tokenization) to number a cheap key table and join, rather than range-sorting the
+    token rows, whose computation the range sampling would repeat.
     """
-    pos = with_position(rows, [key])
+    pos = number_by_key(rows, keys, key) if keys is not None else with_position(rows, [key])
     b = pos.withColumn("batch_id", F.floor(F.col("pos") / batch_size).cast("long"))
     b = b.withColumn("max_len", F.max(F.size("input_ids")).over(Window.partitionBy("batch_id")))
     pad_val = F.col("eos_id") if pad_id is None else F.lit(pad_id)

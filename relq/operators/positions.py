@@ -4,14 +4,18 @@ Spark rows have no order, so a position is defined by a sort key.  The table is
 range-partitioned on the key and sorted inside each partition; each row gets
 (partition, index in partition); the per-partition counts (one row per
 partition, a bounded table) give each partition's offset by a prefix sum; the
-position is offset + index.  The tagged rows are checkpointed to the shared
-checkpoint folder first so that both the count and the numbering read the same
-partitions, and a lost executor recomputes nothing upstream.
+position is offset + index.  The tagged rows are written once as a parquet table
+in the shared checkpoint folder and read back, so the count and the numbering
+read the same tags, the count reads one column, and a lost executor recomputes
+nothing upstream.  (An eager ``checkpoint()`` would compute the input twice:
+once to count it and once to write it.)
 """
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,17 +27,39 @@ def _num_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_position(df: DataFrame, order: list, name: str = "pos", num_partitions: int | None = None) -> DataFrame:
-    """Add a 0-based position by ``order`` (a list of column names/expressions, ascending, unique)."""
+def _scratch_path(spark, what: str) -> str:
+    return os.path.join(checkpoint_dir(spark).rstrip("/"), f"relq-{what}-{uuid.uuid4().hex}")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a parquet table in the shared checkpoint folder and read it back."""
+    path = _scratch_path(df.sparkSession, "table")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def with_position(df: DataFrame, order: list, name: str = "pos", num_partitions: int | None = None,
+                  materialize_input: bool = False) -> DataFrame:
+    """Add a 0-based position by ``order`` (a list of column names/expressions, ascending, unique).
+
+    Range partitioning samples its input in a job of its own before the shuffle, so an
+    expensive input is computed twice; ``materialize_input`` writes it once first (for a
+    small but costly input such as an aggregate).  For a wide, costly input number a
+    cheap key table instead and join (:func:`number_by_key`).
+    """
     spark = df.sparkSession
     checkpoint_dir(spark)
+    if materialize_input:
+        df = materialize(df)
     n = num_partitions or _num_partitions(df)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    tagged = (df.repartitionByRange(n, *order_cols)
-              .sortWithinPartitions(*order_cols)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    path = _scratch_path(spark, "positions")
+    (df.repartitionByRange(n, *order_cols)
+       .sortWithinPartitions(*order_cols)
+       .withColumn("_pid", F.spark_partition_id())
+       .withColumn("_mid", F.monotonically_increasing_id())
+       .write.mode("overwrite").parquet(path))
+    tagged = spark.read.parquet(path)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: a prefix sum over a table whose size is the partition count
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
@@ -43,6 +69,13 @@ def with_position(df: DataFrame, order: list, name: str = "pos", num_partitions:
             .drop("_pid", "_mid", "_off"))
 
 
+def number_by_key(rows: DataFrame, keys: DataFrame, key: str, name: str = "pos") -> DataFrame:
+    """Positions of ``rows`` by a unique ``key``, computed on a cheap ``keys`` table (the same
+    key set, e.g. taken before an expensive step) and joined to the rows: the rows themselves
+    are computed once and never range-sampled."""
+    return rows.join(with_position(keys.select(key), [key], name=name), key, "inner")
+
+
 _PCT = re.compile(r"^\s*(\d+(?:\.\d+)?)\s*%\s*$")
 
 

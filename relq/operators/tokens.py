@@ -39,7 +39,8 @@ def build_vocab(texts: DataFrame, text_col: str = "full_text", pattern: str = PI
     """Vocabulary ``(piece, count, id)`` over whole texts; ids by (count desc, piece)."""
     counts = (texts.select(F.explode(pieces(F.col(text_col), pattern)).alias("piece"))
               .groupBy("piece").agg(F.count(F.lit(1)).alias("count")))
-    return with_position(counts, [F.col("count").desc(), F.col("piece")], name="id")
+    # the counts are small but cost a pass over every text: written once before they are numbered
+    return with_position(counts, [F.col("count").desc(), F.col("piece")], name="id", materialize_input=True)
 
 
 def prompt_token_count(full_pieces: Column, prompt_chars: Column) -> Column:

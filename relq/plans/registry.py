@@ -328,7 +328,8 @@ def loss_weights_q(spark, sf_dir):
 def padded_batches_q(spark, sf_dir):
     """Batches of 4 consecutive samples padded to the batch maximum."""
     rows, _ = token_rows(spark, sf_dir)
-    b = B.padded_batches(rows.select("sample_id", "input_ids", "labels_s1", "eos_id"), S.BATCH, labels="labels_s1")
+    b = B.padded_batches(rows.select("sample_id", "input_ids", "labels_s1", "eos_id"), S.BATCH, labels="labels_s1",
+                         keys=samples(spark, sf_dir))
     return b.select("sample_id", "batch_id", F.col("max_len").cast("long").alias("max_len"),
                     M.as_text(F.col("input_ids")).alias("input_ids"),
                     M.as_text(F.col("attention_mask")).alias("attention_mask"), M.as_text(F.col("labels")).alias("labels"))
@@ -353,7 +354,7 @@ def weighted_loss_q(spark, sf_dir):
     """v1 weighted loss per batch of 4 over a hash-derived token loss."""
     rows, _ = token_rows(spark, sf_dir, 1, "train_v1", offsets=True)
     b = B.padded_batches(rows.select("sample_id", "input_ids", "labels_answer", "weights_reference", "eos_id"),
-                         S.BATCH, labels="labels_answer", weights="weights_reference")
+                         S.BATCH, labels="labels_answer", weights="weights_reference", keys=samples(spark, sf_dir, 1))
 
     def nll(i):
         return (hash_u32(S.SEED, F.col("sample_id"), i, "nll") % 10000) / 1000.0

@@ -15,6 +15,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Fan a scan out over the cluster when it yields fewer partitions than there are cores.
+
+    A small file with one row group is read by one task, and all per-row work on it
+    (sample generation, regex tokenization, hashing) would run on one core.  Only then
+    the rows are hash-partitioned by their unique ``key`` (deterministic on retry, no
+    skew).  A large input already has at least one split per core and is left alone,
+    so at scale this adds no shuffle.
+    """
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # a session without RDD access: leave the scan as it is
+        return df
+    return df.repartition(par, key) if parts < par else df
+
+
 def label_of_lang(lang) -> F.Column:
     """Class label of the stand-in corpus: position of ``lang`` in the fixed language list, 0-based."""
     return (F.array_position(F.array(*[F.lit(x) for x in LANG_LABELS]), lang) - 1).cast("int")
@@ -27,8 +44,9 @@ def read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = read_table(spark, sf_dir, "documents")
     # an IN list on the raw column is pushed to the parquet scan (row-group pruning)
-    return (docs.where(F.col("lang").isin(*LANG_LABELS))
-            .select("doc_id", "text", label_of_lang(F.col("lang")).alias("label")))
+    corpus = (docs.where(F.col("lang").isin(*LANG_LABELS))
+              .select("doc_id", "text", label_of_lang(F.col("lang")).alias("label")))
+    return spread(corpus, "doc_id")
 
 
 def read_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
