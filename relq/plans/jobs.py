@@ -68,14 +68,16 @@ def prepare_training_job(spark, samples_path, out_path, stage="s1", batch_size=4
 
 
 def evaluate_s1_job(spark, samples_path, answers_path, out_path, head=100) -> None:
-    """Stage-1 accuracy over the first ``head`` lines (answers: parquet ``(sample_id, answer)``)."""
+    """Stage-1 accuracy over the first ``head`` samples (answers: parquet ``(sample_id, answer)``).
+    As with selecting ``range(head)``, a file with fewer samples is an error."""
     configure(spark)
-    s = read_samples(spark, samples_path, limit=head).withColumnRenamed("line", "sample_id")
+    s = head_rows(read_samples(spark, samples_path).withColumnRenamed("line", "sample_id"), "sample_id", head,
+                  require_full=True)
     ev.s1_accuracy(gold_flag(s), spark.read.parquet(answers_path)).write.mode("overwrite").parquet(out_path)
 
 
 def evaluate_s2_job(spark, samples_path, answers_path, out_path, head=100) -> None:
-    """Stage-2 rates and mean summary similarity over the first ``head`` lines."""
+    """Stage-2 rates and mean summary similarity over the first ``head`` lines (fewer is fine)."""
     configure(spark)
     s = read_samples(spark, samples_path, limit=head).withColumnRenamed("line", "sample_id")
     g = gold_rows(s, on_mismatch="error")
