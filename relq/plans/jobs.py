@@ -60,9 +60,9 @@ def prepare_training_job(spark, samples_path, out_path, stage="s1", batch_size=4
         from relq.functions.masks import loss_weights
         rows = rows.withColumn("loss_weights", loss_weights(F.col("input_ids"), F.col("n_prompt"), F.col("offsets"),
                                                             F.col("relevant_idx"), F.col("prompt_chars")))
-        b = padded_batches(rows, batch_size, pad_id=pad_id, labels="labels_answer", weights="loss_weights")
+        b = padded_batches(rows, batch_size, pad_id=pad_id, labels="labels_answer", weights="loss_weights", keys=s)
     else:
-        b = padded_batches(rows, batch_size, pad_id=pad_id, labels=f"labels_{stage}")
+        b = padded_batches(rows, batch_size, pad_id=pad_id, labels=f"labels_{stage}", keys=s)
     b.write.mode("overwrite").parquet(out_path)
     vocab.write.mode("overwrite").parquet(out_path.rstrip("/") + "_vocab")
 

@@ -523,6 +523,7 @@ def rag_precision_at_k(spark, sf_dir):
 
 # ---- the stage-1 evaluation on a stream -------------------------------------------------
 
+from relq.operators.positions import materialize  # noqa: E402
 from relq.streaming import scoring as ST  # noqa: E402
 
 
@@ -534,7 +535,8 @@ def s1_accuracy_stream(spark, sf_dir):
     ans_dir, out_dir = _scratch(spark, "answers-stream"), _scratch(spark, "s1-stream-out")
     derive_answers(gold_rows(s)).select("sample_id", "answer").write.mode("overwrite").json(ans_dir)
     stream = ST.read_answer_stream(spark, ans_dir, max_files_per_trigger=4)
-    ST.run_to_table(ST.s1_metrics(stream, gold_flag(s)), out_dir)
+    # the static side is written once: otherwise every micro-batch would regenerate it from the corpus
+    ST.run_to_table(ST.s1_metrics(stream, materialize(gold_flag(s))), out_dir)
     return spark.read.parquet(out_dir)
 
 

@@ -29,7 +29,11 @@ def read_answer_stream(spark: SparkSession, path: str, max_files_per_trigger: in
 
 
 def s1_metrics(answers: DataFrame, gold_flags: DataFrame) -> DataFrame:
-    """Stage-1 accuracy over the answers seen so far (stream-static inner join, then one aggregate)."""
+    """Stage-1 accuracy over the answers seen so far (stream-static inner join, then one aggregate).
+
+    The static side is planned again for every micro-batch: pass a stored table (or one
+    written with ``relq.operators.positions.materialize``), not a derivation from the corpus.
+    """
     pred = J.with_lenient_flag(answers.select("sample_id", "answer"), "answer", "pred")
     joined = pred.join(gold_flags, "sample_id", "inner")
     return joined.agg(
