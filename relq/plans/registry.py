@@ -7,20 +7,36 @@ the same tables registered as views.  Column names are identical on both sides.
 
 from __future__ import annotations
 
+import os as _os
+import uuid as _uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relq.functions import jsonparse as J
+from relq.functions import masks as M
+from relq.functions.hashing import hash_u32
+from relq.functions.models import embed_udf
+from relq.functions.vectors import fixed_point, l2_normalize, norm
+from relq.operators import batches as B
 from relq.operators import evaluation as ev
+from relq.operators import retrieval as rt
+from relq.operators.chat import prompt_column, render_chat, render_turns, with_answer_key
 from relq.operators.gold import gold_flag, gold_rows
-from relq.operators.positions import slice_rows, with_position
+from relq.operators.loss import weighted_loss as _weighted_loss
+from relq.operators.positions import materialize, slice_rows, with_position
 from relq.operators.sampling import make_samples, shuffle_order
+from relq.operators.tokens import build_vocab, tokenize
 from relq.plans import sql as S
 from relq.plans.answers import derive_answers
-from relq.session import configure
-from relq.sources.tables import read_corpus
+from relq.session import checkpoint_dir, configure
+from relq.sources import jsonl as JL
+from relq.sources.index import read_index, write_index
+from relq.sources.report import to_long
+from relq.sources.tables import read_corpus, read_embeddings, read_table
+from relq.streaming import scoring as ST
+from relq.templates import CHATML, INSTRUCTIONS, MAX_TOKENS, PROMPT_VARIANTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -179,10 +195,6 @@ def summary_similarity(spark, sf_dir):
 
 # ---- retrieval (H26, H27, C5-C7, E4, F1, F3, D9, D10) --------------------------------------
 
-from relq.functions.vectors import fixed_point, l2_normalize, norm  # noqa: E402
-from relq.operators import retrieval as rt  # noqa: E402
-from relq.sources.tables import read_embeddings  # noqa: E402
-
 
 def retrieval_sets(spark, sf_dir):
     """Queries = the first MAX_QUERIES vectors (the evaluator's query limit); index = all the others."""
@@ -236,14 +248,6 @@ def first_queries(spark, sf_dir):
 
 # ---- chat, tokens, masks, batches, loss (H6, H17-H25, E2, E3, D11, D13, D14) -------------
 
-from relq.functions import masks as M  # noqa: E402
-from relq.operators import batches as B  # noqa: E402
-from relq.operators.chat import prompt_column, render_chat, with_answer_key  # noqa: E402
-from relq.operators.loss import weighted_loss as _weighted_loss  # noqa: E402
-from relq.operators.tokens import build_vocab, tokenize  # noqa: E402
-from relq.functions.hashing import hash_u32  # noqa: E402
-from relq.templates import CHATML, MAX_TOKENS  # noqa: E402
-
 
 def chat(spark, sf_dir, version=2, variant="train_s1"):
     s = samples(spark, sf_dir, version).select("sample_id", "instruction", "input", "output")
@@ -365,14 +369,6 @@ def weighted_loss_q(spark, sf_dir):
 
 # ---- sinks and round trips, splits, counts (A3-A9, C8, D12) ------------------------------
 
-import os as _os  # noqa: E402
-import uuid as _uuid  # noqa: E402
-
-from relq.session import checkpoint_dir  # noqa: E402
-from relq.sources import jsonl as JL  # noqa: E402
-from relq.sources.index import read_index, write_index  # noqa: E402
-from relq.sources.report import to_long  # noqa: E402
-
 
 def _scratch(spark, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never a machine-local path on a cluster)."""
@@ -494,8 +490,6 @@ def metric_report(spark, sf_dir):
 
 # ---- text retrieval end to end (J3, F3, F1, C5, D9, D10) ------------------------------------
 
-from relq.functions.models import embed_udf  # noqa: E402
-
 
 def text_index(spark, sf_dir):
     """Embed every corpus document (whole text) with the built-in encoder."""
@@ -523,9 +517,6 @@ def rag_precision_at_k(spark, sf_dir):
 
 # ---- the stage-1 evaluation on a stream -------------------------------------------------
 
-from relq.operators.positions import materialize  # noqa: E402
-from relq.streaming import scoring as ST  # noqa: E402
-
 
 @register("s1_accuracy_stream", _S1)
 def s1_accuracy_stream(spark, sf_dir):
@@ -542,8 +533,6 @@ def s1_accuracy_stream(spark, sf_dir):
 
 # ---- multi-turn chat over the conversations table (H6 per turn) --------------------------
 
-from relq.operators.chat import render_turns  # noqa: E402
-from relq.sources.tables import read_table  # noqa: E402
 
 _TURN_SEG = (f"{S.lit(CHATML['start'])} || role || chr(10) || CASE WHEN role = 'assistant' THEN text || "
              f"{S.lit(CHATML['eos'])} ELSE text END || {S.lit(CHATML['end'])} || chr(10)")
@@ -563,7 +552,6 @@ def conversation_turns(spark, sf_dir):
 
 # ---- evaluation prompts (H6 variants of section 2.11) ---------------------------------------
 
-from relq.templates import INSTRUCTIONS, PROMPT_VARIANTS  # noqa: E402
 
 _EVAL_PROMPTS_SQL = S.with_ctes(S.samples_ctes(2) + [("gold", S.GOLD)], f"""SELECT sample_id,
   md5({S.prompt_sql(PROMPT_VARIANTS['eval_s1'][0], "instruction || chr(10) || input")}) AS eval_s1_md5,

@@ -7,9 +7,11 @@ The fixed values come from ``relq.templates`` so the two sides cannot drift.
 from __future__ import annotations
 
 from relq.functions.text import PY_WHITESPACE
+from relq.operators.tokens import PIECE_RE
 from relq.plans.answers import N_CLASSES
-from relq.templates import (DEFAULT_SEED, INSTRUCTIONS, LABEL_TO_QUERIES, LABEL_TO_TOPIC, LANG_LABELS, NEG_REASONS,
-                            NUM_LABELS, POS_REASONS, SUMMARY_MATCH, SUMMARY_NO_MATCH, SUMMARY_PREFIX)
+from relq.templates import (CHATML, DEFAULT_SEED, INSTRUCTIONS, LABEL_TO_QUERIES, LABEL_TO_TOPIC, LANG_LABELS,
+                            MAX_TOKENS, NEG_REASONS, NUM_LABELS, POS_REASONS, PROMPT_VARIANTS, SUMMARY_MATCH,
+                            SUMMARY_NO_MATCH, SUMMARY_PREFIX)
 
 SEED = DEFAULT_SEED
 NL = "chr(10)"
@@ -230,8 +232,6 @@ FIRST_QUERIES = f"""SELECT query, first_seen, row_number() OVER (ORDER BY first_
 
 # ---- chat, tokens, masks, batches, loss -------------------------------------------------
 
-from relq.templates import CHATML, MAX_TOKENS, PROMPT_VARIANTS  # noqa: E402
-from relq.operators.tokens import PIECE_RE  # noqa: E402
 
 BATCH = 4
 N_KEEP = 5
