@@ -48,13 +48,15 @@ def has_separator(parts: Column) -> Column:
 
 
 def extract_query(inp: Column, strict: bool = False) -> Column:
-    """The query of an input; a missing separator is null, or an error when ``strict``."""
-    parts = split_input(inp)
-    q = query_part(parts)
+    """The query of an input; a missing separator is null, or an error when ``strict``.
+
+    Only the text before the first separator is cut out (the document is not copied)."""
+    found = F.instr(inp, INPUT_SEP) > 0
+    q = py_strip(F.replace(F.substring_index(inp, INPUT_SEP, 1), F.lit(QUERY_MARK), F.lit("")))
     if strict:
-        return F.when(has_separator(parts), q).otherwise(
+        return F.when(found, q).otherwise(
             F.raise_error(F.lit("input has no '\\nDocument:' separator")).cast("string"))
-    return F.when(has_separator(parts), q)
+    return F.when(found, q)
 
 
 def strip_fence(t: Column) -> Column:
