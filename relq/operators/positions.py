@@ -24,7 +24,16 @@ from relq.session import checkpoint_dir
 
 
 def _num_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Range partitions for numbering: the shuffle setting, but not more than the input has.
+
+    AQE does not coalesce a range shuffle with an explicit count, and the input's own
+    partition count follows its size (one split per file block at scale), so a small key
+    table is not cut into hundreds of nearly empty partitions."""
+    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        return max(1, min(conf, df.rdd.getNumPartitions()))
+    except Exception:
+        return conf
 
 
 def _scratch_path(spark, what: str) -> str:
