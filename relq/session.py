@@ -17,14 +17,14 @@ from pyspark.sql import SparkSession
 RUNTIME_CONF = {
     # Python's json keeps the last of duplicate keys; so does the variant parser with this on.
     "spark.sql.variant.allowDuplicateKeys": "true",
-    "spark.sql.session.timeZone": "UTC",
     # Adaptive execution: coalesce small shuffle partitions, split skewed join partitions,
     # and turn a join into a broadcast join only when the runtime size of a side is small.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# Not set: time zone (no timestamps here) and Arrow for toPandas (pandas UDFs use Arrow anyway);
+# both would change how the caller's own session converts results.
 
 
 _SHIPPED: set[int] = set()
