@@ -14,11 +14,13 @@ PY_WHITESPACE = [
 
 _WS_CHARS = "".join(chr(c) for c in PY_WHITESPACE)
 
+# FIXED VALUES of the sample and answer formats: the input separator, the query marker, the
+# code fence an answer may be wrapped in, and the fallback pattern for answers that are not JSON
+# (first "relevant": <bool-ish word>).
 INPUT_SEP = "\nDocument:"
 QUERY_MARK = "Query:"
 FENCE_OPEN = "```json"
 FENCE_CLOSE = "```"
-# Fallback for answers that are not JSON: first "relevant": <bool-ish word>.
 RELEVANT_RE = r'"relevant"\s*:\s*(true|false|True|False)'
 
 

@@ -6,7 +6,7 @@ The fixed values come from ``relq.templates`` so the two sides cannot drift.
 
 from __future__ import annotations
 
-from relq.functions.text import PY_WHITESPACE
+from relq.functions.text import PY_WHITESPACE, RELEVANT_RE
 from relq.operators.tokens import PIECE_RE
 from relq.plans.answers import N_CLASSES
 from relq.templates import (CHATML, DEFAULT_SEED, INSTRUCTIONS, LABEL_TO_QUERIES, LABEL_TO_TOPIC, LANG_LABELS,
@@ -157,7 +157,6 @@ def truthy(x: str) -> str:
       ELSE false END"""
 
 
-RELEVANT_RE = r'"relevant"\s*:\s*(true|false|True|False)'
 
 LENIENT = f"""SELECT sample_id, answer_class,
     CASE WHEN js IS NOT NULL THEN {truthy("json_extract(js, '$.relevant')")}
