@@ -91,3 +91,13 @@ def test_knn_ties_go_to_lower_id(spark):
     q = spark.createDataFrame([(100, [1.0, 0.0])], "query_id long, embedding array<float>")
     got = [r["doc_id"] for r in rt.knn_topk(index, q, k=2).orderBy("rank").collect()]
     assert got == [3, 7]
+
+
+def test_empty_inputs(spark):
+    from relq.operators.positions import grouped_prefix_sum
+    assert with_position(spark.range(0).withColumnRenamed("id", "k"), ["k"]).collect() == []
+    assert grouped_prefix_sum(spark.createDataFrame([], "g long, t long, v long"), "g", "t", "v", "s").collect() == []
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
+    assert rt.knn_topk(spark.createDataFrame([], "doc_id long, embedding array<float>"), q).collect() == []
+    assert rt.knn_topk(q.withColumnRenamed("query_id", "doc_id"),
+                       spark.createDataFrame([], "query_id long, embedding array<float>")).collect() == []
