@@ -289,7 +289,7 @@ def chat_render(spark, sf_dir):
 @register("vocab", S.with_ctes(S.token_ctes(2, "train_s1"), "SELECT piece, count, id FROM vocab"))
 def vocab_q(spark, sf_dir):
     """Vocabulary of the built-in tokenizer over the whole rendered texts."""
-    return token_rows(spark, sf_dir)[1].select("piece", "count", "id")
+    return build_vocab(chat(spark, sf_dir).select("full_text")).select("piece", "count", "id")
 
 
 @register("tokens", S.with_ctes(S.token_ctes(2, "train_s1"), f"""SELECT sample_id, n_prompt, n_full,
