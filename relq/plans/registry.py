@@ -25,7 +25,7 @@ from relq.operators import retrieval as rt
 from relq.operators.chat import prompt_column, render_chat, render_turns, with_answer_key
 from relq.operators.gold import gold_flag, gold_rows
 from relq.operators.loss import weighted_loss as _weighted_loss
-from relq.operators.positions import materialize, slice_rows, with_position
+from relq.operators.positions import materialize, number_by_key, slice_rows, with_position
 from relq.operators.sampling import make_samples, shuffle_order
 from relq.operators.tokens import build_vocab, tokenize
 from relq.plans import sql as S
@@ -420,8 +420,9 @@ def index_roundtrip(spark, sf_dir):
   FROM positions"""))
 def split_leakage(spark, sf_dir):
     """Eval slice [50%:] against train slice [:50%]: overlap by id and by text digest."""
-    corpus = read_corpus(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("h"))
-    pos = with_position(corpus, ["doc_id"])
+    corpus = read_corpus(spark, sf_dir)
+    # number the cheap key column and join, so each text is hashed once (not again for range sampling)
+    pos = number_by_key(corpus.select("doc_id", F.sha2("text", 256).alias("h")), corpus.select("doc_id"), "doc_id")
     half = pos.count() * 50 // 100
     tagged = pos.withColumn("is_train", F.col("pos") < half)
     train_ids = tagged.where("is_train").select("doc_id", F.lit(True).alias("_id_in_train"))
