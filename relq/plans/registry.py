@@ -171,13 +171,16 @@ def majority_baseline(spark, sf_dir):
     return ev.majority_baseline(gold_flag(samples(spark, sf_dir)))
 
 
-@register("s2_rates", S.with_ctes(S.eval_ctes() + [("strict", S.STRICT)], """SELECT count(*) AS samples,
+_S2_SQL = S.with_ctes(S.eval_ctes() + [("strict", S.STRICT)], """SELECT count(*) AS samples,
   round(count_if(json_valid) / count(*), 6) AS json_valid_rate,
   round(count_if(relevance_match) / count(*), 6) AS relevance_agreement,
   round(count_if(reason_complete) / count(*), 6) AS reason_completeness,
   round(count_if(reason_complete AND coalesce(gq = gold_query_topic, false)) / count(*), 6) AS query_topic_accuracy,
   round(count_if(reason_complete AND coalesce(gd = gold_document_topic, false)) / count(*), 6) AS document_topic_accuracy
-  FROM strict"""))
+  FROM strict""")
+
+
+@register("s2_rates", _S2_SQL)
 def s2_rates(spark, sf_dir):
     """The five stage-2 rates over all samples."""
     s = samples(spark, sf_dir)
@@ -577,3 +580,16 @@ def eval_prompts(spark, sf_dir):
                    F.md5(prompt_column("rag", **qd)).alias("rag_md5"),
                    F.md5(prompt_column("smoke", **qd)).alias("smoke_md5"))
     return out
+
+
+@register("s2_rates_stream", _S2_SQL)
+def s2_rates_stream(spark, sf_dir):
+    """Stage-2 rates computed by a Structured Streaming job over the answers as JSONL files
+    (every answer present, so it equals the batch result and shares its oracle)."""
+    s = samples(spark, sf_dir)
+    g = materialize(gold_rows(s))  # the static side, written once
+    ans_dir, out_dir = _scratch(spark, "answers-stream2"), _scratch(spark, "s2-stream-out")
+    derive_answers(g).select("sample_id", "answer").write.mode("overwrite").json(ans_dir)
+    stream = ST.read_answer_stream(spark, ans_dir, max_files_per_trigger=4)
+    ST.run_to_table(ST.s2_metrics(stream, g), out_dir)
+    return spark.read.parquet(out_dir)

@@ -61,3 +61,16 @@ def run_to_table(agg: DataFrame, out_path: str, checkpoint: str | None = None) -
     q = (agg.writeStream.outputMode("complete").foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def s2_metrics(answers: DataFrame, gold: DataFrame) -> DataFrame:
+    """Stage-2 rates over the answers seen so far (same definitions as the batch ``s2_rates``)."""
+    sc = scored_answers(answers, gold)
+    n = F.count(F.lit(1))
+    rate = lambda c: F.round(F.try_divide(F.count_if(c).cast("double"), n.cast("double")), 6)
+    qt = F.col("reason_complete") & F.coalesce(F.col("gen_query_topic") == F.col("gold_query_topic"), F.lit(False))
+    dt = F.col("reason_complete") & F.coalesce(F.col("gen_document_topic") == F.col("gold_document_topic"), F.lit(False))
+    return sc.agg(n.alias("samples"), rate(F.col("json_valid")).alias("json_valid_rate"),
+                  rate(F.col("relevance_match")).alias("relevance_agreement"),
+                  rate(F.col("reason_complete")).alias("reason_completeness"),
+                  rate(qt).alias("query_topic_accuracy"), rate(dt).alias("document_topic_accuracy"))
