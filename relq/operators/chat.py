@@ -84,3 +84,25 @@ def render_turns(turns: DataFrame, markers=CHATML, conv: str = "conv_id", turn:
     t = grouped_prefix_sum(t, conv, turn, "seg_len", "_end", chunk=chunk)
     return t.select(conv, turn, role, "segment", "seg_len", (F.col("_end") - F.col("seg_len")).alias("char_start"),
                     (F.col(role) == "assistant").alias("is_target"))
+
+
+def conversation_masks(turns: DataFrame, max_len: int = 192, markers=CHATML, chunk: int = 1024,
+                       conv: str = "conv_id") -> DataFrame:
+    """H18-H20 over multi-turn conversations: tokens kept in the ``max_len`` window and how many of
+    them are training targets (assistant turns), per conversation.
+
+    Each turn's segment is tokenized on its own (segments end with a newline before the next
+    start marker, so the pieces are those of the whole conversation); token offsets come from
+    the skew-safe grouped prefix sum, and the per-conversation totals are a partial aggregation.
+    """
+    from relq.operators.positions import grouped_prefix_sum
+    from relq.operators.tokens import pieces
+    r = render_turns(turns, markers, chunk=chunk)
+    r = r.withColumn("n_pieces", F.size(pieces(F.col("segment"))).cast("long"))
+    r = grouped_prefix_sum(r.select(conv, "turn", "is_target", "n_pieces"), conv, "turn", "n_pieces", "_tok_end", chunk)
+    start = F.col("_tok_end") - F.col("n_pieces")
+    kept = F.greatest(F.lit(0), F.least(F.col("n_pieces"), F.lit(max_len) - start))
+    return r.groupBy(conv).agg(
+        F.sum(kept).cast("long").alias("n_tokens"),
+        F.sum(F.when(F.col("is_target"), kept).otherwise(0)).cast("long").alias("n_target"),
+        (F.max("_tok_end") > max_len).alias("truncated"))

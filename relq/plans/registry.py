@@ -22,7 +22,7 @@ from relq.functions.vectors import fixed_point, l2_normalize, norm
 from relq.operators import batches as B
 from relq.operators import evaluation as ev
 from relq.operators import retrieval as rt
-from relq.operators.chat import prompt_column, render_chat, render_turns, with_answer_key
+from relq.operators.chat import conversation_masks, prompt_column, render_chat, render_turns, with_answer_key
 from relq.operators.gold import gold_flag, gold_rows
 from relq.operators.loss import weighted_loss as _weighted_loss
 from relq.operators.positions import materialize, number_by_key, slice_rows, with_position
@@ -593,3 +593,15 @@ def s2_rates_stream(spark, sf_dir):
     stream = ST.read_answer_stream(spark, ans_dir, max_files_per_trigger=4)
     ST.run_to_table(ST.s2_metrics(stream, g), out_dir)
     return spark.read.parquet(out_dir)
+
+
+@register("conversation_masks", f"""SELECT conv_id, sum(kept)::BIGINT AS n_tokens,
+  sum(CASE WHEN role = 'assistant' THEN kept ELSE 0 END)::BIGINT AS n_target, max(tok_end) > {MAX_TOKENS} AS truncated
+  FROM (SELECT *, greatest(0, least(n_pieces, {MAX_TOKENS} - (tok_end - n_pieces))) AS kept FROM (
+    SELECT *, sum(n_pieces) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tok_end
+    FROM (SELECT conv_id, turn, role, len(regexp_extract_all({_TURN_SEG}, {S.lit(S.PIECE_RE)}))::BIGINT AS n_pieces
+          FROM conversations)))
+  GROUP BY conv_id""")
+def conversation_masks_q(spark, sf_dir):
+    """H18-H20 on conversations: tokens in the 192-token window and assistant target tokens per conversation."""
+    return conversation_masks(read_table(spark, sf_dir, "conversations"), MAX_TOKENS, chunk=64)

@@ -44,3 +44,18 @@ def test_tokenizer_slot(spark):
     r = df.select(tokenize_udf(_WhitespaceTok, max_len=2)(F.col("t")).alias("k")).collect()
     assert r[0]["k"]["input_ids"] == [1, 2] and r[0]["k"]["offsets"] == [0, 2]
     assert r[1]["k"]["input_ids"] == [4]
+
+
+def test_conversation_tokens_match_whole_text(spark):
+    from conftest import SF_SMALL
+    from relq.operators.chat import conversation_masks
+    from relq.operators.tokens import pieces
+    from relq.sources.tables import read_table
+    turns = read_table(spark, SF_SMALL, "conversations")
+    got = {r["conv_id"]: (r["n_tokens"], r["truncated"]) for r in conversation_masks(turns, 192, chunk=2).collect()}
+    segs = {}
+    for r in render_turns(turns).orderBy("conv_id", "turn").collect():
+        segs[r["conv_id"]] = segs.get(r["conv_id"], "") + r["segment"]
+    whole = spark.createDataFrame(list(segs.items()), "conv_id long, t string")
+    n = {r[0]: r[1] for r in whole.select("conv_id", F.size(pieces(F.col("t")))).collect()}
+    assert got == {c: (min(v, 192), v > 192) for c, v in n.items()}
