@@ -44,3 +44,12 @@ def test_jobs_end_to_end(spark):
     per_q = spark.read.parquet(p("rag"))
     assert per_q.count() == 10
     assert spark.read.parquet(p("rag_mean")).first()["queries"] == 10
+
+
+def test_jobs_cli(spark):
+    d = tempfile.mkdtemp(prefix="relq-test-cli-")
+    read_corpus(spark, SF_SMALL).write.parquet(os.path.join(d, "corpus"))
+    JB.main(["generate", os.path.join(d, "corpus"), os.path.join(d, "v1.jsonl"), "--opt", "version=1",
+             "--opt", "stop=10"])
+    rows = read_samples(spark, os.path.join(d, "v1.jsonl")).collect()
+    assert len(rows) == 20 and all('"reason": "' in r["output"] for r in rows)
