@@ -62,3 +62,26 @@ def test_head_rows(spark):
     assert [r[0] for r in head_rows(corpus, "doc_id", 5).select("doc_id").collect()] == ids[:5]
     with pytest.raises(ValueError):
         head_rows(corpus, "doc_id", len(ids) + 1, require_full=True)
+
+
+def test_draws_are_roughly_uniform(spark):
+    from collections import Counter
+    s = make_samples(read_corpus(spark, "/root/testdata/sf0.01")).collect()
+    neg = Counter((r["label"], r["query_label"]) for r in s if not r["relevant"])
+    for lab in range(4):
+        others = [neg[(lab, o)] for o in range(4) if o != lab]
+        total = sum(others)
+        if total >= 100:  # skewed classes still draw each other label about a third of the time
+            assert all(0.2 < c / total < 0.47 for c in others), (lab, others)
+    instr = Counter(r["instruction"] for r in s)
+    assert len(instr) == 4 and all(0.18 < c / len(s) < 0.32 for c in instr.values())
+
+
+def test_fixed_vocabulary_json_refuses_escapes(spark):
+    import pytest
+    from pyspark.sql import functions as F
+    from relq.functions.jsonfmt import json_fixed
+    with pytest.raises(ValueError):
+        json_fixed(F.col("x"), ['a "quoted" word'])
+    df = spark.createDataFrame([("world",), (None,)], "x string")
+    assert [r[0] for r in df.select(json_fixed(F.col("x"), ["world"])).collect()] == ['"world"', "null"]
