@@ -2,7 +2,7 @@
 
 Scoring is a blocked scan: the query matrix (size-checked, bounded by the number
 of queries, never by the corpus) is broadcast; each task multiplies its Arrow
-batches of index vectors by it with numpy and keeps a running top-k per query,
+batches of index vectors (``mapInArrow``, no Python object per vector) by it with numpy and keeps a running top-k per query,
 so a task emits at most k rows per query and no (query, document) pair is ever a
 row.  The final top-k per query merges k rows per task (E4).  Ties go to the
 lower document id, in the task and in the merge alike.
@@ -68,21 +68,39 @@ def _merge_topk(best_sc: np.ndarray, best_id: np.ndarray, sc: np.ndarray, ids: n
     return new_sc, new_id
 
 
-def _scorer(bq, k: int, id_col: str, vec_col: str):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scorer(bq, k: int, id_col: str, vec_col: str, dim: int):
+    """Arrow batches in, one small batch of (query_id, doc_id, score) out per task.
+
+    The list column is flattened into one ``(rows, dim)`` matrix without a Python object per
+    vector; rows whose vector is null or of another length are skipped."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def score(batches):
         qids, qmat = bq.value
         nq = len(qids)
         best_sc = np.empty((0, nq), dtype=np.float64)
         best_id = np.empty((0, nq), dtype=np.int64)
-        for pdf in batches:
-            if pdf.empty:
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            ids = pdf[id_col].to_numpy(dtype=np.int64)
-            x = _unit_rows(np.stack(pdf[vec_col].to_numpy()).astype(np.float64))
+            vecs = rb.column(vec_col)
+            ok = pc.and_(pc.is_valid(vecs), pc.equal(pc.list_value_length(vecs), dim))
+            if not pc.all(ok).as_py():
+                rb = rb.filter(ok)
+                if rb.num_rows == 0:
+                    continue
+                vecs = rb.column(vec_col)
+            ids = rb.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            x = _unit_rows(flat.reshape(rb.num_rows, dim))
             best_sc, best_id = _merge_topk(best_sc, best_id, x @ qmat.T, ids, k)  # (rows, queries) scores
         r = best_sc.shape[0]
-        yield pd.DataFrame({"query_id": np.repeat(qids[None, :], r, axis=0).ravel(order="F"),
-                            "doc_id": best_id.ravel(order="F"), "score": best_sc.ravel(order="F")})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(qids[None, :], r, axis=0).ravel(order="F"), pa.int64()),
+             pa.array(best_id.ravel(order="F"), pa.int64()),
+             pa.array(best_sc.ravel(order="F"), pa.float64())],
+            names=["query_id", "doc_id", "score"])
     return score
 
 
@@ -113,7 +131,7 @@ def knn_topk(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "do
         qids = np.array([r["_qid"] for r in rows], dtype=np.int64)
         qmat = _unit_rows(np.array([r["_qv"] for r in rows], dtype=np.float64).reshape(len(rows), dim))
         bq = spark.sparkContext.broadcast((qids, qmat))
-        parts.append(index.select(id_col, vec_col).mapInPandas(_scorer(bq, k, id_col, vec_col), HITS_SCHEMA))
+        parts.append(index.select(id_col, vec_col).mapInArrow(_scorer(bq, k, id_col, vec_col, dim), HITS_SCHEMA))
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)

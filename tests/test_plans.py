@@ -18,7 +18,7 @@ def test_no_query_pairs_all_rows(spark):
 def test_topk_limits_before_the_exchange(spark):
     import __spark_entry__ as E
     plan = _plan(E.queries()["knn_topk"](spark, SF_SMALL))
-    assert "WindowGroupLimit" in plan and "Partial" in plan and "MapInPandas" in plan
+    assert "WindowGroupLimit" in plan and "Partial" in plan and "MapInArrow" in plan
     # the partial limit sits below the exchange on query_id
     assert plan.index("Exchange hashpartitioning(query_id") < plan.rindex("WindowGroupLimit")
 
