@@ -31,7 +31,7 @@ _SHIPPED: set[int] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``relq`` importable in Python workers (pandas UDFs, mapInPandas) on every executor."""
+    """Make ``relq`` importable in Python workers (pandas UDFs, mapInArrow) on every executor."""
     sc = spark.sparkContext
     if id(sc) in _SHIPPED:
         return
