@@ -101,3 +101,13 @@ def test_empty_inputs(spark):
     assert rt.knn_topk(spark.createDataFrame([], "doc_id long, embedding array<float>"), q).collect() == []
     assert rt.knn_topk(q.withColumnRenamed("query_id", "doc_id"),
                        spark.createDataFrame([], "query_id long, embedding array<float>")).collect() == []
+
+
+def test_spread_only_fans_out_small_scans(spark):
+    from relq.sources.tables import spread
+    par = spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 1000, numPartitions=par * 2)
+    assert spread(wide, "id") is wide  # enough splits already: no shuffle added
+    narrow = spark.range(0, 1000, numPartitions=1)
+    out = spread(narrow, "id")
+    assert out.rdd.getNumPartitions() == par and sorted(r[0] for r in out.collect()) == list(range(1000))
