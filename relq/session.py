@@ -8,6 +8,7 @@ runtime SQL options on it.  Nothing here creates a session except
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -27,13 +28,10 @@ RUNTIME_CONF = {
 # both would change how the caller's own session converts results.
 
 
-_SHIPPED: set[int] = set()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make ``relq`` importable in Python workers (pandas UDFs, mapInArrow) on every executor."""
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if getattr(sc, "_relq_shipped", False):  # on the context itself: an id() can be reused after a stop
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     fd, path = tempfile.mkstemp(prefix="relq-", suffix=".zip")
@@ -45,16 +43,13 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(path)
-    _SHIPPED.add(id(sc))
+    sc._relq_shipped = True
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime options and ship the package; safe to call repeatedly."""
     for key, value in RUNTIME_CONF.items():
-        try:
-            spark.conf.set(key, value)
-        except Exception:  # a locked/static conf on some deployments; the default then applies
-            pass
+        spark.conf.set(key, value)  # an option that cannot be set is an error: answers would change
     ship_package(spark)
     return spark
 
@@ -62,10 +57,13 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests, local runs) do we pick a scratch folder.
+    Only a local master without one (tests, single machine) gets a scratch folder; on a cluster
+    the executors would write to their own disks, so a missing setting is an error there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="relq-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
     elif not spark.sparkContext.getCheckpointDir():
