@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from relq.llm.decontam import OP9_SQL, op9_decontamination
 from relq.llm.simhash import op10_simhash
 
 QUERIES = {
+    "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_decontamination": OP9_SQL,
+}
