@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from relq.operators.positions import materialize
 from relq.session import checkpoint_dir, configure
 
-__all__ = ["materialize", "read", "training_row", "to_hex64", "batches_of"]
+__all__ = ["materialize", "read", "labelled_sample", "training_row", "to_hex64", "batches_of"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +36,20 @@ def batches_of(arrays: dict[str, object], schema: pa.Schema, rows: int = 65536)
     n = len(next(iter(arrays.values())))
     for at in range(0, n, rows):
         yield pa.record_batch([pa.array(arrays[f.name][at:at + rows], type=f.type) for f in schema], schema=schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int,
+                    modulus: int = 5, held_out: int = 0) -> DataFrame:
+    """``(doc_id, label, text)`` of at most ``per_class`` training rows of either label.
+
+    The rows are those with the smallest hashes of their id, so the sample is the same however the
+    tables are cut.  Labels other than 0 and 1, null ids and held-out ids are left out; an id that
+    the labels repeat counts once, with its largest label.  The ids are few (``2 * per_class``) and broadcast.
+    """
+    known = (labels.where(training_row(F.col(id_col), modulus, held_out) & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
+             .groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("label")))
+    order = F.xxhash64("__id", F.lit(17))
+    picked = known.where("label = 0").orderBy(order).limit(per_class).unionByName(
+        known.where("label = 1").orderBy(order).limit(per_class))
+    return (docs.join(F.broadcast(picked), F.col(id_col).cast("long") == F.col("__id"))
+            .select(F.col("__id").alias("doc_id"), "label", F.col(text_col).alias("text")))

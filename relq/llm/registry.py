@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from relq.llm.decontam import OP9_SQL, op9_decontamination
+from relq.llm.quality import op2_quality
 from relq.llm.simhash import op10_simhash
+from relq.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op2_quality": op2_quality,
+    "op5_toxicity": op5_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
 }
