@@ -203,15 +203,17 @@ def near_links(fps: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFra
 
     rows = fps.select("fp").mapInArrow(keys, "key long, side byte, fp long")
     left = F.col("side") == 0
-    useful = (rows.groupBy("key")
-              .agg(F.count_if(left).alias("nl"), F.count_if(~left).alias("nr"),
-                   F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-              .where("nl > 0 and nr > 0 and lo <> hi")
-              .select(F.col("key").alias("k"), F.ceil(F.col("nl") / block).alias("bl"),
-                      F.ceil(F.col("nr") / block).alias("br")))
-    own = F.pmod(F.xxhash64("fp"), F.when(left, F.col("bl")).otherwise(F.col("br"))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), (F.when(left, F.col("br")).otherwise(F.col("bl")) - 1).cast("int")))
-    blocks = (rows.join(useful, F.col("key") == F.col("k"))
+    # keys with more rows than a block (one in ``block`` rows at most); written, so that their real size is
+    # known when the join is planned
+    hot = materialize(rows.groupBy("key").agg(F.count_if(left).alias("nl"), F.count_if(~left).alias("nr"))
+                      .where(F.greatest("nl", "nr") > block)
+                      .select(F.col("key").alias("k"), F.ceil(F.col("nl") / block).alias("bl"),
+                              F.ceil(F.col("nr") / block).alias("br")))
+    # one block for most keys; of a hot key, every left block meets every right block
+    bl, br = (F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)) for c in ("bl", "br"))
+    own = F.pmod(F.xxhash64("fp"), F.when(left, bl).otherwise(br)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), (F.when(left, br).otherwise(bl) - 1).cast("int")))
+    blocks = (rows.join(hot, F.col("key") == F.col("k"), "left")
               .select("key", "side", "fp", own.alias("own"), other.alias("other"))
               .select("key", F.when(left, F.col("own")).otherwise(F.col("other")).alias("i"),
                       F.when(left, F.col("other")).otherwise(F.col("own")).alias("j"), "side", "fp")
