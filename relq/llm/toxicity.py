@@ -182,16 +182,35 @@ class Matcher:
             for marks, (_, weight) in zip(self.grammar.run([c for c, _ in tags]), tags):
                 for m in marks:
                     total[m] += weight
-        return np.log1p([total[e] for e in EVENTS])
+        return np.log1p([max(0.0, total[e]) for e in EVENTS])
 
 
-def learn_lexicon(rows: DataFrame, min_g2: float = 20.0, min_ratio: float = 20.0, keep: float = 0.95) -> Lexicon:
+def _choose(found: dict, keep: float) -> dict[str, tuple[float, bool]]:
+    """Stems by falling significance, none a prefix of another; see :func:`learn_lexicon`."""
+    stems: dict[str, tuple[float, bool]] = {}
+    taken: set[str] = set()  # chosen stems and their prefixes
+    for s in sorted((s for s in found if not s.endswith("$")), key=lambda s: (-found[s].g2, len(s), s)):
+        if s in taken or any(s[:n] in stems for n in range(3, len(s))):
+            continue
+        while True:
+            longer = [t for t in found if len(t) == len(s) + 1 and t.startswith(s) and not t.endswith("$") and found[t].bad >= keep * found[s].bad]
+            if not longer:
+                break
+            s = longer[0]
+        whole = s + "$" in found and found[s + "$"].bad >= keep * found[s].bad
+        stems[s] = (float(min(found[s].weight, 6.0)), whole)
+        taken.update(s[:n] for n in range(3, len(s) + 1))
+    return stems
+
+
+def learn_lexicon(rows: DataFrame, min_g2: float = 24.0, min_ratio: float = 8.0, keep: float = 0.95, word_rows: int = 10) -> Lexicon:
     """Insult stems from ``(label, text)`` rows.
 
     Copies would make all of their words look toxic, so of rows that share any of four MinHashes
     of word triples one stays.  A stem (3 letters or more) qualifies by the G-statistic of its rows
-    and by the ratio of its smoothed shares.  Of a chain of qualifying stems the longest that keeps
-    ``keep`` of the support is taken; if that is a word, it matches whole words only.
+    and by the ratio of its smoothed shares.  Of stems that contain one another the most significant is
+    taken, lengthened while ``keep`` of its support stays; if that makes a word, it matches whole words only.  A whole word
+    of a stem's family that ``word_rows`` rows hold has its own weight, which may be below zero.
     """
     schema = "label int, words array<string>, m1 long, m2 long, m3 long, m4 long"
     seeds = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -223,23 +242,20 @@ def learn_lexicon(rows: DataFrame, min_g2: float = 20.0, min_ratio: float = 20.0
         share = (x + y) / F.lit(float(max(1, bad + good)))
         g2 = 2 * (x * F.log(x / (share * bad)) + F.when(y > 0, y * F.log(y / (share * good))).otherwise(0.0))
         ratio = ((x + 0.5) / (bad + 1)) / ((y + 0.5) / (good + 1))
-        found = (docs.select("label", stem.alias("stem")).groupBy("stem")
-                 .agg(F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good"))
-                 .where((x > 0) & (g2 >= min_g2) & (ratio >= min_ratio))
-                 .select("stem", "bad", F.log(ratio).alias("weight")).collect())
+        counts = (docs.select("label", stem.alias("stem")).groupBy("stem")
+                  .agg(F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good")))
+        found = {r.stem: r for r in counts.where((x > 0) & (g2 >= min_g2) & (ratio >= min_ratio))
+                 .select("stem", "bad", g2.alias("g2"), F.log(ratio).alias("weight")).collect()}
+        stems = _choose(found, keep)
+        families = [s for s, (_, whole) in stems.items() if not whole]
+        words = [] if not families else (counts.where(F.col("stem").endswith("$") & (x + y >= word_rows) & F.col("stem").rlike(
+            "^(" + "|".join(map(re.escape, families)) + ")")).select("stem", F.log(ratio).alias("weight")).collect())
     finally:
         docs.unpersist()
-    support = {r.stem: r.bad for r in found}
-    weight = {r.stem: r.weight for r in found}
-    stems: dict[str, tuple[float, bool]] = {}
-    for s in sorted((s for s in support if not s.endswith("$") and s[:-1] not in support), key=len):
-        while True:
-            longer = [t for t in support if len(t) == len(s) + 1 and t.startswith(s) and support[t] >= keep * support[s]]
-            if not longer or longer[0].endswith("$"):
-                break
-            s = longer[0]
-        whole = support.get(s + "$", 0) >= keep * support[s]
-        stems[s] = (float(min(weight[s], 6.0)), whole)
+    for r in words:
+        w = r.stem[:-1]
+        if w not in stems:
+            stems[w] = (float(min(r.weight, 6.0)), True)
     return Lexicon(stems)
 
 
@@ -257,12 +273,18 @@ def fit_events(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50
     """Logistic regression around the prior weights (Newton steps)."""
     prior = np.append(PRIOR, PRIOR_BIAS)
     w = prior.copy()
+
+    def loss(v):
+        m = z @ v
+        return (np.logaddexp(0, m) - y * m).sum() + ridge / 2 * ((v - prior) ** 2).sum()
     z = np.column_stack([x, np.ones(len(x))]) if len(x) else np.zeros((0, len(prior)))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
         grad = z.T @ (y - p) - ridge * (w - prior)
         hess = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
+            step /= 2
         w = w + step
         if np.abs(step).max() < 1e-7:
             break
