@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from relq.llm.decontam import OP9_SQL, op9_decontamination
+from relq.llm.packing import op6_packing
 from relq.llm.quality import op2_quality
 from relq.llm.simhash import op10_simhash
 from relq.llm.toxicity import op5_toxicity
@@ -10,6 +11,7 @@ from relq.llm.toxicity import op5_toxicity
 QUERIES = {
     "op2_quality": op2_quality,
     "op5_toxicity": op5_toxicity,
+    "op6_packing": op6_packing,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
 }
