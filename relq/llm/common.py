@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from relq.operators.positions import materialize
 from relq.session import checkpoint_dir, configure
 
-__all__ = ["materialize", "read", "labelled_sample", "training_row", "to_hex64", "batches_of"]
+__all__ = ["materialize", "read", "filter_rows", "labelled_sample", "training_row", "to_hex64", "batches_of"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,22 @@ def batches_of(arrays: dict[str, object], schema: pa.Schema, rows: int = 65536)
         yield pa.record_batch([pa.array(arrays[f.name][at:at + rows], type=f.type) for f in schema], schema=schema)
 
 
+def filter_rows(docs: DataFrame, text_col: str, make_keep) -> DataFrame:
+    """``docs`` with its own columns, without the rows that a test of the text rejects: no shuffle, no join.
+
+    ``make_keep()`` runs once a task and returns ``keep(texts) -> boolean array``.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make_keep()
+        for b in it:
+            if b.num_rows:
+                yield b.filter(pa.array(keep(b.column(at).to_pylist())))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int,
                     modulus: int = 5, held_out: int = 0) -> DataFrame:
     """``(doc_id, label, text)`` of at most ``per_class`` training rows of either label.

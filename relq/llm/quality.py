@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relq.llm.common import labelled_sample, read, training_row
+from relq.llm.common import filter_rows, labelled_sample, read, training_row
 
 CUT = 0.3  # scores from here on predict label 1
 SYMBOLS = b"#$%&*!|<>{}=/\\_~^@+"
@@ -170,6 +170,12 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
             .mapInArrow(run, "doc_id long, text_hash long, score double, predicted int"))
 
 
+def reject_low_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, without the rows that the model predicts 0 for."""
+    return filter_rows(docs, text_col, lambda: lambda texts: model.score(
+        np.array([features(t and t.encode()) for t in texts])) >= CUT)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = fit_quality(docs, read(spark, sf_dir, "labels"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relq.llm.common import labelled_sample, read, training_row
+from relq.llm.common import filter_rows, labelled_sample, read, training_row
 
 CUT = 0.5
 
@@ -332,6 +332,14 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             .mapInArrow(run, "doc_id long, text_hash long, score double, predicted int"))
 
 
+def reject_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, without the rows that the model predicts 1 for."""
+    def keep():
+        matcher = Matcher(model.lexicon)
+        return lambda texts: model.score(np.array([matcher.events(t) for t in texts])) < CUT
+    return filter_rows(docs, text_col, keep)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = fit_toxicity(docs, read(spark, sf_dir, "labels"))
