@@ -49,7 +49,7 @@ def test_grammar_marks_clauses():
     assert marks("this is not an idiot") == {"insult", "negated"}
     assert marks("the man said an idiot came") == {"insult", "reported"}
     assert marks("what a “ loweiisch ” word") == {"insult", "reported"}
-    assert marks("i will hurt the dog") == {"threat"} == marks("hurt you") == marks("they hurt")
+    assert marks("i will hurt the dog") == {"threat"} == marks("hurt you") and marks("they hurt") == {"threat", "aimed"}
     assert marks("it may hurt") == set() == marks("not you said")
     assert m.events("x. You IDIOT! y idiotic")[0] == np.log1p(5) and m.events("loweix lowei")[0] == np.log1p(8)
     assert m.events("xlowei idiots")[0] == 0 and not m.events(None).any() and not m.events("").any()
