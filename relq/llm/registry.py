@@ -5,10 +5,12 @@ from __future__ import annotations
 from relq.llm.decontam import OP9_SQL, op9_decontamination
 from relq.llm.packing import op6_packing
 from relq.llm.quality import op2_quality
+from relq.llm.sharding import op1_sharding
 from relq.llm.simhash import op10_simhash
 from relq.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
