@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from relq.llm.chatmask import OP3_SQL, op3_chat
 from relq.llm.decontam import OP9_SQL, op9_decontamination
 from relq.llm.packing import op6_packing
 from relq.llm.quality import op2_quality
@@ -12,6 +13,7 @@ from relq.llm.toxicity import op5_toxicity
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
+    "op3_chat": op3_chat,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op9_decontamination": op9_decontamination,
@@ -19,5 +21,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_chat": OP3_SQL,
     "op9_decontamination": OP9_SQL,
 }
