@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from relq.llm.chatmask import OP3_SQL, op3_chat
 from relq.llm.decontam import OP9_SQL, op9_decontamination
+from relq.llm.minhash import op4_fingerprints
 from relq.llm.packing import op6_packing
 from relq.llm.quality import op2_quality
 from relq.llm.sharding import op1_sharding
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
     "op3_chat": op3_chat,
+    "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op9_decontamination": op9_decontamination,
