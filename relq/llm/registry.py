@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from relq.llm.chatmask import OP3_SQL, op3_chat
 from relq.llm.decontam import OP9_SQL, op9_decontamination
+from relq.llm.langid import op8_language
 from relq.llm.minhash import op4_fingerprints
 from relq.llm.packing import op6_packing
 from relq.llm.quality import op2_quality
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
+    "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
 }
