@@ -10,6 +10,7 @@ from relq.llm.packing import op6_packing
 from relq.llm.quality import op2_quality
 from relq.llm.sharding import op1_sharding
 from relq.llm.simhash import op10_simhash
+from relq.llm.suffixtree import op7_suffix_tree
 from relq.llm.toxicity import op5_toxicity
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
+    "op7_suffix_tree": op7_suffix_tree,
     "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
