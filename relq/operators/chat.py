@@ -67,6 +67,12 @@ def with_answer_key(df: DataFrame) -> DataFrame:
               .withColumn("prefix_ok", F.col("full_text").startswith(F.col("prompt_text"))))
 
 
+def turn_segment(markers=CHATML, role: str = "role", text: str = "text"):
+    """The chat text of one turn."""
+    content = F.when(F.col(role) == "assistant", F.concat(F.col(text), F.lit(markers["eos"]))).otherwise(F.col(text))
+    return F.concat(F.lit(markers["start"]), F.col(role), F.lit("\n"), content, F.lit(f"{markers['end']}\n"))
+
+
 def render_turns(turns: DataFrame, markers=CHATML, conv: str = "conv_id", turn: str = "turn", role: str = "role",
                  text: str = "text", chunk: int = 1024) -> DataFrame:
     """H6 over multi-turn conversations, one row per turn.
@@ -78,9 +84,7 @@ def render_turns(turns: DataFrame, markers=CHATML, conv: str = "conv_id", turn:
     spreads over many tasks.
     """
     from relq.operators.positions import grouped_prefix_sum
-    content = F.when(F.col(role) == "assistant", F.concat(F.col(text), F.lit(markers["eos"]))).otherwise(F.col(text))
-    seg = F.concat(F.lit(markers["start"]), F.col(role), F.lit("\n"), content, F.lit(f"{markers['end']}\n"))
-    t = turns.select(conv, turn, role, seg.alias("segment")).withColumn("seg_len", F.length("segment").cast("long"))
+    t = turns.select(conv, turn, role, turn_segment(markers, role, text).alias("segment")).withColumn("seg_len", F.length("segment").cast("long"))
     t = grouped_prefix_sum(t, conv, turn, "seg_len", "_end", chunk=chunk)
     return t.select(conv, turn, role, "segment", "seg_len", (F.col("_end") - F.col("seg_len")).alias("char_start"),
                     (F.col(role) == "assistant").alias("is_target"))
@@ -97,9 +101,9 @@ def conversation_masks(turns: DataFrame, max_len: int = 192, markers=CHATML, chu
     """
     from relq.operators.positions import grouped_prefix_sum
     from relq.operators.tokens import pieces
-    r = render_turns(turns, markers, chunk=chunk)
-    r = r.withColumn("n_pieces", F.size(pieces(F.col("segment"))).cast("long"))
-    r = grouped_prefix_sum(r.select(conv, "turn", "is_target", "n_pieces"), conv, "turn", "n_pieces", "_tok_end", chunk)
+    r = turns.select(conv, "turn", (F.col("role") == "assistant").alias("is_target"),
+                     F.size(pieces(turn_segment(markers))).cast("long").alias("n_pieces"))
+    r = grouped_prefix_sum(r, conv, "turn", "n_pieces", "_tok_end", chunk)
     start = F.col("_tok_end") - F.col("n_pieces")
     kept = F.greatest(F.lit(0), F.least(F.col("n_pieces"), F.lit(max_len) - start))
     return r.groupBy(conv).agg(

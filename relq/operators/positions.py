@@ -23,17 +23,17 @@ from pyspark.sql import functions as F
 from relq.session import checkpoint_dir
 
 
+PARTITION_BYTES = 128 << 20
+
+
 def _num_partitions(df: DataFrame) -> int:
-    """Range partitions for numbering: the shuffle setting, but not more than the input has.
+    """Range partitions for numbering: at least the shuffle setting, more as the planned size asks for.
 
-    AQE does not coalesce a range shuffle with an explicit count, and the input's own
-    partition count follows its size (one split per file block at scale), so a small key
-    table is not cut into hundreds of nearly empty partitions."""
-    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        return max(1, min(conf, df.rdd.getNumPartitions()))
-    except Exception:
-        return conf
+    The size is the optimizer's estimate (no job), so partitions stay near ``PARTITION_BYTES``
+    however large the input is."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PARTITION_BYTES), 1_000_000))
 
 
 def _scratch_path(spark, what: str) -> str:
@@ -96,6 +96,8 @@ def _bound(b, total: int | None):
         if not m:
             raise ValueError(f"slice bound must be an int or 'N%': {b!r}")
         return int(total * float(m.group(1)) // 100)
+    if int(b) < 0:
+        raise ValueError(f"slice bounds are counted from the start: {b!r}")
     return int(b)
 
 

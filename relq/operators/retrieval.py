@@ -1,7 +1,7 @@
 """Exact top-k retrieval and precision at k.
 
-Scoring is a blocked scan: the query matrix (size-checked, bounded by the number
-of queries, never by the corpus) is broadcast; each task multiplies its Arrow
+Scoring is a blocked scan: the query matrix (the stated query set, size-checked, never
+growing with the corpus) is broadcast; each task multiplies its Arrow
 batches of index vectors (``mapInArrow``, no Python object per vector) by it with numpy and keeps a running top-k per query,
 so a task emits at most k rows per query and no (query, document) pair is ever a
 row.  The final top-k per query merges k rows per task (E4).  Ties go to the
@@ -10,18 +10,18 @@ lower document id, in the task and in the merge alike.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relq.functions.text import extract_query
+from relq.operators.positions import with_position
 
-# Upper bound on the broadcast query matrix; beyond it queries are scored in chunks.
-MAX_QUERY_BYTES = 64 << 20
+# The query matrix is broadcast, so it must be of a checked size; a larger set is an error, to be scored in parts.
+MAX_QUERY_BYTES = 512 << 20
+# Queries that a task scores at once: a memory tile with no influence on the result.
+QUERY_TILE = 1024
 
 HITS_SCHEMA = "query_id long, doc_id long, score double"
 
@@ -72,35 +72,31 @@ def _scorer(bq, k: int, id_col: str, vec_col: str, dim: int):
     """Arrow batches in, one small batch of (query_id, doc_id, score) out per task.
 
     The list column is flattened into one ``(rows, dim)`` matrix without a Python object per
-    vector; rows whose vector is null or of another length are skipped."""
+    vector; a vector that is null or of another length fails the job.  Queries are scored in tiles,
+    so a task holds (rows of a batch) x (a tile) scores at a time."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     def score(batches):
         qids, qmat = bq.value
-        nq = len(qids)
-        best_sc = np.empty((0, nq), dtype=np.float64)
-        best_id = np.empty((0, nq), dtype=np.int64)
+        tiles = [slice(a, a + QUERY_TILE) for a in range(0, len(qids), QUERY_TILE)]
+        best = [(np.empty((0, len(qids[t]))), np.empty((0, len(qids[t])), dtype=np.int64)) for t in tiles]
         for rb in batches:
             if rb.num_rows == 0:
                 continue
             vecs = rb.column(vec_col)
-            ok = pc.and_(pc.is_valid(vecs), pc.equal(pc.list_value_length(vecs), dim))
-            if not pc.all(ok).as_py():
-                rb = rb.filter(ok)
-                if rb.num_rows == 0:
-                    continue
-                vecs = rb.column(vec_col)
+            if not pc.all(pc.fill_null(pc.equal(pc.list_value_length(vecs), dim), False)).as_py():
+                raise ValueError(f"an index vector is null or has not the queries' {dim} dimensions")
             ids = rb.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            x = _unit_rows(flat.reshape(rb.num_rows, dim))
-            best_sc, best_id = _merge_topk(best_sc, best_id, x @ qmat.T, ids, k)  # (rows, queries) scores
-        r = best_sc.shape[0]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(qids[None, :], r, axis=0).ravel(order="F"), pa.int64()),
-             pa.array(best_id.ravel(order="F"), pa.int64()),
-             pa.array(best_sc.ravel(order="F"), pa.float64())],
-            names=["query_id", "doc_id", "score"])
+            x = _unit_rows(vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rb.num_rows, dim))
+            for i, t in enumerate(tiles):
+                best[i] = _merge_topk(*best[i], x @ qmat[t].T, ids, k)  # (rows, queries of the tile)
+        for t, (best_sc, best_id) in zip(tiles, best):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(qids[t][None, :], best_sc.shape[0], axis=0).ravel(order="F"), pa.int64()),
+                 pa.array(best_id.ravel(order="F"), pa.int64()),
+                 pa.array(best_sc.ravel(order="F"), pa.float64())],
+                names=["query_id", "doc_id", "score"])
     return score
 
 
@@ -109,54 +105,52 @@ def knn_topk(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "do
              max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
     """the k best index rows per query by inner product of L2-normalised vectors.
 
-    Returns ``(query_id, rank, doc_id, score)``; rank is 1-based.  Queries are
-    collected only after their size is checked; a query set larger than
-    ``max_query_bytes`` is scored in chunks, each one more scan of the index.
+    Returns ``(query_id, rank, doc_id, score)``; rank is 1-based.  Query vectors must have one
+    length, the index vectors the same; their number times the length is checked against
+    ``max_query_bytes`` before they are collected.
     """
     spark = index.sparkSession
-    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(query_vec)).alias("dim")).first()
+    size = F.size(query_vec)
+    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(size).alias("dim"),
+                        F.count_if(F.col(query_vec).isNull()).alias("nulls"), F.min(size).alias("low")).first()
     nq, dim = int(stats["n"]), int(stats["dim"] or 0)
     if nq == 0:
         return spark.createDataFrame([], HITS_SCHEMA + ", rank long").select("query_id", "rank", "doc_id", "score")
-    chunks = max(1, math.ceil(nq * max(dim, 1) * 8 / max_query_bytes))
-    qdf = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(query_vec).alias("_qv"))
-    if chunks > 1:
-        qdf = qdf.withColumn("_chunk", F.pmod(F.xxhash64("_qid"), F.lit(chunks)))
-    parts = []
-    for c in range(chunks):
-        part = qdf if chunks == 1 else qdf.where(F.col("_chunk") == c)
-        rows = part.select("_qid", "_qv").collect()  # one chunk, about max_query_bytes at most
-        if not rows:
-            continue
-        qids = np.array([r["_qid"] for r in rows], dtype=np.int64)
-        qmat = _unit_rows(np.array([r["_qv"] for r in rows], dtype=np.float64).reshape(len(rows), dim))
-        bq = spark.sparkContext.broadcast((qids, qmat))
-        parts.append(index.select(id_col, vec_col).mapInArrow(_scorer(bq, k, id_col, vec_col, dim), HITS_SCHEMA))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    if stats["nulls"] or stats["low"] != dim:
+        raise ValueError("query vectors must not be null and must have one length")
+    if nq * dim * 8 > max_query_bytes:
+        raise ValueError(f"{nq} queries of {dim} dimensions exceed {max_query_bytes} bytes: score them in parts")
+    rows = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(query_vec).alias("_qv")).collect()
+    qids = np.array([r["_qid"] for r in rows], dtype=np.int64)
+    qmat = _unit_rows(np.array([r["_qv"] for r in rows], dtype=np.float64).reshape(len(rows), dim))
+    bq = spark.sparkContext.broadcast((qids, qmat))
+    cand = index.select(id_col, vec_col).mapInArrow(_scorer(bq, k, id_col, vec_col, dim), HITS_SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
     return (cand.withColumn("rank", F.row_number().over(w).cast("long"))
             .where(F.col("rank") <= k)
             .select(F.col("query_id").alias(query_id), "rank", "doc_id", "score"))
 
 
-def first_queries(samples: DataFrame, n: int = 10, input_col: str = "input", key: str = "sample_id") -> DataFrame:
-    """The first ``n`` distinct queries in first-seen order.
+def first_queries(samples: DataFrame, n: int | None = 10, input_col: str = "input", key: str = "sample_id") -> DataFrame:
+    """The first ``n`` distinct queries (None: all) in first-seen order.
 
     ``min(key)`` per query is algebraic, so every task pre-aggregates and a hot
     query never gathers its rows; only the distinct queries reach the final sort.
     """
     q = samples.select(key, extract_query(F.col(input_col)).alias("query")).where(F.col("query").isNotNull())
     firsts = q.groupBy("query").agg(F.min(key).alias("first_seen"))
-    w = Window.orderBy("first_seen")  # over distinct queries only, after the limit below
+    if n is None:
+        return with_position(firsts, ["first_seen"], materialize_input=True).select(
+            "query", "first_seen", (F.col("pos") + 1).alias("query_rank"))
+    w = Window.orderBy("first_seen")  # over the n rows of the limit below
     top = firsts.orderBy("first_seen").limit(n)
     return top.withColumn("query_rank", F.row_number().over(w).cast("long"))
 
 
 def attach(hits: DataFrame, index: DataFrame, cols: list[str], id_col: str = "doc_id") -> DataFrame:
     """Fetch index columns for the k hits only (the wide ``text`` never meets the scoring)."""
-    return hits.join(index.select(id_col, *cols), id_col, "left")
+    # every hit comes from the index, so an inner join loses none and lets the few hits be the small side
+    return hits.join(index.select(id_col, *cols), id_col, "inner")
 
 
 def label_judge(hits: DataFrame, queries: DataFrame, index: DataFrame, query_id: str = "query_id") -> DataFrame:

@@ -27,9 +27,6 @@ def piece_pattern(markers=CHATML) -> str:
 
 PIECE_RE = piece_pattern()
 
-# Broadcast the vocabulary to the token join only up to this many pieces (about 100 MB of (piece, id)).
-VOCAB_BROADCAST_ROWS = 2_000_000
-
 
 def pieces(text: Column, pattern: str = PIECE_RE) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), 0)
@@ -55,37 +52,27 @@ def prompt_token_count(full_pieces: Column, prompt_chars: Column) -> Column:
 
 
 def tokenize(df: DataFrame, vocab: DataFrame, key: str = "sample_id", max_len: int = MAX_TOKENS,
-             pattern: str = PIECE_RE, offsets: bool = False, carry: tuple[str, ...] = (),
-             prompt_is_prefix: bool = False, vocab_broadcast_rows: int = VOCAB_BROADCAST_ROWS) -> DataFrame:
+             pattern: str = PIECE_RE, offsets: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(key, input_ids, n_prompt, n_full, n_full_untruncated[, offsets])`` from prompt/full text.
 
-    The text is split into pieces once; the (at most ``max_len``) kept pieces are
+    ``full_text`` must start with ``prompt_text``, as the chat render makes it.  The join with the
+    vocabulary is left to the optimizer: it is broadcast when its written size is small, and adaptive
+    execution splits hot pieces of a shuffle join.  The text is split into pieces once; the (at most ``max_len``) kept pieces are
     exploded, given their ids, and regrouped per sample.  Character offsets are a
     running sum of piece lengths over the sample's tokens (a window inside the
     same per-sample partitioning the regrouping uses, so it adds a sort, not a shuffle).
     ``carry`` columns ride along per sample, so nothing has to be joined back.
     """
-    if prompt_is_prefix:
-        # the prompt is the head of the full text: count its tokens on the kept full pieces
-        # instead of tokenizing the document a second time
-        base = df.select(key, *carry, F.length("prompt_text").alias("_pc"),
-                         pieces(F.col("full_text"), pattern).alias("_fp"))
-        n_prompt = prompt_token_count(F.slice("_fp", 1, max_len), F.col("_pc"))
-    else:
-        base = df.select(key, *carry, pieces(F.col("prompt_text"), pattern).alias("_pp"),
-                         pieces(F.col("full_text"), pattern).alias("_fp"))
-        n_prompt = F.least(F.size("_pp"), F.lit(max_len))
+    # the prompt is the head of the full text: its tokens are counted on the kept pieces of the full
+    # text, so the document is split into pieces once
+    base = df.select(key, *carry, F.length("prompt_text").alias("_pc"), pieces(F.col("full_text"), pattern).alias("_fp"))
+    n_prompt = prompt_token_count(F.slice("_fp", 1, max_len), F.col("_pc"))
     # per-sample values are computed before the explode, once per sample, not once per token
     per_sample = base.select(key, *carry, n_prompt.alias("n_prompt"), F.size("_fp").alias("n_full_untruncated"),
                              F.slice("_fp", 1, max_len).alias("_kept"))
     toks = per_sample.select(key, *carry, "n_prompt", "n_full_untruncated", F.size("_kept").alias("n_full"),
                              F.posexplode_outer("_kept").alias("pos", "piece"))
     ids = vocab.select("piece", F.col("id").cast("int").alias("id"))
-    if vocab_broadcast_rows and vocab.count() <= vocab_broadcast_rows:
-        # size checked: a bounded vocabulary is broadcast, so the token stream is not shuffled by piece
-        # (and a hot piece cannot skew a join partition); beyond the bound it is a shuffle join that
-        # AQE may still split when a piece is skewed
-        ids = F.broadcast(ids)
     ided = toks.join(ids, "piece", "left")
     fields = [F.col("pos"), F.col("id")]
     if offsets:

@@ -55,7 +55,9 @@ def prepare_training_job(spark, samples_path, out_path, stage="s1", batch_size=4
     tok = tokenize(c, vocab, offsets=(stage == "v1"), carry=("relevant_idx", "prompt_chars"))
     rows = with_masks(tok, n_keep)
     eos = vocab.where(F.col("piece") == CHATML["eos"]).select("id").first()
-    pad_id = 0 if eos is None else int(eos["id"])
+    if eos is None:
+        raise ValueError(f"the vocabulary has no {CHATML['eos']!r} to pad with")
+    pad_id = int(eos["id"])
     if stage == "v1":
         from relq.functions.masks import loss_weights
         rows = rows.withColumn("loss_weights", loss_weights(F.col("input_ids"), F.col("n_prompt"), F.col("offsets"),
@@ -67,17 +69,18 @@ def prepare_training_job(spark, samples_path, out_path, stage="s1", batch_size=4
     vocab.write.mode("overwrite").parquet(out_path.rstrip("/") + "_vocab")
 
 
-def evaluate_s1_job(spark, samples_path, answers_path, out_path, head=100) -> None:
-    """Stage-1 accuracy over the first ``head`` samples (answers: parquet ``(sample_id, answer)``).
+def evaluate_s1_job(spark, samples_path, answers_path, out_path, head=None) -> None:
+    """Stage-1 accuracy over the first ``head`` samples, or all (answers: parquet ``(sample_id, answer)``).
     As with selecting ``range(head)``, a file with fewer samples is an error."""
     configure(spark)
-    s = head_rows(read_samples(spark, samples_path).withColumnRenamed("line", "sample_id"), "sample_id", head,
-                  require_full=True)
+    s = read_samples(spark, samples_path).withColumnRenamed("line", "sample_id")
+    if head is not None:
+        s = head_rows(s, "sample_id", head, require_full=True)
     ev.s1_accuracy(gold_flag(s), spark.read.parquet(answers_path)).write.mode("overwrite").parquet(out_path)
 
 
-def evaluate_s2_job(spark, samples_path, answers_path, out_path, head=100) -> None:
-    """Stage-2 rates and mean summary similarity over the first ``head`` lines (fewer is fine)."""
+def evaluate_s2_job(spark, samples_path, answers_path, out_path, head=None) -> None:
+    """Stage-2 rates and mean summary similarity over the first ``head`` lines, or all (fewer is fine)."""
     configure(spark)
     s = read_samples(spark, samples_path, limit=head).withColumnRenamed("line", "sample_id")
     g = gold_rows(s, on_mismatch="error")
@@ -86,15 +89,15 @@ def evaluate_s2_job(spark, samples_path, answers_path, out_path, head=100) -> No
     ev.mean_summary_similarity(g, a).write.mode("overwrite").parquet(out_path.rstrip("/") + "_similarity")
 
 
-def build_index_job(spark, corpus_path, index_path, start=None, stop=5000) -> None:
+def build_index_job(spark, corpus_path, index_path, start=None, stop=None) -> None:
     """Embed the corpus slice with the encoder slot and store ``(doc_id, text, label, embedding)``."""
     configure(spark)
     corpus = _corpus(spark, corpus_path, start, stop)
     write_index(corpus.select("doc_id", "text", "label", embed_udf()(F.col("text")).alias("embedding")), index_path)
 
 
-def retrieval_eval_job(spark, index_path, samples_path, out_path, n_queries=10, k=5) -> None:
-    """First ``n_queries`` distinct sample queries, top-k over the index, judged by label, P@k."""
+def retrieval_eval_job(spark, index_path, samples_path, out_path, n_queries=None, k=5) -> None:
+    """First ``n_queries`` distinct sample queries (None: all), top-k over the index, judged by label, P@k."""
     configure(spark)
     s = read_samples(spark, samples_path).withColumnRenamed("line", "sample_id")
     fq = rt.first_queries(s, n=n_queries)

@@ -29,7 +29,7 @@ from relq.operators.positions import materialize, number_by_key, slice_rows, wit
 from relq.operators.sampling import make_samples, shuffle_order
 from relq.operators.tokens import build_vocab, tokenize
 from relq.plans import sql as S
-from relq.plans.answers import derive_answers
+from relq.plans.answers import damage, derive_answers
 from relq.session import checkpoint_dir, configure
 from relq.sources import jsonl as JL
 from relq.sources.index import read_index, write_index
@@ -62,12 +62,17 @@ def samples(spark, sf_dir, version=2) -> DataFrame:
     return make_samples(read_corpus(spark, sf_dir), version=version)
 
 
-def gold(spark, sf_dir) -> DataFrame:
-    return gold_rows(samples(spark, sf_dir))
+def eval_samples(spark, sf_dir) -> DataFrame:
+    """The samples as an evaluation file would hold them: some lines are damaged."""
+    return damage(samples(spark, sf_dir))
+
+
+def gold(spark, sf_dir, keep=()) -> DataFrame:
+    return gold_rows(eval_samples(spark, sf_dir), keep=keep, on_mismatch="drop")
 
 
 def answers(spark, sf_dir) -> DataFrame:
-    return derive_answers(gold(spark, sf_dir))
+    return derive_answers(gold(spark, sf_dir), silent=True)
 
 
 # ---- A1, A2, E1 -----------------------------------------------------------------------
@@ -151,27 +156,31 @@ def flag_judge(spark, sf_dir):
 
 # ---- metrics (C4, D1-D8, D15) -------------------------------------------------------------
 
-_S1 = S.with_ctes(S.eval_ctes() + [("flags", S.LENIENT), ("gold_flags", S.GOLD_FLAGS)], """SELECT
+def _s1_sql(join: str, silent: bool) -> str:
+    return S.with_ctes(S.eval_ctes(silent) + [("flags", S.LENIENT), ("gold_flags", S.GOLD_FLAGS)], f"""SELECT
   count(*) AS total, CAST(count_if(pred = gold) AS BIGINT) AS correct, CAST(count_if(pred IS NULL) AS BIGINT) AS failed,
   round(count_if(pred = gold) / greatest(count(*), 1), 6) AS accuracy
-  FROM (SELECT g.sample_id, g.gold, f.flag AS pred FROM gold_flags g LEFT JOIN flags f USING (sample_id))""")
+  FROM (SELECT g.sample_id, g.gold, f.flag AS pred FROM gold_flags g {join} JOIN flags f USING (sample_id))""")
+
+
+_S1 = _s1_sql("LEFT", True)
 
 
 @register("s1_accuracy", _S1)
 def s1_accuracy(spark, sf_dir):
     """Stage-1 accuracy with failed parses kept in the total."""
-    s = samples(spark, sf_dir)
-    return ev.s1_accuracy(gold_flag(s), derive_answers(gold_rows(s)))
+    return ev.s1_accuracy(gold_flag(eval_samples(spark, sf_dir)), answers(spark, sf_dir))
 
 
 @register("majority_baseline", S.with_ctes(S.samples_ctes(2) + [("gold_flags", S.GOLD_FLAGS)], """SELECT
   count(*) AS total, round(greatest(avg(gold::INTEGER), 1 - avg(gold::INTEGER)), 6) AS majority_rate FROM gold_flags"""))
 def majority_baseline(spark, sf_dir):
     """Accuracy of always answering the commoner gold flag."""
-    return ev.majority_baseline(gold_flag(samples(spark, sf_dir)))
+    return ev.majority_baseline(gold_flag(eval_samples(spark, sf_dir)))
 
 
-_S2_SQL = S.with_ctes(S.eval_ctes() + [("strict", S.STRICT)], """SELECT count(*) AS samples,
+def _s2_sql(silent: bool) -> str:
+    return S.with_ctes(S.eval_ctes(silent) + [("strict", S.STRICT)], """SELECT count(*) AS samples,
   round(count_if(json_valid) / count(*), 6) AS json_valid_rate,
   round(count_if(relevance_match) / count(*), 6) AS relevance_agreement,
   round(count_if(reason_complete) / count(*), 6) AS reason_completeness,
@@ -180,31 +189,28 @@ _S2_SQL = S.with_ctes(S.eval_ctes() + [("strict", S.STRICT)], """SELECT count(*)
   FROM strict""")
 
 
-@register("s2_rates", _S2_SQL)
+@register("s2_rates", _s2_sql(True))
 def s2_rates(spark, sf_dir):
     """The five stage-2 rates over all samples."""
-    s = samples(spark, sf_dir)
-    g = gold_rows(s)
-    return ev.s2_rates(g, derive_answers(g))
+    g = gold(spark, sf_dir)
+    return ev.s2_rates(g, derive_answers(g, silent=True))
 
 
 @register("summary_similarity")
 def summary_similarity(spark, sf_dir):
     """Mean difflib ratio over complete answers (pandas UDF; no SQL oracle)."""
-    s = samples(spark, sf_dir)
-    g = gold_rows(s)
-    return ev.mean_summary_similarity(g, derive_answers(g))
+    g = gold(spark, sf_dir)
+    return ev.mean_summary_similarity(g, derive_answers(g, silent=True))
 
 
 # ---- retrieval (H26, H27, C5-C7, E4, F1, F3, D9, D10) --------------------------------------
 
 
 def retrieval_sets(spark, sf_dir):
-    """Queries = the first MAX_QUERIES vectors (the evaluator's query limit); index = all the others."""
+    """Queries = every vector whose id is divisible by QUERY_MODULUS; index = all the others."""
     emb = read_embeddings(spark, sf_dir)
-    q = emb.orderBy("doc_id").limit(S.MAX_QUERIES).withColumnRenamed("doc_id", "query_id")
-    index = emb.join(F.broadcast(q.select(F.col("query_id").alias("doc_id"))), "doc_id", "left_anti")
-    return emb, q, index
+    is_query = F.col("doc_id") % S.QUERY_MODULUS == 0
+    return emb, emb.where(is_query).withColumnRenamed("doc_id", "query_id"), emb.where(~is_query)
 
 
 def hits(spark, sf_dir):
@@ -428,30 +434,31 @@ def split_leakage(spark, sf_dir):
     pos = number_by_key(corpus.select("doc_id", F.sha2("text", 256).alias("h")), corpus.select("doc_id"), "doc_id")
     half = pos.count() * 50 // 100
     tagged = pos.withColumn("is_train", F.col("pos") < half)
-    train_ids = tagged.where("is_train").select("doc_id", F.lit(True).alias("_id_in_train"))
-    # a text repeated many times in train is one key after the distinct (pre-aggregated per task)
-    train_h = tagged.where("is_train").select("h").distinct().withColumn("_h_in_train", F.lit(True))
-    flagged = tagged.join(train_ids, "doc_id", "left").join(train_h, "h", "left")
-    ev_ = ~F.col("is_train")
-    return flagged.agg(
-        F.count_if(F.col("is_train")).alias("train_docs"), F.count_if(ev_).alias("eval_docs"),
-        F.count_if(ev_ & F.col("_id_in_train").isNotNull()).alias("id_overlap"),
-        F.count_if(ev_ & F.col("_h_in_train").isNotNull()).alias("text_overlap"))
+
+    def overlap(key: str, name: str) -> DataFrame:
+        """Documents by side, and those of the eval side whose key the train side has; a repeated key is a
+        pair of counts in each task, so no task gathers its rows."""
+        sides = tagged.groupBy(key).agg(F.count_if("is_train").alias("t"), F.count_if(~F.col("is_train")).alias("e"))
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+        return sides.agg(total("t").alias("train_docs"), total("e").alias("eval_docs"),
+                         total(F.when(F.col("t") > 0, F.col("e")).otherwise(0)).alias(name))
+
+    ids, texts = overlap("doc_id", "id_overlap"), overlap("h", "text_overlap")
+    return ids.join(texts, ["train_docs", "eval_docs"]).select("train_docs", "eval_docs", "id_overlap", "text_overlap")
 
 
 @register("counts", S.with_ctes(S.samples_ctes(2), f"""SELECT (SELECT count(*) FROM corpus) AS documents,
   (SELECT count(*) FROM samples) AS samples, (SELECT count(*) FROM embeddings) AS vectors,
-  (SELECT least(count(*), {S.MAX_QUERIES}) FROM embeddings) AS queries"""))
+  (SELECT count(*) FROM embeddings WHERE vec_id % {S.QUERY_MODULUS} = 0) AS queries"""))
 def counts(spark, sf_dir):
     """Documents, samples, index vectors and queries (long-form union, one aggregation, no join)."""
     corpus = read_corpus(spark, sf_dir)
     emb = read_embeddings(spark, sf_dir)
     parts = [corpus.select(F.lit("documents").alias("m")), samples(spark, sf_dir).select(F.lit("samples").alias("m")),
-             emb.select(F.lit("vectors").alias("m"))]
+             emb.select(F.when(F.col("doc_id") % S.QUERY_MODULUS == 0, "query").otherwise("vector").alias("m"))]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
     n = lambda m: F.count_if(F.col("m") == m)
-    return u.agg(n("documents").alias("documents"), n("samples").alias("samples"), n("vectors").alias("vectors"),
-                 F.least(n("vectors"), F.lit(S.MAX_QUERIES)).cast("long").alias("queries"))
+    return u.agg(n("documents").alias("documents"), n("samples").alias("samples"), (n("vector") + n("query")).alias("vectors"), n("query").alias("queries"))
 
 
 _S1_COLS = {"total": 0, "correct": 0, "failed": 0, "accuracy": 4}
@@ -522,13 +529,13 @@ def rag_precision_at_k(spark, sf_dir):
 # ---- the stage-1 evaluation on a stream -------------------------------------------------
 
 
-@register("s1_accuracy_stream", _S1)
+@register("s1_accuracy_stream", _s1_sql("INNER", False))
 def s1_accuracy_stream(spark, sf_dir):
-    """Stage-1 accuracy computed by a Structured Streaming job over the answers as JSONL files
-    (every answer present, so it equals the batch result and shares its oracle)."""
-    s = samples(spark, sf_dir)
+    """Stage-1 accuracy of the answers that arrive, computed by a Structured Streaming job over JSONL files
+    (a gold row without an answer is not counted yet; the batch form counts it as a failed parse)."""
+    s = eval_samples(spark, sf_dir)
     ans_dir, out_dir = _scratch(spark, "answers-stream"), _scratch(spark, "s1-stream-out")
-    derive_answers(gold_rows(s)).select("sample_id", "answer").write.mode("overwrite").json(ans_dir)
+    derive_answers(gold_rows(s, on_mismatch="drop")).select("sample_id", "answer").write.mode("overwrite").json(ans_dir)
     stream = ST.read_answer_stream(spark, ans_dir, max_files_per_trigger=4)
     # the static side is written once: otherwise every micro-batch would regenerate it from the corpus
     ST.run_to_table(ST.s1_metrics(stream, materialize(gold_flag(s))), out_dir)
@@ -570,7 +577,7 @@ def eval_prompts(spark, sf_dir):
     """H6 (section 2.11): the generation prompts of the stage-1, stage-2, retrieval and smoke evaluators
     for every gold row (stage 1 takes the raw input; the others the stripped query and document;
     stage 2 puts two newlines after the instruction)."""
-    g = gold_rows(samples(spark, sf_dir), keep=("input",))
+    g = gold(spark, sf_dir, keep=("input",))
     qd = dict(instruction=None, inp=None, query="query", document="document")
     # one projection, four prompt columns: no self-joins
     out = g.select("sample_id",
@@ -582,12 +589,11 @@ def eval_prompts(spark, sf_dir):
     return out
 
 
-@register("s2_rates_stream", _S2_SQL)
+@register("s2_rates_stream", _s2_sql(False))
 def s2_rates_stream(spark, sf_dir):
     """Stage-2 rates computed by a Structured Streaming job over the answers as JSONL files
     (every answer present, so it equals the batch result and shares its oracle)."""
-    s = samples(spark, sf_dir)
-    g = materialize(gold_rows(s))  # the static side, written once
+    g = materialize(gold(spark, sf_dir))  # the static side, written once
     ans_dir, out_dir = _scratch(spark, "answers-stream2"), _scratch(spark, "s2-stream-out")
     derive_answers(g).select("sample_id", "answer").write.mode("overwrite").json(ans_dir)
     stream = ST.read_answer_stream(spark, ans_dir, max_files_per_trigger=4)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from relq.functions.text import PY_WHITESPACE, RELEVANT_RE
 from relq.operators.tokens import PIECE_RE
-from relq.plans.answers import N_CLASSES
+from relq.plans.answers import DAMAGE_ONE_IN, N_CLASSES, SILENT_ONE_IN
 from relq.templates import (CHATML, DEFAULT_SEED, INSTRUCTIONS, LABEL_TO_QUERIES, LABEL_TO_TOPIC, LANG_LABELS,
                             MAX_TOKENS, NEG_REASONS, NUM_LABELS, POS_REASONS, PROMPT_VARIANTS, SUMMARY_MATCH,
                             SUMMARY_NO_MATCH, SUMMARY_PREFIX)
@@ -79,6 +79,11 @@ def samples_ctes(version: int = 2) -> list[tuple[str, str]]:
     return [("corpus", CORPUS), ("neg", NEG), ("srows", SROWS), ("samples", _samples_select(version))]
 
 
+_DAMAGE = pick("sample_id", "damage", DAMAGE_ONE_IN)
+EVAL_SAMPLES = f"""SELECT * REPLACE (
+    CASE WHEN {_DAMAGE} = 0 THEN replace(input, {NL} || 'Document:', ' Document ') ELSE input END AS input,
+    CASE {_DAMAGE} WHEN 1 THEN substr(output, 1, length(output) - 5) WHEN 2 THEN output || ' x' ELSE output END AS output) FROM samples"""
+
 GOLD = f"""SELECT sample_id, instruction, query, document, relevant, gold_query_topic, gold_document_topic, gold_summary FROM (
   SELECT sample_id, instruction,
     {py_strip("replace(substr(input, 1, cut - 1), 'Query:', '')")} AS query,
@@ -88,16 +93,18 @@ GOLD = f"""SELECT sample_id, instruction, query, document, relevant, gold_query_
     CASE WHEN json_type(json_extract(jo, '$.reason.document_topic')) = 'VARCHAR' THEN json_extract_string(jo, '$.reason.document_topic') END AS gold_document_topic,
     CASE WHEN json_type(json_extract(jo, '$.reason.summary')) = 'VARCHAR' THEN json_extract_string(jo, '$.reason.summary') END AS gold_summary
   FROM (SELECT *, strpos(input, {NL} || 'Document:') AS cut,
-               CASE WHEN json_valid(output) THEN output END AS jo FROM samples) WHERE cut > 0
-) WHERE relevant IS NOT NULL AND gold_summary IS NOT NULL"""
+               CASE WHEN json_valid(output) THEN output END AS jo FROM ({EVAL_SAMPLES})) WHERE cut > 0
+    AND json_type(json_extract(jo, '$.reason')) = 'OBJECT'
+    AND list_has_all(json_keys(json_extract(jo, '$.reason')), ['query_topic', 'document_topic', 'summary'])
+) WHERE relevant IS NOT NULL"""
 
-GOLD_FLAGS = """SELECT sample_id, gold FROM (
+GOLD_FLAGS = f"""SELECT sample_id, gold FROM (
   SELECT sample_id, CASE WHEN json_type(json_extract(jo, '$.relevant')) = 'BOOLEAN'
                          THEN json_extract(jo, '$.relevant')::VARCHAR = 'true' END AS gold
-  FROM (SELECT sample_id, CASE WHEN json_valid(output) THEN output END AS jo FROM samples)) WHERE gold IS NOT NULL"""
+  FROM (SELECT sample_id, CASE WHEN json_valid(output) THEN output END AS jo FROM ({EVAL_SAMPLES}))) WHERE gold IS NOT NULL"""
 
 
-def _answer_sql() -> str:
+def _answer_sql(silent: bool = True) -> str:
     g = "CASE WHEN relevant THEN 'true' ELSE 'false' END"
     nb = "CASE WHEN relevant THEN 'false' ELSE 'true' END"
     py = "CASE WHEN relevant THEN 'True' ELSE 'False' END"
@@ -108,6 +115,11 @@ def _answer_sql() -> str:
     def obj(flag):
         return f"""'{{"relevant": ' || {flag} || ', ' || {reason} || '}}'"""
 
+    def fields(query="gold_query_topic", document="gold_document_topic", summary="""'"' || gold_summary || '"'"""):
+        topic = f"""'"' || {query} || '"'""" if query else "'null'"
+        return (f"""'{{"relevant": ' || {g} || ', "reason": {{"query_topic": ' || {topic} || ', "document_topic": "' || {document} """
+                f"""|| '", "summary": ' || {summary} || '}}}}'""")
+
     exact = obj(g)
     shapes = [
         exact,
@@ -132,15 +144,23 @@ def _answer_sql() -> str:
         f"""'{{"relevant": ' || {g} || '}}' || {NL} || '{{"relevant": ' || {nb} || '}}'""",
         "''",
         f"""'{{''relevant'': ' || {g} || '}}'""",
+        fields(query="gold_query_topic || ' x'"),
+        fields(document="gold_document_topic || ' x'"),
+        fields(summary="'\"' || substr(gold_summary, 1, length(gold_summary) // 2) || '\"'"),
+        fields(summary="'7'"),
+        fields(query=None),
+        fields(summary="""'"' || gold_summary || '", "extra": [1, 2]'"""),
     ]
     assert len(shapes) == N_CLASSES
     cases = " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(shapes))
     cls = pick("sample_id", "answer", N_CLASSES)
+    heard = f" WHERE {pick('sample_id', 'silent', SILENT_ONE_IN)} <> 0" if silent else ""
     return f"""SELECT sample_id, answer_class, CASE answer_class {cases} END AS answer
-  FROM (SELECT *, {cls}::INTEGER AS answer_class FROM gold)"""
+  FROM (SELECT *, {cls}::INTEGER AS answer_class FROM gold{heard})"""
 
 
 ANSWERS = _answer_sql()
+ANSWERS_ALL = _answer_sql(silent=False)
 
 NUMERIC_TYPES = "('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT', 'INTEGER', 'UINTEGER')"
 
@@ -193,8 +213,8 @@ def with_ctes(ctes: list[tuple[str, str]], select: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS (\n{q}\n)" for n, q in ctes) + "\n" + select
 
 
-def eval_ctes() -> list[tuple[str, str]]:
-    return samples_ctes(2) + [("gold", GOLD), ("answers", ANSWERS)]
+def eval_ctes(silent: bool = True) -> list[tuple[str, str]]:
+    return samples_ctes(2) + [("gold", GOLD), ("answers", ANSWERS if silent else ANSWERS_ALL)]
 
 
 # ---- retrieval -------------------------------------------------------------------------
@@ -207,7 +227,8 @@ UNIT = """SELECT doc_id, label, len(v) AS dim, nrm,
   FROM (SELECT *, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b)) AS nrm
         FROM (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v, label FROM embeddings))"""
 
-QVECS = f"SELECT * FROM unit ORDER BY doc_id LIMIT {MAX_QUERIES}"
+QUERY_MODULUS = 100  # the query set: every vector whose id is divisible by this
+QVECS = f"SELECT * FROM unit WHERE doc_id % {QUERY_MODULUS} = 0"
 IVECS = "SELECT * FROM unit WHERE doc_id NOT IN (SELECT doc_id FROM qvecs)"
 HITS = f"""SELECT query_id, rank, doc_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (

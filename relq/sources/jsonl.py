@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from relq.functions import jsonparse as J
 from relq.functions.jsonfmt import json_object, json_string
-from relq.operators.positions import with_position
+from relq.operators.positions import materialize
 
 SAMPLE_FIELDS = ("instruction", "input", "output")
-SAMPLE_SCHEMA = "instruction string, input string, output string"
 
 
 def sample_json(fields=SAMPLE_FIELDS) -> F.Column:
@@ -32,18 +34,64 @@ def write_samples(df: DataFrame, path: str, order: str | None = "sample_id", fie
     sample_line(df, fields).write.mode("overwrite").text(path)
 
 
-def read_samples(spark: SparkSession, path: str, limit: int | None = None, mode: str = "FAILFAST",
-                 schema: str = SAMPLE_SCHEMA) -> DataFrame:
-    """A3/A4: JSONL with an explicit schema and a ``line`` position (0-based, file then offset order).
+def _ordered_files(spark: SparkSession, path: str) -> list[str]:
+    """Data files of a folder (or the one file) by part number, then name; only their names are listed."""
+    names = [r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+
+    def key(p: str):
+        name = p.rsplit("/", 1)[-1]
+        m = re.match(r"part-(\d+)", name)
+        return (int(m[1]) if m else -1, name, p)
+    return sorted(names, key=key)
+
 
-    ``limit`` counts lines *read*, before any row is dropped downstream.  In FAILFAST
-    mode a line that is not JSON fails the job, as a plain ``json.loads`` loop does.
+def _numbered_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """``(line, value)``: lines numbered in the order of ``files``, without a shuffle of any text.
+
+    A scan reads each file block in order, so a line's number is the number of lines in the blocks
+    before it plus its place in its block.  The tagged lines are written once (blocks and places of a
+    second scan could differ if the cluster's size changed); only the counts of blocks are summed.
     """
-    raw = (spark.read.text(path)
-           .withColumn("_file", F.input_file_name())
-           .withColumn("_mid", F.monotonically_increasing_id()))
-    lines = with_position(raw, ["_file", "_mid"], name="line").drop("_file", "_mid")
+    raw = materialize(spark.read.text(files).select(
+        "value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
+        F.monotonically_increasing_id().alias("_mid")))
+    rank = spark.createDataFrame(list(enumerate(files)), "_rank long, _path string")
+    blocks = raw.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    # listed and scanned names may differ in the scheme's slashes only
+    norm = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    ordered = blocks.join(rank, norm(F.col("_f")) == norm(F.col("_path"))).select("_f", "_b", "_n", "_first", "_rank")
+    before = Window.orderBy("_rank", "_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a file block
+    place = ordered.select(F.col("_f").alias("_sf"), F.col("_b").alias("_sb"), "_first",
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return (raw.join(F.broadcast(place), (F.col("_f") == F.col("_sf")) & (F.col("_b") == F.col("_sb")))
+            .select((F.col("_start") + F.col("_mid") - F.col("_first")).alias("line"), "value"))
+
+
+def read_samples(spark: SparkSession, path: str, limit: int | None = None, fields=SAMPLE_FIELDS) -> DataFrame:
+    """A3/A4: JSONL as ``(line, *fields)``; ``line`` is 0-based in file order (part number, then offset).
+
+    Every line must be exactly one JSON object with all ``fields`` as strings; anything else (a blank
+    line, text behind the object, a missing key) fails the job, as a plain ``json.loads`` loop does.
+    ``limit`` counts lines *read*, before any row is dropped downstream; files are read until that
+    many lines are found, and lines beyond are not checked.
+    """
+    files = _ordered_files(spark, path)
+    if limit is not None:
+        n = 1
+        while n < len(files) and spark.read.text(files[:n]).limit(limit).count() < limit:
+            n = min(len(files), 4 * n)
+        files = files[:n]
+    if not files:
+        return spark.createDataFrame([], "line long, " + ", ".join(f"`{f}` string" for f in fields))
+    lines = _numbered_lines(spark, files)
     if limit is not None:
         lines = lines.where(F.col("line") < limit)
-    parsed = F.from_json(F.col("value"), schema, {"mode": mode})
-    return lines.select("line", parsed.alias("_s")).select("line", "_s.*")
+    w, top = F.col("_w"), F.col("_top")
+    values = [J.string_value(F.try_variant_get(top, f"$.{f}", "variant")) for f in fields]
+    ok = J.is_valid(w) & J.is_object(top)
+    for v in values:
+        ok = ok & v.isNotNull()
+    checked = F.when(F.coalesce(ok, F.lit(False)), top).otherwise(F.raise_error(F.concat(
+        F.lit("not one JSON object with the sample fields, line "), F.col("line").cast("string"))).cast("variant"))
+    return (lines.withColumn("_w", J.wrap_parse(F.col("value"))).withColumn("_top", J.field(w, "$"))
+            .withColumn("_top", checked).select("line", *[v.alias(f) for v, f in zip(values, fields)]))

@@ -40,7 +40,7 @@ def test_jobs_end_to_end(spark):
     assert spark.read.parquet(p("s2")).first()["samples"] == 100
 
     JB.build_index_job(spark, p("corpus"), p("index"), stop=None)
-    JB.retrieval_eval_job(spark, p("index"), p("eval.jsonl"), p("rag"))
+    JB.retrieval_eval_job(spark, p("index"), p("eval.jsonl"), p("rag"), n_queries=10)
     per_q = spark.read.parquet(p("rag"))
     assert per_q.count() == 10
     assert spark.read.parquet(p("rag_mean")).first()["queries"] == 10

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -49,16 +50,30 @@ def test_knn_matches_brute_force(spark):
     assert got == exp
 
 
-def test_knn_chunked_queries_agree(spark):
+def test_knn_query_tiles_agree(spark, monkeypatch):
     emb = read_embeddings(spark, SF_SMALL)
     q = emb.orderBy("doc_id").limit(10).withColumnRenamed("doc_id", "query_id")
     index = emb.where(F.col("doc_id") >= 10)
     one = sorted(rt.knn_topk(index, q, k=5).collect())
-    many = sorted(rt.knn_topk(index, q, k=5, max_query_bytes=64 * 8 * 3).collect())
+    monkeypatch.setattr(rt, "QUERY_TILE", 3)
+    many = sorted(rt.knn_topk(index, q, k=5).collect())
     assert [(r[0], r[1], r[2]) for r in one] == [(r[0], r[1], r[2]) for r in many]
     assert all(abs(a[3] - b[3]) < 1e-12 for a, b in zip(one, many))
 
 
+def test_vectors_of_another_length_are_refused(spark):
+    vec = "id long, embedding array<float>"
+    good = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], vec)
+    for odd in ([(3, [1.0])], [(3, None)]):
+        mixed = good.unionByName(spark.createDataFrame(odd, vec))
+        with pytest.raises(Exception):
+            rt.knn_topk(mixed, good, id_col="id", query_id="id").collect()
+        with pytest.raises(ValueError):
+            rt.knn_topk(good, mixed, id_col="id", query_id="id")
+    with pytest.raises(ValueError):
+        rt.knn_topk(good, good, id_col="id", query_id="id", max_query_bytes=8)
+
+
 def test_short_index_keeps_k_denominator(spark):
     judged = spark.createDataFrame([(1, 10, True), (1, 11, False)], "query_id long, doc_id long, relevant boolean")
     assert rt.precision_at_k(judged, k=5).first()["p_at_k"] == 0.2
@@ -103,11 +118,8 @@ def test_empty_inputs(spark):
                        spark.createDataFrame([], "query_id long, embedding array<float>")).collect() == []
 
 
-def test_spread_only_fans_out_small_scans(spark):
-    from relq.sources.tables import spread
-    par = spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 1000, numPartitions=par * 2)
-    assert spread(wide, "id") is wide  # enough splits already: no shuffle added
-    narrow = spark.range(0, 1000, numPartitions=1)
-    out = spread(narrow, "id")
-    assert out.rdd.getNumPartitions() == par and sorted(r[0] for r in out.collect()) == list(range(1000))
+def test_slices_refuse_negative_bounds(spark):
+    df = spark.range(10).withColumnRenamed("id", "doc_id")
+    with pytest.raises(ValueError):
+        slice_rows(df, "doc_id", -3)
+    assert slice_rows(df, "doc_id", 7).count() == 3

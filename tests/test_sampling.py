@@ -47,11 +47,28 @@ def test_v1_outputs_refused_by_v2_loader(spark):
     import pytest
     from relq.operators.gold import gold_rows
     v1 = make_samples(read_corpus(spark, SF_SMALL), version=1)
-    assert gold_rows(v1).count() == 0  # default: unreadable gold rows are dropped
+    assert gold_rows(v1, on_mismatch="drop").count() == 0
     with pytest.raises(Exception):
-        gold_rows(v1, on_mismatch="error").collect()
+        gold_rows(v1).collect()
     v2 = make_samples(read_corpus(spark, SF_SMALL), version=2)
-    assert gold_rows(v2, on_mismatch="error").count() == v2.count()
+    assert gold_rows(v2).count() == v2.count()
+
+
+def test_gold_is_one_json_value_with_every_key(spark):
+    import pytest
+    from relq.operators.gold import gold_flag, gold_rows
+    good = '{"relevant": true, "reason": {"query_topic": "a", "document_topic": null, "summary": null}}'
+    outputs = [good, good + " x", good[:-5], '{"relevant": true, "reason": {"query_topic": "a", "summary": "s"}}',
+               '{"relevant": 1, "reason": {"query_topic": "a", "document_topic": "b", "summary": "s"}}', "", None]
+    df = spark.createDataFrame([(i, "i", "Query: q\nDocument: d", o) for i, o in enumerate(outputs)] + [(9, "i", "no separator", "junk")],
+                               "sample_id long, instruction string, input string, output string")
+    kept = gold_rows(df, on_mismatch="drop").collect()
+    assert [(r.sample_id, r.gold_query_topic, r.gold_summary) for r in kept] == [(0, "a", None)]
+    for i in range(1, len(outputs)):
+        with pytest.raises(Exception):
+            gold_rows(df.where(f"sample_id = {i}")).collect()
+    assert gold_rows(df.where("sample_id in (0, 9)")).count() == 1  # an input that cannot be split is skipped first
+    assert [r.sample_id for r in gold_flag(df).orderBy("sample_id").collect()] == [0, 3]
 
 
 def test_head_rows(spark):

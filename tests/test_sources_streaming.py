@@ -39,6 +39,37 @@ def test_failfast_on_non_json_line(spark):
         JL.read_samples(spark, d).collect()
 
 
+@pytest.mark.parametrize("tail", ["", json.dumps(GOOD) + " trailing", json.dumps(GOOD) + "{}", '{"instruction": "i"}', "[1]", '"text"',
+                                  json.dumps(dict(GOOD, input=None)), json.dumps(dict(GOOD, output=3))])
+def test_every_line_must_be_one_sample(spark, tail):
+    d = _write_lines([json.dumps(GOOD), tail, json.dumps(GOOD)])
+    with pytest.raises(Exception):
+        JL.read_samples(spark, d).collect()
+    assert JL.read_samples(spark, d, limit=1).count() == 1  # lines beyond the limit are not read
+
+
+def test_lines_follow_part_numbers(spark):
+    d = tempfile.mkdtemp(prefix="relq-test-parts-")
+    for part in ("part-99999-x.txt", "part-100000-x.txt", "part-00002-x.txt"):
+        with open(os.path.join(d, part), "w", encoding="utf-8") as f:
+            for i in range(3):
+                f.write(json.dumps(dict(GOOD, instruction=f"{part[5:-6]} {i}")) + "\n")
+    rows = JL.read_samples(spark, d).orderBy("line").collect()
+    assert [r.line for r in rows] == list(range(9))
+    assert [r.instruction for r in rows] == [f"{p} {i}" for p in ("00002", "99999", "100000") for i in range(3)]
+    assert [r.instruction for r in JL.read_samples(spark, d, limit=4).orderBy("line").collect()] == ["00002 0", "00002 1", "00002 2", "99999 0"]
+
+
+def test_large_files_are_numbered_across_blocks(spark):
+    d = _write_lines([json.dumps(dict(GOOD, instruction=str(i))) for i in range(20_000)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        rows = JL.read_samples(spark, d).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 20_000 and all(str(r.line) == r.instruction for r in rows)
+
+
 def test_written_lines_are_python_json(spark):
     s = R.samples(spark, SF_SMALL).orderBy("sample_id").limit(20)
     d = tempfile.mkdtemp(prefix="relq-test-out-")
