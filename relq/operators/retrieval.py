@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from relq.functions.jsonparse import with_judge_flag
 from relq.functions.text import extract_query
+from relq.operators.chat import prompt_column
 from relq.operators.positions import with_position
 
 # The query matrix is broadcast, so it must be of a checked size; a larger set is an error, to be scored in parts.
@@ -68,7 +70,7 @@ def _merge_topk(best_sc: np.ndarray, best_id: np.ndarray, sc: np.ndarray, ids: n
     return new_sc, new_id
 
 
-def _scorer(bq, k: int, id_col: str, vec_col: str, dim: int):
+def _scorer(bq, k: int, id_col: str, vec_col: str, dim: int, digits: int | None):
     """Arrow batches in, one small batch of (query_id, doc_id, score) out per task.
 
     The list column is flattened into one ``(rows, dim)`` matrix without a Python object per
@@ -90,7 +92,8 @@ def _scorer(bq, k: int, id_col: str, vec_col: str, dim: int):
             ids = rb.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
             x = _unit_rows(vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rb.num_rows, dim))
             for i, t in enumerate(tiles):
-                best[i] = _merge_topk(*best[i], x @ qmat[t].T, ids, k)  # (rows, queries of the tile)
+                scores = x @ qmat[t].T  # (rows, queries of the tile)
+                best[i] = _merge_topk(*best[i], scores if digits is None else scores.round(digits), ids, k)
         for t, (best_sc, best_id) in zip(tiles, best):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(qids[t][None, :], best_sc.shape[0], axis=0).ravel(order="F"), pa.int64()),
@@ -102,12 +105,13 @@ def _scorer(bq, k: int, id_col: str, vec_col: str, dim: int):
 
 def knn_topk(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "doc_id", vec_col: str = "embedding",
              query_id: str = "query_id", query_vec: str = "embedding",
-             max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
+             max_query_bytes: int = MAX_QUERY_BYTES, digits: int | None = None) -> DataFrame:
     """the k best index rows per query by inner product of L2-normalised vectors.
 
     Returns ``(query_id, rank, doc_id, score)``; rank is 1-based.  Query vectors must have one
     length, the index vectors the same; their number times the length is checked against
-    ``max_query_bytes`` before they are collected.
+    ``max_query_bytes`` before they are collected.  With ``digits`` scores are rounded before they
+    are compared, so that equal scores are ties however they were summed.
     """
     spark = index.sparkSession
     size = F.size(query_vec)
@@ -124,24 +128,26 @@ def knn_topk(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "do
     qids = np.array([r["_qid"] for r in rows], dtype=np.int64)
     qmat = _unit_rows(np.array([r["_qv"] for r in rows], dtype=np.float64).reshape(len(rows), dim))
     bq = spark.sparkContext.broadcast((qids, qmat))
-    cand = index.select(id_col, vec_col).mapInArrow(_scorer(bq, k, id_col, vec_col, dim), HITS_SCHEMA)
+    cand = index.select(id_col, vec_col).mapInArrow(_scorer(bq, k, id_col, vec_col, dim, digits), HITS_SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
     return (cand.withColumn("rank", F.row_number().over(w).cast("long"))
             .where(F.col("rank") <= k)
             .select(F.col("query_id").alias(query_id), "rank", "doc_id", "score"))
 
 
-def first_queries(samples: DataFrame, n: int | None = 10, input_col: str = "input", key: str = "sample_id") -> DataFrame:
+def first_queries(samples: DataFrame, n: int | None = 10, input_col: str = "input", key: str = "sample_id",
+                  carry: tuple[str, ...] = ()) -> DataFrame:
     """The first ``n`` distinct queries (None: all) in first-seen order.
 
     ``min(key)`` per query is algebraic, so every task pre-aggregates and a hot
-    query never gathers its rows; only the distinct queries reach the final sort.
+    query never gathers its rows; only the distinct queries reach the final sort.  ``carry``
+    columns are those of the row where the query was first seen.
     """
-    q = samples.select(key, extract_query(F.col(input_col)).alias("query")).where(F.col("query").isNotNull())
-    firsts = q.groupBy("query").agg(F.min(key).alias("first_seen"))
+    q = samples.select(key, *carry, extract_query(F.col(input_col)).alias("query")).where(F.col("query").isNotNull())
+    firsts = q.groupBy("query").agg(F.min(key).alias("first_seen"), *[F.min_by(c, key).alias(c) for c in carry])
     if n is None:
         return with_position(firsts, ["first_seen"], materialize_input=True).select(
-            "query", "first_seen", (F.col("pos") + 1).alias("query_rank"))
+            "query", "first_seen", *carry, (F.col("pos") + 1).alias("query_rank"))
     w = Window.orderBy("first_seen")  # over the n rows of the limit below
     top = firsts.orderBy("first_seen").limit(n)
     return top.withColumn("query_rank", F.row_number().over(w).cast("long"))
@@ -169,3 +175,16 @@ def precision_at_k(judged: DataFrame, k: int = 5, query_id: str = "query_id") ->
 def mean_precision_at_k(per_query: DataFrame) -> DataFrame:
     """Unweighted mean over queries; null when there are no queries."""
     return per_query.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("p_at_k"), 6).alias("mean_p_at_k"))
+
+
+def rag_prompts(hits: DataFrame, queries: DataFrame, index: DataFrame, query_id: str = "query_id") -> DataFrame:
+    """C5 + H6 (``rag``): ``(query_id, rank, doc_id, prompt)``, the judge's prompt for every hit."""
+    found = attach(hits, index, ["text"]).join(queries.select(query_id, "query"), query_id)
+    return found.select(query_id, "rank", "doc_id", prompt_column("rag", instruction=None, inp=None, query="query", document="text").alias("prompt"))
+
+
+def answer_judge(hits: DataFrame, answers: DataFrame, query_id: str = "query_id") -> DataFrame:
+    """H14 over an answers table ``(query_id, doc_id, answer)``: ``hits`` plus ``relevant``; a missing or
+    unreadable answer is not relevant."""
+    flags = with_judge_flag(answers.select(query_id, "doc_id", "answer"), "answer", "relevant").drop("answer")
+    return hits.join(flags, [query_id, "doc_id"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(False)))

@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from relq.functions import jsonparse as J
 from relq.functions import masks as M
 from relq.functions.hashing import hash_u32
-from relq.functions.models import embed_udf
 from relq.functions.vectors import fixed_point, l2_normalize, norm
 from relq.operators import batches as B
 from relq.operators import evaluation as ev
 from relq.operators import retrieval as rt
+from relq.operators.embedding import embed_counts
 from relq.operators.chat import conversation_masks, prompt_column, render_chat, render_turns, with_answer_key
 from relq.operators.gold import gold_flag, gold_rows
 from relq.operators.loss import weighted_loss as _weighted_loss
@@ -323,6 +323,15 @@ def label_masks(spark, sf_dir):
                        M.as_text(F.col("labels_answer")).alias("labels_answer"))
 
 
+@register("label_masks_s2", S.with_ctes(S.token_ctes(2, "train_s2"), f"""SELECT sample_id, n_prompt, n_full, n_full_untruncated,
+  {S.txt('labels_s2')} AS labels_s2 FROM masks"""))
+def label_masks_s2(spark, sf_dir):
+    """H20, H21 on the stage-2 training prompt: prompt length, truncation and stage-2 labels."""
+    rows, _ = token_rows(spark, sf_dir, 2, "train_s2")
+    return rows.select("sample_id", *[F.col(c).cast("long").alias(c) for c in ("n_prompt", "n_full", "n_full_untruncated")],
+                       M.as_text(F.col("labels_s2")).alias("labels_s2"))
+
+
 @register("loss_weights", S.with_ctes(S.token_ctes(1, "train_v1"), f"""SELECT sample_id,
   {S.txt('weights_reference')} AS weights_reference, {S.txt('weights_answer')} AS weights_answer FROM masks"""))
 def loss_weights_q(spark, sf_dir):
@@ -502,30 +511,53 @@ def metric_report(spark, sf_dir):
 # ---- text retrieval end to end (J3, F3, F1, C5, D9, D10) ------------------------------------
 
 
-def text_index(spark, sf_dir):
-    """Embed every corpus document (whole text) with the built-in encoder."""
+def rag_hits(spark, sf_dir):
+    """(hits, queries, corpus): the first 10 distinct sample queries, encoded like the documents (hashed word
+    counts), and their top 5 over every document.  The queries are written once."""
+    fq = rt.first_queries(samples(spark, sf_dir), n=S.MAX_QUERIES, carry=("query_label",))
+    queries = materialize(fq.select(F.col("query_rank").alias("query_id"), "query", F.col("query_label").alias("label")))
     corpus = read_corpus(spark, sf_dir)
-    return corpus.select("doc_id", "label", embed_udf()(F.col("text")).alias("embedding"))
+    index = embed_counts(corpus, "doc_id", "text")
+    return rt.knn_topk(index, embed_counts(queries, "query_id", "query"), k=S.TOP_K, digits=9), queries, corpus
 
 
-@register("rag_precision_at_k")
+@register("rag_precision_at_k", S.with_ctes(S.rag_ctes(), f"""SELECT query_id, query,
+  round(count_if(label = query_label) / {float(S.TOP_K)}, 6) AS p_at_k FROM hit_rows GROUP BY query_id, query"""))
 def rag_precision_at_k(spark, sf_dir):
-    """The retrieval evaluation over texts: first 10 distinct sample queries, embedded like the
-    documents, top-5 over every document, judged by label (query label = the template's label).
-    No SQL oracle (the encoder is a UDF); tested against a numpy brute force."""
-    s = samples(spark, sf_dir)
-    fq = rt.first_queries(s, n=S.MAX_QUERIES)
-    qlab = fq.join(s.select(F.col("sample_id").alias("first_seen"), F.col("query_label").alias("label")),
-                   "first_seen", "left")
-    queries = qlab.select(F.col("query_rank").alias("query_id"), "query", "label",
-                          embed_udf()(F.col("query")).alias("embedding"))
-    index = text_index(spark, sf_dir)
-    h = rt.knn_topk(index, queries, k=S.TOP_K)
-    judged = rt.label_judge(h, queries, index)
-    per_q = rt.precision_at_k(judged, k=S.TOP_K)
+    """The retrieval evaluation over texts, judged by label (query label = the label of the
+    sample where the query was first seen)."""
+    h, queries, corpus = rag_hits(spark, sf_dir)
+    per_q = rt.precision_at_k(rt.label_judge(h, queries, corpus), k=S.TOP_K)
     return per_q.join(queries.select("query_id", "query"), "query_id").select("query_id", "query", "p_at_k")
 
 
+@register("rag_prompts", S.with_ctes(S.rag_ctes(), f"""SELECT query_id, rank, doc_id,
+  md5({S.prompt_sql(PROMPT_VARIANTS['rag'][0], "'Query: ' || query || chr(10) || 'Document: ' || text")}) AS prompt_md5 FROM hit_rows"""))
+def rag_prompts(spark, sf_dir):
+    """The judge's prompt of every hit, with the document's text fetched for the hits only."""
+    h, queries, corpus = rag_hits(spark, sf_dir)
+    return rt.rag_prompts(h, queries, corpus).select("query_id", "rank", "doc_id", F.md5("prompt").alias("prompt_md5"))
+
+
+def hit_answers(hits: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Stand-in for the judge's generated answers: one of seven shapes per hit, or none."""
+    labelled = rt.label_judge(hits, queries, corpus)
+    shape = hash_u32(S.SEED, F.concat_ws("|", "query_id", "doc_id"), "hit") % S.HIT_SHAPES
+    texts = [F.when(F.col("relevant"), '{"relevant": true}').otherwise('{"relevant": false}'), F.lit('{"relevant": "no"}'),
+             F.lit('{"relevant": 0}'), F.lit("relevant: true"), F.lit("[true]"), F.lit('{"relevant": true, "reason": {}}')]
+    return (labelled.withColumn("_shape", shape.cast("int")).where("_shape > 0")
+            .select("query_id", "doc_id", F.element_at(F.array(*texts), F.col("_shape")).alias("answer")))
+
+
+@register("rag_judged_precision", S.with_ctes(S.rag_ctes() + [("hit_judged", S.HIT_JUDGED)], f"""SELECT query_id,
+  round(count_if(relevant) / {float(S.TOP_K)}, 6) AS p_at_k FROM hit_judged GROUP BY query_id"""))
+def rag_judged_precision(spark, sf_dir):
+    """P@5 judged from an answer per hit (missing and unreadable answers are not relevant)."""
+    h, queries, corpus = rag_hits(spark, sf_dir)
+    h = materialize(h)
+    return rt.precision_at_k(rt.answer_judge(h, hit_answers(h, queries, corpus)), k=S.TOP_K)
+
+
 # ---- the stage-1 evaluation on a stream -------------------------------------------------
 
 

@@ -250,6 +250,46 @@ FIRST_QUERIES = f"""SELECT query, first_seen, row_number() OVER (ORDER BY first_
   GROUP BY query ORDER BY first_seen LIMIT {MAX_QUERIES})"""
 
 
+RAG_DIM = 64
+_RAG_WORDS = f"""SELECT id, b, count(*)::DOUBLE AS c FROM (
+    SELECT id, {pick('w', 'embed', RAG_DIM)} AS b FROM (SELECT id, unnest(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM src))
+  GROUP BY id, b"""
+
+
+def _rag_vectors(src: str) -> str:
+    return f"""SELECT id, CASE WHEN nrm = 0 THEN v ELSE list_transform(v, lambda x: x / nrm) END AS u FROM (
+    SELECT id, v, sqrt(list_inner_product(v, v)) AS nrm FROM (
+      SELECT s.id, list(coalesce(w.c, 0) ORDER BY r.b) AS v
+      FROM (SELECT id FROM ({src})) s CROSS JOIN (SELECT unnest(range({RAG_DIM})) AS b) r
+      LEFT JOIN ({_RAG_WORDS.replace('FROM src', f'FROM ({src})')}) w ON w.id = s.id AND w.b = r.b GROUP BY s.id))"""
+
+
+def rag_ctes() -> list[tuple[str, str]]:
+    """First queries of the samples, hashed word vectors, hits over the corpus texts."""
+    return samples_ctes(2) + [
+        ("fq", FIRST_QUERIES),
+        ("rq", "SELECT fq.query_rank AS query_id, fq.query, s.query_label AS label FROM fq JOIN samples s ON s.sample_id = fq.first_seen"),
+        ("ivec", _rag_vectors("SELECT doc_id AS id, text AS t FROM corpus")),
+        ("qvec", _rag_vectors("SELECT query_id AS id, query AS t FROM rq")),
+        ("hits", f"""SELECT query_id, rank, doc_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+      SELECT q.id AS query_id, i.id AS doc_id, round(list_inner_product(q.u, i.u), 9) AS score FROM qvec q CROSS JOIN ivec i))
+  WHERE rank <= {TOP_K}"""),
+        ("hit_rows", """SELECT h.*, q.query, q.label AS query_label, c.label, c.text
+  FROM hits h JOIN rq q USING (query_id) JOIN corpus c USING (doc_id)""")]
+
+
+# an answer of the judge per hit, by a draw: none, the label's truth, truthy and false values, no JSON, no object
+HIT_SHAPES = 7
+HIT_ANSWERS = f"""SELECT query_id, doc_id, CASE shape WHEN 1 THEN CASE WHEN label = query_label THEN '{{"relevant": true}}' ELSE '{{"relevant": false}}' END
+    WHEN 2 THEN '{{"relevant": "no"}}' WHEN 3 THEN '{{"relevant": 0}}' WHEN 4 THEN 'relevant: true' WHEN 5 THEN '[true]'
+    ELSE '{{"relevant": true, "reason": {{}}}}' END AS answer
+  FROM (SELECT *, {pick("concat_ws('|', query_id, doc_id)", 'hit', HIT_SHAPES)} AS shape FROM hit_rows) WHERE shape > 0"""
+HIT_JUDGED = f"""SELECT h.query_id, coalesce(CASE WHEN json_type(js) = 'OBJECT' THEN {truthy("json_extract(js, '$.relevant')")} END, false) AS relevant
+  FROM hit_rows h LEFT JOIN (SELECT query_id, doc_id, CASE WHEN json_valid(answer) THEN answer END AS js FROM ({HIT_ANSWERS})) a
+    ON a.query_id = h.query_id AND a.doc_id = h.doc_id"""
+
+
 # ---- chat, tokens, masks, batches, loss -------------------------------------------------
 
 
