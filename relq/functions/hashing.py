@@ -30,12 +30,6 @@ def pick(seed: int, key, purpose: str, n: int) -> Column:
     return hash_u32(seed, key, purpose) % F.lit(n)
 
 
-def pick_from(values: list[str], seed: int, key, purpose: str) -> Column:
-    """Pick one of ``values`` (a literal array, folded by Catalyst)."""
-    arr = F.array(*[F.lit(v) for v in values])
-    return F.element_at(arr, (pick(seed, key, purpose, len(values)) + 1).cast("int"))
-
-
 def sample_without_replacement(candidates: Column, k: int, seed: int, key, purpose: str) -> Column:
     """k elements of an int array, drawn without replacement (H2).
 

@@ -93,53 +93,7 @@ def has_keys(v: Column, keys=REASON_KEYS) -> Column:
     return cond
 
 
-# ---- the three policies -------------------------------------------------------------
-
-def flag_lenient(answer: Column) -> Column:
-    """Stage-1 parse (H9-H12): nullable boolean."""
-    t = strip_fence(py_strip(answer))
-    w = wrap_parse(brace_slice(t))
-    return F.when(is_valid(w), truthy(field(w, "$.relevant"))).otherwise(regex_flag(t))
-
-
-def flag_judge(answer: Column) -> Column:
-    """Retrieval judge parse (H14): strict, truthiness, any failure false."""
-    w = wrap_parse(answer)
-    top = field(w, "$")
-    return F.coalesce(F.when(is_object(top), truthy(field(w, "$.relevant"))), F.lit(False))
-
-
-def strict_columns(answer: Column, gold: Column) -> dict[str, Column]:
-    """Stage-2 per-row indicators (H13, H15, H15b) over a stripped answer.
-
-    Returns columns: json_valid, relevance_match, reason_complete, and the
-    generated query_topic / document_topic / summary when the reason is complete.
-    A valid answer that is not an object counts as valid and nothing else.
-    """
-    w = wrap_parse(py_strip(answer))
-    top = field(w, "$")
-    obj = is_valid(w) & is_object(top)
-    reason = field(w, "$.reason")
-    complete = obj & has_keys(reason)
-    return {
-        "json_valid": is_valid(w),
-        "relevance_match": obj & equals_bool(field(w, "$.relevant"), gold),
-        "reason_complete": complete,
-        "gen_query_topic": F.when(complete, string_value(field(w, "$.reason.query_topic"))),
-        "gen_document_topic": F.when(complete, string_value(field(w, "$.reason.document_topic"))),
-        "gen_summary": F.when(complete, string_value(field(w, "$.reason.summary"))),
-        "summary_present": complete,
-    }
-
-
-def gold_relevant(output: Column) -> Column:
-    """``json.loads(output)["relevant"]`` as boolean; null when unreadable or not a boolean."""
-    w = wrap_parse(output)
-    v = field(w, "$.relevant")
-    return F.when(vtype(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
-
-
-# ---- staged forms: each step is its own projection over named columns ---------------------
+# ---- the three policies: each step is its own projection over named columns ---------------
 # Nesting the helpers above repeats subtrees (a parsed value is tested, typed and read);
 # staging keeps the plan small and lets each intermediate be computed once.
 

@@ -21,11 +21,6 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(as_double(v), lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x / n))
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product in double."""
-    return F.aggregate(F.zip_with(as_double(a), as_double(b), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-
 def fixed_point(v: Column, scale: float = 1e6) -> Column:
     """Comma-joined ``round(x * scale)`` integers: a type-neutral text form of a vector."""
     return F.array_join(F.transform(v, lambda x: F.round(x * scale).cast("bigint").cast("string")), ",")

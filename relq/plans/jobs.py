@@ -11,10 +11,10 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relq.functions.models import embed_udf
 from relq.operators import evaluation as ev
 from relq.operators import retrieval as rt
 from relq.operators.batches import padded_batches, with_masks
+from relq.operators.embedding import embed_counts
 from relq.operators.chat import render_chat, with_answer_key
 from relq.operators.gold import gold_flag, gold_rows
 from relq.operators.positions import head_rows, slice_rows
@@ -90,10 +90,10 @@ def evaluate_s2_job(spark, samples_path, answers_path, out_path, head=None) -> N
 
 
 def build_index_job(spark, corpus_path, index_path, start=None, stop=None) -> None:
-    """Embed the corpus slice with the encoder slot and store ``(doc_id, text, label, embedding)``."""
+    """Encode the corpus slice (hashed word counts) and store ``(doc_id, text, label, embedding)``."""
     configure(spark)
     corpus = _corpus(spark, corpus_path, start, stop)
-    write_index(corpus.select("doc_id", "text", "label", embed_udf()(F.col("text")).alias("embedding")), index_path)
+    write_index(corpus.join(embed_counts(corpus, "doc_id", "text"), "doc_id"), index_path)
 
 
 def retrieval_eval_job(spark, index_path, samples_path, out_path, n_queries=None, k=5) -> None:
@@ -104,8 +104,8 @@ def retrieval_eval_job(spark, index_path, samples_path, out_path, n_queries=None
     # a query's label: the topic its template belongs to (the first sample it came from)
     from relq.templates import LABEL_TO_QUERIES
     qmap = F.create_map(*[x for lab, qs in LABEL_TO_QUERIES.items() for q in qs for x in (F.lit(q), F.lit(lab))])
-    queries = fq.select(F.col("query_rank").alias("query_id"), "query", qmap[F.col("query")].alias("label"),
-                        embed_udf()(F.col("query")).alias("embedding"))
+    queries = fq.select(F.col("query_rank").alias("query_id"), "query", qmap[F.col("query")].alias("label"))
+    queries = queries.join(embed_counts(queries, "query_id", "query"), "query_id")
     index = read_index(spark, index_path)
     hits = rt.knn_topk(index.select("doc_id", "embedding"), queries, k=k)
     per_q = rt.precision_at_k(rt.label_judge(hits, queries, index.select("doc_id", "label")), k=k)

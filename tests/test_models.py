@@ -1,31 +1,3 @@
-import numpy as np
-from pyspark.sql import functions as F
-
-from conftest import SF_SMALL
-from relq.functions.models import HashingEncoder, embed_udf, generate_udf, judge
-
-
-def test_embed_udf_matches_encoder(spark):
-    texts = ["Give me world news", "", "Zürich café, café!", None]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = [r[0] for r in df.select(embed_udf()(F.col("t"))).collect()]
-    exp = HashingEncoder().encode(texts)
-    for g, e in zip(got, exp):
-        assert np.allclose(np.array(g, dtype=np.float64), e, atol=1e-6)
-
-
-def test_judge_slot_uses_strict_policy(spark):
-    answers = {"p1": '{"relevant": true}', "p2": 'Answer: {"relevant": true}', "p3": '{"relevant": "x"}'}
-
-    def factory():
-        return lambda prompts: [answers[p] for p in prompts]
-
-    df = spark.createDataFrame([(k,) for k in answers], "prompt string")
-    got = dict(df.select("prompt", judge(F.col("prompt"), factory).alias("j")).collect())
-    assert got == {"p1": True, "p2": False, "p3": True}
-    assert df.select(generate_udf(factory)(F.col("prompt"))).count() == 3
-
-
 def test_word_counts_by_bucket(spark):
     import hashlib
     import re

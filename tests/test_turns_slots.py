@@ -1,6 +1,5 @@
 from pyspark.sql import functions as F
 
-from relq.functions.models import tokenize_udf
 from relq.operators.chat import render_turns
 from relq.operators.positions import grouped_prefix_sum
 
@@ -28,24 +27,6 @@ def test_render_turns_offsets_tile_the_conversation(spark):
     assert [r["is_target"] for r in out] == [False, False, True, False]
 
 
-def test_tokenizer_slot(spark):
-    # defined here so it is pickled by value for the Python workers
-    class _WhitespaceTok:
-        def encode_batch(self, texts):
-            out = []
-            for t in texts:
-                ids, starts, pos = [], [], 0
-                for w in t.split(" "):
-                    ids.append(len(w)); starts.append(pos); pos += len(w) + 1
-                out.append((ids, starts))
-            return out
-
-    df = spark.createDataFrame([("a bb ccc",), ("dddd",)], "t string")
-    r = df.select(tokenize_udf(_WhitespaceTok, max_len=2)(F.col("t")).alias("k")).collect()
-    assert r[0]["k"]["input_ids"] == [1, 2] and r[0]["k"]["offsets"] == [0, 2]
-    assert r[1]["k"]["input_ids"] == [4]
-
-
 def test_conversation_tokens_match_whole_text(spark):
     from conftest import SF_SMALL
     from relq.operators.chat import conversation_masks
