@@ -495,7 +495,8 @@ _REPORT_SQL = S.with_ctes(
   FROM strict"""),
         ("pk", "SELECT count(*) AS queries, round(avg(p_at_k), 6) AS mean_p_at_k FROM pak")],
     " UNION ALL ".join([_long_sql("stage1", "s1", _S1_COLS), _long_sql("stage2", "s2", _S2_COLS),
-                        _long_sql("retrieval", "pk", _PK_COLS)]))
+                        _long_sql("retrieval", "pk", _PK_COLS),
+                        "SELECT 'retrieval', 'p_at_k of query ' || query_id, round(p_at_k::DOUBLE, 6), printf('%.2f', p_at_k::DOUBLE) FROM pak"]))
 
 
 @register("metric_report", _REPORT_SQL)
@@ -503,9 +504,12 @@ def metric_report(spark, sf_dir):
     """Every evaluator's metrics in long form with its printed precision."""
     s1 = s1_accuracy(spark, sf_dir)
     s2 = s2_rates(spark, sf_dir)
-    pk = mean_precision_at_k(spark, sf_dir)
+    per_query = materialize(precision_at_k(spark, sf_dir))  # read for the rows and for their mean
+    pk = rt.mean_precision_at_k(per_query)
+    each = per_query.select(F.lit("retrieval").alias("source"), F.concat(F.lit("p_at_k of query "), F.col("query_id").cast("string")).alias("metric"),
+                            F.round(F.col("p_at_k").cast("double"), 6).alias("value"), F.format_string("%.2f", F.col("p_at_k").cast("double")).alias("text"))
     return (to_long(s1, _S1_COLS, "stage1").unionByName(to_long(s2, _S2_COLS, "stage2"))
-            .unionByName(to_long(pk, _PK_COLS, "retrieval")))
+            .unionByName(to_long(pk, _PK_COLS, "retrieval")).unionByName(each))
 
 
 # ---- text retrieval end to end (J3, F3, F1, C5, D9, D10) ------------------------------------
@@ -568,7 +572,7 @@ def s1_accuracy_stream(spark, sf_dir):
     s = eval_samples(spark, sf_dir)
     ans_dir, out_dir = _scratch(spark, "answers-stream"), _scratch(spark, "s1-stream-out")
     derive_answers(gold_rows(s, on_mismatch="drop")).select("sample_id", "answer").write.mode("overwrite").json(ans_dir)
-    stream = ST.read_answer_stream(spark, ans_dir, max_files_per_trigger=4)
+    stream = ST.read_answer_stream(spark, ans_dir)
     # the static side is written once: otherwise every micro-batch would regenerate it from the corpus
     ST.run_to_table(ST.s1_metrics(stream, materialize(gold_flag(s))), out_dir)
     return spark.read.parquet(out_dir)
@@ -628,7 +632,7 @@ def s2_rates_stream(spark, sf_dir):
     g = materialize(gold(spark, sf_dir))  # the static side, written once
     ans_dir, out_dir = _scratch(spark, "answers-stream2"), _scratch(spark, "s2-stream-out")
     derive_answers(g).select("sample_id", "answer").write.mode("overwrite").json(ans_dir)
-    stream = ST.read_answer_stream(spark, ans_dir, max_files_per_trigger=4)
+    stream = ST.read_answer_stream(spark, ans_dir)
     ST.run_to_table(ST.s2_metrics(stream, g), out_dir)
     return spark.read.parquet(out_dir)
 

@@ -21,8 +21,11 @@ ANSWER_SCHEMA = "sample_id long, answer string"
 
 
 def read_answer_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """JSONL answers ``(sample_id, answer)`` arriving as files in ``path``."""
-    r = spark.readStream.schema(ANSWER_SCHEMA)
+    """JSONL answers ``(sample_id, answer)`` arriving as files in ``path``; a line that is no such object fails the job.
+
+    A micro-batch takes all files that are there, or ``max_files_per_trigger`` of them: each one joins the static
+    gold table, so the caller sizes it to the rate of arrival."""
+    r = spark.readStream.schema(ANSWER_SCHEMA).option("mode", "FAILFAST")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.json(path)
