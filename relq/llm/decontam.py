@@ -125,9 +125,10 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", te
     prints = materialize(grams.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"),
                                       _fingerprints(grams, window, k, short).alias("fps")))
     every = prints.select("doc_id", "text_hash", "n_words")
-    met = (prints.select("doc_id", "text_hash", F.explode("fps").alias("fp"))
-           .join(_small(wins.select("fp").distinct(), n_wins), "fp", "left_semi")
-           .groupBy("doc_id", "text_hash").agg(F.lit(1).alias("__met")))
+    # written, so that the next join is planned by its real size: few candidates are broadcast, and no text moves
+    met = materialize(prints.select("doc_id", "text_hash", F.explode("fps").alias("fp"))
+                      .join(_small(wins.select("fp").distinct(), n_wins), "fp", "left_semi")
+                      .groupBy("doc_id", "text_hash").agg(F.lit(1).alias("__met")).drop("__met"))
     cand = materialize(base.join(met.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}),
                                  (F.col("text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
                        .dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", words_of(F.col("text")).alias("words")))
