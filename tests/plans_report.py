@@ -11,7 +11,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-KEEP = ("Exchange", "Join", "Scan", "Window", "ArrowEvalPython", "MapInPandas", "HashAggregate", "ObjectHashAggregate",
+KEEP = ("Exchange", "Join", "Scan", "Window", "ArrowEvalPython", "MapInPandas", "MapInArrow", "CoGroups", "HashAggregate", "ObjectHashAggregate",
         "TakeOrderedAndProject", "Generate", "Sort ", "BroadcastExchange", "Union", "WindowGroupLimit", "AQEShuffleRead",
         "InMemoryTableScan", "Filter", "CollectLimit", "GlobalLimit")
 
