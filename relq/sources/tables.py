@@ -24,11 +24,15 @@ def read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1: a labelled corpus ``(doc_id, text, label)``.
 
     Rows whose language is outside the four classes have no label and are not part of the corpus.
+    The session option ``relq.corpus.partitions`` (unset: none) deals the corpus out by ``doc_id``
+    first; it is for tables written as fewer splits than the cores that are to read them.
     """
     docs = read_table(spark, sf_dir, "documents")
     # an IN list on the raw column is pushed to the parquet scan (row-group pruning)
-    return (docs.where(F.col("lang").isin(*LANG_LABELS))
-            .select("doc_id", "text", label_of_lang(F.col("lang")).alias("label")))
+    corpus = (docs.where(F.col("lang").isin(*LANG_LABELS))
+              .select("doc_id", "text", label_of_lang(F.col("lang")).alias("label")))
+    partitions = spark.conf.get("relq.corpus.partitions", None)
+    return corpus.repartition(int(partitions), "doc_id") if partitions else corpus
 
 
 def read_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
