@@ -17,6 +17,8 @@ __all__ = ["materialize", "read", "filter_rows", "labelled_sample", "training_ro
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; runtime options and the shared folder are set up on the way."""
     configure(spark)
+    # whole texts go to Python: a batch of 1,000 long ones must fit beside the JVM's heap
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     checkpoint_dir(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
