@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relq.llm.common import read, training_row
@@ -123,8 +124,9 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not langs:
         return LanguageModel([], np.ones(BUCKETS), np.zeros((BUCKETS + 1, 0)))
     each = max(1, max_rows // len(langs))
-    rank = F.row_number().over(Window.partitionBy("__lang").orderBy(F.xxhash64("__id", F.lit(23)), "__id"))
-    ids = [tuple(r) for r in known.withColumn("__rank", rank).where(F.col("__rank") <= each).select("__id", "__lang").distinct().collect()]
+    # one bounded top-n a language: no task gathers the rows of a common language
+    tops = [known.where(F.col("__lang") == lang).orderBy(F.xxhash64("__id", F.lit(23)), "__id").limit(each) for lang in langs]
+    ids = sorted({tuple(r) for r in reduce(DataFrame.unionByName, tops).collect()})
     picked = F.broadcast(spark.createDataFrame(ids, "__id long, __lang string"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
