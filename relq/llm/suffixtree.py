@@ -299,22 +299,26 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
         if not left.num_rows:
             return schema.empty_table()
         text, train = left["text"].to_pylist(), left["training"].to_pylist()
-        c: Counter = Counter()
-        for t, own in zip(text, train):
-            if own:
+        c: Counter | None = Counter()
+        for t, is_training in zip(text, train):
+            if is_training:
                 c.update(t.split())
         for b in right.to_batches(max_chunksize=1 << 16):
             dict.update(c, zip(b.column("word").to_pylist(), b.column("c").to_pylist()))
         floor = n + v + 1
-        log = {w: np.log10((k + 1) / floor) for w, k in c.items() if k}
+        words, k = list(c), np.fromiter(c.values(), dtype=np.int64, count=len(c))
+        c = None  # one dictionary at a time
+        log = {w: x for w, x, n_w in zip(words, np.log10((k + 1) / floor).tolist(), k.tolist()) if n_w}
+        del words, k
         unseen, end = float(np.log10(1 / floor)), float(np.log10((texts + 1) / floor))
         tokens, known, base = [], [], []
         for t in text:
-            words = t.split()
-            got = [log[w] for w in words if w in log]
-            tokens.append(len(words) + 1)
+            own = t.split()
+            got = [log[w] for w in own if w in log]
+            tokens.append(len(own) + 1)
             known.append(len(got) + (texts > 0))
-            base.append(float(np.sum(got)) + unseen * (len(words) - len(got)) + end)
+            base.append(float(np.sum(got)) + unseen * (len(own) - len(got)) + end)
+        del log
         score = np.concatenate([model.value.score(part) for part in _slabs(text)])
         return pa.table([left["doc_id"], left["training"], tokens, known, [n] * len(text), base, score], schema=schema)
 
