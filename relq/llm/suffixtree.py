@@ -2,16 +2,18 @@
 
 The symbols are the bytes of a text's tokens (words, A-Z lower-cased, with one space between) and one
 line end that closes the text; no word holds either byte, so token sequences and symbol sequences are
-the same thing.  The tree's contexts have up to ``DEPTH`` symbols.  A context is kept if its share of the
-training symbols reaches ``P_MIN`` and its next-symbol distribution diverges from that of the context one
-shorter (by ``MIN_KL`` nats a symbol, and beyond what its sample size explains); the suffixes of a kept
-context are kept as well.  Distributions are smoothed towards that of the next shorter context, the
-root's towards equal shares of all 256 bytes.  The longest kept suffix of what was read scores the next
-symbol.
-
-Counting is a grouped sum over all training texts: tasks count their texts' n-grams, partial counts meet
-by n-gram.  At most ``1 / P_MIN`` contexts of each length can reach ``P_MIN``, whatever the corpus, so the
-kept tree is bounded and is compiled on the driver to an automaton (states by symbols) that is broadcast.
+the same thing.  The tree's contexts have up to ``DEPTH`` symbols.  A context is kept if it occurs
+``MIN_COUNT`` times in the training symbols, however many there are, and its next-symbol distribution
+diverges from that of the context one shorter (by ``MIN_KL`` nats a symbol, and beyond what its sample size
+explains); the suffixes of a kept context are kept as well.  Distributions are smoothed towards that of the
+next shorter context, the root's towards equal shares of all 256 bytes.  The longest kept suffix of what was
+read scores the next symbol.
+
+The tree grows with the corpus, so it is never in one place.  A *gram* is a full-depth context and its next
+symbol; each chunk of texts (below) sends its distinct grams, with their training counts, to buckets by the
+context's last three symbols.  A bucket has all that contexts of three symbols and more need: it sums
+the counts, prunes, and sends every chunk the probabilities of its own grams.  Contexts of one and two
+symbols (at most 256 + 65,536) are counted on the driver and broadcast.
 
 The base score needs the corpus count of every word of every text, which no broadcast can hold.  Texts
 are dealt once into chunks of bounded size; distinct words by chunk meet their counts in a join, and each
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +35,15 @@ from pyspark.sql import functions as F
 from relq.llm.common import batches_of, materialize, read, training_row
 
 DEPTH = 5  # longest context in bytes; with the next symbol it must fit a long
-P_MIN = 1e-5
+P_MIN = 0.0  # share of the training symbols that a context needs besides; 0: none, or the tree would not grow
 MIN_COUNT = 3
 MIN_KL = 0.002
 PRIOR = 4.0  # weight of the shorter context, in symbols
 CHUNK_BYTES = 32 << 20
 END = 10  # the line end that closes a text and fills the context before it
-LANE = 512  # symbols that one lane of the scorer reads
+LANE = 512  # symbols that one lane of the automaton reads
+LOW = 2  # contexts up to this length are on the driver
+BUCKETS = 4096
 
 
 # ---- texts and chunks ---------------------------------------------------------------------------
@@ -120,6 +125,72 @@ def _gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(g[ok], return_counts=True)
 
 
+def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the sums of their counts."""
+    u, at = np.unique(keys, return_inverse=True)
+    return u, np.bincount(at, weights=counts, minlength=len(u)).astype(np.int64)
+
+
+def chunk_grams(chunks: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
+    """``(chunk, bucket, grams, k)``: the distinct grams of each chunk's texts, sorted, and their occurrences in training
+    texts (0: none), packed as longs, a row a bucket.  A chunk that several tasks read has several rows a bucket."""
+    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary()), ("k", pa.binary())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, dtype=np.int64)
+        chunk, held, texts, size = None, (none, none), ([], []), 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            parts = [held]
+            for t, training in zip(texts, (0, 1)):
+                if t:
+                    g, c = _gram_counts(t)
+                    parts.append((g, c * training))
+            return _sums(*(np.concatenate(x) for x in zip(*parts)))
+
+        def emit(g: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            bucket = ((((g >> 8) & 0xFFFFFF) * 0x9E3779B1) & 0xFFFFFFFF) * BUCKETS >> 32
+            order = np.argsort(bucket, kind="stable")
+            own, at = np.unique(bucket[order], return_index=True)
+            g, c = (np.split(x[order], at[1:]) for x in (g, c))
+            yield from batches_of({"chunk": np.full(len(own), chunk), "bucket": own, "grams": [x.tobytes() for x in g],
+                                   "k": [x.tobytes() for x in c]}, schema, 1024)
+
+        for b in it:
+            for c, train, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if c != chunk:
+                    if chunk is not None:
+                        yield from emit(*merged())
+                    chunk, held, texts, size = c, (none, none), ([], []), 0
+                texts[bool(train)].append(text)
+                size += len(text)
+                if size >= part_bytes:
+                    held = merged()
+                    texts, size = ([], []), 0
+        if chunk is not None:
+            yield from emit(*merged())
+
+    return chunks.select("chunk", "training", "text").mapInArrow(run, "chunk long, bucket int, grams binary, k binary")
+
+
+def low_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of a context of ``LOW`` symbols and its next symbol in all texts, with their training counts."""
+    schema = pa.schema([("pair", pa.int64()), ("c", pa.int64())])
+    mask = (1 << 8 * (LOW + 1)) - 1
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, dtype=np.int64),) * 2
+        for b in it:
+            g, k = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.int64) for i in (0, 1))
+            held = _sums(np.concatenate([held[0], g & mask]), np.concatenate([held[1], k]))
+        yield from batches_of({"pair": held[0], "c": held[1]}, schema)
+
+    t = grams.select("grams", "k").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    pair, c = (t[x].to_numpy().astype(np.int64) for x in ("pair", "c"))
+    order = np.argsort(pair)
+    return pair[order], c[order]
+
+
 def gram_counts(chunks: DataFrame, part_bytes: int = 8 << 20, most: int = 4_000_000) -> DataFrame:
     """``(gram, c)`` summed over all training texts."""
     schema = pa.schema([("gram", pa.int64()), ("c", pa.int64())])
@@ -174,6 +245,147 @@ def kept_contexts(grams: DataFrame, p_min: float = P_MIN, min_count: int = MIN_C
     return known.join(suffixes, ["d", "ctx"], "left_semi").unionByName(known.where("d = 0")).select("d", "ctx", "nxt", "c")
 
 
+# ---- levels -------------------------------------------------------------------------------------
+
+class Level:
+    """The contexts of one length.  ``key`` are its sorted (context, next symbol) pairs with counts ``c``, ``ctx`` its contexts
+    and ``at`` the place of each pair's context; ``q`` is a pair's share in its context, ``p`` its probability if
+    the context is kept; ``apart`` says which contexts reach the count and pass the divergence test."""
+
+    def __init__(self, d: int, grams: np.ndarray, counts: np.ndarray, up: "Level | None", least: float, min_kl: float, prior: float):
+        self.d = d
+        self.key, c = _sums(grams & _mask(d), counts)
+        self.ctx, self.at = np.unique(self.key >> 8, return_inverse=True)
+        total = np.bincount(self.at, weights=c, minlength=len(self.ctx))
+        self.q = c / np.maximum(total, 1)[self.at]
+        if up is None:
+            self.p, self.apart = (c + 1) / (total[self.at] + 256), np.ones(len(self.ctx), dtype=bool)
+            return
+        below = up.find(self.key)
+        self.p = (c + prior * up.p[below]) / (total[self.at] + prior)
+        seen = c > 0
+        kinds = np.bincount(self.at[seen], minlength=len(self.ctx))
+        kl = np.bincount(self.at[seen], weights=self.q[seen] * np.log(self.q[seen] / up.q[below[seen]]), minlength=len(self.ctx))
+        self.apart = (total >= max(1, least)) & (kl >= min_kl) & (kl * total >= 0.5 * kinds * np.log(np.maximum(total, 1)))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The places of the pairs that end longer ones."""
+        return np.searchsorted(self.key, keys & _mask(self.d))
+
+
+def _mask(d: int) -> int:
+    return (1 << 8 * (d + 1)) - 1
+
+
+def _keep(levels: list[Level], kept_beyond: np.ndarray) -> list[np.ndarray]:
+    """Which contexts of the levels, shortest first, are kept; ``kept_beyond`` are kept contexts one longer than the last level's."""
+    out = []
+    for lv in reversed(levels):
+        kept = lv.apart | np.isin(lv.ctx, kept_beyond & (_mask(lv.d) >> 8))
+        kept_beyond = lv.ctx[kept]
+        out.append(kept)
+    return out[::-1]
+
+
+def _longest(grams: np.ndarray, levels: list[Level], kept: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+    """``p``, replaced by the probability in the longest kept context of each gram."""
+    for lv, k in zip(levels, kept):
+        at = lv.find(grams)
+        p = np.where(k[lv.at[at]], lv.p[at], p)
+    return p
+
+
+def gram_costs(grams: DataFrame, p_min: float = P_MIN, min_count: int = MIN_COUNT, min_kl: float = MIN_KL,
+               prior: float = PRIOR) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """``(chunk, grams, cost)``: log10 probabilities of each chunk's grams (packed floats) where a context longer than ``LOW`` is
+    kept, else NaN, and the pairs of ``LOW`` symbols and the next with the log10 probabilities that hold there."""
+    pair, c = low_counts(grams)
+    least = max(min_count, p_min * c.sum())
+    low: list[Level] = []
+    for d in range(LOW + 1):
+        low.append(Level(d, pair, c, low[-1] if low else None, least, min_kl, prior))
+    shared = grams.sparkSession.sparkContext.broadcast(low[-1])
+    none = np.zeros(0, dtype=np.int64)
+    schema = pa.schema([("chunk", pa.int64()), ("grams", pa.binary()), ("cost", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        texts = table["grams"].to_pylist()
+        every = np.frombuffer(b"".join(texts), dtype=np.int64)
+        g, k = _sums(every, np.frombuffer(b"".join(table["k"].to_pylist()), dtype=np.int64))
+        levels = [shared.value]
+        for d in range(LOW + 1, DEPTH + 1):
+            levels.append(Level(d, g, k, levels[-1], least, min_kl, prior))
+        levels = levels[1:]
+        kept = _keep(levels, none)
+        cost = np.log10(_longest(g, levels, kept, np.full(len(g), np.nan))).astype(np.float32)[np.searchsorted(g, every)]
+        ends = np.cumsum([len(t) // 8 for t in texts])
+        parts = [x.tobytes() for x in np.split(cost, ends[:-1])]
+        # a row without a chunk: the contexts of LOW symbols that are kept because a longer one is
+        roots = np.unique(levels[0].ctx[kept[0]] & (_mask(LOW) >> 8))
+        return pa.table([[*table["chunk"].to_pylist(), None], [*texts, roots.tobytes()], [*parts, None]], schema=schema)
+
+    costs = materialize(grams.groupBy("bucket").applyInArrow(run, "chunk long, grams binary, cost binary"))
+    roots = costs.where("chunk is null and grams != x''").select("grams").distinct().collect()
+    beyond = np.unique(np.concatenate([none, *(np.frombuffer(r.grams, dtype=np.int64) for r in roots)]))
+    kept = _keep(low, beyond)
+    return costs.where("chunk is not null"), pair, np.log10(_longest(pair, low, kept, np.zeros(len(pair)))).astype(np.float32)
+
+
+class Costs:
+    """The costs of grams in a hash table of 2 to 4 places a gram; a taken place sends a gram to the next one."""
+
+    def __init__(self, grams: np.ndarray, cost: np.ndarray):
+        bits = max(4, (2 * len(grams)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.cost = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.float32)
+        step = 0
+        while len(grams):
+            at = self.place(grams, step)
+            free = self.keys[at] == -1
+            self.keys[at[free]] = grams[free]
+            put = self.keys[at] == grams
+            self.cost[at[put]] = cost[put]
+            grams, cost, step = grams[~put], cost[~put], step + 1
+
+    def place(self, grams: np.ndarray, step: int) -> np.ndarray:
+        at = ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+        return (at + step) & self.last if step else at
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """The costs of grams that are all in the table."""
+        at = self.place(grams, 0)
+        out = self.cost[at]
+        left, step = np.flatnonzero(self.keys[at] != grams), 1
+        while len(left):
+            if step > self.last:
+                raise KeyError("a gram without a cost")
+            at = self.place(grams[left], step)
+            out[left] = self.cost[at]
+            left, step = left[self.keys[at] != grams[left]], step + 1
+        return out
+
+
+def score_grams(texts: list[bytes], costs: Costs, step: int = 1 << 17) -> np.ndarray:
+    """log10 probability of each text and its end."""
+    s = _stream(texts)
+    off = np.concatenate([[0], np.cumsum([len(t) + 1 + DEPTH for t in texts])])
+    inner = np.ones(len(s), dtype=bool)  # windows that reach into the next text's filling are none
+    for i in range(1, DEPTH + 1):
+        inner[off[1:] - i] = False
+    total = np.zeros(len(texts))
+    for at in range(0, len(s) - DEPTH, step):
+        n = min(step, len(s) - DEPTH - at)
+        g = np.zeros(n, dtype=np.int64)
+        for i in range(DEPTH + 1):
+            g = (g << 8) | s[at + i:at + i + n]
+        ok = inner[at:at + n]
+        v = np.zeros(n)
+        v[ok] = costs.of(g[ok])
+        first, last = np.searchsorted(off, [at, at + n - 1], side="right") - 1
+        total[first:last + 1] += np.add.reduceat(v, np.concatenate([[0], off[first + 1:last + 1] - at]))
+    return total
+
+
 # ---- automaton ----------------------------------------------------------------------------------
 
 class Automaton:
@@ -266,6 +478,7 @@ class Automaton:
 
 
 def fit_tree(chunks: DataFrame, **kw) -> Automaton:
+    """The tree of a corpus small enough for the driver; :func:`score_texts` does not gather it."""
     t = kept_contexts(materialize(gram_counts(chunks)), **kw).toArrow()
     return Automaton.build(*(t[c].to_numpy().astype(np.int64) for c in ("d", "ctx", "nxt", "c")))
 
@@ -284,14 +497,16 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     chunks = materialize(chunked(docs, id_col, text_col, training, chunk_bytes))
-    model = spark.sparkContext.broadcast(fit_tree(chunks, **kw))
+    probabilities, pair, pair_cost = gram_costs(materialize(chunk_grams(chunks)), **kw)
+    low = spark.sparkContext.broadcast((pair, pair_cost))
     rows = word_counts(chunks)
     counts = materialize(rows.groupBy("word").agg(F.sum("k").alias("c"), F.count("*").alias("chunks")))
     n, v = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     texts = chunks.where("training").count()
     n, v = (n or 0) + texts, v + (texts > 0)  # the end is a token
     # a word of one chunk is known there; only words of several need their counts sent
-    sent = rows.join(counts.where("chunks > 1").select("word", "c"), "word").select("chunk", "word", "c")
+    sent = rows.join(counts.where("chunks > 1").select("word", "c"), "word").select("chunk", "word", "c", F.lit(None).cast("binary").alias("cost"))
+    sent = sent.unionByName(probabilities.select("chunk", F.col("grams").alias("word"), F.lit(None).cast("long").alias("c"), "cost"))
     schema = pa.schema([("doc_id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                         ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -303,7 +518,8 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
         for t, is_training in zip(text, train):
             if is_training:
                 c.update(t.split())
-        for b in right.to_batches(max_chunksize=1 << 16):
+        is_word = pc.is_null(right["cost"])
+        for b in right.filter(is_word).to_batches(max_chunksize=1 << 16):
             dict.update(c, zip(b.column("word").to_pylist(), b.column("c").to_pylist()))
         floor = n + v + 1
         words, k = list(c), np.fromiter(c.values(), dtype=np.int64, count=len(c))
@@ -319,7 +535,13 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
             known.append(len(got) + (texts > 0))
             base.append(float(np.sum(got)) + unseen * (len(own) - len(got)) + end)
         del log
-        score = np.concatenate([model.value.score(part) for part in _slabs(text)])
+        own = right.filter(pc.invert(is_word))
+        grams, at = np.unique(np.frombuffer(b"".join(own["word"].to_pylist()), dtype=np.int64), return_index=True)
+        cost = np.frombuffer(b"".join(own["cost"].to_pylist()), dtype=np.float32)[at]
+        pair, pair_cost = low.value
+        cost = np.where(np.isnan(cost), pair_cost[np.searchsorted(pair, grams & _mask(LOW))], cost)
+        costs = Costs(grams, cost)
+        score = np.concatenate([score_grams(part, costs) for part in _slabs(text)])
         return pa.table([left["doc_id"], left["training"], tokens, known, [n] * len(text), base, score], schema=schema)
 
     return chunks.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(run, OUT)

@@ -112,3 +112,21 @@ def test_odd_rows_and_small_chunks(spark):
     for r in none:
         if r.n_tokens == 1:
             assert abs(r.score + np.log10(256)) < 1e-5
+
+
+def test_rare_contexts_stay_in_a_large_corpus(spark):
+    # 4 occurrences in 600,000 symbols are a share of less than 1e-5
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.choice(list(b"abc "), 6000).tolist()) for _ in range(100)]
+    for i in (3, 30, 60, 90):
+        texts[i] += b" qzjxk"
+    texts = [norm(t.decode()) for t in texts]
+    every = [*texts, b"a qzjxk", b"b qzj a"]
+    kept, score = brute_tree(texts, 0.0, T.MIN_COUNT, T.MIN_KL, T.PRIOR)
+    assert b"q" in kept
+    df = spark.createDataFrame([(i, t.decode(), i < len(texts)) for i, t in enumerate(every)], "doc_id long, text string, t boolean")
+    got = {r.doc_id: r.score for r in T.score_texts(df, T.F.col("t"), chunk_bytes=100_000).collect()}
+    for i in (0, 3, 100, 101):
+        assert abs(got[i] - score(every[i])) < 1e-5 * -score(every[i])
+    _, frequent = brute_tree(texts, 1e-5, T.MIN_COUNT, T.MIN_KL, T.PRIOR)
+    assert got[100] > frequent(every[100]) + 3
