@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from relq.operators.positions import materialize
 from relq.session import checkpoint_dir, configure
 
-__all__ = ["materialize", "read", "filter_rows", "labelled_sample", "training_row", "to_hex64", "batches_of"]
+__all__ = ["materialize", "read", "filter_rows", "known_labels", "labelled_sample", "class_weights", "training_row", "to_hex64", "batches_of"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,16 +57,27 @@ def filter_rows(docs: DataFrame, text_col: str, make_keep) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def known_labels(labels: DataFrame, id_col: str, label_col: str, modulus: int = 5, held_out: int = 0) -> DataFrame:
+    """``(__id, label)`` of all training rows: labels other than 0 and 1, null ids and held-out ids are left out; an id
+    that the labels repeat counts once, with its largest label."""
+    return (labels.where(training_row(F.col(id_col), modulus, held_out) & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
+            .groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("label")))
+
+
+def class_weights(labels: DataFrame, id_col: str, label_col: str, per_class: int) -> np.ndarray:
+    """How many training rows of label 0 and of label 1 a row of :func:`labelled_sample` stands for."""
+    n = dict(known_labels(labels, id_col, label_col).groupBy("label").count().collect())
+    return np.array([max(1.0, n.get(label, 0) / per_class) for label in (0, 1)])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int,
                     modulus: int = 5, held_out: int = 0) -> DataFrame:
     """``(doc_id, label, text)`` of at most ``per_class`` training rows of either label.
 
     The rows are those with the smallest hashes of their id, so the sample is the same however the
-    tables are cut.  Labels other than 0 and 1, null ids and held-out ids are left out; an id that
-    the labels repeat counts once, with its largest label.  The ids are few (``2 * per_class``) and broadcast.
+    tables are cut.  The ids are few (``2 * per_class``) and broadcast.
     """
-    known = (labels.where(training_row(F.col(id_col), modulus, held_out) & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
-             .groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("label")))
+    known = known_labels(labels, id_col, label_col, modulus, held_out)
     order = F.xxhash64("__id", F.lit(17))
     picked = known.where("label = 0").orderBy(order).limit(per_class).unionByName(
         known.where("label = 1").orderBy(order).limit(per_class))

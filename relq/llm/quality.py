@@ -4,9 +4,9 @@ A document is a vector of surface measures of its whole text: shares of symbol k
 digits, repeated words, bigrams and lines, word lengths, and the worst window of several of them, so
 that junk in one part of a long text shows.  Scores are linear in these measures and learned from
 preference pairs (a document labelled 1 is preferred to one labelled 0): the logistic loss of the
-pair's feature difference, minimised by Newton steps.  A quantile of the training scores is the
-threshold; the quantile is the one that classifies the training rows best (both classes weighted by
-their share), and the reported score is a logistic curve that passes the cut-off there.
+pair's feature difference, minimised by Newton steps.  Only this fit reads a sample.  A quantile of the
+scores of all labelled training rows is the threshold; the quantile is the one that classifies all of them
+best, each row counting once, and the reported score is a logistic curve that passes the cut-off there.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relq.llm.common import filter_rows, labelled_sample, read, training_row
+from relq.llm.common import class_weights, filter_rows, known_labels, labelled_sample, materialize, read, training_row
 
 CUT = 0.3  # scores from here on predict label 1
 SYMBOLS = b"#$%&*!|<>{}=/\\_~^@+"
@@ -127,21 +127,58 @@ def best_quantile(s: np.ndarray, y: np.ndarray, grid: int = 2000) -> float:
     return float((q[at] + below.max()) / 2) if len(below) else float(q[at] - 1e-9)
 
 
+def best_quantile_of(scores: DataFrame, grid: int = 2000) -> float:
+    """:func:`best_quantile` over any number of ``(s, label)`` rows: the quantiles are approximate (a fiftieth of a step of
+    the grid), the errors at each are exact counts."""
+    n = {r.label: r for r in scores.groupBy("label").agg(F.min("s").alias("low"), F.max("s").alias("high")).collect()}
+    if len(n) < 2:
+        return 0.0 if not n else (n[1].low - 1.0 if 1 in n else n[0].high + 1.0)
+    q = np.unique(scores.agg(F.percentile_approx("s", np.linspace(0, 1, grid + 1).tolist(), 50 * grid)).first()[0])
+    schema = "place int, label int, n long, high double"
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, high = np.zeros((len(q) + 1, 2), dtype=np.int64), np.full((len(q) + 1, 2), -np.inf)
+        for b in it:
+            s, y = b.column(0).to_numpy(), b.column(1).to_numpy()
+            at = np.searchsorted(q, s, side="right")  # quantiles that the score reaches
+            np.add.at(n, (at, y), 1)
+            np.maximum.at(high, (at, y), s)
+        place, label = np.nonzero(n)
+        yield pa.record_batch([pa.array(place, pa.int32()), pa.array(label, pa.int32()), pa.array(n[place, label]), pa.array(high[place, label])],
+                              ["place", "label", "n", "high"])
+
+    count, high = np.zeros((len(q) + 1, 2), dtype=np.int64), np.full(len(q) + 1, -np.inf)
+    for r in scores.select("s", "label").mapInArrow(run, schema).groupBy("place", "label").agg(F.sum("n").alias("n"), F.max("high").alias("high")).collect():
+        count[r.place, r.label] = r.n
+        high[r.place] = max(high[r.place], r.high)
+    below = np.cumsum(count, axis=0)[:-1]  # rows that do not reach the quantile
+    errors = below[:, 1] + (count[:, 0].sum() - below[:, 0])
+    best = np.flatnonzero(errors == errors.min())
+    at = best[len(best) // 2]
+    under = high[:at + 1].max()
+    return float((q[at] + under) / 2) if np.isfinite(under) else float(q[at] - 1e-9)
+
+
 class QualityModel:
     """A fitted ranking: ``score`` maps rows of measures to 0..1; ``CUT`` and above predicts label 1."""
 
     def __init__(self, mean: np.ndarray, scale: np.ndarray, w: np.ndarray, threshold: float):
         self.mean, self.scale, self.w, self.threshold = mean, scale, w, threshold
 
+    def rank(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -6, 6) @ self.w
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -6, 6) @ self.w - self.threshold + np.log(CUT / (1 - CUT))
+        z = self.rank(x) - self.threshold + np.log(CUT / (1 - CUT))
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_arrays(x: np.ndarray, y: np.ndarray) -> QualityModel:
+def fit_arrays(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> QualityModel:
+    """The ranking from sampled rows, which stand for ``weights`` rows each; its threshold is the sample's own."""
     if not len(x):
         return QualityModel(np.zeros(len(NAMES)), np.ones(len(NAMES)), np.zeros(len(NAMES)), 0.0)
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
+    mean = np.average(x, axis=0, weights=weights)
+    scale = np.maximum(np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weights)), 1e-3)
     z = np.clip((x - mean) / scale, -6, 6)
     w = fit_pairs(z, y)
     return QualityModel(mean, scale, w, best_quantile(z @ w, y))
@@ -149,10 +186,30 @@ def fit_arrays(x: np.ndarray, y: np.ndarray) -> QualityModel:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
                 per_class: int = 4000) -> QualityModel:
-    """Fit on at most ``per_class`` training rows of each label (those with the smallest id hashes)."""
+    """The ranking is fitted on at most ``per_class`` training rows of each label (those with the smallest id hashes),
+    weighted by their class's true count; the threshold is that of all training rows."""
     rows = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
-    got = feature_rows(rows, ["label"]).collect()
-    return fit_arrays(np.array([r.x for r in got]), np.array([r.label for r in got]))
+    got = sorted((r.label, r.x) for r in feature_rows(rows, ["label"]).collect())  # the order of tasks must not matter
+    y = np.array([label for label, _ in got], dtype=int)
+    model = fit_arrays(np.array([x for _, x in got]), y, class_weights(labels, id_col, label_col, per_class)[y] if len(y) else None)
+    if len(y):
+        model.threshold = best_quantile_of(training_ranks(docs, labels, model, id_col, text_col, label_col))
+    return model
+
+
+def training_ranks(docs: DataFrame, labels: DataFrame, model: QualityModel, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """``(s, label)`` of all labelled training rows; ids and ranks meet the labels, texts are not shuffled."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if b.num_rows:
+                s = model.rank(np.array([features(t.as_py()) for t in b.column(1)]))
+                yield pa.record_batch([b.column(0), pa.array(s)], ["__doc", "s"])
+
+    ranks = (docs.where(F.col(id_col).isNotNull() & training_row(F.col(id_col), 5, 0))
+             .select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).cast("binary").alias("text"))
+             .mapInArrow(run, "__doc long, s double"))
+    known = known_labels(labels, id_col, label_col)
+    return materialize(ranks.join(known, F.col("__doc") == F.col("__id")).select("s", "label"))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 
 from relq.llm import quality as Q
 from relq.llm import toxicity as T
-from relq.llm.common import labelled_sample
+from relq.llm.common import known_labels, labelled_sample
 
 SF = "/root/testdata/sf0.1"
 
@@ -96,3 +96,25 @@ def test_no_labels(spark, tables):
         assert Q.score_quality(docs.limit(3), Q.fit_quality(docs.limit(50), none)).count() == 3
         m = T.fit_toxicity(docs.limit(50), none)
         assert not m.lexicon.stems and T.score_toxicity(docs.limit(3), m).count() == 3
+
+
+def test_quality_threshold_covers_all_training_rows(spark, tables):
+    docs, labels = tables
+    # a cap that binds: the cut still has the fewest errors on all training rows
+    model = Q.fit_quality(docs, labels, per_class=40)
+    ranks = Q.training_ranks(docs, labels, model, "doc_id", "text", "quality").collect()
+    s, y = np.array([r.s for r in ranks]), np.array([r.label for r in ranks])
+    assert len(s) > 200 and len(s) == known_labels(labels, "doc_id", "quality").count()
+    errors = lambda t: ((s >= t) != (y == 1)).sum()
+    assert errors(model.threshold) == min(errors(t) for t in np.unique(s))
+
+
+def test_quality_threshold_does_not_move_with_the_cap(spark):
+    # overlapping scores, 9 good rows a bad one: the cut of the natural mix, not that of equal classes
+    rng = np.random.default_rng(2)
+    y = (rng.random(20_000) < 0.9).astype(int)
+    s = rng.normal(2.0 * y, 1.0)
+    rows = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y)], "s double, label int").repartition(4)
+    t = Q.best_quantile_of(rows)
+    assert abs(((s >= t) != (y == 1)).sum() - ((s >= Q.best_quantile(s, y)) != (y == 1)).sum()) <= 3
+    assert t < 0.4  # equal classes: 1
