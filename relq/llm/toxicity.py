@@ -11,7 +11,7 @@ is a logistic function of the weighted events of its clauses, not of isolated wo
 
 The words of the insult class are learned from labelled rows: stems whose share among toxic rows is
 significantly and many times their share among clean ones, cut back to the longest form that keeps
-their support.  Event weights are learned by penalised logistic regression around a prior that holds
+their support.  Event weights are learned by penalised logistic regression (sampled rows weighted by their class's true count) around a prior that holds
 where the rows show no such event (a threat counts although no labelled row has one).
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relq.llm.common import filter_rows, labelled_sample, read, training_row
+from relq.llm.common import class_weights, filter_rows, labelled_sample, read, training_row
 
 CUT = 0.5
 
@@ -269,19 +269,20 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.w + self.bias, -40, 40)))
 
 
-def fit_events(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[np.ndarray, float]:
-    """Logistic regression around the prior weights (Newton steps)."""
+def fit_events(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50, weights: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Logistic regression around the prior weights (Newton steps); a row counts ``weights`` times (once by default)."""
+    k = np.ones(len(x)) if weights is None else weights
     prior = np.append(PRIOR, PRIOR_BIAS)
     w = prior.copy()
 
     def loss(v):
         m = z @ v
-        return (np.logaddexp(0, m) - y * m).sum() + ridge / 2 * ((v - prior) ** 2).sum()
+        return (k * (np.logaddexp(0, m) - y * m)).sum() + ridge / 2 * ((v - prior) ** 2).sum()
     z = np.column_stack([x, np.ones(len(x))]) if len(x) else np.zeros((0, len(prior)))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        grad = z.T @ (y - p) - ridge * (w - prior)
-        hess = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
+        grad = z.T @ (k * (y - p)) - ridge * (w - prior)
+        hess = (z * (k * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
             step /= 2
@@ -305,7 +306,8 @@ def event_rows(docs: DataFrame, lexicon: Lexicon, keep: list[str], text_col: str
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
                  per_class: int = 4000) -> ToxicityModel:
-    """Fit on at most ``per_class`` training rows of each label (those with the smallest id hashes)."""
+    """Fit on at most ``per_class`` training rows of each label (those with the smallest id hashes); in the event
+    weights and the bias each class has the weight of all its training rows."""
     rows = labelled_sample(docs, labels, id_col, text_col, label_col, per_class).persist()
     try:
         lexicon = learn_lexicon(rows)
@@ -313,7 +315,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     finally:
         rows.unpersist()
     x = np.array([r.x for r in got]).reshape(-1, len(EVENTS))
-    return ToxicityModel(lexicon, *fit_events(x, np.array([r.label for r in got], dtype=float)))
+    y = np.array([r.label for r in got], dtype=int)
+    return ToxicityModel(lexicon, *fit_events(x, y.astype(float), weights=class_weights(labels, id_col, label_col, per_class)[y]))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 
 from relq.llm import quality as Q
 from relq.llm import toxicity as T
-from relq.llm.common import known_labels, labelled_sample
+from relq.llm.common import class_weights, known_labels, labelled_sample
 
 SF = "/root/testdata/sf0.1"
 
@@ -118,3 +118,26 @@ def test_quality_threshold_does_not_move_with_the_cap(spark):
     t = Q.best_quantile_of(rows)
     assert abs(((s >= t) != (y == 1)).sum() - ((s >= Q.best_quantile(s, y)) != (y == 1)).sum()) <= 3
     assert t < 0.4  # equal classes: 1
+
+
+def test_toxicity_bias_does_not_move_with_the_cap(spark):
+    # an event in every toxic and in half of the clean rows, 8 clean rows a toxic one: 4 to 1 among those with the event
+    rows = [(i, "you are a zarkon" if i % 9 == 0 or i % 2 else f"plain words number {'abcdefghij'[i % 10]}", int(i % 9 == 0)) for i in range(2700)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    np.testing.assert_allclose(class_weights(labels, "doc_id", "toxic", 60),
+                               [n / 60 for _, n in sorted(known_labels(labels, "doc_id", "toxic").groupBy("label").count().collect())])
+    lexicon = T.Lexicon({"zarkon": (3.0, True)})
+    got = []
+    for cap in (60, 10_000):
+        sample = T.event_rows(labelled_sample(docs, labels, "doc_id", "text", "toxic", cap), lexicon, ["label"]).collect()
+        y = np.array([r.label for r in sample])
+        w, bias = T.fit_events(np.array([r.x for r in sample]), y.astype(float), weights=class_weights(labels, "doc_id", "toxic", cap)[y])
+        got.append(T.ToxicityModel(lexicon, w, bias).score(np.array([T.Matcher(lexicon).events("you are a zarkon")]))[0])
+    assert abs(got[0] - got[1]) < 0.06 and max(got) < T.CUT
+    real = T.learn_lexicon
+    T.learn_lexicon = lambda rows: lexicon
+    try:  # the cap binds: still not toxic
+        assert T.score_toxicity(docs, T.fit_toxicity(docs, labels, per_class=60)).where("predicted = 1").count() == 0
+    finally:
+        T.learn_lexicon = real
