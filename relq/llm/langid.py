@@ -1,10 +1,12 @@
 """Operator 8: language identification by sparse multinomial logistic regression.
 
 A text is lower-cased, everything but letters becomes a space, and its character n-grams (1 to 3) are
-hashed to buckets.  Weights are log term counts times inverse document frequencies, scaled to length 1.
+hashed to buckets.  Weights are log term counts times inverse document frequencies (of all training
+documents), scaled to length 1.
 The model is trained with follow-the-regularised-leader (FTRL-proximal, one step size a weight) and an
 elastic net: the L1 part leaves most weights at exactly zero, the L2 part shrinks the others.  A part of the
-training rows is kept back to fit one temperature, which calibrates the probabilities.
+training rows is kept back to fit one temperature, which calibrates the probabilities.  Both fits read a
+bounded sample in which each language is weighted by its share of all training documents.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relq.llm.common import read, training_row
+from relq.llm.common import batches_of, read, training_row
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -69,8 +71,10 @@ class LanguageModel:
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, epochs: int = 3, alpha: float = 0.5,
-         beta: float = 1.0, l1: float = 0.05, l2: float = 0.01, seed: int = 3) -> np.ndarray:
-    """Weights (buckets + 1, classes) of a multinomial model by FTRL-proximal over (buckets, values) rows."""
+         beta: float = 1.0, l1: float = 0.05, l2: float = 0.01, seed: int = 3, weights_of: np.ndarray | None = None) -> np.ndarray:
+    """Weights (buckets + 1, classes) of a multinomial model by FTRL-proximal over (buckets, values) rows, which weigh
+    ``weights_of`` (1 by default)."""
+    k = np.ones(len(rows)) if weights_of is None else weights_of
     z = np.zeros((BUCKETS + 1, classes))
     n = np.zeros_like(z)
 
@@ -88,22 +92,22 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int,
             p = np.exp(s - s.max())
             p /= p.sum()
             p[y[i]] -= 1
-            g = x[:, None] * p
+            g = x[:, None] * (k[i] * p)
             nn = n[at]
             z[at] += g - (np.sqrt(nn + g * g) - np.sqrt(nn)) / alpha * w
             n[at] = nn + g * g
     return weights(np.arange(BUCKETS + 1))
 
 
-def fit_temperature(z: np.ndarray, y: np.ndarray) -> float:
-    """The temperature with the smallest log loss on kept-back rows (golden-section search in the log)."""
+def fit_temperature(z: np.ndarray, y: np.ndarray, weights_of: np.ndarray | None = None) -> float:
+    """The temperature with the smallest (weighted) log loss on kept-back rows (golden-section search in the log)."""
     if not len(y):
         return 1.0
 
     def loss(t):
         s = z / np.exp(t)
         s = s - s.max(axis=1, keepdims=True)
-        return (np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean()
+        return np.average(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y], weights=weights_of)
     a, b, r = np.log(0.02), np.log(20.0), (5 ** 0.5 - 1) / 2
     for _ in range(60):
         c, d = b - r * (b - a), a + r * (b - a)
@@ -111,16 +115,38 @@ def fit_temperature(z: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """By bucket the number of texts (the only column) that hold one of its n-grams, and the number of texts with a letter."""
+    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(BUCKETS + 1, dtype=np.int64)
+        for b in it:
+            for t in b.column(0).to_pylist():
+                at, _ = grams(t)
+                df[at] += 1
+                df[BUCKETS] += len(at) > 0
+        held = np.flatnonzero(df)
+        yield from batches_of({"bucket": held, "n": df[held]}, schema)
+
+    df = np.zeros(BUCKETS + 1, dtype=np.int64)
+    for r in texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        df[r.bucket] = r.n
+    return df[:BUCKETS], int(df[BUCKETS])
+
+
 def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 5, held_out: int = 0,
                  max_rows: int = 4000) -> LanguageModel:
-    """Fit on at most ``max_rows`` training documents, as many of each language (those with the smallest id hashes).
+    """Fit on at most ``max_rows`` training documents, as many of each language (those with the smallest id hashes),
+    weighted by the language's share of all training documents; document frequencies are those of all of them.
 
     Only text and non-null language of training rows are read; null ids are not used.
     """
     spark = docs.sparkSession
-    known = (docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & training_row(F.col(id_col), modulus, held_out))
-             .select(F.col(id_col).cast("long").alias("__id"), F.col(lang_col).alias("__lang")))
-    langs = sorted(r[0] for r in known.select("__lang").distinct().collect())
+    training = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & training_row(F.col(id_col), modulus, held_out))
+    known = training.select(F.col(id_col).cast("long").alias("__id"), F.col(lang_col).alias("__lang"))
+    count = dict(known.groupBy("__lang").count().collect())
+    langs = sorted(count)
     if not langs:
         return LanguageModel([], np.ones(BUCKETS), np.zeros((BUCKETS + 1, 0)))
     each = max(1, max_rows // len(langs))
@@ -141,15 +167,15 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     got = [g for i, g in enumerate(got) if g[1] and (not i or g != got[i - 1])]  # texts with letters, each once
     rows = [(np.frombuffer(a, dtype=np.uint16).astype(np.int64), np.frombuffer(c, dtype=np.float32).astype(float)) for _, a, c in got]
     y = np.array([langs.index(lang) for lang, _, _ in got], dtype=int)
-    df = np.zeros(BUCKETS)
-    for at, _ in rows:
-        df[at] += 1
-    model = LanguageModel(langs, np.log((1 + len(rows)) / (1 + df)) + 1, np.zeros((BUCKETS + 1, len(langs))))
+    stands = np.array([max(1.0, count[lang] / each) for lang in langs])  # training documents a sampled one stands for
+    k = stands[y] / max(1e-12, stands[y].mean()) if len(y) else np.ones(0)  # a step's mean size is that of unweighted rows
+    df, n = document_frequencies(training.select(F.col(text_col).alias("text")))
+    model = LanguageModel(langs, np.log((1 + n) / (1 + df)) + 1, np.zeros((BUCKETS + 1, len(langs))))
     x = [(at, model.vector(at, c)) for at, c in rows]
     back = np.arange(len(x)) % 5 == 4  # kept back for the temperature
-    model.weights = ftrl([v for v, b in zip(x, back) if not b], y[~back], len(langs))
+    model.weights = ftrl([v for v, b in zip(x, back) if not b], y[~back], len(langs), weights_of=k[~back])
     z = np.array([v @ model.weights[at] + model.weights[-1] for (at, v), b in zip(x, back) if b]).reshape(-1, len(langs))
-    model.temperature = fit_temperature(z, y[back])
+    model.temperature = fit_temperature(z, y[back], k[back])
     model.weights = model.weights.astype(np.float32)
     return model
 

@@ -55,3 +55,21 @@ def test_elastic_net_leaves_zeros():
     z = rng.normal(size=(500, 3)) * 5
     y = np.array([rng.choice(3, p=np.exp(v / 2.5) / np.exp(v / 2.5).sum()) for v in z])
     assert 1.8 < L.fit_temperature(z, y) < 3.4
+
+
+def test_idf_and_mix_do_not_move_with_the_cap(spark):
+    rows = [(i, f"wort {'abcdefghij'[i % 10] * 3}", "de") for i in range(600)] + [(600 + i, "word " + "xyz"[i % 3] * 4, "en") for i in range(60)]
+    rows += [(1000, "", "de"), (1001, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    df, n = np.zeros(L.BUCKETS), 0
+    for _, text, _ in train:
+        at, _ = L.grams(text)
+        df[at] += 1
+        n += len(at) > 0
+    capped, whole = L.fit_language(docs, max_rows=40), L.fit_language(docs)
+    for m in (capped, whole):
+        np.testing.assert_allclose(m.idf, np.log((1 + n) / (1 + df)) + 1)
+    # a text that says nothing (two equal unknown letters) gets the natural mix, not equal shares
+    assert capped.predict("qq")[0] == whole.predict("qq")[0] == "de"
+    assert abs(L.fit_temperature(np.array([[3.0, 0], [3.0, 0]]), np.array([0, 1]), np.array([9.0, 1])) - 3 / np.log(9)) < 0.01
