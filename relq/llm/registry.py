@@ -12,6 +12,7 @@ from relq.llm.sharding import op1_sharding
 from relq.llm.simhash import op10_simhash
 from relq.llm.suffixtree import op7_suffix_tree
 from relq.llm.toxicity import op5_toxicity
+from relq.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE: dict[str, str] = {
