@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from relq.llm.chatmask import OP3_SQL, op3_chat
 from relq.llm.decontam import OP9_SQL, op9_decontamination
+from relq.llm.hardneg import OP13_SQL, op13_hard_negatives
 from relq.llm.langid import op8_language
 from relq.llm.minhash import op4_fingerprints
 from relq.llm.packing import op6_packing
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
     "op12_whitening": op12_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
     "op3_chat": OP3_SQL,
     "op9_decontamination": OP9_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
