@@ -395,10 +395,10 @@ def mine_hard_negatives(df: DataFrame, id_col: str = "vec_id", vec_col: str = "e
 OP13_SQL = """
 WITH e AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS c
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c
   FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = len(embedding)),
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = len(embedding)),
 s AS (
   SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
          CAST(list_inner_product(a.c, b.c) AS BIGINT) AS score

@@ -11,6 +11,7 @@ from relq.llm.packing import op6_packing
 from relq.llm.quality import op2_quality
 from relq.llm.sharding import op1_sharding
 from relq.llm.simhash import op10_simhash
+from relq.llm.substrings import OP11_SQL, op11_substrings
 from relq.llm.suffixtree import op7_suffix_tree
 from relq.llm.toxicity import op5_toxicity
 from relq.llm.whitening import op12_whitening
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
+    "op11_substrings": op11_substrings,
     "op12_whitening": op12_whitening,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -33,5 +35,6 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op3_chat": OP3_SQL,
     "op9_decontamination": OP9_SQL,
+    "op11_substrings": OP11_SQL,
     "op13_hard_negatives": OP13_SQL,
 }
