@@ -26,10 +26,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +39,6 @@ WINDOW = 35
 K = 10
 SHARD_PASSAGES = 2048
 RUN_BYTES = 1 << 20  # text that is split into words at once
-KNOWN_WORDS = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -47,88 +46,125 @@ _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 def word_runs(text: bytes, size: int = RUN_BYTES) -> Iterator[list[bytes]]:
     """The words of a text, in lists of about ``size`` bytes: a long text is never a list as a whole."""
+    for part in _parts(text, size):
+        yield part.split()  # bytes: split() knows ASCII white space only
+
+
+def _parts(text: bytes, size: int) -> Iterator[bytes]:
+    """The text, cut at white space into parts of about ``size`` bytes."""
     at = 0
     while at < len(text):
         m = _SPACE.search(text, at + size) if len(text) - at > size else None
         stop = m.start() if m else len(text)
-        yield text[at:stop].split()  # bytes: split() knows ASCII white space only
+        yield text[at:stop]
         at = stop
 
 
-class WordHashes:
-    """64-bit hashes of words, with a bounded store of known ones."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
-        get, h = self.known.get, xxhash.xxh64_intdigest
-        out = list(map(get, words))
-        if None in out:
-            for i, x in enumerate(out):
-                if x is None:
-                    out[i] = self.known.setdefault(words[i], h(words[i]))
-        return np.array(out, dtype=np.uint64)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """The hash of the k words from each position, by doubling."""
-    out, done, power = None, 0, words
-    width = 1
-    n = len(words)
-    left = k
-    while left:
-        if left & 1:
-            out = power[:n] if out is None else _mix(out[:len(power) - done] * np.uint64(3) + power[done:])
-            done += width
-        left >>= 1
-        if left:
-            power = _mix(power[:len(power) - width] * np.uint64(5) + power[width:])
-            width *= 2
-    return out[:max(0, n - k + 1)]
-
-
-def anchored_passages(words: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, anchor hash) of each passage."""
+class Powers:
+    """Powers of an odd number modulo 2^64 and of its inverse: sums of prefixes give the polynomial hash of any run."""
+
+    def __init__(self, base: int):
+        self.base, self.up, self.down = base, np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
+
+    def hashes(self, values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The hash of each run values[start:stop], whatever stands before it."""
+        n = len(values)
+        if len(self.up) < n + 1:
+            for name, b in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
+                x = np.full(max(n + 1, 1 << 16), b, dtype=np.uint64)
+                x[0] = 1
+                setattr(self, name, np.cumprod(x))
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(values * self.up[:n], out=sums[1:])
+        return _mix((sums[stop] - sums[start]) * self.down[start])
+
+
+_BYTES, _WORDS = Powers(0x2545F4914F6CDD1D), Powers(0xD1342543DE82EF95)
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, hash) of each word."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    edge = np.diff(_IS_SPACE[data].astype(np.int8), prepend=np.int8(1), append=np.int8(1))
+    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    return start, _BYTES.hashes(data.astype(np.uint64) + np.uint64(1), start, stop)
+
+
+def anchored_passages(words: np.ndarray, owner: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, anchor hash) of each passage in a stream of word hashes; ``owner`` numbers the texts."""
     n = len(words) - window + 1
     if n <= 0:
         return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.uint64),)
-    g = gram_hashes(words, k)
-    run, width, low = window - k + 1, 1, np.arange(len(g))
-    while width < run:  # places of the leftmost smallest hashes of ``width`` neighbours
+    at = np.arange(len(words) - k + 1)
+    g = _WORDS.hashes(words, at, at + k)
+    run, width, low, place = window - k + 1, 1, g, at
+    while width < run:  # the leftmost smallest hash of ``width`` neighbours and its place
         step = min(width, run - width)
         a, b = low[:len(low) - step], low[step:]
-        low = np.where(g[b] < g[a], b, a)
+        place = np.where(b < a, place[step:], place[:len(place) - step])
+        low = np.minimum(a, b)
         width += step
-    low = low[:n]
-    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    return first, np.diff(first, append=n), g[low[first]]
+    first = np.flatnonzero(owner[:n] == owner[window - 1:])  # windows of one text
+    place = place[first]
+    new = np.ones(len(first), dtype=bool)
+    new[1:] = (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1)
+    begin = np.flatnonzero(new)
+    return first[begin], np.diff(begin, append=len(first)), g[place[begin]]
 
 
 _PACKED = np.dtype([("start", "<i8"), ("n", "<i4"), ("anchor", "<i8")])
 
 
-def text_passages(text: bytes, hashes: WordHashes, window: int, k: int) -> bytes:
-    """The packed passages of one text."""
-    out, carry, at = [], np.zeros(0, dtype=np.uint64), 0
-    for words in word_runs(text):
-        h = np.concatenate([carry, hashes.of(words)])
-        first, n, anchor = anchored_passages(h, window, k)
-        p = np.zeros(len(first), dtype=_PACKED)
-        p["start"], p["n"], p["anchor"] = first + at, n, anchor.view(np.int64)
-        out.append(p.tobytes())
-        keep = min(len(h), window - 1)  # windows that reach into the next run start there
-        at += len(h) - keep
-        carry = h[len(h) - keep:]
-    return b"".join(out)
+def _packed(first: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    p = np.zeros(len(first), dtype=_PACKED)
+    p["start"], p["n"], p["anchor"] = first, n, anchor.view(np.int64)
+    return p
+
+
+def text_passages(texts: list[bytes], window: int, k: int, size: int = RUN_BYTES) -> list[bytes]:
+    """The packed passages of each text: short texts are read together, a long one part by part."""
+    out, held, weight = [b""] * len(texts), [], 0
+
+    def together() -> None:
+        stream = b"\n".join(texts[i] for i in held)
+        start, h = word_hashes(stream)
+        begin = np.searchsorted(start, np.concatenate([[0], np.cumsum([len(texts[i]) + 1 for i in held])]))  # first words of the texts
+        owner = np.repeat(np.arange(len(held)), np.diff(begin))
+        first, n, anchor = anchored_passages(h, owner, window, k)
+        whose = owner[first]
+        p = _packed(first - begin[whose], n, anchor)
+        cut = np.searchsorted(whose, np.arange(len(held) + 1)).tolist()
+        for i, a, b in zip(held, cut, cut[1:]):
+            out[i] = p[a:b].tobytes()
+
+    for i, text in enumerate(texts):
+        if len(text) > size:
+            made, carry, at = [], np.zeros(0, dtype=np.uint64), 0
+            for part in _parts(text, size):
+                h = np.concatenate([carry, word_hashes(part)[1]])
+                first, n, anchor = anchored_passages(h, np.zeros(len(h), dtype=np.int8), window, k)
+                made.append(_packed(first + at, n, anchor).tobytes())
+                keep = min(len(h), window - 1)  # windows that reach into the next part start there
+                at += len(h) - keep
+                carry = h[len(h) - keep:]
+            out[i] = b"".join(made)
+            continue
+        held.append(i)
+        weight += len(text)
+        if weight > size:
+            together()
+            held, weight = [], 0
+    if held:
+        together()
+    return out
 
 
 def text_keys(text_col: str) -> tuple[Column, Column, Column]:
@@ -141,9 +177,8 @@ def passages_of(docs: DataFrame, text_col: str, window: int, k: int) -> DataFram
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("p", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in it:
-            packed = [text_passages(t.as_py(), hashes, window, k) for t in b.column(0)]
+            packed = text_passages(b.column(0).to_pylist(), window, k)
             some = pa.array([bool(p) for p in packed], type=pa.bool_())
             yield pa.record_batch([b.column(1), b.column(2), pa.array(packed, type=pa.binary())], schema=schema).filter(some)
 
@@ -181,36 +216,14 @@ class SuffixAutomaton:
         self.link, self.length, self.count = [-1], [0], [0]
         self.often: list[int] = []
 
-    def _state(self, step: dict, link: int, length: int) -> int:
-        self.step.append(step)
-        self.link.append(link)
-        self.length.append(length)
-        self.count.append(0)
-        return len(self.step) - 1
-
-    def _after(self, s: int, word) -> int:
-        """The state of (longest run of ``s``) + ``word`` as ``s`` grows by it."""
-        step, link, length = self.step, self.link, self.length
-        have = step[s].get(word)
-        if have is None:
-            new = self._state({}, 0, length[s] + 1)
-            while s >= 0 and word not in step[s]:
-                step[s][word] = new
-                s = link[s]
-            if s < 0:
-                return new
-            have = step[s][word]
-            if length[have] == length[s] + 1:
-                link[new] = have
-            else:
-                link[new] = self._split(s, word, have)
-            return new
-        return have if length[have] == length[s] + 1 else self._split(s, word, have)
-
     def _split(self, s: int, word, have: int) -> int:
         """A state for the runs of ``have`` that come from ``s``."""
         step, link = self.step, self.link
-        twin = self._state(dict(step[have]), link[have], self.length[s] + 1)
+        twin = len(step)
+        step.append(dict(step[have]))
+        link.append(link[have])
+        self.length.append(self.length[s] + 1)
+        self.count.append(0)
         link[have] = twin
         while s >= 0 and step[s].get(word) == have:
             step[s][word] = twin
@@ -218,10 +231,30 @@ class SuffixAutomaton:
         return twin
 
     def add(self, words: list, times: int = 1) -> None:
+        """One more sequence, which occurs ``times``."""
+        step, link, length, count = self.step, self.link, self.length, self.count
         s = 0
         for w in words:
-            s = self._after(s, w)
-            self.count[s] += times
+            have = step[s].get(w)
+            if have is None:
+                new = len(step)
+                step.append({})
+                link.append(0)
+                length.append(length[s] + 1)
+                count.append(times)
+                step[s][w] = new
+                s = link[s]
+                while s >= 0:
+                    have = step[s].get(w)
+                    if have is not None:
+                        link[new] = have if length[have] == length[s] + 1 else self._split(s, w, have)
+                        break
+                    step[s][w] = new
+                    s = link[s]
+                s = new
+            else:
+                s = have if length[have] == length[s] + 1 else self._split(s, w, have)
+                count[s] += times
 
     def close(self) -> "SuffixAutomaton":
         """Counts of suffixes; ``often[s]``: the length of the longest suffix of s that occurs twice or more, -1 where s does."""
@@ -241,25 +274,28 @@ class SuffixAutomaton:
         step, link, length, often = self.step, self.link, self.length, self.often
         out, s, n = [], 0, 0
         for w in words:
-            while s and w not in step[s]:
+            have = step[s].get(w)
+            while have is None and s:
                 s = link[s]
                 n = length[s]
-            if w in step[s]:
-                s = step[s][w]
+                have = step[s].get(w)
+            if have is not None:
+                s = have
                 n += 1
-            out.append(n if often[s] == -1 else often[s])
+            out.append(n if often[s] < 0 else often[s])
         return out
 
 
 def removed_words(runs: list[int], window: int) -> np.ndarray | None:
     """Which words lie in a run of ``window`` or more; None: none."""
-    out = None
-    for i, n in enumerate(runs):
-        if n >= window:
-            if out is None:
-                out = np.zeros(len(runs), dtype=bool)
-            out[i + 1 - n:i + 1] = True
-    return out
+    if not runs or max(runs) < window:
+        return None
+    run = np.array(runs)
+    end = np.flatnonzero(run >= window) + 1
+    cover = np.zeros(len(run) + 1, dtype=np.int64)
+    np.add.at(cover, end - run[end - 1], 1)
+    np.add.at(cover, end, -1)
+    return np.cumsum(cover[:-1]) > 0
 
 
 def repeated_in_shards(passages: DataFrame, window: int, per_shard: int = SHARD_PASSAGES) -> DataFrame:
@@ -297,21 +333,26 @@ def _passage_words(texts: DataFrame) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("passage", pa.binary()), ("c", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for r in range(b.num_rows):
-                text, k1, k2, c, wanted = (b.column(i)[r].as_py() for i in range(5))
-                words = np.array(sorted((x["start"], x["words"], x["anchor"]) for x in wanted), dtype=np.int64)
-                got, held, at = [], [], 0
-                runs = word_runs(text)
-                for start, n, _ in words.tolist():
-                    while at + len(held) < start + n:
-                        drop = min(len(held), max(0, start - at))
-                        held, at = held[drop:] + next(runs), at + drop
-                    got.append(b" ".join(held[start - at:start - at + n]))
-                yield from batches_of({"key": words[:, 2], "passage": got, "c": np.full(len(got), c), "k1": np.full(len(got), k1),
-                                       "k2": np.full(len(got), k2), "start": words[:, 0]}, schema, 4096)
-
-    return texts.select("t", "k1", "k2", "c", "w").mapInArrow(run, "key long, passage binary, c long, k1 long, k2 long, start long")
+        for big in it:
+            for lo in range(0, big.num_rows, 64):
+                b = big.slice(lo, 64)
+                offsets = b.column(4).offsets.to_numpy()
+                start, size, anchor = (b.column(i).values.to_numpy()[offsets[0]:offsets[-1]] for i in (4, 5, 6))
+                times = np.diff(offsets)
+                got = []
+                for text, a, n in zip(b.column(0).to_pylist(), (offsets[:-1] - offsets[0]).tolist(), times.tolist()):
+                    held, at = [], 0
+                    runs = word_runs(text)
+                    for p, m in zip(start[a:a + n].tolist(), size[a:a + n].tolist()):
+                        while at + len(held) < p + m:
+                            drop = min(len(held), max(0, p - at))
+                            held, at = held[drop:] + next(runs), at + drop
+                        got.append(b" ".join(held[p - at:p - at + m]))
+                c, k1, k2 = (np.repeat(b.column(i).to_numpy(), times) for i in (3, 1, 2))
+                yield from batches_of({"key": anchor, "passage": got, "c": c, "k1": k1, "k2": k2, "start": start}, schema)
+
+    return (texts.select("t", "k1", "k2", "c", "w.start", "w.words", "w.anchor")
+            .mapInArrow(run, "key long, passage binary, c long, k1 long, k2 long, start long"))
 
 
 def _window_masks(hot: DataFrame, window: int, per_shard: int) -> DataFrame:
@@ -320,11 +361,13 @@ def _window_masks(hot: DataFrame, window: int, per_shard: int) -> DataFrame:
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for p, h1, h2, c in zip(*(b.column(i).to_pylist() for i in range(4))):
-                words = p.split()
-                n = len(words) - window + 1
-                yield from batches_of({"h1": np.full(n, h1), "h2": np.full(n, h2), "at": np.arange(n), "words": np.full(n, len(words)),
-                                       "passage": [b" ".join(words[i:i + window]) for i in range(n)], "c": np.full(n, c)}, schema)
+            if b.num_rows:
+                words = [p.split() for p in b.column(0).to_pylist()]
+                size = np.array([len(x) for x in words])
+                n = size - window + 1
+                h1, h2, c = (np.repeat(b.column(i).to_numpy(), n) for i in (1, 2, 3))
+                yield from batches_of({"h1": h1, "h2": h2, "at": np.concatenate([np.arange(m) for m in n]), "words": np.repeat(size, n),
+                                       "passage": [b" ".join(x[i:i + window]) for x in words for i in range(len(x) - window + 1)], "c": c}, schema)
 
     rows = hot.select("passage", "h1", "h2", "c").mapInArrow(cut, "h1 long, h2 long, at int, words int, passage binary, c long")
     rows = materialize(rows.withColumn("key", F.xxhash64("passage")))
@@ -353,7 +396,7 @@ def repeated_masks(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     rows = _unpacked(texts)
     anchors = materialize(rows.groupBy("anchor").agg(F.sum("c").alias("c")).where("c > 1").select("anchor"))
     wanted = (rows.join(anchors, "anchor").groupBy("k1", "k2")
-              .agg(F.max("c").alias("c"), F.collect_list(F.struct("start", (F.col("n") + window - 1).alias("words"), "anchor")).alias("w")))
+              .agg(F.max("c").alias("c"), F.sort_array(F.collect_list(F.struct("start", (F.col("n") + window - 1).alias("words"), "anchor"))).alias("w")))
     whole = docs.select(*text_keys(text_col)).dropDuplicates(["k1", "k2"])
     held = materialize(_passage_words(whole.join(wanted, ["k1", "k2"])).select("*", *_passage_keys()))
     distinct = materialize(held.groupBy("key", "passage").agg(F.sum("c").alias("c")).select("key", "passage", "c", *_passage_keys()))
@@ -379,20 +422,14 @@ def cleaned_texts(docs: DataFrame, text_col: str = "text", window: int = WINDOW,
             for lo in range(0, big.num_rows, 256):
                 b = big.slice(lo, 256)
                 n_words, n_removed, kept = [], [], []
-                for text, m in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
+                for text, starts, masks in zip(*(b.column(i).to_pylist() for i in (0, 3, 4))):
+                    gone = _gone(starts, masks)
                     parts, n = [], 0
-                    gone = np.zeros(0, dtype=bool)
-                    if m:
-                        gone = np.zeros(max(x["start"] + 8 * len(x["mask"]) for x in m), dtype=bool)
-                        for x in m:
-                            bits = np.unpackbits(np.frombuffer(x["mask"], dtype=np.uint8)).astype(bool)
-                            gone[x["start"]:x["start"] + len(bits)] |= bits
                     for words in word_runs(text):
                         stay = ~gone[n:n + len(words)]
                         n += len(words)
                         if not stay.all():
-                            head = len(stay)
-                            words = [w for w, s in zip(words, stay.tolist()) if s] + words[head:]
+                            words = [*compress(words, stay.tolist()), *words[len(stay):]]
                         if words:
                             parts.append(b" ".join(words))
                     n_words.append(n)
@@ -400,7 +437,18 @@ def cleaned_texts(docs: DataFrame, text_col: str = "text", window: int = WINDOW,
                     kept.append(b" ".join(parts))
                 yield pa.record_batch([b.column(1), b.column(2), pa.array(n_words), pa.array(n_removed), pa.array(kept, type=pa.binary())], schema=schema)
 
-    return whole.select("t", "k1", "k2", "m").mapInArrow(run, "k1 long, k2 long, n_words long, n_removed long, kept binary")
+    return whole.select("t", "k1", "k2", "m.start", "m.mask").mapInArrow(run, "k1 long, k2 long, n_words long, n_removed long, kept binary")
+
+
+def _gone(starts: list[int] | None, masks: list[bytes] | None) -> np.ndarray:
+    """Which words of a text go, up to the last of them."""
+    if not starts:
+        return np.zeros(0, dtype=bool)
+    gone = np.zeros(max(a + 8 * len(m) for a, m in zip(starts, masks)), dtype=bool)
+    for a, m in zip(starts, masks):
+        bits = np.unpackbits(np.frombuffer(m, dtype=np.uint8)).view(bool)
+        gone[a:a + len(bits)] |= bits
+    return gone
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K,

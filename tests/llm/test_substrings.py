@@ -80,14 +80,28 @@ def test_long_text_in_runs(spark, monkeypatch):
     words[4000:4100] = words[100:200]
     text = "  ".join(words)
     assert [w for part in word_runs(text.encode(), 100) for w in part] == text.encode().split()
-    whole = S.text_passages(text.encode(), S.WordHashes(), 35, 10)
-    monkeypatch.setattr(S.word_runs, "__defaults__", (500,))
-    parts = S.text_passages(text.encode(), S.WordHashes(), 35, 10)
+    whole, = S.text_passages([text.encode()], 35, 10)
+    parts, _, other, _ = S.text_passages([text.encode(), b"", b"x " * 50, b""], 35, 10, size=500)
     windows = [[(p["start"] + i, p["anchor"]) for p in np.frombuffer(x, dtype=S._PACKED) for i in range(p["n"])] for x in (whole, parts)]
     assert windows[0] == windows[1] and len(windows[0]) == 6000 - 34
+    assert sum(p["n"] for p in np.frombuffer(other, dtype=S._PACKED)) == 16
+    monkeypatch.setattr(S.word_runs, "__defaults__", (500,))
     assert run(spark, [text], 35, 10) == brute([text], 35)
 
 
+def test_texts_are_read_together():
+    texts = [t.encode() for t in texts_of(9, kinds=4)]
+    assert S.text_passages(texts, 6, 3) == [S.text_passages([t], 6, 3)[0] for t in texts]
+
+
+def test_word_hashes():
+    text = " aa b\taa\x0bb \xa0x aa".encode()
+    start, h = S.word_hashes(text)
+    assert [text[a:].split()[0] for a in start.tolist()] == text.split()
+    by = {}
+    assert all(by.setdefault(w, x) == x for w, x in zip(text.split(), h.tolist())) and len(set(by.values())) == 3
+
+
 @given(st.lists(st.tuples(st.lists(st.integers(0, 2), max_size=12), st.integers(1, 2)), max_size=5), st.lists(st.integers(0, 3), max_size=12))
 @settings(max_examples=200, deadline=None)
 def test_matching_statistics(sequences, stream):
@@ -109,7 +123,7 @@ def test_matching_statistics(sequences, stream):
 def test_every_window_has_one_passage(words, k, more):
     window = k + more - 1
     h = S._mix(np.array(words, dtype=np.uint64) + np.uint64(1))
-    first, n, anchor = anchored_passages(h, window, k)
+    first, n, anchor = anchored_passages(h, np.zeros(len(h), dtype=int), window, k)
     at = [(f + i, a) for f, m, a in zip(first.tolist(), n.tolist(), anchor.tolist()) for i in range(m)]
     assert [p for p, _ in at] == list(range(max(0, len(words) - window + 1))) and (not len(n) or n.max() <= window - k + 1)
     by_words = {}
