@@ -1,11 +1,11 @@
 """Exact top-k retrieval and precision at k.
 
-Scoring is a blocked scan: the query matrix (the stated query set, size-checked, never
-growing with the corpus) is broadcast; each task multiplies its Arrow
+Scoring is a blocked scan.  A query matrix of a checked size is broadcast; each task multiplies its Arrow
 batches of index vectors (``mapInArrow``, no Python object per vector) by it with numpy and keeps a running top-k per query,
 so a task emits at most k rows per query and no (query, document) pair is ever a
 row.  The final top-k per query merges k rows per task (E4).  Ties go to the
-lower document id, in the task and in the merge alike.
+lower document id, in the task and in the merge alike.  A query table beyond that size is dealt with the index
+over a grid (:mod:`relq.operators.grid`), with the same result.
 """
 
 from __future__ import annotations
@@ -18,21 +18,17 @@ from pyspark.sql import functions as F
 from relq.functions.jsonparse import with_judge_flag
 from relq.functions.text import extract_query
 from relq.operators.chat import prompt_column
+from relq.operators.grid import grid_topk, unit_rows
 from relq.operators.positions import with_position
 
-# The query matrix is broadcast, so it must be of a checked size; a larger set is an error, to be scored in parts.
-MAX_QUERY_BYTES = 512 << 20
+# A query matrix up to this size is broadcast; beyond it neither side is.
+MAX_QUERY_BYTES = 64 << 20
 # Queries that a task scores at once: a memory tile with no influence on the result.
 QUERY_TILE = 1024
 
 HITS_SCHEMA = "query_id long, doc_id long, score double"
 
 
-def _unit_rows(m: np.ndarray) -> np.ndarray:
-    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-
 def _topk_rows(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Row indices of the k best (score desc, id asc), exact under ties."""
     if len(scores) <= k:
@@ -90,7 +86,7 @@ def _scorer(bq, k: int, id_col: str, vec_col: str, dim: int, digits: int | None)
             if not pc.all(pc.fill_null(pc.equal(pc.list_value_length(vecs), dim), False)).as_py():
                 raise ValueError(f"an index vector is null or has not the queries' {dim} dimensions")
             ids = rb.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
-            x = _unit_rows(vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rb.num_rows, dim))
+            x = unit_rows(vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rb.num_rows, dim))
             for i, t in enumerate(tiles):
                 scores = x @ qmat[t].T  # (rows, queries of the tile)
                 best[i] = _merge_topk(*best[i], scores if digits is None else scores.round(digits), ids, k)
@@ -109,8 +105,8 @@ def knn_topk(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "do
     """the k best index rows per query by inner product of L2-normalised vectors.
 
     Returns ``(query_id, rank, doc_id, score)``; rank is 1-based.  Query vectors must have one
-    length, the index vectors the same; their number times the length is checked against
-    ``max_query_bytes`` before they are collected.  With ``digits`` scores are rounded before they
+    length, the index vectors the same.  Queries of up to ``max_query_bytes`` are broadcast, more are joined
+    with the index on a grid.  With ``digits`` scores are rounded before they
     are compared, so that equal scores are ties however they were summed.
     """
     spark = index.sparkSession
@@ -123,10 +119,10 @@ def knn_topk(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "do
     if stats["nulls"] or stats["low"] != dim:
         raise ValueError("query vectors must not be null and must have one length")
     if nq * dim * 8 > max_query_bytes:
-        raise ValueError(f"{nq} queries of {dim} dimensions exceed {max_query_bytes} bytes: score them in parts")
-    rows = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(query_vec).alias("_qv")).collect()
-    qids = np.array([r["_qid"] for r in rows], dtype=np.int64)
-    qmat = _unit_rows(np.array([r["_qv"] for r in rows], dtype=np.float64).reshape(len(rows), dim))
+        return grid_topk(index, queries, k, id_col, vec_col, query_id, query_vec, digits)
+    rows = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(query_vec).cast("array<double>").alias("_qv")).toArrow()
+    qids = rows["_qid"].to_numpy().astype(np.int64)
+    qmat = unit_rows(rows["_qv"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(qids), dim))
     bq = spark.sparkContext.broadcast((qids, qmat))
     cand = index.select(id_col, vec_col).mapInArrow(_scorer(bq, k, id_col, vec_col, dim, digits), HITS_SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())

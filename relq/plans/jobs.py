@@ -21,6 +21,7 @@ from relq.operators.positions import head_rows, slice_rows
 from relq.operators.sampling import make_samples, shuffle_order
 from relq.operators.tokens import build_vocab, tokenize
 from relq.session import configure
+from relq.operators.clustered import clustered_topk, write_clustered_index
 from relq.sources.index import read_index, write_index
 from relq.sources.jsonl import read_samples, write_samples
 from relq.templates import CHATML, DEFAULT_SEED
@@ -90,14 +91,17 @@ def evaluate_s2_job(spark, samples_path, answers_path, out_path, head=None) -> N
 
 
 def build_index_job(spark, corpus_path, index_path, start=None, stop=None) -> None:
-    """Encode the corpus slice (hashed word counts) and store ``(doc_id, text, label, embedding)``."""
+    """Encode the corpus slice (hashed word counts) and store ``(doc_id, text, label, embedding)``, and the vectors
+    once more in blocks that a search can skip (``<index>_clustered``)."""
     configure(spark)
     corpus = _corpus(spark, corpus_path, start, stop)
     write_index(corpus.join(embed_counts(corpus, "doc_id", "text"), "doc_id"), index_path)
+    write_clustered_index(read_index(spark, index_path).select("doc_id", "embedding"), index_path.rstrip("/") + "_clustered")
 
 
 def retrieval_eval_job(spark, index_path, samples_path, out_path, n_queries=None, k=5) -> None:
-    """First ``n_queries`` distinct sample queries (None: all), top-k over the index, judged by label, P@k."""
+    """First ``n_queries`` distinct sample queries (None: all), top-k over the index's blocks, judged by label, P@k; also how many
+    (query, block) pairs there were and how many were read."""
     configure(spark)
     s = read_samples(spark, samples_path).withColumnRenamed("line", "sample_id")
     fq = rt.first_queries(s, n=n_queries)
@@ -107,7 +111,10 @@ def retrieval_eval_job(spark, index_path, samples_path, out_path, n_queries=None
     queries = fq.select(F.col("query_rank").alias("query_id"), "query", qmap[F.col("query")].alias("label"))
     queries = queries.join(embed_counts(queries, "query_id", "query"), "query_id")
     index = read_index(spark, index_path)
-    hits = rt.knn_topk(index.select("doc_id", "embedding"), queries, k=k)
+    counts: dict = {}
+    hits = clustered_topk(spark, index_path.rstrip("/") + "_clustered", queries, k=k, counts=counts)
+    spark.createDataFrame([(k_, int(v)) for k_, v in counts.items()], "metric string, value long").write.mode("overwrite").parquet(
+        out_path.rstrip("/") + "_blocks")
     per_q = rt.precision_at_k(rt.label_judge(hits, queries, index.select("doc_id", "label")), k=k)
     per_q.join(queries.select("query_id", "query"), "query_id").write.mode("overwrite").parquet(out_path)
     rt.mean_precision_at_k(per_q).write.mode("overwrite").parquet(out_path.rstrip("/") + "_mean")

@@ -70,8 +70,6 @@ def test_vectors_of_another_length_are_refused(spark):
             rt.knn_topk(mixed, good, id_col="id", query_id="id").collect()
         with pytest.raises(ValueError):
             rt.knn_topk(good, mixed, id_col="id", query_id="id")
-    with pytest.raises(ValueError):
-        rt.knn_topk(good, good, id_col="id", query_id="id", max_query_bytes=8)
 
 
 def test_short_index_keeps_k_denominator(spark):
