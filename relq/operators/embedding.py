@@ -1,8 +1,9 @@
-"""The built-in text encoder (J3) as a distributed aggregation: hashed word counts per document.
+"""The built-in text encoder (J3) inside one projection: hashed word counts per document.
 
 Words (letter, digit and underscore runs of the lower-cased text) fall into ``dim`` buckets by the MD5
-draw that all of relq uses; a document's vector is its bucket counts.  Counting is a grouped sum of at
-most ``dim`` rows a document, so no text is held by Python and nothing but counts is shuffled.
+draw that all of relq uses; a document's vector is its bucket counts.  The buckets of a row are sorted, the ends of
+their runs give the counts of the buckets that occur (a sparse vector), and those are written into the dense one.  No word is
+a row, nothing is shuffled and no text is held by Python.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ DIM = 64
 def embed_counts(df: DataFrame, key: str, text: str, dim: int = DIM, seed: int = DEFAULT_SEED, out: str = "embedding") -> DataFrame:
     """``(key, out)``: the word counts of ``text`` by bucket, as an array of doubles; zeros for null and wordless texts.
 
-    ``key`` must be unique.  The vectors are not normalised; the scorer does that.
+    Repeated keys are rows of their own.  The vectors are not normalised; the scorer does that.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD_RE), 0)
-    rows = df.select(key, F.explode_outer(words).alias("_w"))
-    counts = (rows.groupBy(key, F.when(F.col("_w").isNotNull(), (hash_u32(seed, F.col("_w"), "embed") % dim).cast("int")).alias("_b"))
-              .agg(F.count(F.lit(1)).alias("_c")))
-    held = F.map_from_entries(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", "_c"))))
-    return (counts.groupBy(key).agg(held.alias("_m"))
-            .select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                     lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0)).cast("double")).alias(out)))
+    # steps over named columns: each is computed once a row
+    rows = df.select(F.col(key), F.array_sort(F.transform(words, lambda w: (hash_u32(seed, w, "embed") % dim).cast("int"))).alias("_b"))
+    last = F.filter(F.sequence(F.lit(0), F.size("_b") - 1), lambda i: F.get("_b", i) != F.coalesce(F.get("_b", i + 1), F.lit(-1)))
+    rows = rows.select(key, "_b", F.when(F.size("_b") > 0, last).otherwise(F.array().cast("array<int>")).alias("_e"))
+    runs = F.transform("_e", lambda e, j: F.struct(F.get("_b", e).alias("b"), (e - F.coalesce(F.get("_e", j - 1), F.lit(-1))).alias("c")))
+    rows = rows.select(key, F.map_from_entries(runs).alias("_m"))
+    return rows.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                                        lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0)).cast("double")).alias(out))

@@ -4,19 +4,28 @@ Built-in tokenizer: pieces are the matches of one regular expression that
 covers every character (special markers, letter runs, digit runs, other runs,
 whitespace runs), computed with ``regexp_extract_all`` on the whole text and then
 truncated to ``max_len``.  Ids come from a vocabulary table: pieces counted over
-the whole texts (partial aggregation per task, so a hot piece costs one row per
-task), numbered by (count desc, piece).  Pieces are joined to ids with a
-shuffle join that AQE turns into a broadcast when the vocabulary is small and
-splits when a piece is skewed; rows are regrouped per sample (at most
-``max_len`` tokens each).
+the whole texts (summed in each task, so a hot piece costs one row per
+task), numbered by (count desc, piece).
+
+Ids are looked up through chunk dictionaries.  Samples are written in chunks of bounded size; the distinct pieces of a
+chunk meet the vocabulary in a join, and the chunk gets its own small dictionary back, next to its samples.
+A piece of text is a row once a chunk, whatever it occurs; no token ever is a row and no sample is put
+together again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from relq.operators.positions import with_position
+from relq.operators.positions import materialize, with_position
 from relq.templates import CHATML, MAX_TOKENS
 
 
@@ -26,18 +35,44 @@ def piece_pattern(markers=CHATML) -> str:
 
 
 PIECE_RE = piece_pattern()
+CHUNK_SAMPLES = 4096
+MERGE_PIECES = 1 << 18  # distinct pieces of a task before its counts are sent on
 
 
 def pieces(text: Column, pattern: str = PIECE_RE) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), 0)
 
 
+def piece_counts(texts: DataFrame, text_col: str, pattern: str = PIECE_RE) -> DataFrame:
+    """``(piece, count)``: pieces are counted in the task that splits the texts."""
+    schema = pa.schema([("piece", pa.string()), ("count", pa.int64())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def merged() -> pa.Table:
+            t = pa.concat_tables(held).group_by("piece").aggregate([("count", "sum")])
+            return pa.table([t["piece"], t["count_sum"]], schema=schema)
+
+        for b in it:
+            c = pc.value_counts(b.column(0).flatten())
+            held.append(pa.table([c.field("values"), c.field("counts")], schema=schema))
+            if sum(t.num_rows for t in held) > MERGE_PIECES:
+                held = [merged()]
+                if held[0].num_rows > MERGE_PIECES // 2:
+                    yield from held[0].to_batches(max_chunksize=1 << 16)
+                    held = []
+        if held:
+            yield from merged().to_batches(max_chunksize=1 << 16)
+
+    return (texts.select(pieces(F.col(text_col), pattern).alias("p")).mapInArrow(run, "piece string, count long")
+            .groupBy("piece").agg(F.sum("count").alias("count")))
+
+
 def build_vocab(texts: DataFrame, text_col: str = "full_text", pattern: str = PIECE_RE) -> DataFrame:
     """Vocabulary ``(piece, count, id)`` over whole texts; ids by (count desc, piece)."""
-    counts = (texts.select(F.explode(pieces(F.col(text_col), pattern)).alias("piece"))
-              .groupBy("piece").agg(F.count(F.lit(1)).alias("count")))
     # the counts are small but cost a pass over every text: written once before they are numbered
-    return with_position(counts, [F.col("count").desc(), F.col("piece")], name="id", materialize_input=True)
+    return with_position(piece_counts(texts, text_col, pattern), [F.col("count").desc(), F.col("piece")], name="id", materialize_input=True)
 
 
 def prompt_token_count(full_pieces: Column, prompt_chars: Column) -> Column:
@@ -51,41 +86,74 @@ def prompt_token_count(full_pieces: Column, prompt_chars: Column) -> Column:
     return acc["n"]
 
 
+def chunked(rows: DataFrame, chunk_rows: int) -> DataFrame:
+    """``rows`` with the number of its chunk, ``_chunk``: neighbours in a task, at most ``chunk_rows`` of them."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, seen = TaskContext.get().partitionId() << 32, 0
+        for b in it:
+            number = first + (seen + np.arange(b.num_rows)) // chunk_rows
+            seen += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number)], names=[*b.schema.names, "_chunk"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *rows.select(F.lit(0).cast("long").alias("_chunk")).schema.fields]))
+
+
+def chunk_dictionaries(rows: DataFrame, vocab: DataFrame, piece_col: str) -> DataFrame:
+    """``(_chunk, piece, id)``: the vocabulary's entries for the distinct pieces of each chunk."""
+    schema = pa.schema([("_chunk", pa.int64()), ("piece", pa.string())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, pa.Array] = {}
+        for b in it:
+            number = b.column(0).to_numpy()
+            for c in np.unique(number).tolist():
+                at = np.flatnonzero(number == c)  # chunks are runs of rows
+                own = b.slice(int(at[0]), len(at)).column(1).flatten().unique()
+                if c not in held and held:  # the chunk before is over in this task
+                    for k, v in held.items():
+                        yield pa.record_batch([pa.array(np.full(len(v), k)), v], schema=schema)
+                    held = {}
+                held[c] = pa.concat_arrays([held[c], own]).unique() if c in held else own
+        for k, v in held.items():
+            yield pa.record_batch([pa.array(np.full(len(v), k)), v], schema=schema)
+
+    met = rows.select("_chunk", piece_col).mapInArrow(run, "_chunk long, piece string")
+    return met.join(vocab.select("piece", F.col("id").cast("int").alias("id")), "piece").select("_chunk", "piece", "id")
+
+
 def tokenize(df: DataFrame, vocab: DataFrame, key: str = "sample_id", max_len: int = MAX_TOKENS,
-             pattern: str = PIECE_RE, offsets: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``(key, input_ids, n_prompt, n_full, n_full_untruncated[, offsets])`` from prompt/full text.
-
-    ``full_text`` must start with ``prompt_text``, as the chat render makes it.  The join with the
-    vocabulary is left to the optimizer: it is broadcast when its written size is small, and adaptive
-    execution splits hot pieces of a shuffle join.  The text is split into pieces once; the (at most ``max_len``) kept pieces are
-    exploded, given their ids, and regrouped per sample.  Character offsets are a
-    running sum of piece lengths over the sample's tokens (a window inside the
-    same per-sample partitioning the regrouping uses, so it adds a sort, not a shuffle).
-    ``carry`` columns ride along per sample, so nothing has to be joined back.
+             pattern: str = PIECE_RE, offsets: bool = False, carry: tuple[str, ...] = (), chunk_samples: int = CHUNK_SAMPLES) -> DataFrame:
+    """``(key, *carry, input_ids, n_prompt, n_full, n_full_untruncated[, offsets])`` from prompt/full text.
+
+    ``full_text`` must start with ``prompt_text``, as the chat render makes it.  The text is split into pieces once, and the
+    kept pieces (``max_len`` at most) are written in chunks; a chunk's samples and its dictionary meet in one task, where all
+    pieces of all samples are looked up at once.  A piece that the vocabulary lacks has a null id.  Character offsets
+    are running sums of piece lengths within a sample.  Repeated keys are samples of their own.
     """
     # the prompt is the head of the full text: its tokens are counted on the kept pieces of the full
     # text, so the document is split into pieces once
-    base = df.select(key, *carry, F.length("prompt_text").alias("_pc"), pieces(F.col("full_text"), pattern).alias("_fp"))
-    n_prompt = prompt_token_count(F.slice("_fp", 1, max_len), F.col("_pc"))
-    # per-sample values are computed before the explode, once per sample, not once per token
-    per_sample = base.select(key, *carry, n_prompt.alias("n_prompt"), F.size("_fp").alias("n_full_untruncated"),
-                             F.slice("_fp", 1, max_len).alias("_kept"))
-    toks = per_sample.select(key, *carry, "n_prompt", "n_full_untruncated", F.size("_kept").alias("n_full"),
-                             F.posexplode_outer("_kept").alias("pos", "piece"))
-    ids = vocab.select("piece", F.col("id").cast("int").alias("id"))
-    ided = toks.join(ids, "piece", "left")
-    fields = [F.col("pos"), F.col("id")]
-    if offsets:
-        w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ided = ided.withColumn("start", (F.sum(F.length("piece")).over(w) - F.length("piece")).cast("int"))
-        fields.append(F.col("start"))
-    grouped = ided.groupBy(key).agg(
-        *[F.first(c).alias(c) for c in carry],
-        F.first("n_prompt").alias("n_prompt"), F.first("n_full").alias("n_full"),
-        F.first("n_full_untruncated").alias("n_full_untruncated"),
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct(*fields)))).alias("_t"))
-    cols = [key, *carry, F.transform("_t", lambda s: s["id"]).alias("input_ids"), "n_prompt", "n_full",
-            "n_full_untruncated"]
-    if offsets:
-        cols.append(F.transform("_t", lambda s: s["start"]).alias("offsets"))
-    return grouped.select(*cols)
+    base = df.select(key, *carry, F.length("prompt_text").alias("_pc"), pieces(F.coalesce("full_text", F.lit("")), pattern).alias("_fp"))
+    base = base.select(key, *carry, "_pc", F.size("_fp").alias("n_full_untruncated"), F.slice("_fp", 1, max_len).alias("_kept"))
+    base = base.select(key, *carry, prompt_token_count(F.col("_kept"), F.col("_pc")).alias("n_prompt"), F.size("_kept").alias("n_full"),
+                       "n_full_untruncated", "_kept")
+    rows = materialize(chunked(base, chunk_samples))
+    ids = ArrayType(IntegerType())
+    plain = [f for f in rows.schema.fields if f.name not in ("_kept", "_chunk")]
+    schema = StructType([*plain, StructField("input_ids", ids), *([StructField("offsets", ids)] if offsets else [])])
+
+    def look_up(samples: pa.Table, words: pa.Table) -> pa.Table:
+        kept = samples["_kept"].combine_chunks()
+        kept = kept if isinstance(kept, pa.ListArray) else kept.chunk(0) if kept.num_chunks else pa.array([], type=pa.list_(pa.string()))
+        values, bounds = kept.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(kept).to_numpy(zero_copy_only=False))]).astype(np.int32)
+        at = pc.index_in(values, value_set=words["piece"].combine_chunks())
+        found = words["id"].combine_chunks().take(at)
+        cols = [samples[f.name] for f in plain] + [pa.ListArray.from_arrays(bounds, found)]
+        if offsets:
+            length = pc.utf8_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+            before = np.cumsum(length) - length
+            start = before - np.repeat(np.append(before, 0)[np.minimum(bounds[:-1], len(before))], np.diff(bounds))
+            cols.append(pa.ListArray.from_arrays(bounds, pa.array(start.astype(np.int32))))
+        return pa.table(cols, names=schema.names)
+
+    out = (rows.groupBy("_chunk").cogroup(chunk_dictionaries(rows, vocab, "_kept").groupBy("_chunk")).applyInArrow(look_up, schema))
+    return out.select(key, *carry, "input_ids", "n_prompt", "n_full", "n_full_untruncated", *(["offsets"] if offsets else []))
