@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relq.functions import masks as M
-from relq.operators.positions import number_by_key, with_position
+from relq.operators.positions import materialize, number_by_key, with_position
 
 
 def with_masks(tok: DataFrame, n_keep: int = 5) -> DataFrame:
@@ -29,10 +29,15 @@ def padded_batches(rows: DataFrame, batch_size: int = 4, pad_id=None, key: str =
     """
     pos = number_by_key(rows, keys, key) if keys is not None else with_position(rows, [key])
     b = pos.withColumn("batch_id", F.floor(F.col("pos") / batch_size).cast("long"))
-    b = b.withColumn("max_len", F.max(F.size("input_ids")).over(Window.partitionBy("batch_id")))
+    return _padded(b, pad_id, key, labels, weights)
+
+
+def _padded(rows: DataFrame, pad_id, key: str, labels: str, weights: str | None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with a ``batch_id``, each padded to the longest of its batch."""
+    b = rows.withColumn("max_len", F.max(F.size("input_ids")).over(Window.partitionBy("batch_id")))
     pad_val = F.col("eos_id") if pad_id is None else F.lit(pad_id)
     n, m = F.size("input_ids"), F.col("max_len")
-    cols = [key, "batch_id", "max_len",
+    cols = [key, *carry, "batch_id", "max_len",
             F.concat("input_ids", F.array_repeat(pad_val, m - n)).alias("input_ids"),
             M.attention(n, m).alias("attention_mask"),
             M.pad(F.col(labels), m, M.IGNORE).alias("labels")]
@@ -41,6 +46,33 @@ def padded_batches(rows: DataFrame, batch_size: int = 4, pad_id=None, key: str =
     return b.select(*cols)
 
 
+def bucketed_batches(rows: DataFrame, edges: list[int], batch_size: int = 4, pad_id=None, key: str = "sample_id",
+                     labels: str = "labels_s1", weights: str | None = None) -> DataFrame:
+    """E2 + D13 + H24 with length buckets: like :func:`padded_batches`, but a batch holds rows of one bucket only.
+
+    Bucket i has the lengths above ``edges[i - 1]`` and up to ``edges[i]``; within it rows follow ``key``.  Lengths and keys
+    are numbered together, (bucket, key) first, and the start of each bucket is subtracted, so no bucket is sorted in one
+    task however common its lengths.  The last batch of a bucket may be smaller.  Adds ``bucket``; batch ids are
+    unique and follow (bucket, position).
+    """
+    bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<int>"), lambda e: e < F.size("input_ids")))
+    held = materialize(rows.withColumn("bucket", bucket))
+    keys = with_position(held.select("bucket", key), ["bucket", key])
+    keys = materialize(keys.withColumnRenamed("bucket", "_bucket"))
+    begin = keys.groupBy("_bucket").agg(F.min("pos").alias("_begin"), F.count(F.lit(1)).alias("_n"))  # a row a bucket
+    w = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    begin = begin.select("_bucket", "_begin", F.coalesce(F.sum(F.ceil(F.col("_n") / batch_size)).over(w), F.lit(0)).alias("_batches"))
+    placed = keys.join(F.broadcast(begin), "_bucket").select(key, (F.col("_batches") + F.floor((F.col("pos") - F.col("_begin")) / batch_size)).cast("long").alias("batch_id"))
+    return _padded(held.join(placed, key), pad_id, key, labels, weights, ("bucket",))
+
+
+def padding_share(batches: DataFrame) -> DataFrame:
+    """``(rows, tokens, cells, padding_share)`` of padded batches: how much of their area is padding."""
+    size, used = F.size("attention_mask"), F.size(F.filter("attention_mask", lambda x: x == 1))
+    sums = batches.agg(F.count(F.lit(1)).alias("rows"), F.sum(used).cast("long").alias("tokens"), F.sum(size).cast("long").alias("cells"))
+    return sums.withColumn("padding_share", F.round(F.try_divide(F.col("cells") - F.col("tokens"), F.col("cells")), 6))
+
+
 def masked_out_report(rows: DataFrame, max_len: int) -> DataFrame:
     """Rows without any target token, truncated rows, target-token totals."""
     none1 = F.forall("labels_s1", lambda x: x == M.IGNORE)

@@ -132,21 +132,27 @@ def knn_topk(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "do
 
 
 def first_queries(samples: DataFrame, n: int | None = 10, input_col: str = "input", key: str = "sample_id",
-                  carry: tuple[str, ...] = ()) -> DataFrame:
+                  carry: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
     """The first ``n`` distinct queries (None: all) in first-seen order.
 
     ``min(key)`` per query is algebraic, so every task pre-aggregates and a hot
     query never gathers its rows; only the distinct queries reach the final sort.  ``carry``
-    columns are those of the row where the query was first seen.
+    columns are those of the row where the query was first seen.  An input without a separator is left out, or with
+    ``strict`` an error.
     """
-    q = samples.select(key, *carry, extract_query(F.col(input_col)).alias("query")).where(F.col("query").isNotNull())
+    q = samples.select(key, *carry, extract_query(F.col(input_col), strict).alias("query")).where(F.col("query").isNotNull())
     firsts = q.groupBy("query").agg(F.min(key).alias("first_seen"), *[F.min_by(c, key).alias(c) for c in carry])
+    return rank_queries(firsts, n, carry)
+
+
+def rank_queries(firsts: DataFrame, n: int | None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(query, first_seen, *carry)`` rows, one a query, with their place in first-seen order: the first ``n`` or all."""
     if n is None:
         return with_position(firsts, ["first_seen"], materialize_input=True).select(
             "query", "first_seen", *carry, (F.col("pos") + 1).alias("query_rank"))
     w = Window.orderBy("first_seen")  # over the n rows of the limit below
     top = firsts.orderBy("first_seen").limit(n)
-    return top.withColumn("query_rank", F.row_number().over(w).cast("long"))
+    return top.select("query", "first_seen", *carry, F.row_number().over(w).cast("long").alias("query_rank"))
 
 
 def attach(hits: DataFrame, index: DataFrame, cols: list[str], id_col: str = "doc_id") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from relq.functions import jsonparse as J
 from relq.functions import masks as M
 from relq.functions.hashing import hash_u32
+from relq.functions.text import extract_query
 from relq.functions.vectors import fixed_point, l2_normalize, norm
 from relq.operators import batches as B
 from relq.operators import evaluation as ev
@@ -26,8 +27,10 @@ from relq.operators.clustered import clustered_topk, write_clustered_index
 from relq.operators.grid import grid_topk
 from relq.operators.chat import conversation_masks, prompt_column, render_chat, render_turns, with_answer_key
 from relq.operators.gold import gold_flag, gold_rows
+from relq.operators.lengths import RANK_ERROR, bucket_edges, length_sketches, quantiles, rank_errors
 from relq.operators.loss import weighted_loss as _weighted_loss
-from relq.operators.positions import materialize, number_by_key, slice_rows, with_position
+from relq.operators.permutation import ROUNDS, permute
+from relq.operators.positions import head_rows, materialize, number_by_key, slice_rows, with_position
 from relq.operators.sampling import make_samples, shuffle_order
 from relq.operators.tokens import build_vocab, tokenize
 from relq.plans import sql as S
@@ -37,6 +40,8 @@ from relq.sources import jsonl as JL
 from relq.sources.index import read_index, write_index
 from relq.sources.report import to_long
 from relq.sources.tables import read_corpus, read_embeddings, read_table
+from relq.streaming import arrivals as AR
+from relq.streaming import distinct as DS
 from relq.streaming import scoring as ST
 from relq.templates import CHATML, INSTRUCTIONS, MAX_TOKENS, PROMPT_VARIANTS
 
@@ -77,6 +82,12 @@ def answers(spark, sf_dir) -> DataFrame:
     return derive_answers(gold(spark, sf_dir), silent=True)
 
 
+def eval_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(gold rows, answers), each written once, as an evaluation reads them: parsing plans hold no answer builder."""
+    g = materialize(gold(spark, sf_dir).select("sample_id", "relevant", "gold_query_topic", "gold_document_topic", "gold_summary"))
+    return g, materialize(derive_answers(g, silent=True))
+
+
 # ---- A1, A2, E1 -----------------------------------------------------------------------
 
 @register("corpus_positions", S.with_ctes([("corpus", S.CORPUS)],
@@ -116,6 +127,27 @@ def sample_shuffle(spark, sf_dir):
     return shuffle_order(samples(spark, sf_dir, 1))
 
 
+def _permutation_sql() -> str:
+    """The rounds of ``permutation`` as nested selects over (sample_id, s, x), walked by a recursive query."""
+    inner = "SELECT sample_id, s, a, b, n, x // b AS l, x % b AS r FROM walk, size WHERE s = 0 OR x >= n"
+    for i in range(ROUNDS):
+        own, other, m = ("r", "l", "b") if i % 2 else ("l", "r", "a")
+        drawn = S.pick(f"concat_ws('|', {i}, {other})", "permute", 1 << 32)
+        inner = f"SELECT sample_id, s, a, b, n, ({own} + {drawn}) % {m} AS {own}, {other} FROM ({inner})"
+    return S.with_ctes(S.samples_ctes(1) + [
+        ("size", """SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM (SELECT count(*) AS n FROM samples))"""),
+        ("walk", f"""SELECT sample_id, (row_number() OVER (ORDER BY sample_id) - 1)::BIGINT AS x, 0 AS s FROM samples
+  UNION ALL SELECT sample_id, (l * b + r)::BIGINT AS x, s + 1 AS s FROM ({inner})""")],
+        "SELECT sample_id, x AS shuffle_pos FROM walk, size WHERE s > 0 AND x < n").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("sample_permutation", _permutation_sql())
+def sample_permutation(spark, sf_dir):
+    """a full shuffle of the samples as a keyed bijection of their positions: nothing is sorted by the shuffled order."""
+    pos = with_position(samples(spark, sf_dir, 1).select("sample_id"), ["sample_id"])
+    return permute(pos, pos.count())
+
+
 # ---- gold and answers (B3-B7) -----------------------------------------------------------
 
 @register("gold_rows", S.with_ctes(S.samples_ctes(2) + [("gold", S.GOLD)], "SELECT * FROM gold"))
@@ -126,7 +158,7 @@ def gold_rows_q(spark, sf_dir):
 
 @register("model_answers", S.with_ctes(S.eval_ctes(), "SELECT * FROM answers"))
 def model_answers(spark, sf_dir):
-    """Derived answers: one of 22 answer shapes per gold row."""
+    """Derived answers: one of 28 answer shapes per gold row (the input of the parsing queries)."""
     return answers(spark, sf_dir)
 
 
@@ -135,7 +167,7 @@ def model_answers(spark, sf_dir):
 @register("flag_lenient", S.with_ctes(S.eval_ctes(), S.LENIENT))
 def flag_lenient(spark, sf_dir):
     """Stage-1 lenient flag of every answer (nullable)."""
-    a = answers(spark, sf_dir)
+    _, a = eval_inputs(spark, sf_dir)
     return J.with_lenient_flag(a, "answer", "flag").select("sample_id", "answer_class", "flag")
 
 
@@ -143,8 +175,7 @@ def flag_lenient(spark, sf_dir):
           "SELECT sample_id, answer_class, json_valid, relevance_match, reason_complete FROM strict"))
 def flag_strict(spark, sf_dir):
     """Stage-2 strict validity, agreement and completeness per answer."""
-    g = gold(spark, sf_dir)
-    a = answers(spark, sf_dir)
+    g, a = eval_inputs(spark, sf_dir)
     return ev.s2_scored(g, a, carry=("answer_class",)).select(
         "sample_id", "answer_class", "json_valid", "relevance_match", "reason_complete")
 
@@ -152,7 +183,7 @@ def flag_strict(spark, sf_dir):
 @register("flag_judge", S.with_ctes(S.eval_ctes(), S.JUDGE))
 def flag_judge(spark, sf_dir):
     """Retrieval-judge flag of every answer (strict, failure = false)."""
-    a = answers(spark, sf_dir)
+    _, a = eval_inputs(spark, sf_dir)
     return J.with_judge_flag(a, "answer", "flag").select("sample_id", "answer_class", "flag")
 
 
@@ -277,6 +308,21 @@ def first_queries(spark, sf_dir):
     return rt.first_queries(samples(spark, sf_dir), n=S.MAX_QUERIES)
 
 
+@register("first_queries_strict", S.with_ctes(S.samples_ctes(2), S.FIRST_QUERIES))
+def first_queries_strict(spark, sf_dir):
+    """As ``first_queries``; an input without a separator would fail the job."""
+    return rt.first_queries(samples(spark, sf_dir), n=S.MAX_QUERIES, strict=True)
+
+
+@register("first_queries_stream", S.with_ctes(S.samples_ctes(2), S.FIRST_QUERIES))
+def first_queries_stream(spark, sf_dir):
+    """G1, F3, E5 on a stream: samples arrive as files, state holds the first sample of each query."""
+    src, log = _scratch(spark, "samples-stream"), _scratch(spark, "query-log")
+    samples(spark, sf_dir).select("sample_id", "input").write.mode("overwrite").json(src)
+    DS.run_to_log(DS.first_seen(DS.read_sample_stream(spark, src)), log)
+    return DS.ordered_queries(spark, log, S.MAX_QUERIES)
+
+
 # ---- chat, tokens, masks, batches, loss (H6, H17-H25, E2, E3, D11, D13, D14) -------------
 
 
@@ -391,6 +437,61 @@ def masked_out_report_q(spark, sf_dir):
     return B.masked_out_report(rows, MAX_TOKENS)
 
 
+def _length_measures() -> dict:
+    target = lambda c: F.size(F.filter(c, lambda x: x != M.IGNORE))
+    return {"target_tokens_s1": target("labels_s1"), "target_tokens_s2": target("labels_s2"), "text_tokens": F.col("n_full_untruncated")}
+
+
+@register("length_quantiles", S.with_ctes(S.token_ctes(2, "train_s1"), """SELECT measure, samples, quantile, true AS within FROM
+  (SELECT unnest(['target_tokens_s1', 'target_tokens_s2', 'text_tokens']) AS measure),
+  (SELECT unnest([0.5::DOUBLE, 0.95::DOUBLE, 0.99::DOUBLE]) AS quantile), (SELECT count(*) AS samples FROM masks)"""))
+def length_quantiles(spark, sf_dir):
+    """p50, p95 and p99 of target and text tokens from mergeable sketches, held against the exact counts of all lengths: the
+    rank of each is within 1 %."""
+    rows, _ = token_rows(spark, sf_dir)
+    held = materialize(rows.select(*[c.alias(m) for m, c in _length_measures().items()]))
+    measures = {m: F.col(m) for m in held.columns}
+    found = materialize(quantiles(length_sketches(held, measures)))
+    return rank_errors(held, measures, found).select("measure", F.col("n").alias("samples"), "quantile", (F.col("rank_error") <= RANK_ERROR).alias("within"))
+
+
+BUCKET_EDGES = list(range(16, MAX_TOKENS, 16))
+
+
+@register("bucketed_batches", S.with_ctes(S.token_ctes(2, "train_s1") + [
+    ("bucketed", f"""SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY sample_id) - 1 AS place FROM (
+      SELECT *, len(list_filter({BUCKET_EDGES}, lambda e: e < n_full))::INTEGER AS bucket FROM masks)"""),
+    ("starts", f"""SELECT bucket, coalesce(sum(ceil(n / {S.BATCH})) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM (SELECT bucket, count(*) AS n FROM bucketed GROUP BY bucket)"""),
+    ("dealt", f"""SELECT b.*, (before + place // {S.BATCH})::BIGINT AS batch_id, max(n_full) OVER (PARTITION BY b.bucket, place // {S.BATCH}) AS max_len
+      FROM bucketed b JOIN starts USING (bucket)""")], f"""SELECT sample_id, bucket, batch_id, max_len,
+  {S.txt("list_concat(input_ids, list_transform(range(max_len - n_full), lambda z: eos_id))")} AS input_ids,
+  {S.txt("list_concat(list_transform(range(n_full), lambda z: 1), list_transform(range(max_len - n_full), lambda z: 0))")} AS attention_mask,
+  {S.txt("list_concat(labels_s1, list_transform(range(max_len - n_full), lambda z: -100))")} AS labels
+  FROM dealt CROSS JOIN eos"""))
+def bucketed_batches_q(spark, sf_dir):
+    """E2, D13, H24 with length buckets: batches of 4 samples of one bucket of 16 tokens' width."""
+    rows, _ = token_rows(spark, sf_dir)
+    b = B.bucketed_batches(rows.select("sample_id", "input_ids", "labels_s1", "eos_id"), BUCKET_EDGES, S.BATCH)
+    return b.select("sample_id", "bucket", "batch_id", F.col("max_len").cast("long").alias("max_len"), M.as_text(F.col("input_ids")).alias("input_ids"),
+                    M.as_text(F.col("attention_mask")).alias("attention_mask"), M.as_text(F.col("labels")).alias("labels"))
+
+
+@register("padding_report", S.with_ctes(S.token_ctes(2, "train_s1"), """SELECT layout, count(*) AS rows, sum(n_full)::BIGINT AS tokens, true AS improved
+  FROM masks, (SELECT unnest(['in order', 'bucketed']) AS layout) GROUP BY layout"""))
+def padding_report(spark, sf_dir):
+    """Rows and tokens of batches in sample order and of batches in length buckets whose edges come from the length sketch;
+    ``improved``: the bucketed share of padding is not above that of the order."""
+    rows, _ = token_rows(spark, sf_dir)
+    held = materialize(rows.select("sample_id", "input_ids", "labels_s1", "eos_id"))
+    edges = bucket_edges(length_sketches(held, {"tokens": F.size("input_ids")}), "tokens", 16)
+    plain = B.padding_share(B.padded_batches(held, S.BATCH)).withColumn("layout", F.lit("in order"))
+    dealt = B.padding_share(B.bucketed_batches(held, edges, S.BATCH)).withColumn("layout", F.lit("bucketed"))
+    both = materialize(plain.unionByName(dealt))
+    least = both.where("layout = 'bucketed'").first().padding_share
+    return both.select("layout", "rows", "tokens", (F.col("padding_share") >= F.lit(least)).alias("improved"))
+
+
 @register("weighted_loss", S.with_ctes(S.token_ctes(1, "train_v1") + [("batched", S.BATCHED), ("rl", S.ROW_LOSS)],
           """SELECT batch_id, round(sum(den), 6) AS weight_sum, round(sum(num) / (sum(den) + 1e-8), 6) AS loss
   FROM rl GROUP BY batch_id"""))
@@ -442,6 +543,15 @@ def eval_head(spark, sf_dir):
     return JL.read_samples(spark, path, limit=100).select("line", F.md5("output").alias("output_md5"))
 
 
+@register("eval_head_exact", S.with_ctes(S.samples_ctes(2), """SELECT line, md5(output) AS output_md5 FROM (
+  SELECT (row_number() OVER (ORDER BY sample_id) - 1)::BIGINT AS line, output FROM samples) WHERE line < 100"""))
+def eval_head_exact(spark, sf_dir):
+    """the first 100 samples as ``select(range(100))`` takes them: fewer would fail the job."""
+    path = _scratch(spark, "eval-jsonl")
+    JL.write_samples(samples(spark, sf_dir), path)
+    return head_rows(JL.read_samples(spark, path), "line", 100, require_full=True).select("line", F.md5("output").alias("output_md5"))
+
+
 @register("index_roundtrip", S.with_ctes([("unit", S.UNIT)], """SELECT doc_id, label, dim,
   array_to_string(list_transform(u, lambda x: CAST(round(x * 1000) AS BIGINT)), ',') AS unit FROM unit"""))
 def index_roundtrip(spark, sf_dir):
@@ -453,43 +563,52 @@ def index_roundtrip(spark, sf_dir):
                       fixed_point(F.transform("embedding", lambda x: x.cast("double")), 1e3).alias("unit"))
 
 
-@register("split_leakage", S.with_ctes([("corpus", S.CORPUS), ("positions", S.POSITIONS)], """SELECT
-  CAST(count_if(pos < n * 50 // 100) AS BIGINT) AS train_docs, CAST(count_if(pos >= n * 50 // 100) AS BIGINT) AS eval_docs,
-  CAST(count_if(pos >= n * 50 // 100 AND doc_id IN (SELECT doc_id FROM positions WHERE pos < n * 50 // 100)) AS BIGINT) AS id_overlap,
-  CAST(count_if(pos >= n * 50 // 100 AND sha256(text) IN (SELECT sha256(text) FROM positions WHERE pos < n * 50 // 100)) AS BIGINT) AS text_overlap
-  FROM positions"""))
-def split_leakage(spark, sf_dir):
-    """Eval slice [50%:] against train slice [:50%]: overlap by id and by text digest."""
-    corpus = read_corpus(spark, sf_dir)
-    # number the cheap key column and join, so each text is hashed once (not again for range sampling)
-    pos = number_by_key(corpus.select("doc_id", F.sha2("text", 256).alias("h")), corpus.select("doc_id"), "doc_id")
-    half = pos.count() * 50 // 100
-    tagged = pos.withColumn("is_train", F.col("pos") < half)
+_SLICES = {"train": (0, 50), "index": (0, 60), "eval": (50, 100)}  # per cent of the corpus, by position
+_PAIRS = [("train", "eval"), ("train", "index"), ("index", "eval")]
 
-    def overlap(key: str, name: str) -> DataFrame:
-        """Documents by side, and those of the eval side whose key the train side has; a repeated key is a
-        pair of counts in each task, so no task gathers its rows."""
-        sides = tagged.groupBy(key).agg(F.count_if("is_train").alias("t"), F.count_if(~F.col("is_train")).alias("e"))
-        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-        return sides.agg(total("t").alias("train_docs"), total("e").alias("eval_docs"),
-                         total(F.when(F.col("t") > 0, F.col("e")).otherwise(0)).alias(name))
 
-    ids, texts = overlap("doc_id", "id_overlap"), overlap("h", "text_overlap")
-    return ids.join(texts, ["train_docs", "eval_docs"]).select("train_docs", "eval_docs", "id_overlap", "text_overlap")
+def _leak_sql() -> str:
+    tag = ", ".join(f"pos >= n * {a} // 100 AND pos < n * {b} // 100 AS in_{k}" for k, (a, b) in _SLICES.items())
+    pairs = " UNION ALL ".join(f"""SELECT '{a}' AS left_slice, '{b}' AS right_slice, CAST(count_if(in_{a}) AS BIGINT) AS left_docs, CAST(count_if(in_{b}) AS BIGINT) AS right_docs,
+  CAST(count_if(in_{b} AND doc_id IN (SELECT doc_id FROM t WHERE in_{a})) AS BIGINT) AS id_overlap,
+  CAST(count_if(in_{b} AND sha256(text) IN (SELECT sha256(text) FROM t WHERE in_{a})) AS BIGINT) AS text_overlap FROM t""" for a, b in _PAIRS)
+    return S.with_ctes([("corpus", S.CORPUS), ("positions", S.POSITIONS), ("t", f"SELECT *, {tag} FROM positions")], pairs)
 
 
-@register("counts", S.with_ctes(S.samples_ctes(2), f"""SELECT (SELECT count(*) FROM corpus) AS documents,
-  (SELECT count(*) FROM samples) AS samples, (SELECT count(*) FROM embeddings) AS vectors,
-  (SELECT count(*) FROM embeddings WHERE vec_id % {S.QUERY_MODULUS} = 0) AS queries"""))
-def counts(spark, sf_dir):
-    """Documents, samples, index vectors and queries (long-form union, one aggregation, no join)."""
+@register("split_leakage", _leak_sql())
+def split_leakage(spark, sf_dir):
+    """The documents of the train, index and eval slices that another slice has too, by id and by text digest.
+
+    One grouping over (kind of key, key): counts by slice are summed in every task, so a text that a third of all
+    documents share is one row a task."""
     corpus = read_corpus(spark, sf_dir)
-    emb = read_embeddings(spark, sf_dir)
-    parts = [corpus.select(F.lit("documents").alias("m")), samples(spark, sf_dir).select(F.lit("samples").alias("m")),
-             emb.select(F.when(F.col("doc_id") % S.QUERY_MODULUS == 0, "query").otherwise("vector").alias("m"))]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    n = lambda m: F.count_if(F.col("m") == m)
-    return u.agg(n("documents").alias("documents"), n("samples").alias("samples"), (n("vector") + n("query")).alias("vectors"), n("query").alias("queries"))
+    # number the cheap key column and join, so each text is hashed once (not again for range sampling)
+    keyed = materialize(number_by_key(corpus.select("doc_id", F.sha2("text", 256).alias("h")), corpus.select("doc_id"), "doc_id"))
+    n = keyed.count()
+    inside = {k: (F.col("pos") >= n * a // 100) & (F.col("pos") < n * b // 100) for k, (a, b) in _SLICES.items()}
+    keys = F.array(F.struct(F.lit("id").alias("kind"), F.col("doc_id").cast("string").alias("key")), F.struct(F.lit("text").alias("kind"), F.col("h").alias("key")))
+    rows = keyed.select(*[c.alias(k) for k, c in inside.items()], F.inline(keys))
+    met = rows.groupBy("kind", "key").agg(*[F.count_if(k).alias(k) for k in _SLICES])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    sums = [total(F.when(F.col("kind") == "id", F.col(k))).alias(f"n_{k}") for k in _SLICES]
+    sums += [total(F.when((F.col("kind") == kind) & (F.col(a) > 0), F.col(b))).alias(f"{kind}_{a}_{b}") for a, b in _PAIRS for kind in ("id", "text")]
+    pairs = F.array(*[F.struct(F.lit(a).alias("left_slice"), F.lit(b).alias("right_slice"), F.col(f"n_{a}").alias("left_docs"), F.col(f"n_{b}").alias("right_docs"),
+                               F.col(f"id_{a}_{b}").alias("id_overlap"), F.col(f"text_{a}_{b}").alias("text_overlap")) for a, b in _PAIRS])
+    return met.agg(*sums).select(F.inline(pairs))
+
+
+@register("counts", S.with_ctes(S.samples_ctes(2) + [("q", f"""SELECT {S.py_strip("replace(substr(input, 1, strpos(input, chr(10) || 'Document:') - 1), 'Query:', '')")} AS query
+  FROM samples WHERE strpos(input, chr(10) || 'Document:') > 0""")], """SELECT (SELECT count(*) FROM corpus) AS documents,
+  (SELECT count(*) FROM samples) AS samples, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(DISTINCT query) FROM q) AS queries"""))
+def counts(spark, sf_dir):
+    """Documents, samples, index vectors and distinct text queries (a long-form union, one aggregation, no join)."""
+    corpus, emb = read_corpus(spark, sf_dir), read_embeddings(spark, sf_dir)
+    one = F.lit(1).cast("long")
+    asked = samples(spark, sf_dir).groupBy(extract_query(F.col("input")).alias("query")).agg(F.count(F.lit(1)).alias("n"))
+    u = (corpus.select(F.lit("documents").alias("m"), one.alias("n")).unionByName(emb.select(F.lit("vectors").alias("m"), one.alias("n")))
+         .unionByName(asked.select(F.lit("samples").alias("m"), "n")).unionByName(asked.where("query is not null").select(F.lit("queries").alias("m"), one.alias("n"))))
+    n = lambda m: F.coalesce(F.sum(F.when(F.col("m") == m, F.col("n"))), F.lit(0)).cast("long").alias(m)
+    return u.agg(*[n(m) for m in ("documents", "samples", "vectors", "queries")])
 
 
 _S1_COLS = {"total": 0, "correct": 0, "failed": 0, "accuracy": 4}
@@ -600,6 +719,32 @@ def s1_accuracy_stream(spark, sf_dir):
     return spark.read.parquet(out_dir)
 
 
+@register("s1_accuracy_arrivals", _S1)
+def s1_accuracy_arrivals(spark, sf_dir):
+    """C4, D1, D2 with questions and answers on two streams: a sample that stays silent is a failed parse once the watermark has
+    passed its time; every 13th answer arrives twice and one in 17 late."""
+    s = eval_samples(spark, sf_dir)
+    asked, came, out = (_scratch(spark, f"arrivals-{x}") for x in ("gold", "answers", "out"))
+    start = 1_700_000_000  # a second a sample from here on
+    gold_flag(s).withColumn("asked_at", F.timestamp_seconds(F.col("sample_id") + start)).write.mode("overwrite").json(asked)
+    # answers of samples whose gold can't be split are none: a question without a reference text gets no answer
+    a = derive_answers(gold_rows(s, on_mismatch="drop"), silent=True).select("sample_id", "answer")
+    after = F.when(F.col("sample_id") % 17 == 0, 3000).otherwise(F.col("sample_id") % 60 + 1)
+    a = a.withColumn("answered_at", F.timestamp_seconds(F.col("sample_id") + start + after))
+    a = a.unionByName(a.where("sample_id % 13 = 0").withColumn("answered_at", F.col("answered_at") + F.expr("interval 2 seconds")))
+    a.write.mode("overwrite").json(came)
+    _heartbeat(spark, asked, came)
+    AR.run_to_epochs(AR.scored_arrivals(AR.read_stream(spark, asked, AR.GOLD_SCHEMA), AR.read_stream(spark, came, AR.ANSWER_SCHEMA)), out)
+    return AR.accuracy_of(spark, out)
+
+
+def _heartbeat(spark, asked: str, came: str) -> None:
+    """A last row far after all others in both streams: it moves the watermark past every open question."""
+    end = spark.sql("SELECT timestamp'2200-01-01 00:00:00' AS t")
+    end.select(F.lit(-1).alias("sample_id"), F.lit(True).alias("gold"), F.col("t").alias("asked_at")).write.mode("append").json(asked)
+    end.select(F.lit(-2).alias("sample_id"), F.lit("").alias("answer"), F.col("t").alias("answered_at")).write.mode("append").json(came)
+
+
 # ---- multi-turn chat over the conversations table (H6 per turn) --------------------------
 
 
