@@ -26,10 +26,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relq.llm.common import batches_of, materialize, read, to_hex64
+from relq.llm.common import batches_of, materialize, read, to_hex64, unused
 from relq.llm.components import components
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # (first bit, bits)
@@ -62,16 +62,22 @@ def simhash(text: bytes | None, shingle: int = 3, seed: int = 42, step: int = 1
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)``: the signed 64-bit fingerprint of every row; null and blank texts have 0."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """``(doc_id, k1, k2, fp)``: two hashes of the text (null like empty) and the signed 64-bit fingerprint of every row; null
+    and blank texts have 0."""
+    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("fp", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            fp = np.array([simhash(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64)
-            yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], schema=schema)
+            fp = np.array([simhash(t.as_py(), shingle) for t in b.column(3)], dtype=np.uint64)
+            yield pa.record_batch([*b.columns[:3], pa.array(fp.view(np.int64))], schema=schema)
 
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-            .mapInArrow(run, "doc_id long, fp long"))
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_keys(text_col), F.col(text_col).cast("binary").alias("text"))
+            .mapInArrow(run, "doc_id long, k1 long, k2 long, fp long"))
+
+
+def text_keys(text_col: str) -> tuple[Column, Column]:
+    t = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    return F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(1), t).alias("k2")
 
 
 # ---- the code -----------------------------------------------------------------------------------
@@ -247,8 +253,15 @@ def near_links(fps: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFra
     return blocks.mapInArrow(link, "u long, v long")
 
 
+def _rooted(fps: DataFrame, distance: int, max_rounds: int) -> DataFrame:
+    """``(fp, first_id, root)`` of each distinct fingerprint: its smallest id and the component's smallest fingerprint."""
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(near_links(distinct, distance), max_rounds)
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                       distance: int = 3) -> DataFrame:
+                       distance: int = 3, max_rounds: int = 60) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row: the smallest id reachable over links of
     ``distance`` bits or fewer, the row's own included.
 
@@ -257,24 +270,36 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     # written once: fingerprints are read for the keys and again for the result
     fps = materialize(fingerprints(docs, id_col, text_col, shingle))
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(near_links(distinct, distance))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(fps, distance, max_rounds)
     named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root")
     return fps.join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                         distance: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: the one whose id is smallest (one of them, if rows
-    repeat that id).  Rows with a null id cannot be named and are kept.  All columns are kept."""
-    kept = (simhash_components(docs, id_col, text_col, shingle, distance)
-            .where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct())
-    named = docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+                         distance: int = 3, max_rounds: int = 60) -> DataFrame:
+    """``docs`` with one row of each component, all columns kept.
+
+    It is the row with the smallest id (a null id comes last); of rows that repeat that id, the one whose text has the smallest
+    hash, and of rows alike in both any one.  Rows that repeat an id with unrelated texts are in components of their own, and so
+    each has its survivor.  Null and blank texts are copies of one another.  An empty table stays empty.
+    """
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("s")
+    kept = fps.join(_rooted(fps, distance, max_rounds).select("fp", "root"), "fp").groupBy("root").agg(first)
+    own = unused(docs, "id", "k1", "k2")
+    theirs = unused(docs, *(f"{c}_kept" for c in own))
+    named = docs.select("*", *(c.alias(n) for n, c in zip(own, (F.col(id_col).cast("long"), *text_keys(text_col)))))
+    keys = kept.select(*(F.col(f"s.{c}").alias(n) for n, c in zip(theirs, ("doc_id", "k1", "k2"))))
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(own, theirs)]
+    return named.join(keys, same[0] & same[1] & same[2], "left_semi").dropDuplicates(own).drop(*own)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents``, 3-word shingles, links at 3 bits or fewer.
+
+    Null and blank texts have fingerprint zero and link like any other; long texts are read whole; repeated rows and ids each have
+    a row; a null id never names a component, and one of null ids alone has a null name; an empty table gives no rows;
+    columns beyond ``doc_id`` and ``text`` are not read.
+    """
     out = simhash_components(read(spark, sf_dir, "documents"))
     return out.select("doc_id", to_hex64(F.col("fp")).alias("fingerprint"), "component_id")

@@ -93,12 +93,56 @@ def test_edge_cases(spark):
     assert by[7] == {7} and by[8] == {8}
     kept = S.drop_near_duplicates(df)
     assert kept.columns == df.columns
-    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 5, 7, 8, 9]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 5, 7, 8, 9]  # the null id's text is that of 5
     assert S.simhash_components(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         S.near_links(df.select("fp"), 4)
 
 
+def test_one_document_of_each_group_stays(spark):
+    """Repeated ids with unrelated texts and null ids: every text has its survivor, no copy stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (9, c), (None, c), (None, c)]
+    df = spark.createDataFrame([(i, t, "x", n, 7) for n, (i, t) in enumerate(rows)], "doc_id long, text string, k1 string, id int, ID_kept int")
+    out = S.drop_near_duplicates(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, a), (5, b), (9, c)]
+    only = spark.createDataFrame([(None, a), (None, a), (None, b)], "doc_id long, text string")
+    assert sorted(r.text for r in S.drop_near_duplicates(only).collect()) == [a, b]
+
+
+def test_survivors_against_brute_force(spark):
+    """Near copies, repeated and null ids: components over all pairs of rows, one row of each stays."""
+    rng = np.random.default_rng(11)
+    base = [[f"w{rng.integers(0, 10_000)}" for _ in range(60)] for _ in range(25)]
+    rows = []
+    for _ in range(150):
+        words = list(base[rng.integers(0, len(base))])
+        for _ in range(int(rng.integers(0, 3))):
+            words[rng.integers(0, len(words))] = f"v{rng.integers(0, 99)}"
+        rows.append((None if rng.random() < 0.1 else int(rng.integers(0, 60)), " ".join(words)))
+    fp = [S.simhash(t.encode()) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fp[i] ^ fp[j]).bit_count() <= 3:
+                group[root(i)] = root(j)
+    want = {}
+    for i, (d, _) in enumerate(rows):
+        k = (d is None, d)
+        want[root(i)] = min(want.get(root(i), k), k) if root(i) in want and d is not None and want[root(i)][1] is not None else min(
+            [x for x in (want.get(root(i)), k) if x], key=lambda x: x[0])
+    got = S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    place = {t: i for i, (_, t) in enumerate(rows)}
+    assert len(got) == len(want) and {(root(place[r.text]), r.doc_id) for r in got} == {(g, d) for g, (_, d) in want.items()}
+
+
 def test_components_long_chain(spark):
     e = spark.range(200).selectExpr("id u", "id + 1 v")
     assert {r.root for r in components(e).collect()} == {0}
