@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relq.llm.common import batches_of, materialize, read
+from relq.llm.common import batches_of, materialize, read, unused
 
 TOKENS = 2048
+DOCUMENTS = TOKENS  # documents of a sequence: none is shorter than its end id
+ATTENTION = TOKENS * TOKENS  # sum of squared piece lengths of a sequence
 BLOCK_PIECES = 20_000
 
 # ---- tokens -------------------------------------------------------------------------------------
@@ -206,9 +208,12 @@ def pack(pieces: DataFrame, tokens: int = TOKENS, documents: int | None = None,
          rule: str = "dot", block: int = BLOCK_PIECES) -> DataFrame:
     """``pieces`` (any columns, with ``doc_id, piece, length``) plus ``sequence_id`` and ``offset``.
 
-    ``sequence_id`` is unique, not dense.  Pieces are packed in ``ceil(count / block)`` blocks.
+    ``sequence_id`` is unique, not dense.  Pieces are packed in ``ceil(count / block)`` blocks.  Input columns that have the two new
+    names are replaced.  Rows that repeat a piece are pieces of their own, null ids are allowed, equal lengths may go
+    either way; a null length or one above a capacity is an error; an empty table gives an empty one.
     """
-    written = materialize(pieces)
+    written = materialize(pieces.drop("sequence_id", "offset"))
+    block_col, = unused(written, "block")
     full = F.col("length") == tokens
     n_full, n_rest = written.agg(F.count_if(full), F.count_if(~full)).first()
     blocks = max(1, -(-n_rest // block))
@@ -222,8 +227,8 @@ def pack(pieces: DataFrame, tokens: int = TOKENS, documents: int | None = None,
         def flush() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
             where, offset = best_fit(t["length"].to_numpy(), tokens, documents, attention, rule)
-            seq = (t["__block"].to_numpy().astype(np.int64) << 40) + where
-            out = t.drop_columns(["__block"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(offset))
+            seq = (t[block_col].to_numpy().astype(np.int64) << 40) + where
+            out = t.drop_columns([block_col]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(offset))
             yield from out.to_batches(max_chunksize=65536)
 
         for b in it:
@@ -242,8 +247,8 @@ def pack(pieces: DataFrame, tokens: int = TOKENS, documents: int | None = None,
     # a full piece is a sequence by itself; its id is drawn from the rows' own numbers, beyond all blocks
     alone = written.where(full).select(*cols, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     mark = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
-    rest = (written.where(~full).withColumn("__block", mark).repartition("__block").sortWithinPartitions("__block", "doc_id", "piece")
-            .select(*cols, "__block").mapInArrow(run, schema))
+    rest = (written.where(~full).withColumn(block_col, mark).repartition(block_col).sortWithinPartitions(block_col, "doc_id", "piece")
+            .select(*cols, block_col).mapInArrow(run, schema))
     return rest.unionByName(alone)
 
 
@@ -253,5 +258,10 @@ def tokenizer_path() -> str:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` in sequences of 2,048 tokens, 2,048 documents and 2,048 squared of attention.
+
+    Null and empty texts are their end id; long texts are cut; repeated rows and ids are pieces of their own; an empty table
+    gives no rows; columns beyond ``doc_id`` and ``text`` are not read.
+    """
     pieces = token_pieces(read(spark, sf_dir, "documents"), tokenizer_path())
-    return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(pieces, documents=DOCUMENTS, attention=ATTENTION).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -86,3 +86,45 @@ def test_blocks_and_repeated_rows(spark):
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
     for v in by.values():
         assert [o for o, _ in sorted(v)] == [sum(n for _, n in sorted(v)[:i]) for i in range(len(v))] and sum(n for _, n in v) <= 2048
+
+
+def test_registered_query_has_three_capacities(spark, monkeypatch):
+    seen = {}
+    plain = P.pack
+    monkeypatch.setattr(P, "pack", lambda pieces, **kw: (seen.update(kw), plain(pieces, **kw))[1])
+    assert P.op6_packing(spark, SF_SMALL).columns[-2:] == ["sequence_id", "offset"]
+    assert seen == {"documents": P.DOCUMENTS, "attention": P.ATTENTION}
+
+
+@pytest.mark.parametrize("rule", ["dot", "norm"])
+def test_chosen_bins_against_brute_force(rule):
+    """Every piece, in falling size, goes where a search over all open bins puts it."""
+    rng = np.random.default_rng(9)
+    lengths = rng.integers(1, 200, 400)
+    caps = (256, 4, 40_000)
+    where, offset = P.best_fit(lengths, caps[0], caps[1], caps[2], rule)
+    free = []
+    for i in np.argsort(-lengths, kind="stable"):
+        n = int(lengths[i])
+        need = np.array([n, 1, n * n])
+        fits = [f for f in free if (f >= need).all()]
+        residual = np.array([caps[0] - offset[i], 0, 0])
+        if not fits:
+            assert offset[i] == 0
+            free.append(np.array(caps) - need)
+            continue
+
+        def score(f):
+            a, b = f / np.array(caps), need / np.array(caps)
+            return float(((a - b) ** 2).sum()) if rule == "norm" else float((a - b).sum() - (a * b).sum() / np.sqrt((a ** 2).sum()))
+        best = min(map(score, fits))
+        at = next(k for k, f in enumerate(free) if (f >= need).all() and f[0] == residual[0] and abs(score(f) - best) < 1e-9)
+        free[at] = free[at] - need
+    assert len(free) == where.max() + 1
+
+
+def test_capacities_cost_no_sequences():
+    lengths = np.minimum(np.random.default_rng(10).lognormal(6, 1, 20_000).astype(int) + 1, 2047)
+    plain = P.best_fit(lengths)[0].max()
+    for rule in ("dot", "norm"):
+        assert P.best_fit(lengths, documents=P.DOCUMENTS, attention=P.ATTENTION, rule=rule)[0].max() <= plain * 1.001
