@@ -1,6 +1,6 @@
 """Operator 8: language identification by sparse multinomial logistic regression.
 
-A text is lower-cased, everything but letters becomes a space, and its character n-grams (1 to 3) are
+A text is lower-cased, everything but letters and their marks becomes a space, and its character n-grams (1 to 3) are
 hashed to buckets.  Weights are log term counts times inverse document frequencies (of all training
 documents), scaled to length 1.
 The model is trained with follow-the-regularised-leader (FTRL-proximal, one step size a weight) and an
@@ -11,12 +11,12 @@ bounded sample in which each language is weighted by its share of all training d
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,14 +26,14 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")  # marks belong to the letters before them
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of the character n-grams of one whole text; empty without a letter."""
     clean = _OTHER.sub(" ", (text or "").lower()).strip()
-    if not clean:
+    if not any(map(str.isalpha, clean[:64])) and not any(map(str.isalpha, clean)):
         return np.zeros(0, dtype=np.int64), np.zeros(0)
     c = np.frombuffer(f" {clean} ".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     key = np.zeros(len(c), dtype=np.uint64)
@@ -161,8 +161,8 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([a.astype(np.uint16).tobytes() for a, _ in got], type=pa.binary()),
                                               pa.array([c.astype(np.float32).tobytes() for _, c in got], type=pa.binary())], ["lang", "at", "count"])
 
-    got = (docs.join(picked, (F.col(id_col).cast("long") == F.col("__id")) & (F.col(lang_col) == F.col("__lang")))
-           .select(F.col(text_col).alias("text"), "__lang").mapInArrow(run, "lang string, at binary, count binary").collect())
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    got = (texts.join(picked, (F.col("id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("text", "__lang").mapInArrow(run, "lang string, at binary, count binary").collect())
     got = sorted((r.lang, bytes(r["at"]), bytes(r["count"])) for r in got)  # the order of tasks must not matter
     got = [g for i, g in enumerate(got) if g[1] and (not i or g != got[i - 1])]  # texts with letters, each once
     rows = [(np.frombuffer(a, dtype=np.uint16).astype(np.int64), np.frombuffer(c, dtype=np.float32).astype(float)) for _, a, c in got]
@@ -181,7 +181,7 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, lang_pred, score)`` of every row; ``und`` with score 0 for null texts and those without a letter."""
+    """``(doc_id, lang_pred, score)`` of every row, repeated ones each; ``und`` with score 0 for null texts and those without a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # (BUCKETS + 1) x languages floats, whatever the input
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,6 +196,12 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents``; learns from ids whose crc32 modulo 5 is not 0 and that have a language.
+
+    Null, empty and letterless texts are ``und`` with score 0; long texts are read whole; of tied languages the first by name;
+    repeated rows have equal results and train once; without a training language all is ``und``; an empty table gives
+    no rows; columns beyond ``doc_id``, ``text`` and ``lang`` are not read.
+    """
     docs = read(spark, sf_dir, "documents")
     return predict_language(docs, fit_language(docs)).select(
         "doc_id", (~training_row(F.col("doc_id"), 5, 0)).alias("held_out"), "lang_pred", "score")

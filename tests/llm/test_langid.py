@@ -73,3 +73,14 @@ def test_idf_and_mix_do_not_move_with_the_cap(spark):
     # a text that says nothing (two equal unknown letters) gets the natural mix, not equal shares
     assert capped.predict("qq")[0] == whole.predict("qq")[0] == "de"
     assert abs(L.fit_temperature(np.array([[3.0, 0], [3.0, 0]]), np.array([0, 1]), np.array([9.0, 1])) - 3 / np.log(9)) < 0.01
+
+
+def test_letters_and_marks():
+    from relq.llm.langid import LanguageModel, grams
+    for text in (None, "", "½ ² ①", "Ⅷ", "123 _ -", "\u0301 \u094d"):
+        assert not len(grams(text)[0])
+    model = LanguageModel(["x"], np.ones(1 << 16), np.ones(((1 << 16) + 1, 1)))
+    assert model.predict("½ ² ① Ⅷ") == ("und", 0.0) and model.predict("é")[0] == "x"
+    # a word keeps its marks: it is not its bare consonants
+    assert set(grams("हिन्दी")[0]) != set(grams("ह न द")[0]) and grams("हिन्दी")[1].sum() > grams("हन द")[1].sum()
+    assert set(grams("a1b")[0]) == set(grams("a½b")[0]) == set(grams("a b")[0])
