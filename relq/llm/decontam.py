@@ -12,8 +12,8 @@ the whole window and are compared word by word.  Benchmark items shorter than a
 window of their own length; their lengths (below ``window``) add plain n-gram hashes to the
 documents' fingerprints.
 
-The benchmark side is broadcast when its counted rows fit ``BROADCAST_ROWS``; beyond that the joins
-shuffle, and adaptive execution splits hot hashes.
+The distinct fingerprints of the benchmark, a long each, are broadcast when their bytes fit ``BROADCAST_BYTES``; beyond that
+this join shuffles like all others, and adaptive execution splits hot hashes.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relq.llm.common import materialize, read
+from relq.llm.common import materialize, read, unused
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # digits, letters a-z and everything beyond ASCII
 A_Z, A_Z_LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BROADCAST_ROWS = 1_000_000  # about 16 bytes each
+BROADCAST_BYTES = 16 << 20  # of fingerprints, at ``ROW_BYTES`` each in a hashed table
+ROW_BYTES = 16
 
 
 def lower_az(c: Column) -> Column:
@@ -81,10 +82,6 @@ def _fingerprints(df: DataFrame, window: int, k: int, short: list[int]) -> Colum
     return F.concat(F.array_distinct("low"), *map(plain, short))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def _windows(items: DataFrame, window: int, k: int) -> tuple[DataFrame, list[int]]:
     """The benchmark's windows ``(item_id, length, h, wtext, fp)`` and the lengths of short items."""
     sizes = items.where(F.size("words") > 0)
@@ -117,7 +114,9 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", te
              .where(F.col("item_id").isNotNull()))
     wins, short = _windows(items, window, k)
     wins = materialize(wins)
-    n_wins = wins.count()
+    known = materialize(wins.select("fp").distinct())
+    if known.count() * ROW_BYTES <= BROADCAST_BYTES:
+        known = F.broadcast(known)
     text = F.col(text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     grams = _with_minima(_with_grams(base.select("doc_id", "text_hash", words_of(F.col("text")).alias("words")),
@@ -127,7 +126,7 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", te
     every = prints.select("doc_id", "text_hash", "n_words")
     # written, so that the next join is planned by its real size: few candidates are broadcast, and no text moves
     met = materialize(prints.select("doc_id", "text_hash", F.explode("fps").alias("fp"))
-                      .join(_small(wins.select("fp").distinct(), n_wins), "fp", "left_semi")
+                      .join(known, "fp", "left_semi")
                       .groupBy("doc_id", "text_hash").agg(F.lit(1).alias("__met")).drop("__met"))
     cand = materialize(base.join(met.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}),
                                  (F.col("text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
@@ -142,7 +141,7 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", te
     at = F.concat(*map(tagged, lengths))
     distinct = wins.groupBy("length", "h", "wtext").agg(F.lit(1).alias("__one")).drop("__one")
     same = (g.select("doc_id", "text_hash", F.explode(at).alias("w")).select("doc_id", "text_hash", "w.at", "w.length", "w.h")
-            .join(_small(distinct, n_wins), ["length", "h"])
+            .join(distinct, ["length", "h"])
             .groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("at", "length", "wtext"))).alias("found")))
     checked = (cand.join(same.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}),
                          (F.col("text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")))
@@ -164,7 +163,7 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", te
     spans = F.aggregate("found", empty, merge)
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     names = (checked.select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform("found", lambda m: m["wtext"]))).alias("wtext"))
-             .join(_small(wins.select("wtext", "item_id").distinct(), n_wins), "wtext")
+             .join(wins.select("wtext", "item_id").distinct(), "wtext")
              .groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
              .withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}))
     hits = (checked.select("doc_id", "text_hash", spans.alias("spans"))
@@ -174,13 +173,23 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``docs`` without the documents that hold a window of the benchmark; all columns are kept."""
+    """``docs`` without the documents that hold a window of the benchmark; all columns are kept.
+
+    Null, empty and wordless texts stay; rows that repeat an id, or have none, are told apart by their text, and exact repeats go
+    or stay together; an empty table stays empty, and without benchmark items nothing goes.
+    """
     _, hits = benchmark_hits(docs, bench, id_col, text_col, **kw)
-    gone = hits.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    return docs.join(gone, (F.xxhash64(F.col(text_col)) == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    the_id, the_hash = unused(docs, "hit_id", "hit_hash")
+    gone = hits.select(F.col("doc_id").alias(the_id), F.col("text_hash").alias(the_hash))
+    return docs.join(gone, (F.xxhash64(F.col(text_col)) == F.col(the_hash)) & F.col(id_col).eqNullSafe(F.col(the_id)), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` against whole ``benchmark``, windows of 10 words.
+
+    Null, empty and wordless texts have no words and no hits; long texts are read whole; repeated ids are told apart by their
+    text, equal rows have equal results; empty tables give no rows or no hits; other columns are not read.
+    """
     every, hits = benchmark_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     h = hits.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "n_hit", "items")
     items = F.coalesce("items", F.array().cast("array<string>"))
