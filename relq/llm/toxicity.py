@@ -36,7 +36,33 @@ TARGETS = "you your yours he she they them him her these those people du dich di
 NEGATORS = "not no never without nicht kein keine nie niemals ohne ne pas jamais sans nunca jamás sin".split()
 REPORTERS = "said says say wrote writes called calls claimed quoted sagte sagt schrieb nannte dit écrit appelé dijo dice escribió llamó".split()
 INTENTS = "will shall gonna going must werde werden wirst vais allons voy vamos".split()
-THREATS = "kill murder destroy hurt beat stab shoot töten umbringen zerstören tuer frapper détruire matar golpear destruir".split()
+# Threat verbs: a stem's path goes on with one of its paradigm's endings ("-": the stem as it stands).  "+" doubles the last
+# letter before an ending, "~" drops an e; forms that no ending makes stand by themselves.
+PARADIGMS = {
+    "en": "- s ed ing".split(), "en+": "- s +ed +ing".split(), "en~": "- s ~ed ~ing".split(), "en_es": "- es ed ing".split(),
+    "de": "en e st t te ten test tet end et est".split(),
+    "fr": "er e es ent é ée és ées ez ons ait aient ant erai eras era erons erez eront".split(),
+    "es": "ar o as a amos an é aste ó aron aba aré arás ará aremos arán ando ado arte arlo arla".split(),
+}
+THREAT_STEMS = {
+    "en": "kill murder hurt beat shoot attack harm slaughter threaten destroy", "en+": "stab", "en~": "strangle choke execute", "en_es": "smash crush punch",
+    "de": "töt ermord zerstör verletz erschieß erstech verprügel", "fr": "tu frapp poignard étrangl assassin massacr menac", "es": "mat golpe apuñal asesin amenaz estrangul"}
+THREAT_FORMS = ("beaten shot umbringen umbringe umbringt umgebracht getötet geschlagen schlagen schlage schlägt verprügle détruire détruis détruit détruirai "
+                "destruir destruyo destruiré destruido").split()
+
+
+def threat_words(stems: dict[str, str] = THREAT_STEMS, paradigms: dict[str, list[str]] = PARADIGMS) -> list[str]:
+    """The forms that the paths of stems and endings accept, sorted."""
+    def form(stem: str, ending: str) -> str:
+        if ending == "-":
+            return stem
+        return stem + stem[-1] + ending[1:] if ending[0] == "+" else stem.removesuffix("e") + ending[1:] if ending[0] == "~" else stem + ending
+
+    out = {form(s, e) for kind, of_kind in stems.items() for s in of_kind.split() for e in paradigms[kind]}
+    return sorted((out | set(THREAT_FORMS)) - {*TARGETS, *NEGATORS, *REPORTERS, *INTENTS})
+
+
+THREATS = threat_words()
 
 WORD = re.compile(r"[^\W\d_]+|[\"“”„«»]")
 CLAUSE_END = ".!?;\n"
@@ -344,6 +370,12 @@ def reject_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents``, learning from ``labels.toxic`` of ids whose crc32 modulo 5 is not 0.
+
+    Null, empty and wordless texts have no events; long texts are read whole; equal texts have equal scores; an id that the labels
+    repeat counts once, with its larger label; null ids never train; without labels the prior weights score; an empty table
+    gives no rows; other columns of either table, whatever their names, are not read.
+    """
     docs = read(spark, sf_dir, "documents")
     model = fit_toxicity(docs, read(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).select("doc_id", (~training_row(F.col("doc_id"), 5, 0)).alias("held_out"), "score", "predicted")
