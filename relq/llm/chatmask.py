@@ -200,6 +200,12 @@ CONTROL = f"{END}{START}assistant ok"
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``conversations`` and conversation -1.
+
+    Null texts are empty; long texts go in parts; rows that repeat a turn number are turns of their own, in the order of
+    role and text; a null conv_id is a conversation like any other; an empty table leaves conversation -1; columns beyond
+    ``conv_id, turn, role, text`` are not read.
+    """
     conv = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     return read_back(format_conversations(conv.unionByName(extra), tokenizer_path()))

@@ -12,16 +12,32 @@ from pyspark.sql import functions as F
 from relq.operators.positions import materialize
 from relq.session import checkpoint_dir, configure
 
-__all__ = ["materialize", "read", "filter_rows", "known_labels", "labelled_sample", "class_weights", "training_row", "to_hex64", "batches_of"]
+__all__ = ["materialize", "prepare", "read", "unused", "filter_rows", "known_labels", "labelled_sample", "class_weights", "training_row", "to_hex64", "batches_of"]
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data folder; runtime options and the shared folder are set up on the way."""
+def prepare(spark: SparkSession) -> SparkSession:
+    """Runtime options and the shared folder; safe to call again."""
     configure(spark)
     # whole texts go to Python: a batch of 1,000 long ones must fit beside the JVM's heap
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     checkpoint_dir(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder, in a session that is prepared."""
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that ``df`` has no column of, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def training_row(key: Column, modulus: int, held_out: int) -> Column:
@@ -70,6 +86,13 @@ def class_weights(labels: DataFrame, id_col: str, label_col: str, per_class: int
     return np.array([max(1.0, n.get(label, 0) / per_class) for label in (0, 1)])
 
 
+def picked_labels(labels: DataFrame, id_col: str, label_col: str, per_class: int, modulus: int = 5, held_out: int = 0) -> DataFrame:
+    """``(__id, label)`` of at most ``per_class`` training rows of either label, those with the smallest hashes of their id."""
+    known = known_labels(labels, id_col, label_col, modulus, held_out)
+    order = F.xxhash64("__id", F.lit(17))
+    return known.where("label = 0").orderBy(order).limit(per_class).unionByName(known.where("label = 1").orderBy(order).limit(per_class))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int,
                     modulus: int = 5, held_out: int = 0) -> DataFrame:
     """``(doc_id, label, text)`` of at most ``per_class`` training rows of either label.
@@ -77,9 +100,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     The rows are those with the smallest hashes of their id, so the sample is the same however the
     tables are cut.  The ids are few (``2 * per_class``) and broadcast.
     """
-    known = known_labels(labels, id_col, label_col, modulus, held_out)
-    order = F.xxhash64("__id", F.lit(17))
-    picked = known.where("label = 0").orderBy(order).limit(per_class).unionByName(
-        known.where("label = 1").orderBy(order).limit(per_class))
-    return (docs.join(F.broadcast(picked), F.col(id_col).cast("long") == F.col("__id"))
-            .select(F.col("__id").alias("doc_id"), "label", F.col(text_col).alias("text")))
+    picked = picked_labels(labels, id_col, label_col, per_class, modulus, held_out)
+    # only the two columns that are read take part: others of ``docs`` may have any name
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+            .join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("doc_id", "label", "text"))

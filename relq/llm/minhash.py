@@ -168,4 +168,9 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents``, each with its successor by id.
+
+    Null texts are empty, wordless ones have the empty fingerprint; long texts are read whole; a null id comes first, and of
+    repeated ids the smaller text; a single row follows itself; an empty table gives no rows; columns beyond ``doc_id`` and ``text`` are not read.
+    """
     return neighbour_fingerprints(read(spark, sf_dir, "documents"))

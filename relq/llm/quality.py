@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relq.llm.common import class_weights, filter_rows, known_labels, labelled_sample, materialize, read, training_row
+from relq.llm.common import class_weights, filter_rows, known_labels, materialize, picked_labels, read, training_row
 
 CUT = 0.3  # scores from here on predict label 1
 SYMBOLS = b"#$%&*!|<>{}=/\\_~^@+"
@@ -184,47 +184,64 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None)
     return QualityModel(mean, scale, w, best_quantile(z @ w, y))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-                per_class: int = 4000) -> QualityModel:
-    """The ranking is fitted on at most ``per_class`` training rows of each label (those with the smallest id hashes),
-    weighted by their class's true count; the threshold is that of all training rows."""
-    rows = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
-    got = sorted((r.label, r.x) for r in feature_rows(rows, ["label"]).collect())  # the order of tasks must not matter
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text_hash, x)``: the measures of every row, written once for the fit, the threshold and the scores."""
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return materialize(feature_rows(rows, ["doc_id", "text_hash"]))
+
+
+def fit_measured(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", per_class: int = 4000) -> QualityModel:
+    """The ranking of :func:`measured` rows.  It is fitted on at most ``per_class`` training rows of each label (those with the smallest id
+    hashes), weighted by their class's true count; the threshold is that of all training rows."""
+    picked = F.broadcast(picked_labels(labels, id_col, label_col, per_class))  # 2 * per_class ids at most
+    sample = rows.select("doc_id", "x").join(picked, F.col("doc_id") == F.col("__id")).select("label", "x")
+    got = sorted((r.label, r.x) for r in sample.collect())  # the order of tasks must not matter
     y = np.array([label for label, _ in got], dtype=int)
     model = fit_arrays(np.array([x for _, x in got]), y, class_weights(labels, id_col, label_col, per_class)[y] if len(y) else None)
     if len(y):
-        model.threshold = best_quantile_of(training_ranks(docs, labels, model, id_col, text_col, label_col))
+        model.threshold = best_quantile_of(training_ranks(rows, labels, model, id_col, label_col))
     return model
 
 
-def training_ranks(docs: DataFrame, labels: DataFrame, model: QualityModel, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """``(s, label)`` of all labelled training rows; ids and ranks meet the labels, texts are not shuffled."""
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+                per_class: int = 4000) -> QualityModel:
+    """:func:`fit_measured` over the training rows of ``docs``; only their texts and ids and the labels are read."""
+    training = docs.where(F.col(id_col).isNotNull() & training_row(F.col(id_col), 5, 0))
+    return fit_measured(measured(training, id_col, text_col), labels, id_col, label_col, per_class)
+
+
+def training_ranks(rows: DataFrame, labels: DataFrame, model: QualityModel, id_col: str, label_col: str) -> DataFrame:
+    """``(s, label)`` of all labelled training rows among :func:`measured` ones."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             if b.num_rows:
-                s = model.rank(np.array([features(t.as_py()) for t in b.column(1)]))
-                yield pa.record_batch([b.column(0), pa.array(s)], ["__doc", "s"])
+                yield pa.record_batch([b.column(0), pa.array(model.rank(_matrix(b.column(1))))], ["doc_id", "s"])
 
-    ranks = (docs.where(F.col(id_col).isNotNull() & training_row(F.col(id_col), 5, 0))
-             .select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).cast("binary").alias("text"))
-             .mapInArrow(run, "__doc long, s double"))
+    ranks = rows.where(F.col("doc_id").isNotNull() & training_row(F.col("doc_id"), 5, 0)).select("doc_id", "x").mapInArrow(run, "doc_id long, s double")
     known = known_labels(labels, id_col, label_col)
-    return materialize(ranks.join(known, F.col("__doc") == F.col("__id")).select("s", "label"))
+    return materialize(ranks.join(known, F.col("doc_id") == F.col("__id")).select("s", "label"))
 
 
-def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text_hash, score, predicted)`` of every row; null and blank texts are scored as measures of zero."""
+def _matrix(x: pa.Array) -> np.ndarray:
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), len(NAMES))
 
+
+def score_measured(rows: DataFrame, model: QualityModel) -> DataFrame:
+    """``(doc_id, text_hash, score, predicted)`` of :func:`measured` rows."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             if b.num_rows:
-                s = model.score(np.array([features(t.as_py()) for t in b.column(2)]))
+                s = model.score(_matrix(b.column(2)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= CUT).astype(np.int32))],
                                                  ["doc_id", "text_hash", "score", "predicted"])
 
-    text = F.col(text_col)
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
-            .mapInArrow(run, "doc_id long, text_hash long, score double, predicted int"))
+    return rows.select("doc_id", "text_hash", "x").mapInArrow(run, "doc_id long, text_hash long, score double, predicted int")
+
+
+def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text_hash, score, predicted)`` of every row; null and blank texts are scored as measures of zero."""
+    return score_measured(measured(docs, id_col, text_col), model)
 
 
 def reject_low_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
@@ -234,6 +251,12 @@ def reject_low_quality(docs: DataFrame, model: QualityModel, text_col: str = "te
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    model = fit_quality(docs, read(spark, sf_dir, "labels"))
-    return score_quality(docs, model).select("doc_id", (~training_row(F.col("doc_id"), 5, 0)).alias("held_out"), "score", "predicted")
+    """Whole ``documents``, learning from ``labels.quality`` of ids whose crc32 modulo 5 is not 0.
+
+    Null, empty and blank texts are scored as measures of zero; long texts are read whole; equal texts have equal scores; an id that
+    the labels repeat counts once, with its larger label; null ids never train; without labels all scores are equal; an
+    empty table gives no rows; other columns of either table, whatever their names, are not read.
+    """
+    rows = measured(read(spark, sf_dir, "documents"))
+    model = fit_measured(rows, read(spark, sf_dir, "labels"))
+    return score_measured(rows, model).select("doc_id", (~training_row(F.col("doc_id"), 5, 0)).alias("held_out"), "score", "predicted")

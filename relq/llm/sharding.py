@@ -149,5 +149,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` in 16 shards by bytes.
+
+    A null text has no bytes and shares a group with the empty one only by its size; long texts are atoms that may exceed a
+    shard's share; equal texts stay together; repeated rows and ids, or null ones, each have a slot; an empty table gives
+    no rows; columns beyond ``doc_id`` and ``text`` are not read.
+    """
     return shard_by_bytes(read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

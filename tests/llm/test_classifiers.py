@@ -56,6 +56,18 @@ def test_grammar_marks_clauses():
     assert m.events("idiot " * 100_000)[0] == np.log1p(500_000)
 
 
+def test_inflected_threats():
+    m = T.Matcher(T.Lexicon({}))
+    threat = T.EVENTS.index("threat")
+    for text in ("we are killing you", "he threatened that he killed you", "they were stabbing him", "ich werde dich umbringen", "il t'a dit : je vais te tuer",
+                 "voy a matarte", "sie haben euch getötet", "they are strangling her", "ils vous frapperont"):
+        assert m.events(text)[threat] > 0, text
+    for text in ("the skill of the beatnik", "a matador in Tuesday's show", "he was late", "it beats the other runs", ""):
+        assert m.events(text)[threat] == 0, text
+    forms = T.threat_words()
+    assert {"stabbed", "strangling", "kills", "tötest", "tueront", "matando", "smashes"} <= set(forms) and not set(forms) & set(T.TARGETS)
+
+
 def test_composition_equals_the_parts():
     rng = np.random.default_rng(5)
     a = T.Transducer.build("ab", 0, lambda s, c: ((s + 1) % 3, {"x"} if s == 2 and c == "a" else set()))
@@ -102,7 +114,7 @@ def test_quality_threshold_covers_all_training_rows(spark, tables):
     docs, labels = tables
     # a cap that binds: the cut still has the fewest errors on all training rows
     model = Q.fit_quality(docs, labels, per_class=40)
-    ranks = Q.training_ranks(docs, labels, model, "doc_id", "text", "quality").collect()
+    ranks = Q.training_ranks(Q.measured(docs), labels, model, "doc_id", "quality").collect()
     s, y = np.array([r.s for r in ranks]), np.array([r.label for r in ranks])
     assert len(s) > 200 and len(s) == known_labels(labels, "doc_id", "quality").count()
     errors = lambda t: ((s >= t) != (y == 1)).sum()
