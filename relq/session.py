@@ -24,6 +24,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
+SPLITS = "spark.sql.files.minPartitionNum"
 # Not set: time zone (no timestamps here) and Arrow for toPandas (pandas UDFs use Arrow anyway);
 # both would change how the caller's own session converts results.
 
@@ -50,6 +51,9 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime options and ship the package; safe to call repeatedly."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)  # an option that cannot be set is an error: answers would change
+    if not spark.conf.get(SPLITS, None):
+        # how files are cut must not follow the number of executors: a line index holds for one cut
+        spark.conf.set(SPLITS, str(max(1, spark.sparkContext.defaultParallelism)))
     ship_package(spark)
     return spark
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relq.functions import jsonparse as J
 from relq.functions.jsonfmt import json_object, json_string
-from relq.operators.positions import materialize
+from relq.operators.positions import grouped_prefix_sum, materialize, with_position
 
 SAMPLE_FIELDS = ("instruction", "input", "output")
 
@@ -45,45 +45,86 @@ def _ordered_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(names, key=key)
 
 
-def _numbered_lines(spark: SparkSession, files: list[str]) -> DataFrame:
-    """``(line, value)``: lines numbered in the order of ``files``, without a shuffle of any text.
+INDEX_SCHEMA = "file string, block long, size long, first long, lines long, line long"
+INDEX_ROW_BYTES = 200  # of a row of the index in a hashed table
+BROADCAST_BYTES = 256 << 20
 
-    A scan reads each file block in order, so a line's number is the number of lines in the blocks
-    before it plus its place in its block.  The tagged lines are written once (blocks and places of a
-    second scan could differ if the cluster's size changed); only the counts of blocks are summed.
+
+def _blocks(spark: SparkSession, files: list[str]) -> DataFrame:
+    """The lines of ``files`` with the file block they were read from and their number in the scan."""
+    meta = {"_f": "file_path", "_b": "file_block_start", "_s": "file_block_length"}
+    return spark.read.text(files).select("value", *[F.col(f"_metadata.{m}").alias(c) for c, m in meta.items()],
+                                         F.monotonically_increasing_id().alias("_mid"))
+
+
+def line_index(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
+    """The lines of a JSONL folder by file block: ``(file, block, size, first, lines, line)``.
+
+    ``line`` is the number of the block's first line in the order of the files (part number, then offset), ``first`` the number
+    that the scan gave it.  One row a file block; the text is read and not written.
     """
-    raw = materialize(spark.read.text(files).select(
-        "value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
-        F.monotonically_increasing_id().alias("_mid")))
+    files = _ordered_files(spark, path) if files is None else files
+    if not files:
+        return spark.createDataFrame([], INDEX_SCHEMA)
     rank = spark.createDataFrame(list(enumerate(files)), "_rank long, _path string")
-    blocks = raw.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    blocks = _blocks(spark, files).groupBy("_f", "_b", "_s").agg(F.count(F.lit(1)).alias("lines"), F.min("_mid").alias("first"))
     # listed and scanned names may differ in the scheme's slashes only
     norm = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
-    ordered = blocks.join(rank, norm(F.col("_f")) == norm(F.col("_path"))).select("_f", "_b", "_n", "_first", "_rank")
-    before = Window.orderBy("_rank", "_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a file block
-    place = ordered.select(F.col("_f").alias("_sf"), F.col("_b").alias("_sb"), "_first",
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return (raw.join(F.broadcast(place), (F.col("_f") == F.col("_sf")) & (F.col("_b") == F.col("_sb")))
-            .select((F.col("_start") + F.col("_mid") - F.col("_first")).alias("line"), "value"))
+    ordered = materialize(blocks.join(rank, norm(F.col("_f")) == norm(F.col("_path"))))
+    # positions of blocks by (file, offset), then a running sum over positions in chunks: no task holds the blocks of all files
+    placed = with_position(ordered.select("_rank", "_b", "_s", "_f", "first", "lines"), ["_rank", "_b"], name="_p")
+    summed = grouped_prefix_sum(placed.withColumn("_all", F.lit(0)), "_all", "_p", "lines", "_upto")
+    return summed.select(F.col("_f").alias("file"), F.col("_b").alias("block"), F.col("_s").alias("size"), "first", "lines",
+                         (F.col("_upto") - F.col("lines")).cast("long").alias("line"))
+
+
+def write_line_index(spark: SparkSession, path: str, index_path: str) -> None:
+    """Persist :func:`line_index`, a small table that later reads number their lines with."""
+    line_index(spark, path).write.mode("overwrite").parquet(index_path)
 
 
-def read_samples(spark: SparkSession, path: str, limit: int | None = None, fields=SAMPLE_FIELDS) -> DataFrame:
+def _numbered_lines(spark: SparkSession, files: list[str], index: DataFrame) -> DataFrame:
+    """``(line, value)``: lines numbered by the index, without a shuffle and without a second copy of any text.
+
+    A scan reads each file block in order, so a line's number is that of its block plus its place in it.  The index holds for
+    scans that cut the files into the same blocks in the same tasks (the session pins what that depends on).  Another cut
+    is an error, never a wrong number: a block that the index lacks, or a place beyond a block's lines, fails the job, and numbers of a
+    scan are unique, so blocks whose places all fit are the indexed ones.
+    """
+    known = index.select(F.col("file").alias("_if"), F.col("block").alias("_ib"), F.col("size").alias("_is"), "first", "lines", F.col("line").alias("_start"))
+    if index.count() * INDEX_ROW_BYTES <= BROADCAST_BYTES:
+        known = F.broadcast(known)
+    met = _blocks(spark, files).join(known, (F.col("_f") == F.col("_if")) & (F.col("_b") == F.col("_ib")) & (F.col("_s") == F.col("_is")), "left")
+    place = F.col("_mid") - F.col("first")
+    fits = F.coalesce((place >= 0) & (place < F.col("lines")), F.lit(False))
+    refuse = F.raise_error(F.concat(F.lit("the line index does not fit this scan, write it again: "), F.col("_f"))).cast("long")
+    return met.select(F.when(fits, F.col("_start") + place).otherwise(refuse).alias("line"), "value")
+
+
+def read_samples(spark: SparkSession, path: str, limit: int | None = None, fields=SAMPLE_FIELDS, index_path: str | None = None) -> DataFrame:
     """A3/A4: JSONL as ``(line, *fields)``; ``line`` is 0-based in file order (part number, then offset).
 
+    Lines are numbered by the index at ``index_path`` (see :func:`write_line_index`), or by one that is made for this read: the
+    files are then scanned twice, and only the index is written.
+
     Every line must be exactly one JSON object with all ``fields`` as strings; anything else (a blank
     line, text behind the object, a missing key) fails the job, as a plain ``json.loads`` loop does.
     ``limit`` counts lines *read*, before any row is dropped downstream; files are read until that
     many lines are found, and lines beyond are not checked.
     """
     files = _ordered_files(spark, path)
-    if limit is not None:
+    if limit is not None and index_path is None:
         n = 1
         while n < len(files) and spark.read.text(files[:n]).limit(limit).count() < limit:
             n = min(len(files), 4 * n)
         files = files[:n]
     if not files:
         return spark.createDataFrame([], "line long, " + ", ".join(f"`{f}` string" for f in fields))
-    lines = _numbered_lines(spark, files)
+    if index_path is not None:
+        index = spark.read.schema(INDEX_SCHEMA).parquet(index_path)
+    else:
+        index = materialize(line_index(spark, path, files))
+    lines = _numbered_lines(spark, files, index)
     if limit is not None:
         lines = lines.where(F.col("line") < limit)
     w, top = F.col("_w"), F.col("_top")
