@@ -12,7 +12,9 @@ read scores the next symbol.
 The tree grows with the corpus, so it is never in one place.  A *gram* is a full-depth context and its next
 symbol; each chunk of texts (below) sends its distinct grams, with their training counts, to buckets by the
 context's last three symbols.  A bucket has all that contexts of three symbols and more need: it sums
-the counts, prunes, and sends every chunk the probabilities of its own grams.  Contexts of one and two
+the counts, prunes, and finds the probabilities of its grams.  Chunks are dealt to groups, as many as the root of
+their number: the grams of a group's chunks are summed before the bucket sees them, and probabilities go back
+the same way, so no task meets the grams of all chunks.  Contexts of one and two
 symbols (at most 256 + 65,536) are counted on the driver and broadcast.
 
 The base score needs the corpus count of every word of every text, which no broadcast can hold.  Texts
@@ -22,33 +24,36 @@ chunk gets back the counts of its own words, next to its texts.
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relq.llm.common import batches_of, materialize, read, training_row
+from relq.llm.substrings import word_hashes
 
 DEPTH = 5  # longest context in bytes; with the next symbol it must fit a long
-P_MIN = 0.0  # share of the training symbols that a context needs besides; 0: none, or the tree would not grow
 MIN_COUNT = 3
 MIN_KL = 0.002
 PRIOR = 4.0  # weight of the shorter context, in symbols
 CHUNK_BYTES = 32 << 20
 END = 10  # the line end that closes a text and fills the context before it
-LANE = 512  # symbols that one lane of the automaton reads
 LOW = 2  # contexts up to this length are on the driver
-BUCKETS = 4096
+BUCKETS = 1024
+PART_BYTES = 2 << 20  # text whose grams a task sorts at once
+WORD_BYTES = 1 << 20  # text whose words it hashes at once
 
 
 # ---- texts and chunks ---------------------------------------------------------------------------
 
 def tokens_of(text: bytes | None) -> list[bytes]:
+    """The words of a text with A-Z lower-cased; none for null, empty and blank ones."""
     return (text or b"").lower().split()  # bytes: lower() and split() know ASCII only
 
 
@@ -74,32 +79,69 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, training, chunk_bytes:
             .mapInArrow(run, "chunk long, doc_id long, training boolean, text binary"))
 
 
+def hashed_words(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(the texts as one stream, the 64-bit hash of each of its words, the text it belongs to)."""
+    stream = b"\n".join(texts)
+    start, h = word_hashes(stream)
+    begin = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
+    return stream, h, np.repeat(np.arange(len(texts)), np.diff(begin, prepend=0))
+
+
+def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that sorts h, first place of each value in it)."""
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    return order, np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, dtype=np.int64)
+
+
 def word_counts(chunks: DataFrame) -> DataFrame:
     """``(chunk, word, k)``: the words of each chunk's texts with their occurrences in training texts (0: none).
 
-    A chunk that several tasks read has several rows a word."""
+    Inside a chunk words are told apart by 64-bit hashes (two of a million distinct ones fall together in one of
+    3 * 10^7 chunks), between chunks by themselves.  A chunk that several tasks read has several rows a word."""
     schema = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("k", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, counts = None, Counter()
+        chunk, texts, training, size = None, [], [], 0
+        h, k, words = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object)
+
+        def add() -> None:
+            nonlocal h, k, words, texts, training, size
+            stream, own, text = hashed_words(texts)
+            order, at = _runs(own)
+            if len(at):
+                times = np.add.reduceat(np.array(training, dtype=np.int64)[text[order]], at)
+                found = own[order[at]]
+                place = np.searchsorted(h, found)
+                old = place < len(h)
+                old[old] = h[place[old]] == found[old]
+                k[place[old]] += times[old]
+                split = stream.split()
+                fresh = np.empty(int((~old).sum()), dtype=object)
+                fresh[:] = [split[i] for i in order[at[~old]].tolist()]
+                h, k, words = (np.insert(a, place[~old], b) for a, b in ((h, found[~old]), (k, times[~old]), (words, fresh)))
+            texts, training, size = [], [], 0
 
         def emit() -> Iterator[pa.RecordBatch]:
-            words = list(counts)
-            yield from batches_of({"chunk": np.full(len(words), chunk), "word": words, "k": list(counts.values())}, schema)
+            nonlocal h, k, words
+            if texts:
+                add()
+            yield from batches_of({"chunk": np.full(len(k), chunk), "word": words, "k": k}, schema)
+            h, k, words = h[:0], k[:0], words[:0]
 
         for b in it:
-            for c, train, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for i in range(b.num_rows):
+                c, train, text = (b.column(n)[i].as_py() for n in range(3))
                 if c != chunk:
-                    if counts:
+                    if chunk is not None:
                         yield from emit()
-                    chunk, counts = c, Counter()
-                words = text.split()
-                if train:
-                    counts.update(words)
-                else:
-                    for w in words:
-                        counts.setdefault(w, 0)
-        if counts:
+                    chunk = c
+                texts.append(text)
+                training.append(train)
+                size += len(text)
+                if size >= WORD_BYTES:
+                    add()
+        if chunk is not None:
             yield from emit()
 
     return chunks.select("chunk", "training", "text").mapInArrow(run, "chunk long, word binary, k long")
@@ -113,27 +155,62 @@ def _stream(texts: list[bytes]) -> np.ndarray:
 
 
 def _gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (context, next symbol) of full depth as packed numbers, with counts."""
-    s = _stream(texts).astype(np.int64)
-    g = np.zeros(len(s) - DEPTH, dtype=np.int64)
-    for i in range(DEPTH + 1):
-        g = (g << 8) | s[i:len(s) - DEPTH + i]
-    ends = np.cumsum([len(t) + 1 + DEPTH for t in texts])  # windows that reach into the next text's filling are none
-    ok = np.ones(len(g), dtype=bool)
-    for e in ends[:-1]:
-        ok[e - DEPTH:e] = False
-    return np.unique(g[ok], return_counts=True)
+    """Distinct (context, next symbol) of full depth as packed numbers, sorted, with counts."""
+    s = _stream(texts)
+    n = len(s) - DEPTH
+    g = s[:n].astype(np.int64)
+    for i in range(1, DEPTH + 1):  # in place: a part's grams stand in memory once
+        np.left_shift(g, 8, out=g)
+        np.bitwise_or(g, s[i:i + n], out=g)
+    for e in np.cumsum([len(t) + 1 + DEPTH for t in texts])[:-1].tolist():  # windows that reach into the next text's filling are none
+        g[e - DEPTH:e] = -1
+    g.sort()
+    g = g[(len(texts) - 1) * DEPTH:]
+    at = np.flatnonzero(g[1:] != g[:-1]) + 1
+    at = np.concatenate([[0], at])
+    return g[at], np.diff(at, append=len(g))
 
 
 def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, with the sums of their counts."""
-    u, at = np.unique(keys, return_inverse=True)
-    return u, np.bincount(at, weights=counts, minlength=len(u)).astype(np.int64)
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")  # keys are sorted runs, which a stable sort merges
+    keys = keys[order]
+    at = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+    return keys[at], np.add.reduceat(counts[order], at)
+
+
+_ZSTD: list = []
+
+
+def _coders() -> list:
+    if not _ZSTD:  # one pair a Python worker
+        _ZSTD.extend([zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()])
+    return _ZSTD
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Longs, compressed byte place by byte place."""
+    return _coders()[0].compress(np.ascontiguousarray(x, dtype="<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpack(x: bytes) -> np.ndarray:
+    raw = _coders()[1].decompress(x)
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _pack_grams(g: np.ndarray) -> bytes:
+    return _pack(np.diff(g, prepend=0))
+
+
+def _unpack_grams(x: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(x))
 
 
-def chunk_grams(chunks: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
+def chunk_grams(chunks: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """``(chunk, bucket, grams, k)``: the distinct grams of each chunk's texts, sorted, and their occurrences in training
-    texts (0: none), packed as longs, a row a bucket.  A chunk that several tasks read has several rows a bucket."""
+    texts (0: none), packed, a row a bucket.  A chunk that several tasks read has several rows a bucket."""
     schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary()), ("k", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,27 +223,29 @@ def chunk_grams(chunks: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
                 if t:
                     g, c = _gram_counts(t)
                     parts.append((g, c * training))
+                    t.clear()
             return _sums(*(np.concatenate(x) for x in zip(*parts)))
 
         def emit(g: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-            bucket = ((((g >> 8) & 0xFFFFFF) * 0x9E3779B1) & 0xFFFFFFFF) * BUCKETS >> 32
+            bucket = (((((g >> 8) & 0xFFFFFF) * 0x9E3779B1) & 0xFFFFFFFF) * BUCKETS >> 32).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             own, at = np.unique(bucket[order], return_index=True)
             g, c = (np.split(x[order], at[1:]) for x in (g, c))
-            yield from batches_of({"chunk": np.full(len(own), chunk), "bucket": own, "grams": [x.tobytes() for x in g],
-                                   "k": [x.tobytes() for x in c]}, schema, 1024)
+            yield from batches_of({"chunk": np.full(len(own), chunk), "bucket": own, "grams": [_pack_grams(x) for x in g],
+                                   "k": [_pack(x) for x in c]}, schema, 1024)
 
         for b in it:
-            for c, train, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for i in range(b.num_rows):  # a text at a time
+                c, train, text = (b.column(k)[i].as_py() for k in range(3))
                 if c != chunk:
                     if chunk is not None:
                         yield from emit(*merged())
-                    chunk, held, texts, size = c, (none, none), ([], []), 0
+                    chunk, held, size = c, (none, none), 0
                 texts[bool(train)].append(text)
                 size += len(text)
                 if size >= part_bytes:
                     held = merged()
-                    texts, size = ([], []), 0
+                    size = 0
         if chunk is not None:
             yield from emit(*merged())
 
@@ -181,8 +260,10 @@ def low_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.zeros(0, dtype=np.int64),) * 2
         for b in it:
-            g, k = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.int64) for i in (0, 1))
-            held = _sums(np.concatenate([held[0], g & mask]), np.concatenate([held[1], k]))
+            if b.num_rows:
+                g = np.concatenate([_unpack_grams(x) for x in b.column(0).to_pylist()])
+                k = np.concatenate([_unpack(x) for x in b.column(1).to_pylist()])
+                held = _sums(np.concatenate([held[0], g & mask]), np.concatenate([held[1], k]))
         yield from batches_of({"pair": held[0], "c": held[1]}, schema)
 
     t = grams.select("grams", "k").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
@@ -191,60 +272,6 @@ def low_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pair[order], c[order]
 
 
-def gram_counts(chunks: DataFrame, part_bytes: int = 8 << 20, most: int = 4_000_000) -> DataFrame:
-    """``(gram, c)`` summed over all training texts."""
-    schema = pa.schema([("gram", pa.int64()), ("c", pa.int64())])
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-        texts, size = [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            g, c = _gram_counts(texts)
-            u, at = np.unique(np.concatenate([held[0], g]), return_inverse=True)
-            total = np.zeros(len(u), dtype=np.int64)
-            np.add.at(total, at, np.concatenate([held[1], c]))
-            return u, total
-
-        for b in it:
-            for t in b.column(0).to_pylist():
-                texts.append(t)
-                size += len(t)
-                if size >= part_bytes:
-                    held = merged()
-                    texts, size = [], 0
-                    if len(held[0]) > most:  # memory stays bounded; partial counts meet in the shuffle
-                        yield from batches_of({"gram": held[0], "c": held[1]}, schema)
-                        held = (held[0][:0], held[1][:0])
-        if texts:
-            held = merged()
-        if len(held[0]):
-            yield from batches_of({"gram": held[0], "c": held[1]}, schema)
-
-    return chunks.where("training").select("text").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-
-
-def kept_contexts(grams: DataFrame, p_min: float = P_MIN, min_count: int = MIN_COUNT, min_kl: float = MIN_KL) -> DataFrame:
-    """``(d, ctx, nxt, c)`` of the contexts that the tree keeps, ``d`` symbols long (0: the root)."""
-    masks = F.array(*[F.lit((1 << 8 * d) - 1).cast("long") for d in range(DEPTH + 1)])
-    d = F.col("d")
-    level = grams.select("gram", "c", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("d"))
-    counts = materialize(level.groupBy("d", F.shiftright("gram", 8).bitwiseAND(F.element_at(masks, d + 1)).alias("ctx"),
-                                       F.col("gram").bitwiseAND(F.lit(255)).alias("nxt")).agg(F.sum("c").alias("c")))
-    n = counts.where("d = 0").agg(F.sum("c")).first()[0] or 0
-    frequent = (counts.groupBy("d", "ctx").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
-                .where((d == 0) | (F.col("total") >= max(min_count, p_min * n))))
-    known = materialize(counts.join(frequent, ["d", "ctx"]))
-    short = known.select((d + 1).alias("d"), F.col("ctx").alias("up"), "nxt", (F.col("c") / F.col("total")).alias("q"))
-    p = F.col("c") / F.col("total")
-    apart = (known.where("d > 0").withColumn("up", F.col("ctx").bitwiseAND(F.element_at(masks, d)))
-             .join(short, ["d", "up", "nxt"]).groupBy("d", "ctx", "total", "kinds").agg(F.sum(p * F.log(p / F.col("q"))).alias("kl"))
-             .where((F.col("kl") >= min_kl) & (F.col("kl") * F.col("total") >= 0.5 * F.col("kinds") * F.log("total"))))
-    suffixes = (apart.select("ctx", F.explode(F.sequence(F.lit(1), d)).alias("d"))
-                .select("d", F.col("ctx").bitwiseAND(F.element_at(masks, d + 1)).alias("ctx")).distinct())
-    return known.join(suffixes, ["d", "ctx"], "left_semi").unionByName(known.where("d = 0")).select("d", "ctx", "nxt", "c")
-
-
 # ---- levels -------------------------------------------------------------------------------------
 
 class Level:
@@ -295,40 +322,60 @@ def _longest(grams: np.ndarray, levels: list[Level], kept: list[np.ndarray], p:
     return p
 
 
-def gram_costs(grams: DataFrame, p_min: float = P_MIN, min_count: int = MIN_COUNT, min_kl: float = MIN_KL,
-               prior: float = PRIOR) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def gram_costs(grams: DataFrame, min_count: int = MIN_COUNT, min_kl: float = MIN_KL, prior: float = PRIOR) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """``(chunk, grams, cost)``: log10 probabilities of each chunk's grams (packed floats) where a context longer than ``LOW`` is
     kept, else NaN, and the pairs of ``LOW`` symbols and the next with the log10 probabilities that hold there."""
     pair, c = low_counts(grams)
-    least = max(min_count, p_min * c.sum())
+    least = max(1, min_count)
     low: list[Level] = []
     for d in range(LOW + 1):
         low.append(Level(d, pair, c, low[-1] if low else None, least, min_kl, prior))
     shared = grams.sparkSession.sparkContext.broadcast(low[-1])
     none = np.zeros(0, dtype=np.int64)
-    schema = pa.schema([("chunk", pa.int64()), ("grams", pa.binary()), ("cost", pa.binary())])
+    groups = max(1, math.isqrt(grams.select("chunk").distinct().count()))
+    own = grams.withColumn("team", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int"))
 
-    def run(table: pa.Table) -> pa.Table:
-        texts = table["grams"].to_pylist()
-        every = np.frombuffer(b"".join(texts), dtype=np.int64)
-        g, k = _sums(every, np.frombuffer(b"".join(table["k"].to_pylist()), dtype=np.int64))
+    def all_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return _sums(np.concatenate([_unpack_grams(x) for x in t["grams"].to_pylist()]), np.concatenate([_unpack(x) for x in t["k"].to_pylist()]))
+
+    def team_sums(t: pa.Table) -> pa.Table:
+        g, k = all_of(t)
+        return pa.table({"bucket": t["bucket"][:1], "team": t["team"][:1], "grams": pa.array([_pack_grams(g)]), "k": pa.array([_pack(k)])})
+
+    schema = pa.schema([("bucket", pa.int32()), ("team", pa.int32()), ("grams", pa.binary()), ("cost", pa.binary())])
+
+    def probabilities(t: pa.Table) -> pa.Table:
+        g, k = all_of(t)
         levels = [shared.value]
         for d in range(LOW + 1, DEPTH + 1):
             levels.append(Level(d, g, k, levels[-1], least, min_kl, prior))
         levels = levels[1:]
         kept = _keep(levels, none)
-        cost = np.log10(_longest(g, levels, kept, np.full(len(g), np.nan))).astype(np.float32)[np.searchsorted(g, every)]
-        ends = np.cumsum([len(t) // 8 for t in texts])
-        parts = [x.tobytes() for x in np.split(cost, ends[:-1])]
-        # a row without a chunk: the contexts of LOW symbols that are kept because a longer one is
+        cost = np.log10(_longest(g, levels, kept, np.full(len(g), np.nan))).astype(np.float32)
+        texts = t["grams"].to_pylist()
+        parts = [cost[np.searchsorted(g, _unpack_grams(x))].tobytes() for x in texts]
+        # a row without a team: the contexts of LOW symbols that are kept because a longer one is
         roots = np.unique(levels[0].ctx[kept[0]] & (_mask(LOW) >> 8))
-        return pa.table([[*table["chunk"].to_pylist(), None], [*texts, roots.tobytes()], [*parts, None]], schema=schema)
+        return pa.table([[*t["bucket"].to_pylist(), None], [*t["team"].to_pylist(), None], [*texts, roots.tobytes()], [*parts, None]], schema=schema)
 
-    costs = materialize(grams.groupBy("bucket").applyInArrow(run, "chunk long, grams binary, cost binary"))
-    roots = costs.where("chunk is null and grams != x''").select("grams").distinct().collect()
+    summed = own.groupBy("bucket", "team").applyInArrow(team_sums, "bucket int, team int, grams binary, k binary")
+    costs = materialize(summed.groupBy("bucket").applyInArrow(probabilities, "bucket int, team int, grams binary, cost binary"))
+    out = pa.schema([("chunk", pa.int64()), ("grams", pa.binary()), ("cost", pa.binary())])
+
+    def to_chunks(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The probabilities of a team's grams, dealt to its chunks."""
+        if not left.num_rows:
+            return out.empty_table()
+        g = _unpack_grams(right["grams"][0].as_py())
+        cost = np.frombuffer(right["cost"][0].as_py(), dtype=np.float32)
+        return pa.table([left["chunk"], left["grams"], [cost[np.searchsorted(g, _unpack_grams(x))].tobytes() for x in left["grams"].to_pylist()]], schema=out)
+
+    dealt = (own.select("bucket", "team", "chunk", "grams").groupBy("bucket", "team")
+             .cogroup(costs.where("team is not null").groupBy("bucket", "team")).applyInArrow(to_chunks, "chunk long, grams binary, cost binary"))
+    roots = costs.where("team is null and grams != x''").select("grams").distinct().collect()
     beyond = np.unique(np.concatenate([none, *(np.frombuffer(r.grams, dtype=np.int64) for r in roots)]))
     kept = _keep(low, beyond)
-    return costs.where("chunk is not null"), pair, np.log10(_longest(pair, low, kept, np.zeros(len(pair)))).astype(np.float32)
+    return dealt, pair, np.log10(_longest(pair, low, kept, np.zeros(len(pair)))).astype(np.float32)
 
 
 class Costs:
@@ -386,103 +433,6 @@ def score_grams(texts: list[bytes], costs: Costs, step: int = 1 << 17) -> np.nda
     return total
 
 
-# ---- automaton ----------------------------------------------------------------------------------
-
-class Automaton:
-    """States by symbols: ``go`` (next state) and ``cost`` (log10 probability); the last column is any byte that training never showed."""
-
-    def __init__(self, code: np.ndarray, go: np.ndarray, cost: np.ndarray, kept: int):
-        self.code, self.go, self.cost, self.kept = code, go, cost, kept
-
-    @classmethod
-    def build(cls, d: np.ndarray, ctx: np.ndarray, nxt: np.ndarray, c: np.ndarray, prior: float = PRIOR) -> "Automaton":
-        seen = np.unique(np.concatenate([nxt, [END]]))
-        a = len(seen)  # column a: any byte that training never showed
-        code = np.full(256, a, dtype=np.uint8)
-        code[seen] = np.arange(a)
-        kept = [np.unique(ctx[d == k]) for k in range(DEPTH + 1)]
-        kept[0] = np.zeros(1, dtype=np.int64)
-        states = [k.copy() for k in kept]
-        for k in range(DEPTH, 1, -1):  # the history of a state must be a state, or longer matches would be missed
-            states[k - 1] = np.union1d(states[k - 1], states[k] >> 8)
-        first = np.concatenate([[0], np.cumsum([len(s) for s in states])])
-        n = int(first[-1])
-        prob = np.zeros((n, a + 1))
-        root = np.zeros(256)
-        np.add.at(root, nxt[d == 0], c[d == 0])
-        root = (root + 1) / (root.sum() + 256)
-        prob[0, :a], prob[0, a] = root[seen], 1 / (c[d == 0].sum() + 256)
-        go = np.zeros((n, a + 1), dtype=np.int32)
-        column = np.zeros(256, dtype=np.int64)
-        column[seen] = np.arange(a)
-
-        def find(k: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.minimum(np.searchsorted(states[k], x), max(0, len(states[k]) - 1))
-            return at, (states[k][at] == x) if len(states[k]) else np.zeros(len(x), dtype=bool)
-
-        for k in range(1, DEPTH + 1):
-            s = states[k]
-            if not len(s):
-                continue
-            up = np.full(len(s), -1)
-            for j in range(k - 1, -1, -1):  # the longest shorter suffix that is a state
-                at, ok = find(j, s & ((1 << 8 * j) - 1))
-                take = ok & (up < 0)
-                up[take] = first[j] + at[take]
-            rows = first[k] + np.arange(len(s))
-            own = np.isin(s, kept[k])
-            count = np.zeros((len(s), a + 1))
-            m = d == k
-            at, ok = find(k, ctx[m])
-            np.add.at(count, (at[ok], column[nxt[m][ok]]), c[m][ok])
-            total = count.sum(axis=1, keepdims=True)
-            prob[rows] = np.where(own[:, None], (count + prior * prob[up]) / (total + prior), prob[up])
-        for k in range(DEPTH + 1):
-            rows = first[k] + np.arange(len(states[k]))
-            for j, byte in enumerate(seen.tolist()):
-                x = (states[k] << 8) | byte
-                target = np.full(len(rows), -1)
-                for m in range(min(DEPTH, k + 1), -1, -1):
-                    at, ok = find(m, x & ((1 << 8 * m) - 1))
-                    take = ok & (target < 0)
-                    target[take] = first[m] + at[take]
-                go[rows, j] = target
-        return cls(code, go, np.log10(prob).astype(np.float32), sum(len(k) for k in kept))
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text and its end.  Lanes of ``LANE`` symbols run side by side; each first
-        reads the ``DEPTH`` symbols before it, which fix its state."""
-        s = self.code[_stream(texts)]
-        width = self.go.shape[1]
-        length = np.array([len(t) + 1 for t in texts])
-        begin = np.concatenate([[0], np.cumsum(length + DEPTH)])[:-1] + DEPTH
-        lanes = -(-length // LANE)
-        owner = np.repeat(np.arange(len(texts)), lanes)
-        step = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        at = begin[owner] + step * LANE
-        left = np.minimum(LANE, length[owner] - step * LANE)
-        order = np.argsort(-left, kind="stable")  # lanes that end fall off the end of the arrays
-        at, left, owner = at[order], left[order], owner[order]
-        go, cost = self.go.ravel(), self.cost.ravel()
-        state = np.zeros(len(at), dtype=np.int64)
-        total = np.zeros(len(at))
-        for t in range(-DEPTH, 0):
-            state = go[state * width + s[at + t]].astype(np.int64)
-        alive = np.searchsorted(-left, -np.arange(LANE), side="left")  # lanes with more than t symbols
-        for t in range(int(left.max()) if len(left) else 0):
-            m = alive[t]
-            i = state[:m] * width + s[at[:m] + t]
-            total[:m] += cost[i]
-            state[:m] = go[i]
-        return np.bincount(owner, weights=total, minlength=len(texts))
-
-
-def fit_tree(chunks: DataFrame, **kw) -> Automaton:
-    """The tree of a corpus small enough for the driver; :func:`score_texts` does not gather it."""
-    t = kept_contexts(materialize(gram_counts(chunks)), **kw).toArrow()
-    return Automaton.build(*(t[c].to_numpy().astype(np.int64) for c in ("d", "ctx", "nxt", "c")))
-
-
 # ---- scores -------------------------------------------------------------------------------------
 
 OUT = "doc_id long, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -500,12 +450,11 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
     probabilities, pair, pair_cost = gram_costs(materialize(chunk_grams(chunks)), **kw)
     low = spark.sparkContext.broadcast((pair, pair_cost))
     rows = word_counts(chunks)
-    counts = materialize(rows.groupBy("word").agg(F.sum("k").alias("c"), F.count("*").alias("chunks")))
+    counts = materialize(rows.groupBy("word").agg(F.sum("k").alias("c")))
     n, v = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     texts = chunks.where("training").count()
     n, v = (n or 0) + texts, v + (texts > 0)  # the end is a token
-    # a word of one chunk is known there; only words of several need their counts sent
-    sent = rows.join(counts.where("chunks > 1").select("word", "c"), "word").select("chunk", "word", "c", F.lit(None).cast("binary").alias("cost"))
+    sent = rows.join(counts, "word").select("chunk", "word", "c", F.lit(None).cast("binary").alias("cost"))
     sent = sent.unionByName(probabilities.select("chunk", F.col("grams").alias("word"), F.lit(None).cast("long").alias("c"), "cost"))
     schema = pa.schema([("doc_id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                         ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -513,36 +462,34 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return schema.empty_table()
-        text, train = left["text"].to_pylist(), left["training"].to_pylist()
-        c: Counter | None = Counter()
-        for t, is_training in zip(text, train):
-            if is_training:
-                c.update(t.split())
+        text = left["text"].to_pylist()
         is_word = pc.is_null(right["cost"])
-        for b in right.filter(is_word).to_batches(max_chunksize=1 << 16):
-            dict.update(c, zip(b.column("word").to_pylist(), b.column("c").to_pylist()))
-        floor = n + v + 1
-        words, k = list(c), np.fromiter(c.values(), dtype=np.int64, count=len(c))
-        c = None  # one dictionary at a time
-        log = {w: x for w, x, n_w in zip(words, np.log10((k + 1) / floor).tolist(), k.tolist()) if n_w}
-        del words, k
-        unseen, end = float(np.log10(1 / floor)), float(np.log10((texts + 1) / floor))
-        tokens, known, base = [], [], []
-        for t in text:
-            own = t.split()
-            got = [log[w] for w in own if w in log]
-            tokens.append(len(own) + 1)
-            known.append(len(got) + (texts > 0))
-            base.append(float(np.sum(got)) + unseen * (len(own) - len(got)) + end)
-        del log
+        known = right.filter(is_word)
+        hashes = [np.zeros(0, dtype=np.uint64)]
+        for b in known.select(["word"]).to_batches(max_chunksize=1 << 16):
+            hashes.append(word_hashes(b" ".join(b.column(0).to_pylist()))[1])
+        h, c = np.concatenate(hashes), known["c"].to_numpy()
+        order = np.argsort(h)
+        h, c = h[order], c[order]
+        log = np.log10((c + 1) / (n + v + 1))
+        end = float(np.log10((texts + 1) / (n + v + 1)))
+        sums = [np.zeros((3, 0))]
+        for part in _slabs(text, WORD_BYTES):
+            _, own, whose = hashed_words(part)
+            at = np.searchsorted(h, own)
+            sums.append(np.stack([np.bincount(whose, weights=w, minlength=len(part)) for w in (np.ones(len(own)), c[at] > 0, log[at])]))
+        count, seen, base = np.concatenate(sums, axis=1)
+        tokens, known_n, base = count.astype(np.int64) + 1, seen.astype(np.int64) + (texts > 0), base + end
         own = right.filter(pc.invert(is_word))
-        grams, at = np.unique(np.frombuffer(b"".join(own["word"].to_pylist()), dtype=np.int64), return_index=True)
-        cost = np.frombuffer(b"".join(own["cost"].to_pylist()), dtype=np.float32)[at]
+        grams = np.concatenate([_unpack_grams(x) for x in own["word"].to_pylist()])
+        cost = np.frombuffer(b"".join(own["cost"].to_pylist()), dtype=np.float32)
+        grams, at = np.unique(grams, return_index=True)
+        cost = cost[at]
         pair, pair_cost = low.value
         cost = np.where(np.isnan(cost), pair_cost[np.searchsorted(pair, grams & _mask(LOW))], cost)
         costs = Costs(grams, cost)
         score = np.concatenate([score_grams(part, costs) for part in _slabs(text)])
-        return pa.table([left["doc_id"], left["training"], tokens, known, [n] * len(text), base, score], schema=schema)
+        return pa.table([left["doc_id"], left["training"], tokens, known_n, [n] * len(text), base, score], schema=schema)
 
     return chunks.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(run, OUT)
 
@@ -561,6 +508,11 @@ def _slabs(texts: list[bytes], size: int = 8 << 20) -> Iterator[list[bytes]]:
 
 
 def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents``, learning from ids whose crc32 modulo 7 is not 2.
+
+    Null, empty and blank texts are the end alone; long texts are read like any other; repeated rows and ids are documents
+    of their own, a null id is a training row; an empty table gives no rows; columns beyond ``doc_id`` and ``text`` are not read.
+    """
     docs = read(spark, sf_dir, "documents")
     return score_texts(docs, training_row(F.col("doc_id"), 7, 2)).select(
         "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -30,7 +30,7 @@ def plain(rows):
     return sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows), key=repr)
 
 
-def brute_tree(texts, p_min, min_count, min_kl, prior):
+def brute_tree(texts, min_count, min_kl, prior):
     """Contexts as byte strings and a scorer that looks for the longest suffix symbol by symbol."""
     count = {}
     fill = b"\n" * T.DEPTH
@@ -40,7 +40,7 @@ def brute_tree(texts, p_min, min_count, min_kl, prior):
             for d in range(T.DEPTH + 1):
                 count.setdefault(s[i - d:i], Counter())[s[i]] += 1
     n = sum(count[b""].values())
-    frequent = {x for x in count if x and sum(count[x].values()) >= max(min_count, p_min * n)}
+    frequent = {x for x in count if x and sum(count[x].values()) >= min_count}
     kept = set()
     for x in frequent:
         own, up = count[x], count[x[1:]]
@@ -74,29 +74,46 @@ def test_registered_query(spark):
     train = lambda d: zlib.crc32(str(d).encode()) % 7 != 2
     want, _ = brute_base(docs, train)
     assert plain(rows) == want
-    kept, score = brute_tree([norm(t) for d, t in docs if train(d)], T.P_MIN, T.MIN_COUNT, T.MIN_KL, T.PRIOR)
+    kept, score = brute_tree([norm(t) for d, t in docs if train(d)], T.MIN_COUNT, T.MIN_KL, T.PRIOR)
     text = dict(docs)
-    for r in rows[::20]:
+    for r in rows:
         assert abs(r.score - score(norm(text[r.doc_id]))) < 1e-3 * max(1, -r.score)
     # contexts help on texts that were not learned from: better than the root alone
-    _, flat = brute_tree([norm(t) for d, t in docs if train(d)], 2.0, T.MIN_COUNT, T.MIN_KL, T.PRIOR)
+    _, flat = brute_tree([norm(t) for d, t in docs if train(d)], 10**9, T.MIN_KL, T.PRIOR)
     held = [r for r in rows if r.held_out][:15]
     assert sum(r.score for r in held) > 0.7 * sum(flat(norm(text[r.doc_id])) for r in held)
 
 
-def test_automaton_equals_longest_suffix_search(spark):
+def test_longest_suffix_search(spark):
     rng = np.random.default_rng(0)
     texts = [bytes(rng.choice(list(b"abcab "), rng.integers(0, 60))).strip() for _ in range(150)]
-    df = spark.createDataFrame([(0, i, True, t) for i, t in enumerate(texts)], "chunk long, doc_id long, training boolean, text binary")
-    auto = T.fit_tree(df, p_min=0.002, min_count=3, min_kl=0.01)
-    kept, score = brute_tree(texts, 0.002, 3, 0.01, T.PRIOR)
-    assert auto.kept == len(kept) + 1 and len(kept) > 20
-    new = [b"", b"abc", b"zz\xff a", b"ab" * 3000, *texts[:20]]
-    np.testing.assert_allclose(auto.score(new), [score(t) for t in new], rtol=1e-4)
-    # a distribution: the probabilities of the next byte sum to one
-    unseen = 256 - len(np.unique(np.flatnonzero(auto.code != auto.code.max())))
-    p = 10.0 ** auto.cost.astype(float)
-    np.testing.assert_allclose(p[:, :-1].sum(axis=1) + unseen * p[:, -1], 1, rtol=1e-4)
+    new = [b"", b"abc", b"zz\xff a", b"ab" * 3000]
+    kept, score = brute_tree([norm(t.decode()) for t in texts], 3, 0.01, T.PRIOR)
+    assert len(kept) > 20
+    rows = [(i, t, i < len(texts)) for i, t in enumerate([*texts, *new])]
+    df = spark.createDataFrame([(i, bytearray(t), x) for i, t, x in rows], "doc_id long, text binary, t boolean")
+    for size in (300, 1 << 20):  # many chunks in several teams, and one
+        got = {r.doc_id: r.score for r in T.score_texts(df, T.F.col("t"), chunk_bytes=size, min_kl=0.01).collect()}
+        for i, t, _ in rows:
+            want = score(b" ".join(T.tokens_of(t)))
+            assert abs(got[i] - want) < 1e-4 * max(1, -want)
+
+
+def test_packed_grams():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 1000):
+        g = np.unique(rng.integers(0, 1 << 48, n))
+        assert (T._unpack_grams(T._pack_grams(g)) == g).all() and (T._unpack(T._pack(g)) == g).all()
+
+
+def test_gram_counts():
+    texts = [b"abc abc", b"", b"x" * 50]
+    want = Counter()
+    for t in texts:
+        s = b"\n" * T.DEPTH + t + b"\n"
+        want.update(int.from_bytes(s[i - T.DEPTH:i + 1], "big") for i in range(T.DEPTH, len(s)))
+    g, c = T._gram_counts(texts)
+    assert dict(zip(g.tolist(), c.tolist())) == want and (np.diff(g) > 0).all()
 
 
 def test_odd_rows_and_small_chunks(spark):
@@ -122,11 +139,11 @@ def test_rare_contexts_stay_in_a_large_corpus(spark):
         texts[i] += b" qzjxk"
     texts = [norm(t.decode()) for t in texts]
     every = [*texts, b"a qzjxk", b"b qzj a"]
-    kept, score = brute_tree(texts, 0.0, T.MIN_COUNT, T.MIN_KL, T.PRIOR)
+    kept, score = brute_tree(texts, T.MIN_COUNT, T.MIN_KL, T.PRIOR)
     assert b"q" in kept
     df = spark.createDataFrame([(i, t.decode(), i < len(texts)) for i, t in enumerate(every)], "doc_id long, text string, t boolean")
     got = {r.doc_id: r.score for r in T.score_texts(df, T.F.col("t"), chunk_bytes=100_000).collect()}
     for i in (0, 3, 100, 101):
         assert abs(got[i] - score(every[i])) < 1e-5 * -score(every[i])
-    _, frequent = brute_tree(texts, 1e-5, T.MIN_COUNT, T.MIN_KL, T.PRIOR)
+    _, frequent = brute_tree(texts, 6, T.MIN_KL, T.PRIOR)
     assert got[100] > frequent(every[100]) + 3
