@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relq.functions import jsonparse as J
-from relq.functions.similarity import summary_similarity
+from relq.functions.similarity import with_similarity
+from relq.operators.positions import materialize
 
 
 def _rate(num, den):
@@ -67,11 +68,9 @@ def s2_rates(gold: DataFrame, answers: DataFrame) -> DataFrame:
 
 def summary_scores(gold: DataFrame, answers: DataFrame) -> DataFrame:
     """H16 per row: ``(sample_id, reason_complete, similarity)``; similarity is null unless the
-    reason is complete with a string summary.  No filter before the UDF, so the parse is not
-    pushed into a filter and evaluated twice."""
-    sc = s2_scored(gold, answers)
-    return sc.select("sample_id", "reason_complete",
-                     summary_similarity(F.col("gen_summary"), F.col("gold_summary")).alias("similarity"))
+    reason is complete with a string summary.  The parsed summaries are written once; distinct pairs of them are scored."""
+    sc = materialize(s2_scored(gold, answers).select("sample_id", "reason_complete", "gen_summary", "gold_summary"))
+    return with_similarity(sc, "gen_summary", "gold_summary").select("sample_id", "reason_complete", "similarity")
 
 
 def mean_summary_similarity(gold: DataFrame, answers: DataFrame) -> DataFrame:

@@ -231,7 +231,7 @@ def s2_rates(spark, sf_dir):
 
 @register("summary_similarity")
 def summary_similarity(spark, sf_dir):
-    """Mean difflib ratio over complete answers (pandas UDF; no SQL oracle)."""
+    """Mean Ratcliff-Obershelp ratio over complete answers, distinct pairs of summaries scored once (no SQL oracle)."""
     g = gold(spark, sf_dir)
     return ev.mean_summary_similarity(g, derive_answers(g, silent=True))
 

@@ -70,6 +70,26 @@ def test_large_files_are_numbered_across_blocks(spark):
     assert len(rows) == 20_000 and all(str(r.line) == r.instruction for r in rows)
 
 
+def test_line_index_is_small_and_serves_later_reads(spark, tmp_path):
+    d = _write_lines([json.dumps(dict(GOOD, instruction=str(i), input=GOOD["input"] + "x" * 400)) for i in range(20_000)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500k")
+    try:
+        JL.write_line_index(spark, d, str(tmp_path / "index"))
+        index = spark.read.parquet(str(tmp_path / "index"))
+        assert index.count() > 10 and index.agg(F.sum("lines")).first()[0] == 20_000
+        rows = JL.read_samples(spark, d, index_path=str(tmp_path / "index")).collect()
+        assert len(rows) == 20_000 and all(str(r.line) == r.instruction for r in rows)
+        head = JL.read_samples(spark, d, limit=30, index_path=str(tmp_path / "index")).collect()
+        assert sorted(r.line for r in head) == list(range(30))
+        size = lambda p: sum(os.path.getsize(os.path.join(r, f)) for r, _, fs in os.walk(p) for f in fs)
+        assert size(tmp_path / "index") < 0.01 * size(d)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")  # other blocks: refused, not misnumbered
+        with pytest.raises(Exception, match="does not fit"):
+            JL.read_samples(spark, d, index_path=str(tmp_path / "index")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_written_lines_are_python_json(spark):
     s = R.samples(spark, SF_SMALL).orderBy("sample_id").limit(20)
     d = tempfile.mkdtemp(prefix="relq-test-out-")

@@ -1,10 +1,12 @@
 import json
+import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
 from relq.functions import text as T
 from relq.functions.jsonfmt import json_string, to_json_spaced
-from relq.functions.similarity import ratio
+from relq.functions.similarity import ratio, ratios, with_similarity
 
 
 def test_split_input_literal_rows(spark):
@@ -48,3 +50,25 @@ def test_similarity_literal_rows():
     assert ratio("tide", "diet") == 0.25
     assert ratio("diet", "tide") == 0.5
     assert ratio("", "") == 1.0
+
+
+def test_ratios_equal_difflib():
+    """Random pairs, related and not, with texts on both sides of the length where common characters count otherwise."""
+    rng = random.Random(1)
+    left, right = ["", "x", "", "tide", "diet", "\U0001f600ab"], ["", "", "x", "diet", "tide", "ab\U0001f600"]
+    for _ in range(600):
+        kinds = "abcdefghij klmnopqrstuvwxyz"[:rng.choice([2, 4, 26])]
+        n = rng.choice([5, 30, 230, 260])
+        a = [rng.choice(kinds) for _ in range(rng.randrange(n))]
+        b = list(a) if rng.random() < 0.6 else [rng.choice(kinds) for _ in range(rng.randrange(n))]
+        for _ in range(rng.randrange(8) if b else 0):
+            b[rng.randrange(len(b))] = rng.choice("abcxyzé ")
+        left.append("".join(a))
+        right.append("".join(b))
+    assert ratios(left, right).tolist() == [SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)]
+
+
+def test_similarity_of_repeated_and_null_pairs(spark):
+    rows = [(1, "tide", "diet"), (2, "tide", "diet"), (3, None, "x"), (4, "x", None), (5, "", ""), (6, None, None)]
+    out = with_similarity(spark.createDataFrame(rows, "id int, g string, h string"), "g", "h").orderBy("id").collect()
+    assert [r.similarity for r in out] == [0.25, 0.25, None, None, 1.0, None] and [r.id for r in out] == [1, 2, 3, 4, 5, 6]
