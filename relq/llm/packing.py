@@ -26,11 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relq.llm.common import batches_of, materialize, read, unused
+from relq.llm.substrings import word_hashes
 
 TOKENS = 2048
 DOCUMENTS = TOKENS  # documents of a sequence: none is shorter than its end id
 ATTENTION = TOKENS * TOKENS  # sum of squared piece lengths of a sequence
 BLOCK_PIECES = 20_000
+RUN_BYTES = 1 << 20  # text that is read at once
+_ODD_SPACE = re.compile(rb"[\t\x0b\x0c\r]")
 
 # ---- tokens -------------------------------------------------------------------------------------
 
@@ -43,7 +46,8 @@ class WordTokenizer:
 
     No token spans white space, so a text's ids are those of its words in order.  Words of plain
     letters and marks are merged in batches by a byte-pair coder built from the same file (its merges
-    by rank, the word end as a zero byte); any other word is given to the tokenizer itself.
+    by rank, the word end as a zero byte); any other word is given to the tokenizer itself.  Known words are found by their
+    64-bit hashes; the store is emptied when it is full.
     """
 
     def __init__(self, path: str, known: int = 500_000):
@@ -69,7 +73,13 @@ class WordTokenizer:
         self.to_id[list(ids)] = list(ids.values())
         self.closes = np.zeros(len(self.to_id), dtype=bool)
         self.closes[[r for raw, r in ranks.items() if raw.endswith(b"\0")]] = True
-        self.limit, self.known, self.older = known, {"": b""}, {}
+        self.limit = known
+        self._forget()
+
+    def _forget(self) -> None:
+        """The store: hashes of words, rising, and where their ids lie in ``flat``."""
+        self.hashes, self.at, self.size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype="<u4")
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Little-endian ids of words."""
@@ -92,15 +102,61 @@ class WordTokenizer:
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.limit:  # two generations: what is still in use comes back from the older one
-            self.known, self.older = {"": b""}, self.known
-        new = {w for ws in split for w in ws if w not in self.known}
-        kept = {w: self.older[w] for w in new if w in self.older}
-        self.known.update(kept)
-        self.known.update(self._learn([w for w in new if w not in kept]))
-        for ws in split:
-            yield b"".join([self.known[w] for w in ws])
+        held: list[bytes] = []
+        size = 0
+        for t in texts:
+            raw = (t or "").encode("utf-8", "surrogatepass")
+            if size and size + len(raw) > RUN_BYTES:
+                yield from self._together(held)
+                held, size = [], 0
+            if len(raw) > RUN_BYTES:
+                yield b"".join(x for part in _parts(raw, RUN_BYTES) for x in self._together([part]))
+                continue
+            held.append(raw)
+            size += len(raw) + 1
+        yield from self._together(held)
+
+    def _together(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of a few texts: distinct words are looked up by their 64-bit hashes, then the ids of all words are laid out."""
+        stream = b"\n".join(texts)
+        if _ODD_SPACE.search(stream):  # white space that does not end a word here
+            return [self._singly(t) for t in texts]
+        start, h = word_hashes(stream)
+        order = np.argsort(h, kind="stable")
+        s = h[order]
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, dtype=np.int64)
+        found = s[first]
+        place = np.searchsorted(self.hashes, found)
+        new = place == len(self.hashes)
+        new[~new] = self.hashes[place[~new]] != found[~new]
+        if new.any():
+            if len(self.hashes) > self.limit:
+                self._forget()
+                new[:] = True
+            words = stream.split()
+            ids = self._learn([words[i].decode("utf-8", "surrogatepass") for i in order[first[new]].tolist()])
+            self._store(found[new], [ids[words[i].decode("utf-8", "surrogatepass")] for i in order[first[new]].tolist()])
+            place = np.searchsorted(self.hashes, found)
+        own = np.empty(len(h), dtype=np.int64)
+        own[order] = np.repeat(place, np.diff(first, append=len(s)))
+        size = self.size[own]
+        end = np.cumsum(size)
+        out = self.flat[np.repeat(self.at[own] - (end - size), size) + np.arange(end[-1] if len(end) else 0)].tobytes()
+        words_of = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
+        cut = [0, *(np.concatenate([[0], end])[words_of] * 4).tolist()]
+        return [out[a:b] for a, b in zip(cut, cut[1:])]
+
+    def _store(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        at = np.searchsorted(self.hashes, hashes)
+        begin = len(self.flat) + np.cumsum(size) - size
+        self.hashes, self.at, self.size = (np.insert(a, at, b) for a, b in ((self.hashes, hashes), (self.at, begin), (self.size, size)))
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), dtype="<u4")])
+
+    def _singly(self, text: bytes) -> bytes:
+        words = text.decode("utf-8", "surrogatepass").replace("\n", " ").split(" ")
+        ids = self._learn(sorted({w for w in words if w}))
+        return b"".join([ids[w] for w in words if w])
 
 
 @lru_cache(maxsize=1)
@@ -111,6 +167,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _parts(text: bytes, size: int) -> Iterator[bytes]:
+    """A long text, cut at blanks and line ends into parts of about ``size`` bytes."""
+    at = 0
+    while at < len(text):
+        stop = min((i for i in (text.find(b" ", at + size), text.find(b"\n", at + size)) if i >= 0), default=len(text))
+        yield text[at:stop]
+        at = stop
+
+
 _CODERS: dict[str, WordTokenizer] = {}
 
 

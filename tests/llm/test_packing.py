@@ -57,7 +57,17 @@ def test_word_store_is_bounded():
     texts = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + j % 26)}" for j in range(40)) for i in range(30)]
     out = [list(c.encode_batch([t]))[0] for t in texts]
     assert out == [np.array(reference(t, c.library)[:-1], dtype="<u4").tobytes() for t in texts]
-    assert len(c.known) <= 50 + 41 and len(c.older) <= 50 + 41
+    assert len(c.hashes) <= 50 + 41 and len(c.flat) == c.size.sum()
+
+
+def test_word_ids_in_odd_texts_and_long_ones(monkeypatch):
+    """Texts read together, alone (tabs and the like) and part by part have the tokenizer's own ids."""
+    c = P.WordTokenizer(P.tokenizer_path())
+    texts = [None, "", " \n ", "a b\na", "tab\tnew line\r end", "x \x0b y", "É\xa0x é", "don't stop", "word " * 30, "z" * 300]
+    want = [np.array(reference(t, c.library)[:-1], dtype="<u4").tobytes() for t in texts]
+    assert list(c.encode_batch(texts)) == want
+    monkeypatch.setattr(P, "RUN_BYTES", 40)
+    assert list(c.encode_batch(texts)) == want and list(P.WordTokenizer(P.tokenizer_path()).encode_batch(texts[::-1])) == want[::-1]
 
 
 @pytest.mark.parametrize("rule", ["dot", "norm"])
