@@ -23,8 +23,9 @@ from relq.operators.positions import with_position
 
 # A query matrix up to this size is broadcast; beyond it neither side is.
 MAX_QUERY_BYTES = 64 << 20
-# Queries that a task scores at once: a memory tile with no influence on the result.
+# Queries and index rows that a task scores at once: a memory tile with no influence on the result.
 QUERY_TILE = 1024
+ROW_TILE = 1024
 
 HITS_SCHEMA = "query_id long, doc_id long, score double"
 
@@ -70,8 +71,9 @@ def _scorer(bq, k: int, id_col: str, vec_col: str, dim: int, digits: int | None)
     """Arrow batches in, one small batch of (query_id, doc_id, score) out per task.
 
     The list column is flattened into one ``(rows, dim)`` matrix without a Python object per
-    vector; a vector that is null or of another length fails the job.  Queries are scored in tiles,
-    so a task holds (rows of a batch) x (a tile) scores at a time."""
+    vector; a vector that is null or of another length fails the job.  A task holds the scores of one tile of
+    rows by one tile of queries at a time, whatever the sizes of its batches and of the query table, and only the
+    rows of a tile that reach the k-th best score of some query meet the running best."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -86,10 +88,20 @@ def _scorer(bq, k: int, id_col: str, vec_col: str, dim: int, digits: int | None)
             if not pc.all(pc.fill_null(pc.equal(pc.list_value_length(vecs), dim), False)).as_py():
                 raise ValueError(f"an index vector is null or has not the queries' {dim} dimensions")
             ids = rb.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
-            x = unit_rows(vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rb.num_rows, dim))
-            for i, t in enumerate(tiles):
-                scores = x @ qmat[t].T  # (rows, queries of the tile)
-                best[i] = _merge_topk(*best[i], scores if digits is None else scores.round(digits), ids, k)
+            vecs = vecs.flatten().to_numpy(zero_copy_only=False).reshape(rb.num_rows, dim)
+            for at in range(0, rb.num_rows, ROW_TILE):
+                own, x = ids[at:at + ROW_TILE], unit_rows(vecs[at:at + ROW_TILE].astype(np.float64))
+                for i, t in enumerate(tiles):
+                    scores = x @ qmat[t].T  # (rows, queries) of the tile
+                    if digits is not None:
+                        scores = scores.round(digits)
+                    if len(best[i][0]) == k:
+                        rows = np.flatnonzero(~(scores < best[i][0][-1]).all(axis=1))
+                        if not len(rows):
+                            continue
+                        best[i] = _merge_topk(*best[i], scores[rows], own[rows], k)
+                    else:
+                        best[i] = _merge_topk(*best[i], scores, own, k)
         for t, (best_sc, best_id) in zip(tiles, best):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(qids[t][None, :], best_sc.shape[0], axis=0).ravel(order="F"), pa.int64()),

@@ -121,3 +121,25 @@ def test_slices_refuse_negative_bounds(spark):
     with pytest.raises(ValueError):
         slice_rows(df, "doc_id", -3)
     assert slice_rows(df, "doc_id", 7).count() == 3
+
+
+def test_scan_memory_does_not_follow_batches_and_queries():
+    """A batch of 10,000 vectors against 1,024 queries: the scores of a tile are held, not those of the batch (they are 82 MB)."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    rng = np.random.default_rng(0)
+    x, q = rng.normal(size=(10_000, 8)), rt.unit_rows(rng.normal(size=(1024, 8)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 8).cast(pa.list_(pa.float64()))],
+                                       names=["doc_id", "embedding"])
+    score = rt._scorer(SimpleNamespace(value=(np.arange(1024), q)), 5, "doc_id", "embedding", 8, None)
+    tracemalloc.start()
+    out = pa.Table.from_batches(list(score([batch, batch.slice(0, 0)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    s = rt.unit_rows(x) @ q.T
+    best = {j: np.argsort(-s[:, j])[:5].tolist() for j in range(1024)}
+    got = out.to_pandas().sort_values(["query_id", "score"], ascending=[True, False]).groupby("query_id")["doc_id"].apply(list).to_dict()
+    assert got == best
