@@ -22,10 +22,12 @@ from pyspark.sql.types import ArrayType, FloatType
 from relq.operators.positions import materialize
 
 BLOCK_BYTES = 1 << 20  # vectors of a block
-CELL_BYTES = 16 << 20  # vectors of a cell's side
+CELL_BYTES = 8 << 20  # vectors of a cell's side
 HITS = "query_id long, doc_id long, score double"
 HITS_SCHEMA = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
 TILE = 4 << 20  # scores that stand in memory at once
+SIDE = 1024  # queries, and index rows, whose scores a cell holds at once
+PAIRS = 1 << 16  # pairs that are scored in double precision at once
 
 
 def unit_rows(m: np.ndarray) -> np.ndarray:
@@ -121,6 +123,59 @@ def score_block(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
     return out
 
 
+class Best:
+    """The k best index rows (score falling, id rising) of each of a tile of queries, over blocks that come one after another.
+
+    A block is multiplied in single precision; only the pairs that may reach the k-th best score of their query, by a bound on what
+    that product can be off, are scored in double precision.  Those are few once some blocks were seen.
+    """
+
+    def __init__(self, qids: np.ndarray, q: np.ndarray, k: int, digits: int | None, exclude_self: bool):
+        self.qids, self.q, self.k, self.digits, self.exclude_self = qids, q, k, digits, exclude_self
+        self.single = q.astype(np.float32)
+        # vectors are of length 1 at most: dim + 2 roundings of 2 ** -24, more than doubled, and a step of the rounded scores
+        self.off = (q.shape[1] + 8) * 2.0 ** -23 + (0 if digits is None else 10.0 ** -digits)
+        self.at, self.ids, self.scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)  # the best, query by query
+        self.floor, self.last = np.full(len(q), -np.inf), np.full(len(q), np.iinfo(np.int64).max)  # the k-th of each query
+
+    def add(self, ids: np.ndarray, x: np.ndarray, single: np.ndarray) -> None:
+        s = self.single @ single.T
+        low, short = self.floor - self.off, np.flatnonzero(np.isneginf(self.floor))
+        if len(short):  # no k-th best yet: this block has a bound, the place after as many pairs as a query makes with itself
+            place = self.k
+            if self.exclude_self:
+                order = np.sort(ids)
+                place += int((np.searchsorted(order, self.qids[short], "right") - np.searchsorted(order, self.qids[short])).max())
+            if s.shape[1] > place:
+                own = np.nan_to_num(s[short], nan=-np.inf)
+                low[short] = np.partition(own, s.shape[1] - place, axis=1)[:, s.shape[1] - place] - 2 * self.off
+        at, row = np.nonzero(s >= low.astype(np.float32)[:, None])
+        for a in range(0, len(at), PAIRS):
+            self.merge(at[a:a + PAIRS], row[a:a + PAIRS], ids, x)
+
+    def merge(self, at: np.ndarray, row: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """The best with pairs of a query and a row of a block, scored in double precision."""
+        if self.exclude_self:
+            other = self.qids[at] != ids[row]
+            at, row = at[other], row[other]
+        s, own = np.einsum("ij,ij->i", self.q[at], x[row]), ids[row]
+        if self.digits is not None:
+            s = s.round(self.digits)
+        new = (s > self.floor[at]) | ((s == self.floor[at]) & (own < self.last[at]))
+        if not new.any():
+            return
+        at, own, s = (np.concatenate(p) for p in ((self.at, at[new]), (self.ids, own[new]), (self.scores, s[new])))
+        order = np.lexsort((own, -s, at))
+        place = np.arange(len(at)) - np.searchsorted(at[order], at[order])
+        order, place = order[place < self.k], place[place < self.k]
+        self.at, self.ids, self.scores = at[order], own[order], s[order]
+        full = place == self.k - 1
+        self.floor[self.at[full]], self.last[self.at[full]] = self.scores[full], self.ids[full]
+
+    def table(self) -> pa.Table:
+        return pa.table([self.qids[self.at], self.ids, self.scores], schema=HITS_SCHEMA)
+
+
 def merge_best(tables: list[pa.Table], k: int) -> pa.Table:
     """The k best rows of each query in several tables of hits."""
     t = pa.concat_tables(tables)
@@ -163,10 +218,14 @@ def grid_topk(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "d
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
         best = [HITS_SCHEMA.empty_table()]
         blocks = [pack[1].read(i.as_py(), v.as_py()) for i, v in zip(b["ids"], b["vectors"])]
+        docs = [(i[at:at + SIDE], x[at:at + SIDE], x[at:at + SIDE].astype(np.float32)) for i, x in blocks for at in range(0, len(i), SIDE)]
         for i, v in zip(a["ids"], a["vectors"]):
             qids, m = pack[0].read(i.as_py(), v.as_py())
-            found = [t for ids, docs in blocks for t in score_block(qids, m, ids, docs, k, digits, exclude_self)]
-            best.append(merge_best([HITS_SCHEMA.empty_table(), *found], k))
+            for at in range(0, len(qids), SIDE):
+                tile = Best(qids[at:at + SIDE], m[at:at + SIDE], k, digits, exclude_self)
+                for d in docs:
+                    tile.add(*d)
+                best.append(tile.table())
         return pa.concat_tables(best)
 
     return ranked(left.groupBy("line", "at").cogroup(right.groupBy("line", "at")).applyInArrow(cell, HITS), k, query_id)

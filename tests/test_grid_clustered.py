@@ -71,6 +71,36 @@ def test_grid_odd_tables(spark):
             grid_topk(df.unionByName(spark.createDataFrame(bad, VEC)), q).collect()
 
 
+def test_cell_scores_few_pairs_in_double_precision(monkeypatch):
+    """The best of each query over many blocks, with ties, copies, ids that repeat and a vector that is not finite, against a sort
+    of all scores; after some blocks only a small part of the pairs is scored a second time."""
+    from relq.operators import grid as G
+    rng = np.random.default_rng(5)
+    scored = []
+    merge = G.Best.merge
+    monkeypatch.setattr(G.Best, "merge", lambda self, at, *rest: (scored.append(len(at)), merge(self, at, *rest))[1])
+    for ties, self_too, digits in ((False, False, 9), (False, True, None), (True, True, 9), (True, False, 2)):
+        x = G.unit_rows((rng.integers(-1, 2, (3000, 6)) if ties else rng.normal(size=(3000, 24))).astype(float))
+        ids = rng.permutation(3000)
+        ids[1:4] = ids[0]
+        q, qids = x[:200].copy(), ids[:200]
+        x[7] = np.nan
+        best = G.Best(qids, q, 5, digits, self_too)
+        scored.clear()
+        for a in range(0, 3000, 100):
+            best.add(ids[a:a + 100], x[a:a + 100], x[a:a + 100].astype(np.float32))
+        assert ties or sum(scored) < 0.1 * 200 * 3000
+        s = np.einsum("id,jd->ij", q, x)
+        s = s if digits is None else s.round(digits)
+        want = []
+        for i in range(200):
+            ok = np.flatnonzero(~np.isnan(s[i]) & ((qids[i] != ids) | (not self_too)))
+            ok = ok[np.lexsort((ids[ok], -s[i, ok]))][:5]
+            want += [(int(qids[i]), int(ids[j]), round(float(s[i, j]), 9)) for j in ok]
+        got = [(r["query_id"], r["doc_id"], round(r["score"], 9)) for r in best.table().to_pylist()]
+        assert got == want
+
+
 def clusters(spark, n=1500, dim=8, seed=3):
     rng = np.random.default_rng(seed)
     centre = rng.normal(size=(12, dim))
