@@ -7,6 +7,10 @@ partitioning, every rerun after a lost executor, and in DuckDB (md5 + hex).
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +29,13 @@ def hash_u32(seed: int, *parts) -> Column:
     return F.conv(F.substring(hash_hex(seed, *parts), 1, 8), 16, 10).cast("bigint")
 
 
+def hash_words(seed: int, words: pa.Array, purpose: str) -> np.ndarray:
+    """:func:`hash_u32` of (seed, word, purpose) for the words of an Arrow array, inside a task."""
+    head, tail = f"{seed}|".encode(), f"|{purpose}".encode()
+    drawn = b"".join(hashlib.md5(head + w + tail, usedforsecurity=False).digest()[:4] for w in words.cast(pa.binary()).to_pylist())
+    return np.frombuffer(drawn, dtype=">u4").astype(np.int64)
+
+
 def pick(seed: int, key, purpose: str, n: int) -> Column:
     """0-based uniform index into a list of ``n`` items (H1)."""
     return hash_u32(seed, key, purpose) % F.lit(n)

@@ -1,20 +1,25 @@
-"""The built-in text encoder (J3) inside one projection: hashed word counts per document.
+"""The built-in text encoder (J3) inside the tasks that read the texts: hashed word counts per document.
 
 Words (letter, digit and underscore runs of the lower-cased text) fall into ``dim`` buckets by the MD5
-draw that all of relq uses; a document's vector is its bucket counts.  The buckets of a row are sorted, the ends of
-their runs give the counts of the buckets that occur (a sparse vector), and those are written into the dense one.  No word is
-a row, nothing is shuffled and no text is held by Python.
+draw that all of relq uses; a document's vector is its bucket counts.  Texts are cut into words together, a part of a batch at a
+time, and each distinct word of a part is hashed once, whatever it occurs; then (row, bucket) pairs are counted.  No word is
+a row and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from relq.functions.hashing import hash_u32
+from relq.functions.hashing import hash_words
+from relq.functions.runs import char_classes, split_words, text_parts
 from relq.templates import DEFAULT_SEED
 
-WORD_RE = r"[\p{L}\p{N}_]+"
 DIM = 64
 
 
@@ -23,12 +28,18 @@ def embed_counts(df: DataFrame, key: str, text: str, dim: int = DIM, seed: int =
 
     Repeated keys are rows of their own.  The vectors are not normalised; the scorer does that.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD_RE), 0)
-    # steps over named columns: each is computed once a row
-    rows = df.select(F.col(key), F.array_sort(F.transform(words, lambda w: (hash_u32(seed, w, "embed") % dim).cast("int"))).alias("_b"))
-    last = F.filter(F.sequence(F.lit(0), F.size("_b") - 1), lambda i: F.get("_b", i) != F.coalesce(F.get("_b", i + 1), F.lit(-1)))
-    rows = rows.select(key, "_b", F.when(F.size("_b") > 0, last).otherwise(F.array().cast("array<int>")).alias("_e"))
-    runs = F.transform("_e", lambda e, j: F.struct(F.get("_b", e).alias("b"), (e - F.coalesce(F.get("_e", j - 1), F.lit(-1))).alias("c")))
-    rows = rows.select(key, F.map_from_entries(runs).alias("_m"))
-    return rows.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                        lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0)).cast("double")).alias(out))
+    classes = char_classes(df.sparkSession)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for lo, hi in text_parts(b.column(1)):
+                row, words = split_words(b.column(1).slice(lo, hi - lo), classes.value)
+                words = words.dictionary_encode()
+                bucket = hash_words(seed, words.dictionary, "embed") % dim
+                at = row * dim + bucket[words.indices.to_numpy()]
+                counts = np.bincount(at, minlength=(hi - lo) * dim).astype(np.float64)
+                bounds = np.arange(0, len(counts) + 1, dim, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(bounds, counts)], names=[key, out])
+
+    rows = df.select(F.col(key), F.lower(F.col(text)).alias("_text"))
+    return rows.mapInArrow(run, StructType([rows.schema.fields[0], StructField(out, ArrayType(DoubleType()))]))
