@@ -2,8 +2,9 @@
 
 Built-in tokenizer: pieces are the matches of one regular expression that
 covers every character (special markers, letter runs, digit runs, other runs,
-whitespace runs), computed with ``regexp_extract_all`` on the whole text and then
-truncated to ``max_len``.  Ids come from a vocabulary table: pieces counted over
+whitespace runs), taken from the whole text and then truncated to ``max_len``.  A task
+cuts the texts of a batch together by the classes of their characters; another pattern than
+the built-in one goes through ``regexp_extract_all``.  Ids come from a vocabulary table: pieces counted over
 the whole texts (summed in each task, so a hot piece costs one row per
 task), numbered by (count desc, piece).
 
@@ -15,7 +16,7 @@ together again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from relq.functions.runs import char_classes, split_pieces, text_parts
 from relq.operators.positions import materialize, with_position
 from relq.templates import CHATML, MAX_TOKENS
 
@@ -43,8 +45,18 @@ def pieces(text: Column, pattern: str = PIECE_RE) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), 0)
 
 
+def splitter(df: DataFrame, text: Column, pattern: str) -> tuple[Column, Callable[[pa.Array], Iterator[tuple[int, int, pa.ListArray]]]]:
+    """How texts become lists of pieces: the column that the tasks read, and what cuts it there, as (first row, row after
+    the last, pieces) of its parts."""
+    if pattern != PIECE_RE:
+        return pieces(text, pattern), lambda column: iter([(0, len(column), column)])
+    classes, markers = char_classes(df.sparkSession), (CHATML["start"], CHATML["end"], CHATML["eos"])
+    return text, lambda column: ((lo, hi, split_pieces(column.slice(lo, hi - lo), classes.value, markers)) for lo, hi in text_parts(column))
+
+
 def piece_counts(texts: DataFrame, text_col: str, pattern: str = PIECE_RE) -> DataFrame:
     """``(piece, count)``: pieces are counted in the task that splits the texts."""
+    column, lists = splitter(texts, F.col(text_col), pattern)
     schema = pa.schema([("piece", pa.string()), ("count", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,8 +66,8 @@ def piece_counts(texts: DataFrame, text_col: str, pattern: str = PIECE_RE) -> Da
             t = pa.concat_tables(held).group_by("piece").aggregate([("count", "sum")])
             return pa.table([t["piece"], t["count_sum"]], schema=schema)
 
-        for b in it:
-            c = pc.value_counts(b.column(0).flatten())
+        for _, _, own in (part for b in it for part in lists(b.column(0))):
+            c = pc.value_counts(own.flatten())
             held.append(pa.table([c.field("values"), c.field("counts")], schema=schema))
             if sum(t.num_rows for t in held) > MERGE_PIECES:
                 held = [merged()]
@@ -65,7 +77,7 @@ def piece_counts(texts: DataFrame, text_col: str, pattern: str = PIECE_RE) -> Da
         if held:
             yield from merged().to_batches(max_chunksize=1 << 16)
 
-    return (texts.select(pieces(F.col(text_col), pattern).alias("p")).mapInArrow(run, "piece string, count long")
+    return (texts.select(column.alias("p")).mapInArrow(run, "piece string, count long")
             .groupBy("piece").agg(F.sum("count").alias("count")))
 
 
@@ -75,27 +87,33 @@ def build_vocab(texts: DataFrame, text_col: str = "full_text", pattern: str = PI
     return with_position(piece_counts(texts, text_col, pattern), [F.col("count").desc(), F.col("piece")], name="id", materialize_input=True)
 
 
-def prompt_token_count(full_pieces: Column, prompt_chars: Column) -> Column:
-    """Tokens of the prompt among the kept pieces of the full text: those starting before the
+def kept_pieces(lists: pa.ListArray, prompt_chars: pa.Array, max_len: int) -> list[pa.Array]:
+    """``[n_prompt, n_full, n_full_untruncated, _kept]`` of lists of pieces.
+
+    The tokens of the prompt are the kept pieces of the full text that start before the
     prompt's end.  Exact when ``full_text`` starts with ``prompt_text`` (the chat render
     guarantees it): pieces before the boundary are the same in both texts, and the piece that
     crosses it is one piece in either.  Capped by the number of kept pieces, as truncation does."""
-    acc = F.aggregate(full_pieces, F.struct(F.lit(0).alias("pos"), F.lit(0).alias("n")),
-                      lambda a, p: F.struct((a["pos"] + F.length(p)).alias("pos"),
-                                            (a["n"] + F.when(a["pos"] < prompt_chars, 1).otherwise(0)).alias("n")))
-    return acc["n"]
-
-
-def chunked(rows: DataFrame, chunk_rows: int) -> DataFrame:
-    """``rows`` with the number of its chunk, ``_chunk``: neighbours in a task, at most ``chunk_rows`` of them."""
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, seen = TaskContext.get().partitionId() << 32, 0
-        for b in it:
-            number = first + (seen + np.arange(b.num_rows)) // chunk_rows
-            seen += b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number)], names=[*b.schema.names, "_chunk"])
-
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, *rows.select(F.lit(0).cast("long").alias("_chunk")).schema.fields]))
+    n_all = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    n = np.minimum(n_all, max_len)
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    row = np.repeat(np.arange(len(n)), n)
+    kept = lists.flatten().take(pa.array((np.cumsum(n_all) - n_all)[row] + np.arange(bounds[-1]) - bounds[row]))
+    length = pc.utf8_length(kept).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(length)])
+    start = upto[:-1] - upto[bounds[row]]
+    limit = pc.fill_null(prompt_chars, 0).to_numpy(zero_copy_only=False)
+    n_prompt = np.bincount(row[start < limit[row]], minlength=len(n))
+    return [*(pa.array(c, pa.int32()) for c in (n_prompt, n, n_all)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), kept)]
+
+
+def numbered(it: Iterator[pa.RecordBatch], chunk_rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches with the number of each row's chunk, ``_chunk``: neighbours in a task, at most ``chunk_rows`` of them."""
+    first, seen = TaskContext.get().partitionId() << 32, 0
+    for b in it:
+        number = first + (seen + np.arange(b.num_rows)) // chunk_rows
+        seen += b.num_rows
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number)], names=[*b.schema.names, "_chunk"])
 
 
 def chunk_dictionaries(rows: DataFrame, vocab: DataFrame, piece_col: str) -> DataFrame:
@@ -132,11 +150,20 @@ def tokenize(df: DataFrame, vocab: DataFrame, key: str = "sample_id", max_len: i
     """
     # the prompt is the head of the full text: its tokens are counted on the kept pieces of the full
     # text, so the document is split into pieces once
-    base = df.select(key, *carry, F.length("prompt_text").alias("_pc"), pieces(F.coalesce("full_text", F.lit("")), pattern).alias("_fp"))
-    base = base.select(key, *carry, "_pc", F.size("_fp").alias("n_full_untruncated"), F.slice("_fp", 1, max_len).alias("_kept"))
-    base = base.select(key, *carry, prompt_token_count(F.col("_kept"), F.col("_pc")).alias("n_prompt"), F.size("_kept").alias("n_full"),
-                       "n_full_untruncated", "_kept")
-    rows = materialize(chunked(base, chunk_samples))
+    column, lists = splitter(df, F.coalesce("full_text", F.lit("")), pattern)
+    base = df.select(key, *carry, F.length("prompt_text").alias("_pc"), column.alias("_text"))
+    own = base.schema.fields[:-2]
+    names = [*(f.name for f in own), "n_prompt", "n_full", "n_full_untruncated", "_kept"]
+
+    def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for lo, hi, found in lists(b.column(len(own) + 1)):
+                head = [c.slice(lo, hi - lo) for c in b.columns[:len(own) + 1]]
+                yield pa.RecordBatch.from_arrays([*head[:-1], *kept_pieces(found, head[-1], max_len)], names=names)
+
+    count = [StructField(n, IntegerType()) for n in names[len(own):-1]]
+    rows = materialize(base.mapInArrow(lambda it: numbered(keep(it), chunk_samples), StructType(
+        [*own, *count, StructField("_kept", ArrayType(StringType())), StructField("_chunk", LongType())])))
     ids = ArrayType(IntegerType())
     plain = [f for f in rows.schema.fields if f.name not in ("_kept", "_chunk")]
     schema = StructType([*plain, StructField("input_ids", ids), *([StructField("offsets", ids)] if offsets else [])])
