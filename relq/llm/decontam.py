@@ -12,7 +12,7 @@ the whole window and are compared word by word.  Benchmark items shorter than a
 window of their own length; their lengths (below ``window``) add plain n-gram hashes to the
 documents' fingerprints.
 
-The distinct fingerprints of the benchmark, a long each, are broadcast when their bytes fit ``BROADCAST_BYTES``; beyond that
+The distinct fingerprints of the benchmark, a long each, are broadcast up to ``BROADCAST_ROWS`` of them; beyond that
 this join shuffles like all others, and adaptive execution splits hot hashes.
 """
 
@@ -25,8 +25,7 @@ from relq.llm.common import materialize, read, unused
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # digits, letters a-z and everything beyond ASCII
 A_Z, A_Z_LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BROADCAST_BYTES = 16 << 20  # of fingerprints, at ``ROW_BYTES`` each in a hashed table
-ROW_BYTES = 16
+BROADCAST_ROWS = 1 << 20  # fingerprints, 16 MB in a hashed table
 
 
 def lower_az(c: Column) -> Column:
@@ -115,7 +114,7 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", te
     wins, short = _windows(items, window, k)
     wins = materialize(wins)
     known = materialize(wins.select("fp").distinct())
-    if known.count() * ROW_BYTES <= BROADCAST_BYTES:
+    if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     text = F.col(text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))

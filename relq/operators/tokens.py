@@ -38,7 +38,7 @@ def piece_pattern(markers=CHATML) -> str:
 
 PIECE_RE = piece_pattern()
 CHUNK_SAMPLES = 4096
-MERGE_PIECES = 1 << 18  # distinct pieces of a task before its counts are sent on
+MERGE_PIECES = 1 << 20  # pieces that a task holds before it merges them, and sends them on if most are distinct
 
 
 def pieces(text: Column, pattern: str = PIECE_RE) -> Column:
