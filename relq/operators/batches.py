@@ -18,23 +18,33 @@ def with_masks(tok: DataFrame, n_keep: int = 5) -> DataFrame:
 
 
 def padded_batches(rows: DataFrame, batch_size: int = 4, pad_id=None, key: str = "sample_id",
-                   labels: str = "labels_s1", weights: str | None = None, keys: DataFrame | None = None) -> DataFrame:
+                   labels: str = "labels_s1", weights: str | None = None, keys: DataFrame | None = None, lengths: str | None = None) -> DataFrame:
     """E2 + D13 + H24 + H25: consecutive rows (by ``key``) in batches of ``batch_size``,
     each padded to its longest row.  ``pad_id`` defaults to each row's EOS id column ``eos_id``.
 
     Batch ids come from the distributed position (E1); the per-batch maximum is a
     window over at most ``batch_size`` rows.  Pass ``keys`` (the same keys from before
     tokenization) to number a cheap key table and join, rather than range-sorting the
-    token rows, whose computation the range sampling would repeat.
+    token rows, whose computation the range sampling would repeat.  If ``keys`` also has the number of ids of each row, named by
+    ``lengths``, the maximum comes from there and the token rows are shuffled once.
     """
+    batch = F.floor(F.col("pos") / batch_size).cast("long").alias("batch_id")
+    if keys is not None and lengths:
+        pos = with_position(keys.select(key, F.col(lengths).alias("_n")), [key])
+        return _padded(_measured(rows, pos.select(key, batch), pos.select(key, "_n"), key), pad_id, key, labels, weights)
     pos = number_by_key(rows, keys, key) if keys is not None else with_position(rows, [key])
-    b = pos.withColumn("batch_id", F.floor(F.col("pos") / batch_size).cast("long"))
-    return _padded(b, pad_id, key, labels, weights)
+    longest = F.max(F.size("input_ids")).over(Window.partitionBy("batch_id"))
+    return _padded(pos.withColumn("batch_id", batch).withColumn("max_len", longest), pad_id, key, labels, weights)
+
+
+def _measured(rows: DataFrame, placed: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
+    """Rows with ``batch_id`` by their key (``placed``) and the ``max_len`` of the batch, found on keys and lengths (``_n``) alone."""
+    longest = placed.join(lengths, key).groupBy("batch_id").agg(F.max("_n").alias("max_len"))
+    return rows.join(placed.join(longest, "batch_id"), key)
 
 
 def _padded(rows: DataFrame, pad_id, key: str, labels: str, weights: str | None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Rows with a ``batch_id``, each padded to the longest of its batch."""
-    b = rows.withColumn("max_len", F.max(F.size("input_ids")).over(Window.partitionBy("batch_id")))
+    """Rows with a ``batch_id``, each padded to the longest of its batch, ``max_len``."""
     pad_val = F.col("eos_id") if pad_id is None else F.lit(pad_id)
     n, m = F.size("input_ids"), F.col("max_len")
     cols = [key, *carry, "batch_id", "max_len",
@@ -43,7 +53,7 @@ def _padded(rows: DataFrame, pad_id, key: str, labels: str, weights: str | None,
             M.pad(F.col(labels), m, M.IGNORE).alias("labels")]
     if weights:
         cols.append(M.pad(F.col(weights), m, 0.0).alias("loss_weights"))
-    return b.select(*cols)
+    return rows.select(*cols)
 
 
 def bucketed_batches(rows: DataFrame, edges: list[int], batch_size: int = 4, pad_id=None, key: str = "sample_id",
@@ -63,7 +73,8 @@ def bucketed_batches(rows: DataFrame, edges: list[int], batch_size: int = 4, pad
     w = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     begin = begin.select("_bucket", "_begin", F.coalesce(F.sum(F.ceil(F.col("_n") / batch_size)).over(w), F.lit(0)).alias("_batches"))
     placed = keys.join(F.broadcast(begin), "_bucket").select(key, (F.col("_batches") + F.floor((F.col("pos") - F.col("_begin")) / batch_size)).cast("long").alias("batch_id"))
-    return _padded(held.join(placed, key), pad_id, key, labels, weights, ("bucket",))
+    lengths = held.select(key, F.size("input_ids").alias("_n"))
+    return _padded(_measured(held, placed, lengths, key), pad_id, key, labels, weights, ("bucket",))
 
 
 def padding_share(batches: DataFrame) -> DataFrame:
