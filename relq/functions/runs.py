@@ -45,7 +45,9 @@ def text_parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 class Characters:
-    """The characters of an array of texts in one row: code points, classes, the first character of each text."""
+    """The bytes of an array of texts in one row, the class of each byte's character, the first byte of each text.
+
+    All bytes of a character have its class, so a run of characters is a run of bytes; only characters beyond ASCII are decoded."""
 
     def __init__(self, texts: pa.Array, classes: np.ndarray):
         texts = texts.cast(pa.binary()).fill_null(b"")
@@ -56,30 +58,32 @@ class Characters:
 
     def _read(self, texts: pa.Array, classes: np.ndarray) -> None:
         bounds = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
-        data = memoryview(texts.buffers()[2] or b"")[bounds[0]:bounds[-1]]
-        raw = np.frombuffer(data, dtype=np.uint8)
-        bounds -= bounds[0]
-        if len(raw) and raw.max() >= 0x80:
-            self.code = np.frombuffer(str(data, "utf-8").encode("utf-32-le"), dtype=np.uint32)
-            self.byte = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
-            self.first = np.searchsorted(self.byte, bounds)
-        else:
-            self.code, self.byte, self.first = raw, np.arange(len(raw) + 1), bounds
-        self.data, self.kind = data, classes[self.code]
+        self.data = memoryview(texts.buffers()[2] or b"")[bounds[0]:bounds[-1]]
+        self.code, self.first = np.frombuffer(self.data, dtype=np.uint8), bounds - bounds[0]
+        table = np.full(256, OTHER, dtype=np.uint8)
+        table[:0x80] = classes[:0x80]
+        self.kind = table[self.code]
+        beyond = np.flatnonzero(self.code >= 0x80)
+        if len(beyond):
+            str(self.data, "utf-8")  # the whole text must be UTF-8: its bytes beyond ASCII alone might look so
+            chars = np.frombuffer(str(self.code[beyond], "utf-8").encode("utf-32-le"), dtype=np.uint32)
+            lead = (self.code[beyond] & 0xC0) != 0x80
+            self.kind[beyond] = classes[chars][np.cumsum(lead) - 1]
 
     def starts(self, kind: np.ndarray) -> np.ndarray:
-        """Where a text or a run of one ``kind`` begins, one place more than there are characters."""
+        """Where a text or a run of one ``kind`` begins, one place more than there are bytes."""
         at = np.ones(len(kind) + 1, dtype=bool)
-        at[1:-1] = kind[1:] != kind[:-1]
+        np.not_equal(kind[1:], kind[:-1], out=at[1:-1])
         at[self.first] = True
         return at
 
     def cut(self, starts: np.ndarray) -> tuple[np.ndarray, pa.Array]:
         """(number of the first run of each text and of all, the runs)."""
-        at = np.flatnonzero(starts[:-1])
-        bounds = self.byte[np.append(at, len(self.code))].astype(np.int32)
-        runs = pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(self.data))
-        return np.searchsorted(at, self.first), runs
+        at = np.flatnonzero(starts)
+        if len(at) == 0 or at[-1] != len(self.code):
+            at = np.append(at, len(self.code))
+        runs = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(self.data))
+        return np.searchsorted(at[:-1], self.first), runs
 
 
 def split_pieces(texts: pa.Array, classes: np.ndarray, markers: tuple[str, ...]) -> pa.ListArray:

@@ -58,8 +58,12 @@ def render_chat(df: DataFrame, variant: str = "train_s1", markers=CHATML, instru
 
 
 def answer_key_index(prompt_text: Column, full_text: Column, key: str = ANSWER_KEY) -> Column:
-    """``full_text[len(prompt_text):].find(key)``; -1 when absent."""
-    return F.instr(F.substring(full_text, F.length(prompt_text) + 1, F.length(full_text)), key) - 1
+    """``full_text[len(prompt_text):].find(key)``; -1 when absent.
+
+    A text that starts with its prompt is cut by bytes, so that its characters need not be counted."""
+    answer = F.substring(full_text.cast("binary"), F.octet_length(prompt_text) + 1, F.octet_length(full_text)).cast("string")
+    other = F.substring(full_text, F.length(prompt_text) + 1, F.length(full_text))
+    return F.instr(F.when(full_text.startswith(prompt_text), answer).otherwise(other), key) - 1
 
 
 def with_answer_key(df: DataFrame) -> DataFrame:

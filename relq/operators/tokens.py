@@ -8,8 +8,11 @@ the built-in one goes through ``regexp_extract_all``.  Ids come from a vocabular
 the whole texts (summed in each task, so a hot piece costs one row per
 task), numbered by (count desc, piece).
 
-Ids are looked up through chunk dictionaries.  Samples are written in chunks of bounded size; the distinct pieces of a
-chunk meet the vocabulary in a join, and the chunk gets its own small dictionary back, next to its samples.
+Texts are cut once (:func:`cut_texts`): the pass that keeps a sample's first pieces also counts the pieces of the whole texts,
+and one written table holds both.
+
+Ids are looked up through chunk dictionaries.  Samples are written in chunks of bounded size, their kept pieces as numbers
+within the chunk's distinct pieces; those meet the vocabulary in a join, and the chunk gets its own small dictionary back, next to its samples.
 A piece of text is a row once a chunk, whatever it occurs; no token ever is a row and no sample is put
 together again.
 """
@@ -17,6 +20,7 @@ together again.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from relq.functions.runs import char_classes, split_pieces, text_parts
 from relq.operators.positions import materialize, with_position
@@ -54,133 +58,218 @@ def splitter(df: DataFrame, text: Column, pattern: str) -> tuple[Column, Callabl
     return text, lambda column: ((lo, hi, split_pieces(column.slice(lo, hi - lo), classes.value, markers)) for lo, hi in text_parts(column))
 
 
+class PieceCounts:
+    """Pieces counted in a task: merged, and sent on if most are distinct, whenever ``MERGE_PIECES`` are held."""
+
+    schema = pa.schema([("piece", pa.string()), ("count", pa.int64())])
+
+    def __init__(self):
+        self.held: list[pa.Table] = []
+        self.rows = 0
+
+    def _merge(self) -> None:
+        t = pa.concat_tables(self.held).group_by("piece").aggregate([("count", "sum")])
+        self.held, self.rows = [pa.table([t["piece"], t["count_sum"]], schema=self.schema)], t.num_rows
+
+    def add(self, piece: pa.Array, count: pa.Array) -> Iterator[pa.RecordBatch]:
+        self.held.append(pa.table([piece, count], schema=self.schema))
+        self.rows += len(piece)
+        if self.rows > MERGE_PIECES:
+            self._merge()
+            if self.rows > MERGE_PIECES // 2:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if len(self.held) > 1:
+            self._merge()
+        for t in self.held:
+            yield from t.to_batches(max_chunksize=1 << 16)
+        self.held, self.rows = [], 0
+
+
 def piece_counts(texts: DataFrame, text_col: str, pattern: str = PIECE_RE) -> DataFrame:
     """``(piece, count)``: pieces are counted in the task that splits the texts."""
     column, lists = splitter(texts, F.col(text_col), pattern)
-    schema = pa.schema([("piece", pa.string()), ("count", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def merged() -> pa.Table:
-            t = pa.concat_tables(held).group_by("piece").aggregate([("count", "sum")])
-            return pa.table([t["piece"], t["count_sum"]], schema=schema)
-
+        counts = PieceCounts()
         for _, _, own in (part for b in it for part in lists(b.column(0))):
             c = pc.value_counts(own.flatten())
-            held.append(pa.table([c.field("values"), c.field("counts")], schema=schema))
-            if sum(t.num_rows for t in held) > MERGE_PIECES:
-                held = [merged()]
-                if held[0].num_rows > MERGE_PIECES // 2:
-                    yield from held[0].to_batches(max_chunksize=1 << 16)
-                    held = []
-        if held:
-            yield from merged().to_batches(max_chunksize=1 << 16)
+            yield from counts.add(c.field("values"), c.field("counts"))
+        yield from counts.rest()
+
+    return summed(texts.select(column.alias("p")).mapInArrow(run, "piece string, count long"))
+
+
+def summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("piece").agg(F.sum("count").alias("count"))
+
+
+@dataclass(frozen=True)
+class Cut:
+    """Texts that were cut once: ``table`` holds samples with their kept pieces as numbers within a chunk (``_codes``, packed), the
+    pieces of the chunks (``_chunk, _code, piece``) and the counts of all pieces of the whole texts (``piece, count``)."""
 
-    return (texts.select(column.alias("p")).mapInArrow(run, "piece string, count long")
-            .groupBy("piece").agg(F.sum("count").alias("count")))
+    table: DataFrame
+    carried: tuple[str, ...]
 
+    @property
+    def samples(self) -> DataFrame:
+        return self.table.where("_codes IS NOT NULL").select(*self.carried, "n_prompt", "n_full", "n_full_untruncated", "_codes", "_chunk")
 
-def build_vocab(texts: DataFrame, text_col: str = "full_text", pattern: str = PIECE_RE) -> DataFrame:
-    """Vocabulary ``(piece, count, id)`` over whole texts; ids by (count desc, piece)."""
+    @property
+    def words(self) -> DataFrame:
+        return self.table.where("_code IS NOT NULL").select("_chunk", "_code", "piece")
+
+    @property
+    def counts(self) -> DataFrame:
+        return self.table.where("count IS NOT NULL").select("piece", "count")
+
+
+def build_vocab(texts: DataFrame | Cut, text_col: str = "full_text", pattern: str = PIECE_RE) -> DataFrame:
+    """Vocabulary ``(piece, count, id)`` over whole texts; ids by (count desc, piece).  Texts that :func:`cut_texts` has cut
+    are not read again."""
+    counted = summed(texts.counts) if isinstance(texts, Cut) else piece_counts(texts, text_col, pattern)
     # the counts are small but cost a pass over every text: written once before they are numbered
-    return with_position(piece_counts(texts, text_col, pattern), [F.col("count").desc(), F.col("piece")], name="id", materialize_input=True)
+    return with_position(counted, [F.col("count").desc(), F.col("piece")], name="id", materialize_input=True)
 
 
-def kept_pieces(lists: pa.ListArray, prompt_chars: pa.Array, max_len: int) -> list[pa.Array]:
-    """``[n_prompt, n_full, n_full_untruncated, _kept]`` of lists of pieces.
+def kept_pieces(codes: pa.ListArray, length: np.ndarray, prompt_chars: pa.Array, max_len: int) -> list[pa.Array]:
+    """``[n_prompt, n_full, n_full_untruncated, kept codes]`` of lists of pieces, given as numbers of distinct pieces
+    of ``length`` characters.
 
     The tokens of the prompt are the kept pieces of the full text that start before the
     prompt's end.  Exact when ``full_text`` starts with ``prompt_text`` (the chat render
     guarantees it): pieces before the boundary are the same in both texts, and the piece that
     crosses it is one piece in either.  Capped by the number of kept pieces, as truncation does."""
-    n_all = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    n_all = pc.list_value_length(codes).to_numpy(zero_copy_only=False).astype(np.int64)
     n = np.minimum(n_all, max_len)
     bounds = np.concatenate([[0], np.cumsum(n)])
     row = np.repeat(np.arange(len(n)), n)
-    kept = lists.flatten().take(pa.array((np.cumsum(n_all) - n_all)[row] + np.arange(bounds[-1]) - bounds[row]))
-    length = pc.utf8_length(kept).to_numpy(zero_copy_only=False).astype(np.int64)
-    upto = np.concatenate([[0], np.cumsum(length)])
-    start = upto[:-1] - upto[bounds[row]]
+    kept = codes.flatten().to_numpy()[(np.cumsum(n_all) - n_all)[row] + np.arange(bounds[-1]) - bounds[row]]
+    start = starts_within(length[kept], bounds)
     limit = pc.fill_null(prompt_chars, 0).to_numpy(zero_copy_only=False)
     n_prompt = np.bincount(row[start < limit[row]], minlength=len(n))
-    return [*(pa.array(c, pa.int32()) for c in (n_prompt, n, n_all)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), kept)]
+    return [*(pa.array(c, pa.int32()) for c in (n_prompt, n, n_all)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(kept))]
 
 
-def numbered(it: Iterator[pa.RecordBatch], chunk_rows: int) -> Iterator[pa.RecordBatch]:
-    """Batches with the number of each row's chunk, ``_chunk``: neighbours in a task, at most ``chunk_rows`` of them."""
-    first, seen = TaskContext.get().partitionId() << 32, 0
-    for b in it:
-        number = first + (seen + np.arange(b.num_rows)) // chunk_rows
-        seen += b.num_rows
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number)], names=[*b.schema.names, "_chunk"])
+def packed(bounds: pa.Array, codes: pa.Array) -> pa.Array:
+    """Lists of 32-bit numbers as their little-endian bytes: rows of bytes are moved and written whole, lists entry by entry."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds.to_numpy() * 4).astype(np.int32)),
+                                                                pa.py_buffer(codes.to_numpy().astype("<i4"))])
 
 
-def chunk_dictionaries(rows: DataFrame, vocab: DataFrame, piece_col: str) -> DataFrame:
-    """``(_chunk, piece, id)``: the vocabulary's entries for the distinct pieces of each chunk."""
-    schema = pa.schema([("_chunk", pa.int64()), ("piece", pa.string())])
+def unpacked(rows: pa.ChunkedArray) -> np.ndarray:
+    """The numbers of all rows that :func:`packed` made, one after the other."""
+    parts = [np.frombuffer(b"".join(c.to_pylist()), dtype="<i4") for c in rows.chunks]
+    return np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, pa.Array] = {}
-        for b in it:
-            number = b.column(0).to_numpy()
-            for c in np.unique(number).tolist():
-                at = np.flatnonzero(number == c)  # chunks are runs of rows
-                own = b.slice(int(at[0]), len(at)).column(1).flatten().unique()
-                if c not in held and held:  # the chunk before is over in this task
-                    for k, v in held.items():
-                        yield pa.record_batch([pa.array(np.full(len(v), k)), v], schema=schema)
-                    held = {}
-                held[c] = pa.concat_arrays([held[c], own]).unique() if c in held else own
-        for k, v in held.items():
-            yield pa.record_batch([pa.array(np.full(len(v), k)), v], schema=schema)
-
-    met = rows.select("_chunk", piece_col).mapInArrow(run, "_chunk long, piece string")
-    return met.join(vocab.select("piece", F.col("id").cast("int").alias("id")), "piece").select("_chunk", "piece", "id")
-
-
-def tokenize(df: DataFrame, vocab: DataFrame, key: str = "sample_id", max_len: int = MAX_TOKENS,
-             pattern: str = PIECE_RE, offsets: bool = False, carry: tuple[str, ...] = (), chunk_samples: int = CHUNK_SAMPLES) -> DataFrame:
-    """``(key, *carry, input_ids, n_prompt, n_full, n_full_untruncated[, offsets])`` from prompt/full text.
 
-    ``full_text`` must start with ``prompt_text``, as the chat render makes it.  The text is split into pieces once, and the
-    kept pieces (``max_len`` at most) are written in chunks; a chunk's samples and its dictionary meet in one task, where all
-    pieces of all samples are looked up at once.  A piece that the vocabulary lacks has a null id.  Character offsets
-    are running sums of piece lengths within a sample.  Repeated keys are samples of their own.
-    """
+def starts_within(length: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where each piece starts in its own text: running sums of lengths between ``bounds``."""
+    upto = np.concatenate([[0], np.cumsum(length)])
+    return upto[:-1] - np.repeat(upto[bounds[:-1]], np.diff(bounds))
+
+
+def _cut(df: DataFrame, key: str, max_len: int, pattern: str, carry: tuple[str, ...], chunk_samples: int, counted: bool) -> Cut:
     # the prompt is the head of the full text: its tokens are counted on the kept pieces of the full
     # text, so the document is split into pieces once
     column, lists = splitter(df, F.coalesce("full_text", F.lit("")), pattern)
     base = df.select(key, *carry, F.length("prompt_text").alias("_pc"), column.alias("_text"))
     own = base.schema.fields[:-2]
-    names = [*(f.name for f in own), "n_prompt", "n_full", "n_full_untruncated", "_kept"]
+    counts = [StructField(n, IntegerType()) for n in ("n_prompt", "n_full", "n_full_untruncated")]
+    schema = StructType([*own, *counts, StructField("_codes", BinaryType()), StructField("_chunk", LongType()),
+                         StructField("_code", IntegerType()), StructField("piece", StringType()), StructField("count", LongType())])
+    schema = StructType([StructField(f.name, f.dataType) for f in schema.fields])
 
-    def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, rows, types = TaskContext.get().partitionId() << 32, [], 0, {}
+
+        def batch(**columns) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, types[f.name]) for f in schema.fields], names=schema.names)
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            """The rows of a chunk: its samples, their pieces numbered over all parts of the chunk, and these pieces."""
+            kept = pa.chunked_array([k.values for _, k in held]).unify_dictionaries()
+            for (head, k), codes in zip(held, kept.chunks):
+                n = len(head["n_full"])
+                yield batch(**head, _codes=packed(k.offsets, codes.indices), _chunk=pa.array(np.full(n, chunk)))
+            words = kept.chunk(0).dictionary
+            if len(words):
+                yield batch(_chunk=pa.array(np.full(len(words), chunk)), _code=pa.array(np.arange(len(words), dtype=np.int32)), piece=words)
+
+        total = PieceCounts()
         for b in it:
+            types = types or {f.name: b.schema.field(f.name).type for f in own} | {
+                **{f.name: pa.int32() for f in counts}, "_codes": pa.binary(), "_chunk": pa.int64(), "_code": pa.int32(), "piece": pa.string(), "count": pa.int64()}
             for lo, hi, found in lists(b.column(len(own) + 1)):
+                every = found.flatten().dictionary_encode()
+                words, codes = every.dictionary, every.indices
+                if counted and len(words):
+                    count = pa.array(np.bincount(codes.to_numpy(), minlength=len(words)))
+                    for c in total.add(words, count):
+                        yield batch(piece=c.column(0), count=c.column(1))
+                length = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+                bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))]).astype(np.int32)
+                found = pa.ListArray.from_arrays(pa.array(bounds), codes)
                 head = [c.slice(lo, hi - lo) for c in b.columns[:len(own) + 1]]
-                yield pa.RecordBatch.from_arrays([*head[:-1], *kept_pieces(found, head[-1], max_len)], names=names)
+                *numbers, kept = kept_pieces(found, length, head[-1], max_len)
+                used, place = np.unique(kept.values.to_numpy(), return_inverse=True)  # a chunk holds no piece that none of its samples keeps
+                kept = pa.ListArray.from_arrays(kept.offsets, pa.DictionaryArray.from_arrays(pa.array(place.astype(np.int32)), words.take(pa.array(used))))
+                columns, at = dict(zip([f.name for f in (*own, *counts)], [*head[:-1], *numbers])), 0
+                while at < hi - lo:
+                    n = min(hi - lo - at, chunk_samples - rows)
+                    part = kept.slice(at, n)
+                    first = part.offsets.to_numpy()
+                    part = pa.ListArray.from_arrays(pa.array(first - first[0]), part.values.slice(int(first[0]), int(first[-1] - first[0])))
+                    held.append(({k: c.slice(at, n) for k, c in columns.items()}, part))
+                    at, rows = at + n, rows + n
+                    if rows == chunk_samples:
+                        yield from ended()
+                        chunk, held, rows = chunk + 1, [], 0
+        if held:
+            yield from ended()
+        for c in total.rest():
+            yield batch(piece=c.column(0), count=c.column(1))
 
-    count = [StructField(n, IntegerType()) for n in names[len(own):-1]]
-    rows = materialize(base.mapInArrow(lambda it: numbered(keep(it), chunk_samples), StructType(
-        [*own, *count, StructField("_kept", ArrayType(StringType())), StructField("_chunk", LongType())])))
-    ids = ArrayType(IntegerType())
-    plain = [f for f in rows.schema.fields if f.name not in ("_kept", "_chunk")]
+    return Cut(materialize(base.mapInArrow(run, schema)), (key, *carry))
+
+
+def cut_texts(df: DataFrame, key: str = "sample_id", max_len: int = MAX_TOKENS, carry: tuple[str, ...] = (),
+              chunk_samples: int = CHUNK_SAMPLES) -> Cut:
+    """Cut prompt/full texts by the built-in pattern in one pass, for both :func:`build_vocab` and :func:`tokenize`."""
+    return _cut(df, key, max_len, PIECE_RE, carry, chunk_samples, True)
+
+
+def tokenize(df: DataFrame | Cut, vocab: DataFrame, key: str = "sample_id", max_len: int = MAX_TOKENS,
+             pattern: str = PIECE_RE, offsets: bool = False, carry: tuple[str, ...] = (), chunk_samples: int = CHUNK_SAMPLES) -> DataFrame:
+    """``(key, *carry, input_ids, n_prompt, n_full, n_full_untruncated[, offsets])`` from prompt/full text.
+
+    ``full_text`` must start with ``prompt_text``, as the chat render makes it.  The text is split into pieces once (a
+    :class:`Cut` already was, and says key, length and carried columns itself), and the
+    kept pieces (``max_len`` at most) are written in chunks; a chunk's samples and its dictionary meet in one task, where all
+    pieces of all samples are looked up at once.  A piece that the vocabulary lacks has a null id.  Character offsets
+    are running sums of piece lengths within a sample.  Repeated keys are samples of their own.
+    """
+    cut = df if isinstance(df, Cut) else _cut(df, key, max_len, pattern, carry, chunk_samples, False)
+    rows, ids = cut.samples, ArrayType(IntegerType())
+    plain = [f for f in rows.schema.fields if f.name not in ("_codes", "_chunk")]
     schema = StructType([*plain, StructField("input_ids", ids), *([StructField("offsets", ids)] if offsets else [])])
+    words = cut.words.join(vocab.select("piece", F.col("id").cast("int").alias("id")), "piece", "left").select(
+        F.col("_chunk").alias("_of"), "_code", "id", F.length("piece").alias("_length"))
 
     def look_up(samples: pa.Table, words: pa.Table) -> pa.Table:
-        kept = samples["_kept"].combine_chunks()
-        kept = kept if isinstance(kept, pa.ListArray) else kept.chunk(0) if kept.num_chunks else pa.array([], type=pa.list_(pa.string()))
-        values, bounds = kept.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(kept).to_numpy(zero_copy_only=False))]).astype(np.int32)
-        at = pc.index_in(values, value_set=words["piece"].combine_chunks())
-        found = words["id"].combine_chunks().take(at)
-        cols = [samples[f.name] for f in plain] + [pa.ListArray.from_arrays(bounds, found)]
+        bounds = np.concatenate([[0], np.cumsum(samples["n_full"].to_numpy())]).astype(np.int32)
+        code, number = unpacked(samples["_codes"]), words["_code"].to_numpy()
+        at = np.zeros(len(number), dtype=np.int64)
+        at[number] = np.arange(len(number))  # the place of each piece in the dictionary
+        at = at[code]
+        cols = [samples[f.name] for f in plain] + [pa.ListArray.from_arrays(pa.array(bounds), words["id"].combine_chunks().take(pa.array(at)))]
         if offsets:
-            length = pc.utf8_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
-            before = np.cumsum(length) - length
-            start = before - np.repeat(np.append(before, 0)[np.minimum(bounds[:-1], len(before))], np.diff(bounds))
-            cols.append(pa.ListArray.from_arrays(bounds, pa.array(start.astype(np.int32))))
+            start = starts_within(words["_length"].to_numpy().astype(np.int64)[at], bounds)
+            cols.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(start.astype(np.int32))))
         return pa.table(cols, names=schema.names)
 
-    out = (rows.groupBy("_chunk").cogroup(chunk_dictionaries(rows, vocab, "_kept").groupBy("_chunk")).applyInArrow(look_up, schema))
-    return out.select(key, *carry, "input_ids", "n_prompt", "n_full", "n_full_untruncated", *(["offsets"] if offsets else []))
+    out = rows.groupBy("_chunk").cogroup(words.groupBy("_of")).applyInArrow(look_up, schema)
+    return out.select(*cut.carried, "input_ids", "n_prompt", "n_full", "n_full_untruncated", *(["offsets"] if offsets else []))

@@ -19,7 +19,7 @@ from relq.operators.chat import render_chat, with_answer_key
 from relq.operators.gold import gold_flag, gold_rows
 from relq.operators.positions import head_rows, slice_rows
 from relq.operators.sampling import make_samples, shuffle_order
-from relq.operators.tokens import build_vocab, tokenize
+from relq.operators.tokens import build_vocab, cut_texts, tokenize
 from relq.session import configure
 from relq.operators.clustered import clustered_topk, write_clustered_index
 from relq.sources.index import read_index, write_index
@@ -52,8 +52,9 @@ def prepare_training_job(spark, samples_path, out_path, stage="s1", batch_size=4
     s = read_samples(spark, samples_path).withColumnRenamed("line", "sample_id")
     c = with_answer_key(render_chat(s, variant)).select(
         "sample_id", "prompt_text", "full_text", "relevant_idx", F.length("prompt_text").alias("prompt_chars"))
-    vocab = build_vocab(c)
-    tok = tokenize(c, vocab, offsets=(stage == "v1"), carry=("relevant_idx", "prompt_chars"))
+    cut = cut_texts(c, carry=("relevant_idx", "prompt_chars"))
+    vocab = build_vocab(cut)
+    tok = tokenize(cut, vocab, offsets=(stage == "v1"))
     rows = with_masks(tok, n_keep)
     eos = vocab.where(F.col("piece") == CHATML["eos"]).select("id").first()
     if eos is None:

@@ -32,7 +32,7 @@ from relq.operators.loss import weighted_loss as _weighted_loss
 from relq.operators.permutation import ROUNDS, permute
 from relq.operators.positions import head_rows, materialize, number_by_key, slice_rows, with_position
 from relq.operators.sampling import make_samples, shuffle_order
-from relq.operators.tokens import build_vocab, tokenize
+from relq.operators.tokens import build_vocab, cut_texts, tokenize
 from relq.plans import sql as S
 from relq.plans.answers import damage, derive_answers
 from relq.session import checkpoint_dir, configure
@@ -332,13 +332,13 @@ def chat(spark, sf_dir, version=2, variant="train_s1"):
 
 
 def token_rows(spark, sf_dir, version=2, variant="train_s1", offsets=False):
-    """Tokens + masks + both weightings per sample, and the vocabulary."""
+    """Tokens + masks + both weightings per sample, and the keys and lengths of the samples (``sample_id, n_full``)."""
     c = chat(spark, sf_dir, version, variant).select(
         "sample_id", "prompt_text", "full_text", "relevant_idx", F.length("prompt_text").alias("prompt_chars"))
-    # Two passes tokenize the rendered text (the vocabulary over whole texts, then the ids of the
-    # kept tokens); caching the rendered texts instead would hold twice the corpus.
-    vocab = build_vocab(c)
-    tok = tokenize(c, vocab, offsets=offsets, carry=("relevant_idx", "prompt_chars"))
+    # one pass over the rendered text both counts its pieces and keeps the first of each sample
+    cut = cut_texts(c, carry=("relevant_idx", "prompt_chars"))
+    vocab = build_vocab(cut)
+    tok = tokenize(cut, vocab, offsets=offsets)
     # the pad/EOS id: one scalar looked up in the vocabulary
     eos = vocab.where(F.col("piece") == CHATML["eos"]).select("id").first()
     rows = B.with_masks(tok, S.N_KEEP).withColumn(
@@ -348,7 +348,7 @@ def token_rows(spark, sf_dir, version=2, variant="train_s1", offsets=False):
     if offsets:
         rows = (rows.withColumn("weights_reference", M.loss_weights(*args, anchor="reference"))
                     .withColumn("weights_answer", M.loss_weights(*args, anchor="answer")))
-    return rows, vocab
+    return rows, cut.samples.select("sample_id", "n_full")
 
 
 @register("chat_render", S.with_ctes(S.samples_ctes(2) + [("chat", S.chat_sql("train_s1"))], """SELECT sample_id,
@@ -377,7 +377,7 @@ def tokens_q(spark, sf_dir):
     return rows.select("sample_id", F.col("n_prompt").cast("long").alias("n_prompt"),
                        F.col("n_full").cast("long").alias("n_full"),
                        F.col("n_full_untruncated").cast("long").alias("n_full_untruncated"),
-                       M.as_text(F.col("input_ids")).alias("input_ids"), M.as_text(F.col("offsets")).alias("offsets"))
+                       M.ints_as_text(F.col("input_ids")).alias("input_ids"), M.ints_as_text(F.col("offsets")).alias("offsets"))
 
 
 @register("label_masks", S.with_ctes(S.token_ctes(2, "train_s1"), f"""SELECT sample_id,
@@ -386,9 +386,9 @@ def tokens_q(spark, sf_dir):
 def label_masks(spark, sf_dir):
     """Stage-1, stage-2 and answer-only label masks."""
     rows, _ = token_rows(spark, sf_dir)
-    return rows.select("sample_id", M.as_text(F.col("labels_s1")).alias("labels_s1"),
-                       M.as_text(F.col("labels_s2")).alias("labels_s2"),
-                       M.as_text(F.col("labels_answer")).alias("labels_answer"))
+    return rows.select("sample_id", M.ints_as_text(F.col("labels_s1")).alias("labels_s1"),
+                       M.ints_as_text(F.col("labels_s2")).alias("labels_s2"),
+                       M.ints_as_text(F.col("labels_answer")).alias("labels_answer"))
 
 
 @register("label_masks_s2", S.with_ctes(S.token_ctes(2, "train_s2"), f"""SELECT sample_id, n_prompt, n_full, n_full_untruncated,
@@ -397,7 +397,7 @@ def label_masks_s2(spark, sf_dir):
     """H20, H21 on the stage-2 training prompt: prompt length, truncation and stage-2 labels."""
     rows, _ = token_rows(spark, sf_dir, 2, "train_s2")
     return rows.select("sample_id", *[F.col(c).cast("long").alias(c) for c in ("n_prompt", "n_full", "n_full_untruncated")],
-                       M.as_text(F.col("labels_s2")).alias("labels_s2"))
+                       M.ints_as_text(F.col("labels_s2")).alias("labels_s2"))
 
 
 @register("loss_weights", S.with_ctes(S.token_ctes(1, "train_v1"), f"""SELECT sample_id,
@@ -405,8 +405,8 @@ def label_masks_s2(spark, sf_dir):
 def loss_weights_q(spark, sf_dir):
     """v1 token weights with both anchors ('reference' reproduces the original offsets)."""
     rows, _ = token_rows(spark, sf_dir, 1, "train_v1", offsets=True)
-    return rows.select("sample_id", M.as_text(F.col("weights_reference")).alias("weights_reference"),
-                       M.as_text(F.col("weights_answer")).alias("weights_answer"))
+    return rows.select("sample_id", M.doubles_as_text(F.col("weights_reference")).alias("weights_reference"),
+                       M.doubles_as_text(F.col("weights_answer")).alias("weights_answer"))
 
 
 @register("padded_batches", S.with_ctes(S.token_ctes(2, "train_s1") + [("batched", S.BATCHED)], f"""SELECT sample_id,
@@ -417,12 +417,12 @@ def loss_weights_q(spark, sf_dir):
   FROM batched CROSS JOIN eos"""))
 def padded_batches_q(spark, sf_dir):
     """Batches of 4 consecutive samples padded to the batch maximum."""
-    rows, _ = token_rows(spark, sf_dir)
+    rows, keys = token_rows(spark, sf_dir)
     b = B.padded_batches(rows.select("sample_id", "input_ids", "labels_s1", "eos_id"), S.BATCH, labels="labels_s1",
-                         keys=samples(spark, sf_dir))
+                         keys=keys, lengths="n_full")
     return b.select("sample_id", "batch_id", F.col("max_len").cast("long").alias("max_len"),
-                    M.as_text(F.col("input_ids")).alias("input_ids"),
-                    M.as_text(F.col("attention_mask")).alias("attention_mask"), M.as_text(F.col("labels")).alias("labels"))
+                    M.ints_as_text(F.col("input_ids")).alias("input_ids"),
+                    M.ints_as_text(F.col("attention_mask")).alias("attention_mask"), M.ints_as_text(F.col("labels")).alias("labels"))
 
 
 @register("masked_out_report", S.with_ctes(S.token_ctes(2, "train_s1"), f"""SELECT count(*) AS samples,
@@ -473,8 +473,8 @@ def bucketed_batches_q(spark, sf_dir):
     """E2, D13, H24 with length buckets: batches of 4 samples of one bucket of 16 tokens' width."""
     rows, _ = token_rows(spark, sf_dir)
     b = B.bucketed_batches(rows.select("sample_id", "input_ids", "labels_s1", "eos_id"), BUCKET_EDGES, S.BATCH)
-    return b.select("sample_id", "bucket", "batch_id", F.col("max_len").cast("long").alias("max_len"), M.as_text(F.col("input_ids")).alias("input_ids"),
-                    M.as_text(F.col("attention_mask")).alias("attention_mask"), M.as_text(F.col("labels")).alias("labels"))
+    return b.select("sample_id", "bucket", "batch_id", F.col("max_len").cast("long").alias("max_len"), M.ints_as_text(F.col("input_ids")).alias("input_ids"),
+                    M.ints_as_text(F.col("attention_mask")).alias("attention_mask"), M.ints_as_text(F.col("labels")).alias("labels"))
 
 
 @register("padding_report", S.with_ctes(S.token_ctes(2, "train_s1"), """SELECT layout, count(*) AS rows, sum(n_full)::BIGINT AS tokens, true AS improved
@@ -497,9 +497,9 @@ def padding_report(spark, sf_dir):
   FROM rl GROUP BY batch_id"""))
 def weighted_loss_q(spark, sf_dir):
     """v1 weighted loss per batch of 4 over a hash-derived token loss."""
-    rows, _ = token_rows(spark, sf_dir, 1, "train_v1", offsets=True)
+    rows, keys = token_rows(spark, sf_dir, 1, "train_v1", offsets=True)
     b = B.padded_batches(rows.select("sample_id", "input_ids", "labels_answer", "weights_reference", "eos_id"),
-                         S.BATCH, labels="labels_answer", weights="weights_reference", keys=samples(spark, sf_dir, 1))
+                         S.BATCH, labels="labels_answer", weights="weights_reference", keys=keys, lengths="n_full")
 
     def nll(i):
         return (hash_u32(S.SEED, F.col("sample_id"), i, "nll") % 10000) / 1000.0
