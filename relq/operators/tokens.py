@@ -215,8 +215,10 @@ def _cut(df: DataFrame, key: str, max_len: int, pattern: str, carry: tuple[str,
                 found = pa.ListArray.from_arrays(pa.array(bounds), codes)
                 head = [c.slice(lo, hi - lo) for c in b.columns[:len(own) + 1]]
                 *numbers, kept = kept_pieces(found, length, head[-1], max_len)
-                used, place = np.unique(kept.values.to_numpy(), return_inverse=True)  # a chunk holds no piece that none of its samples keeps
-                kept = pa.ListArray.from_arrays(kept.offsets, pa.DictionaryArray.from_arrays(pa.array(place.astype(np.int32)), words.take(pa.array(used))))
+                used = np.zeros(len(words), dtype=bool)  # a chunk holds no piece that none of its samples keeps
+                used[kept.values.to_numpy()] = True
+                place = (np.cumsum(used, dtype=np.int32) - np.int32(1))[kept.values.to_numpy()]
+                kept = pa.ListArray.from_arrays(kept.offsets, pa.DictionaryArray.from_arrays(pa.array(place), words.filter(pa.array(used))))
                 columns, at = dict(zip([f.name for f in (*own, *counts)], [*head[:-1], *numbers])), 0
                 while at < hi - lo:
                     n = min(hi - lo - at, chunk_samples - rows)
